@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from claimweave.plans import claims_queries, taxonomy_queries, text_queries, vector_queries
+from claimweave.plans import claims_queries, graph_queries, taxonomy_queries, text_queries, vector_queries
 from claimweave.plans.registry import Query
 
-_REGISTRIES = [claims_queries.REGISTRY, taxonomy_queries.REGISTRY, text_queries.REGISTRY, vector_queries.REGISTRY]
+_REGISTRIES = [claims_queries.REGISTRY, taxonomy_queries.REGISTRY, text_queries.REGISTRY, vector_queries.REGISTRY, graph_queries.REGISTRY]
 
 
 def queries() -> dict[str, Query]:
