@@ -12,12 +12,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweave.functions import variants
-from claimweave.session import cut_lineage
+from claimweave.functions.ordered import dense_ids
 
 # Above this many products the completion grid is a join instead of a literal list.
 MAX_LISTED_PRODUCTS = 10_000
@@ -235,26 +235,6 @@ def product_ids(names: DataFrame, existing: DataFrame | None = None, product: st
     return existing.select("id", product).unionByName(fresh.select((F.col("id") + last).alias("id"), product))
 
 
-def dense_ids(df: DataFrame, order: Sequence[str], name: str, start: int = 1) -> DataFrame:
-    """Consecutive ids in sort order without a single-task window.
-
-    Rows are range-partitioned once and pinned by a checkpoint; each partition
-    numbers its own rows on top of the row counts of the partitions before it.
-    """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    pinned = cut_lineage(ranged)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition.
-    offsets = pinned.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return (
-        pinned.withColumn(name, local)
-        .join(F.broadcast(offsets), "_p")
-        .withColumn(name, (F.col(name) + F.col("_offset") + (start - 1)).cast("bigint"))
-        .drop("_p", "_offset")
-    )
-
-
 def flatten_layer(df: DataFrame, layer: str, products: DataFrame) -> DataFrame:
     """Existing records of known products, one row each.
 

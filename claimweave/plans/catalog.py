@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from claimweave.plans import claims_queries, graph_queries, taxonomy_queries, text_queries, vector_queries
+from claimweave.plans import (
+    claims_queries,
+    graph_queries,
+    payment_queries,
+    source_queries,
+    taxonomy_queries,
+    text_queries,
+    vector_queries,
+)
 from claimweave.plans.registry import Query
 
-_REGISTRIES = [claims_queries.REGISTRY, taxonomy_queries.REGISTRY, text_queries.REGISTRY, vector_queries.REGISTRY, graph_queries.REGISTRY]
+_REGISTRIES = [
+    module.REGISTRY
+    for module in (source_queries, claims_queries, taxonomy_queries, text_queries, vector_queries, graph_queries, payment_queries)
+]
 
 
 def queries() -> dict[str, Query]:
