@@ -1,7 +1,8 @@
 """Text functions as native columns.
 
 White space, word characters and digits are Unicode-aware: the classes below
-spell out what Java's own ``\\s`` and ``\\w`` leave out.
+spell out what Java's own ``\\s`` and ``\\w`` leave out. Written as plain ranges
+they run several times faster than the engine's Unicode mode.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WS = r"[\s\x1c-\x1f]"
-_LINE_WS = r"[\s\x1c-\x1f&&[^\n]]"
+_WIDE = r"\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WS = rf"[\t-\r{_WIDE}]"
+_LINE_WS = rf"[\t\x0b-\r{_WIDE}]"
+_INK = rf"[^\t-\r{_WIDE}]"
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -22,12 +25,16 @@ def _col(text: str | Column) -> Column:
 
 def strip(text: str | Column) -> Column:
     """Trims Unicode white space on both ends."""
-    return F.regexp_replace(_col(text), rf"(?U)^{_WS}++|{_WS}++$", "")
+    return F.regexp_replace(_col(text), rf"^{_WS}++|{_WS}++\z", "")
+
+
+def strip_end(text: str | Column) -> Column:
+    return F.regexp_replace(_col(text), rf"{_WS}++\z", "")
 
 
 def _strip_lines(text: Column) -> Column:
     # (?d): only a newline ends a line.
-    return F.regexp_replace(text, rf"(?Umd)^{_LINE_WS}++|{_LINE_WS}++$", "")
+    return F.regexp_replace(text, rf"(?md)^{_LINE_WS}++|{_LINE_WS}++$", "")
 
 
 def normalize_ws(text: str | Column) -> Column:
@@ -36,24 +43,22 @@ def normalize_ws(text: str | Column) -> Column:
     return _strip_lines(F.regexp_replace(blanks, r"\n{2,}", "\n\n"))
 
 
-# Recognition artifacts and their replacements, in order.
-_ARTIFACTS = [
-    ("[|┃│║]", " "),
-    ("[─━═]", "-"),
-    ("[•‣⁃]", "•"),
-    ("…", "..."),
-    (rf"(?<!{_WORD})0(?=[A-Z])", "O"),
-    (rf"(?<!{_WORD})l(?=\p{{Nd}})", "1"),
-    (r"[\p{C}&&[^\n\t]]", ""),
+# Single characters and what replaces them, then the contextual confusions.
+_CHARACTERS = {"|": " ", "┃": " ", "│": " ", "║": " ", "─": "-", "━": "-", "═": "-", "‣": "•", "⁃": "•"}
+_CONFUSIONS = [
+    (rf"0(?<!{_WORD}0)(?=[A-Z])", "O"),
+    (rf"l(?<!{_WORD}l)(?=\p{{Nd}})", "1"),
+    (r"[\p{C}&&[^\n\t]]++", ""),
 ]
 
 
 def clean_text(text: str | Column) -> Column:
     """White space, box characters, bullets, 0/O and l/1 confusions and control characters."""
-    cleaned = normalize_ws(text)
-    for pattern, replacement in _ARTIFACTS:
+    cleaned = F.translate(normalize_ws(text), "".join(_CHARACTERS), "".join(_CHARACTERS.values()))
+    cleaned = F.replace(cleaned, F.lit("…"), F.lit("..."))
+    for pattern, replacement in _CONFUSIONS:
         cleaned = F.regexp_replace(cleaned, pattern, replacement)
-    return strip(F.regexp_replace(cleaned, rf"(?Umd){_LINE_WS}++$", ""))
+    return strip(F.regexp_replace(cleaned, rf"(?md){_LINE_WS}++$", ""))
 
 
 def merge_blocks(blocks: str | Column, separator: str = "\n\n") -> Column:
@@ -87,13 +92,14 @@ def fix_hyphenation(text: str | Column) -> Column:
 def text_stats(text: str | Column) -> Column:
     """Characters, words, non-blank lines and non-blank paragraphs as a struct."""
     column = F.coalesce(_col(text), F.lit(""))
+    body = strip(column)
 
-    def filled(pattern: str) -> Column:
-        return F.size(F.filter(F.split(column, pattern), lambda part: part.rlike(rf"(?U)[^\s\x1c-\x1f]"))).cast("bigint")
+    def filled(separator: str) -> Column:
+        return F.size(F.filter(F.split(column, separator), lambda part: part.rlike(_INK))).cast("bigint")
 
     return F.struct(
         F.length(column).cast("bigint").alias("char_count"),
-        filled(rf"(?U){_WS}++").alias("word_count"),
+        F.when(body == "", 0).otherwise(F.size(F.split(body, rf"{_WS}++"))).cast("bigint").alias("word_count"),
         filled("\n").alias("line_count"),
         filled("\n\n").alias("paragraph_count"),
     )
@@ -101,7 +107,7 @@ def text_stats(text: str | Column) -> Column:
 
 def sentences(text: str | Column) -> Column:
     """Collapses white space and splits after ``.!?`` before a capital letter."""
-    flat = strip(F.regexp_replace(_col(text), rf"(?U){_WS}++", " "))
+    flat = strip(F.regexp_replace(_col(text), rf"{_WS}++", " "))
     return F.filter(F.transform(F.split(flat, r"(?<=[.!?]) +(?=[A-Z])"), strip), lambda s: s != "")
 
 
@@ -117,9 +123,17 @@ _SCRIPTS = [
 
 
 def script_language(text: str | Column) -> Column:
-    """Language of the most frequent script; under ten letters it is ``en``."""
-    column = F.coalesce(_col(text), F.lit(""))
-    counts = [F.length(F.regexp_replace(column, f"[^{ranges}]+", "")) for ranges, _ in _SCRIPTS]
+    """Language of the most frequent script; under ten letters it is ``en``.
+
+    The ranges are disjoint, so each script is counted on what the ones before
+    left over.
+    """
+    rest = F.coalesce(_col(text), F.lit(""))
+    counts = []
+    for ranges, _ in _SCRIPTS:
+        left = F.regexp_replace(rest, f"[{ranges}]++", "")
+        counts.append(F.length(rest) - F.length(left))
+        rest = left
     most = F.greatest(*counts)
     language = F.when(sum(counts[1:], counts[0]) < 10, F.lit("en"))
     for count, (_, code) in zip(counts, _SCRIPTS):

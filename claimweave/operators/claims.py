@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimweave.functions.arrays import names_where
 from claimweave.functions.percentiles import exact_percentiles
 from claimweave.session import cut_lineage
 
@@ -295,8 +296,7 @@ def amount_checks(df: DataFrame) -> DataFrame:
         "report_not_before_accident": F.col("report_date") < F.col("accident_date"),
         "closed_not_before_report": F.col("closed_date") < F.col("report_date"),
     }
-    violations = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in checks.items()]))
-    return df.withColumn("violations", violations).filter(F.size("violations") > 0)
+    return df.filter(reduce(lambda a, b: a | b, checks.values())).withColumn("violations", names_where(checks))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -344,9 +344,14 @@ def histogram(df: DataFrame, column: str, low: float, high: float, buckets: int)
     )
 
 
-def outliers(df: DataFrame, column: str, tie: Sequence[str], percent: float = 0.99, k: int | None = 100) -> DataFrame:
-    """Rows above a percentile of the whole table, largest first."""
-    cut = exact_percentiles(df, [], F.col(column), {"cut": percent})
+def outliers(
+    df: DataFrame, column: str, tie: Sequence[str], percent: float = 0.99, k: int | None = 100, measured: DataFrame | None = None
+) -> DataFrame:
+    """Rows above a percentile of the whole table, largest first.
+
+    ``measured`` may give the same column from a cheaper source than a wide join.
+    """
+    cut = exact_percentiles(df if measured is None else measured, [], F.col(column), {"cut": percent})
     above = df.filter(F.col(column).cast("double") > cut.select("cut").scalar())
     return _top(above, [F.desc(column), *[F.col(c).asc_nulls_last() for c in tie]], k)
 
@@ -462,17 +467,13 @@ def _json_object(section: str, name: str, df: DataFrame) -> DataFrame:
 def report(df: DataFrame, part_rows: int = 10_000) -> DataFrame:
     """Every section of the claims report as JSON: ``section, name, part, body``.
 
-    The scans are shared: one rollup over the low-cardinality columns carries
-    every additive section, so the table is read once for those instead of once
-    per section. The rollup is cut off with a reliable checkpoint.
+    Scans are shared: one rollup over the low-cardinality columns and one over
+    the months carry all additive sections. Both have few groups, so each task
+    sends little, and both are cut off with a reliable checkpoint. ``df`` is read
+    about twenty times, so an expensive view should be written as a table first.
     """
-    rolled = (
-        df.groupBy(
-            "product_category", "product_name", "claim_status", "destination", "loss_type",
-            _month(F.col("report_date")).alias("report_month"),
-            _month(F.coalesce("closed_date", "report_date")).alias("activity_month"),
-        )
-        .agg(
+    cube = cut_lineage(
+        df.groupBy("product_category", "product_name", "claim_status", "destination", "loss_type").agg(
             _count().alias("n"),
             *[F.sum(m).alias(m) for m in MONEY],
             F.count("net_paid").alias("k_net_paid"),
@@ -484,7 +485,11 @@ def report(df: DataFrame, part_rows: int = 10_000) -> DataFrame:
             F.count(F.when(F.col("accident_date").isNotNull(), _days("closed_date", "report_date"))).alias("k_close"),
         )
     )
-    cube = cut_lineage(rolled)
+    months = cut_lineage(
+        df.groupBy(
+            "claim_status", _month(F.col("report_date")).alias("report_month"), _month(F.coalesce("closed_date", "report_date")).alias("activity_month")
+        ).agg(_count().alias("n"), F.sum("net_paid").alias("net_paid"), F.sum("net_incurred").alias("net_incurred"))
+    )
     total = F.sum("n").alias
 
     def ratio(a: str, b: str) -> Column:
@@ -543,10 +548,10 @@ def report(df: DataFrame, part_rows: int = 10_000) -> DataFrame:
             "time", "coverage_period",
             cube.agg(*[f(f"{name}_{c}").alias(f"{name}_{c}") for c in DATES for name, f in (("min", F.min), ("max", F.max))]),
         ),
-        _json_rows("time", "monthly_claims", cube.groupBy(F.col("report_month").alias("month")).agg(total("n_claims")), part_rows),
+        _json_rows("time", "monthly_claims", months.groupBy(F.col("report_month").alias("month")).agg(total("n_claims")), part_rows),
         _json_rows(
             "time", "monthly_paid_incurred",
-            cube.groupBy(F.col("report_month").alias("month")).agg(
+            months.groupBy(F.col("report_month").alias("month")).agg(
                 F.sum("net_paid").alias("sum_net_paid"), F.sum("net_incurred").alias("sum_net_incurred")
             ),
             part_rows,
@@ -579,7 +584,7 @@ def report(df: DataFrame, part_rows: int = 10_000) -> DataFrame:
         _json_rows("slices", "dest_loss_heat_subset", _top(
             cube.groupBy("destination", "loss_type").agg(total("n")),
             [F.desc("n"), F.col("destination").asc_nulls_last(), F.col("loss_type").asc_nulls_last()], 200)),
-        _json_rows("open_closed", "monthly_open_vs_closed", cube.groupBy(F.col("activity_month").alias("month")).agg(opened, closed), part_rows),
+        _json_rows("open_closed", "monthly_open_vs_closed", months.groupBy(F.col("activity_month").alias("month")).agg(opened, closed), part_rows),
         _json_rows("open_closed", "triage_open_high_reserve", triage(df, [*claim_columns, "net_reserve"], ["claim_number"])),
     ]
     return reduce(DataFrame.unionByName, sections)

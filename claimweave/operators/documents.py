@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimweave.functions.text import sentences, strip
+from claimweave.functions.text import sentences, strip, strip_end
 
 
 def _tail(held: Sequence[str], overlap: int) -> str:
@@ -128,7 +128,7 @@ def assemble_pages(
     last = F.lead("part").over(order).isNull()
     return parts.select(
         doc, "part", titled.alias("_text"), last.alias("_last")
-    ).select(doc, "part", F.when(F.col("_last"), F.concat(F.regexp_replace("_text", r"(?U)[\s\x1c-\x1f]++$", ""), F.lit("\n"))).otherwise(F.col("_text")).alias("text"))
+    ).select(doc, "part", F.when(F.col("_last"), F.concat(strip_end("_text"), F.lit("\n"))).otherwise(F.col("_text")).alias("text"))
 
 
 def page_array(df: DataFrame, doc: str, page: str = "page", text: str = "text", per_part: int = 1000) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.functions.arrays import names_where
+
 _OFFER = "struct<id:string,productCode:string,unitPrice:double,currency:string>"
 _RESPONSE = f"struct<offerCategories:array<struct<offers:array<{_OFFER}>>>>"
 _CURRENCY = "SGD"
@@ -126,11 +128,11 @@ def purchase_checks(payments: DataFrame, selections: DataFrame) -> DataFrame:
         "selection_id", "payment_id", *[_blank(c).alias(f"_no_{c}") for c in needed]
     )
     joined = payments.select("payment_intent_id", "payment_status").join(chosen, F.col("payment_intent_id") == F.col("payment_id"), "left")
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.coalesce("payment_status", F.lit("")) != "completed", "payment_not_completed"),
-            *[F.when(F.col(f"_no_{c}"), F.lit(f"missing_{c}")) for c in needed],
-        )
+    reasons = names_where(
+        {
+            "payment_not_completed": F.coalesce("payment_status", F.lit("")) != "completed",
+            **{f"missing_{c}": F.col(f"_no_{c}") for c in needed},
+        }
     )
     return joined.select("payment_intent_id", "selection_id", reasons.alias("reasons")).withColumn("ready", F.size("reasons") == 0)
 

@@ -485,26 +485,27 @@ def canonicalize(
 
 
 def _first_come(undecided: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Ids picked in order, skipping those with a picked earlier neighbour."""
+    """Ids picked in order, skipping those with a picked earlier neighbour.
+
+    Only pairs of undecided ids are looped over. In each round an id that is no
+    one's later neighbour is picked, its later neighbours are covered, and the
+    pairs of both leave; ids without pairs are picked in the end.
+    """
     undecided = cut_lineage(undecided)
-    edges = pairs.join(undecided.select(F.col("id").alias("left_id")), "left_id", "left_semi").join(
-        undecided.select(F.col("id").alias("right_id")), "right_id", "left_semi"
-    )
-    edges = cut_lineage(edges.select("left_id", "right_id"))
-    chosen = []
-    while not undecided.isEmpty():
-        waiting = edges.select(F.col("right_id").alias("id")).distinct()
-        picked = cut_lineage(undecided.join(waiting, "id", "left_anti"))
-        covered = edges.join(picked.select(F.col("id").alias("left_id")), "left_id", "left_semi").select(F.col("right_id").alias("id")).distinct()
-        undecided = cut_lineage(undecided.join(picked.unionByName(covered), "id", "left_anti"))
-        alive = undecided.select("id")
-        edges = cut_lineage(
-            edges.join(alive.select(F.col("id").alias("left_id")), "left_id", "left_semi")
-            .join(alive.select(F.col("id").alias("right_id")), "right_id", "left_semi")
-            .select("left_id", "right_id")
-        )
-        chosen.append(picked)
-    return reduce(DataFrame.unionByName, chosen, undecided)
+    left, right = F.col("id").alias("left_id"), F.col("id").alias("right_id")
+    edges = pairs.select("left_id", "right_id").join(undecided.select(left), "left_id", "left_semi").join(undecided.select(right), "right_id", "left_semi")
+    edges = cut_lineage(edges)
+    covered = []
+    while not edges.isEmpty():
+        later = edges.select(F.col("right_id").alias("left_id")).distinct()
+        picked = edges.select("left_id").distinct().join(later, "left_id", "left_anti")
+        hit = cut_lineage(edges.join(picked, "left_id", "left_semi").select(F.col("right_id").alias("id")).distinct())
+        covered.append(hit)
+        # A picked id has only covered neighbours, so its pairs leave with them.
+        edges = cut_lineage(edges.join(hit.select(left), "left_id", "left_anti").join(hit.select(right), "right_id", "left_anti"))
+    if not covered:
+        return undecided
+    return undecided.join(reduce(DataFrame.unionByName, covered), "id", "left_anti")
 
 
 # --- approximate search --------------------------------------------------------

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from claimweave.operators import claims as ops
 from claimweave.plans.registry import Registry
 from claimweave.plans.tables import CLAIM_COLUMNS, claims_sql, claims_view
+from claimweave.session import scratch_path
+from claimweave.sources.readers import read_claims
+from claimweave.sources.writers import write_table
 
 REGISTRY = Registry.empty()
 _KEY = ["claim_number"]
@@ -46,8 +49,7 @@ def _add(name: str, columns: list[str], sql: str | None = None, ctes: str = ""):
     return register
 
 
-_TYPES = {**{c: "string" for c in CLAIM_COLUMNS}, **{c: "date" for c in ops.DATES}, **{c: "decimal(18,2)" for c in ops.MONEY}}
-_TYPES["gross_reserve"] = "decimal(19,2)"
+_TYPES = {**{c: "string" for c in CLAIM_COLUMNS}, **{c: "date" for c in ops.DATES}, **{c: "decimal(10,2)" for c in ops.MONEY}}
 _add(
     "b01_profile",
     _ALL,
@@ -164,12 +166,18 @@ _add(
     "SELECT CAST(CASE WHEN net_paid < 0 THEN 0 WHEN net_paid >= 10000 THEN 11 ELSE floor(net_paid / 1000) + 1 END AS BIGINT) AS bucket, "
     f"{_d('min(net_paid)', 'bucket_min')}, {_d('max(net_paid)', 'bucket_max')}, count(*) AS n FROM claims WHERE net_paid IS NOT NULL GROUP BY 1",
 )(lambda df: ops.histogram(df, "net_paid", 0, 10_000, 10))
-_add(
+@REGISTRY.add(
     "b24_outliers",
-    _ALL,
-    f"SELECT {_ALL_SQL.replace(' net_paid)', ' c.net_paid)')} FROM claims c WHERE CAST(c.net_paid AS DOUBLE) > (SELECT quantile_cont(CAST(net_paid AS DOUBLE), 0.99) FROM claims) "
-    "ORDER BY c.net_paid DESC, c.claim_number, c.report_date, c.gross_incurred LIMIT 100",
-)(lambda df: ops.outliers(df, "net_paid", ["claim_number", "report_date", "gross_incurred"]))
+    _sql(
+        f"SELECT {_ALL_SQL.replace(' net_paid)', ' c.net_paid)')} FROM claims c WHERE CAST(c.net_paid AS DOUBLE) > (SELECT quantile_cont(CAST(net_paid AS DOUBLE), 0.99) FROM claims) "
+        "ORDER BY c.net_paid DESC, c.claim_number, c.report_date, c.gross_incurred LIMIT 100"
+    ),
+)
+def outliers(spark, sf_dir):
+    measured = claims_view(spark, sf_dir, ["net_paid"])
+    return ops.outliers(claims_view(spark, sf_dir), "net_paid", ["claim_number", "report_date", "gross_incurred"], measured=measured)
+
+
 _add(
     "b25_mean_ratio",
     ["net_paid", "net_incurred"],
@@ -213,7 +221,16 @@ _add(
     f"SELECT claim_number, product_name, loss_type, destination, {_d('c.net_reserve', 'net_reserve')} FROM claims c "
     "WHERE claim_status ILIKE 'open%' AND coalesce(c.net_reserve,0) > 0 ORDER BY c.net_reserve DESC, claim_number, loss_type LIMIT 50",
 )(lambda df: ops.triage(df, [*_CLAIM, "net_reserve"], ["claim_number", "loss_type"]))
-_add("b33_report", _ALL)(ops.report)
+
+
+@REGISTRY.add("b33_report")
+def report(spark, sf_dir):
+    """The report reads its table many times, so the joined view is written once."""
+    path = scratch_path(spark, "claims")
+    write_table(claims_view(spark, sf_dir), path)
+    return ops.report(read_claims(spark, path))
+
+
 _add(
     "b34_lifecycle_days",
     ["claim_number", *ops.DATES],

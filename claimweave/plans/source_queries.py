@@ -19,8 +19,7 @@ NOW = "2024-06-01T00:00:00"
 @REGISTRY.add("a01_read_claims", _sql(f"SELECT {_ALL_SQL} FROM claims"))
 def read_claims(spark, sf_dir):
     path = scratch_path(spark, "claims")
-    claims = claims_view(spark, sf_dir)
-    writers.write_table(claims.select([F.col(f.name).cast(f.dataType) for f in readers.CLAIMS_SCHEMA.fields]), path)
+    writers.write_table(claims_view(spark, sf_dir), path)
     return readers.read_claims(spark, path)
 
 

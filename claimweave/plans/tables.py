@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,20 +27,25 @@ _CLAIMS = {
     "claim_type": "l_linestatus",
     "cause_of_loss": "case when l_returnflag <> 'A' then o_orderpriority end",
     "loss_type": "l_returnflag",
-    "gross_incurred": "{incurred}",
-    "gross_paid": "{paid}",
-    "gross_reserve": "{incurred} - {paid}",
-    "net_incurred": "cast(round({incurred} * 0.8, 2) as decimal(18,2))",
-    "net_paid": "case when l_returnflag <> 'A' or l_linenumber <> 1 then cast(round({paid} * 0.8, 2) as decimal(18,2)) end",
-    "net_reserve": "cast(round(({incurred} - {paid}) * 0.8, 2) as decimal(18,2))",
+    "gross_incurred": "incurred",
+    "gross_paid": "paid",
+    "gross_reserve": "cast(incurred - paid as decimal(10,2))",
+    "net_incurred": "cast(round(incurred * 0.8, 2) as decimal(10,2))",
+    "net_paid": "case when l_returnflag <> 'A' or l_linenumber <> 1 then cast(round(paid * 0.8, 2) as decimal(10,2)) end",
+    "net_reserve": "cast(round((incurred - paid) * 0.8, 2) as decimal(10,2))",
+}
+# Amounts every money column builds on, computed once per row below the view.
+_AMOUNTS = {
+    "incurred": "cast(l_extendedprice as decimal(10,2))",
+    "paid": "cast(round(cast(l_extendedprice as decimal(10,2)) * (1 - cast(l_discount as decimal(4,2))), 2) as decimal(10,2))",
 }
-_INCURRED = "cast(l_extendedprice as decimal(18,2))"
-_PAID = "cast(round(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2))), 2) as decimal(18,2))"
 CLAIM_COLUMNS = list(_CLAIMS)
+# From this many columns on, building the rows costs more than moving them.
+_WIDE = 8
 
 
 def _expression(name: str, text: str, closed: str) -> str:
-    return _CLAIMS[name].format(text=text, closed=closed, incurred=_INCURRED, paid=_PAID)
+    return _CLAIMS[name].format(text=text, closed=closed)
 
 
 def claims_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -51,7 +58,10 @@ def claims_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
     names = list(columns) if columns else CLAIM_COLUMNS
     used = {name: _expression(name, "string", "date_add(cast(l_shipdate as date), cast(l_quantity as int))") for name in names}
     text = " ".join(used.values())
-    base = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem")
+    if len(names) > _WIDE:
+        lines = spread(lines)
+    base = lines.withColumns({name: F.expr(amount) for name, amount in _AMOUNTS.items() if name in text})
     needs_customer = "c_" in text or "n_name" in text
     if needs_customer or "o_" in text:
         base = base.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -68,6 +78,6 @@ def claims_sql() -> str:
         f"{_expression(name, 'varchar', 'cast(l_shipdate as date) + cast(l_quantity as integer)')} AS {name}" for name in CLAIM_COLUMNS
     )
     return (
-        f"SELECT {columns} FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+        f"SELECT {columns} FROM (SELECT *, {', '.join(f'{amount} AS {name}' for name, amount in _AMOUNTS.items())} FROM lineitem) JOIN orders ON l_orderkey = o_orderkey "
         "JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
     )

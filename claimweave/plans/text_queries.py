@@ -9,6 +9,7 @@ from claimweave.functions import text as fn
 from claimweave.operators import documents as ops
 from claimweave.plans.registry import Registry
 from claimweave.plans.tables import table
+from claimweave.session import spread
 
 REGISTRY = Registry.empty()
 
@@ -42,7 +43,7 @@ def _cleaned(sql: str) -> str:
 def _document(name: str, make, sql: str | None):
     @REGISTRY.add(name, f"SELECT doc_id, {sql} AS result FROM documents" if sql else None)
     def query(spark, sf_dir):
-        return table(spark, sf_dir, "documents").select("doc_id", make("text").alias("result"))
+        return spread(table(spark, sf_dir, "documents")).select("doc_id", make("text").alias("result"))
 
 
 _LINES = "string_split(text, chr(10))"
@@ -85,7 +86,7 @@ def _filled(sql: str) -> str:
     f"{_filled(_LINES)} AS line_count, {_filled('string_split(text, chr(10) || chr(10))')} AS paragraph_count FROM documents",
 )
 def text_stats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", fn.text_stats("text").alias("s")).select("doc_id", "s.*")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", fn.text_stats("text").alias("s")).select("doc_id", "s.*")
 
 
 _document("d09_sentences", lambda c: F.array_join(fn.sentences(c), "|"), f"array_to_string({_SENTENCES}, '|')")
@@ -93,7 +94,7 @@ _document("d09_sentences", lambda c: F.array_join(fn.sentences(c), "|"), f"array
 
 @REGISTRY.add("d10_chunk")
 def chunk(spark, sf_dir):
-    return ops.chunk(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return ops.chunk(spread(table(spark, sf_dir, "documents")), ["doc_id"], "text")
 
 
 def _letters(ranges: str) -> str:
@@ -152,7 +153,7 @@ def strip_detections(spark, sf_dir):
     f"SELECT doc_id AS doc, CAST(0 AS BIGINT) AS page, text, round(list_avg(list_transform({_LINES}, lambda l: (length(l) % 100) / 100.0)), 6) AS average_confidence FROM documents",
 )
 def page_confidence(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    lines = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"), F.lit(0).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     scored = lines.withColumn("confidence", (F.length("text") % 100) / F.lit(100.0))
     return ops.page_confidence(scored).drop("part")
 
@@ -239,4 +240,4 @@ def parse_array_response(spark, sf_dir):
 
 @REGISTRY.add("d22_min_length", "SELECT doc_id, n_chars FROM documents WHERE length(text) > 100")
 def min_length(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(fn.min_length_filter("text")).select("doc_id", "n_chars")
+    return spread(table(spark, sf_dir, "documents")).filter(fn.min_length_filter("text")).select("doc_id", "n_chars")

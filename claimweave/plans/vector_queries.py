@@ -40,13 +40,13 @@ def mean_vector(spark, sf_dir):
     return F.lit(ordered.first()[0])
 
 
-@REGISTRY.add("e01_similarity", _WITH + f" SELECT vec_id AS id, round({_COS}(v, m), 6) AS cosine, round({_DOT}(v, m), 6) AS dot FROM e, mean")
+@REGISTRY.add("e01_similarity", _WITH + f" SELECT vec_id AS id, round({_COS}(v, m), 6) + 0 AS cosine, round({_DOT}(v, m), 6) + 0 AS dot FROM e, mean")
 def similarity(spark, sf_dir):
     mean = mean_vector(spark, sf_dir)
     return vectors(spark, sf_dir).select("id", vec.cosine("embedding", mean).alias("cosine"), vec.dot("embedding", mean).alias("dot"))
 
 
-@REGISTRY.add("e02_similarity_matrix", _WITH + f" SELECT vec_id AS id, c.label AS centre, round({_COS}(v, c), 6) AS similarity FROM e, centres c".replace("centres c", "centres AS c(label, c)"))
+@REGISTRY.add("e02_similarity_matrix", _WITH + f" SELECT vec_id AS id, c.label AS centre, round({_COS}(v, c), 6) + 0 AS similarity FROM e, centres AS c(label, c)")
 def similarity_matrix(spark, sf_dir):
     return ops.similarity_matrix(vectors(spark, sf_dir), centres(spark, sf_dir).withColumnRenamed("label", "centre"), "id", "centre")
 
@@ -128,7 +128,7 @@ def search_layers(spark, sf_dir):
 @REGISTRY.add(
     "e07_match_existing",
     _WITH + f", best AS (SELECT vec_id AS id, arg_max(c.label, {_DOT}(v, c.c)) AS name, max({_DOT}(v, c.c)) AS s FROM e, centres AS c(label, c) GROUP BY vec_id) "
-    "SELECT id, s >= 0.05 AS is_similar, CASE WHEN s >= 0.05 THEN name END AS matched, round(s, 6) AS similarity FROM best",
+    "SELECT id, s >= 0.05 AS is_similar, CASE WHEN s >= 0.05 THEN name END AS matched, round(s, 6) + 0 AS similarity FROM best",
 )
 def match_existing(spark, sf_dir):
     return ops.match_existing(vectors(spark, sf_dir), centres(spark, sf_dir).withColumnRenamed("label", "name"), 0.05)

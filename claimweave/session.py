@@ -21,6 +21,7 @@ def build_session(app_name: str = "claimweave", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)
@@ -59,6 +60,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Evens out a scan that has fewer tasks than the session has cores.
+
+    A table of a few large row groups would run costly row functions in a few
+    tasks. Scans with enough tasks, so all large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
     """Engine-neutral column types: integers to bigint, decimals and floats to
     rounded doubles, dates and timestamps to ISO strings."""
