@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from claimweave.session import cut_lineage
+
 ACCURACY = 10_000
+# At most this many groups (a few hundred bytes each) are shipped to every task.
+MAX_SHIPPED_GROUPS = 50_000
 _SMALL = 10 * ACCURACY
 _MARGIN = 4 / ACCURACY
 
@@ -52,9 +56,16 @@ def exact_percentiles(
             for i, p in enumerate(fractions)
         ]
     )
+    if key_names:
+        # The brackets are computed first and counted: the values then meet them
+        # without a shuffle by key, unless there are too many groups to ship.
+        sketch = cut_lineage(sketch)
+        ship = sketch.limit(MAX_SHIPPED_GROUPS + 1).count() <= MAX_SHIPPED_GROUPS
+    else:
+        ship = True  # exactly one row
     wanted = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in key_names], F.col("_one").alias("_k_one"), brackets.alias("_b"))
-    if not key_names:
-        wanted = F.broadcast(wanted)  # exactly one row
+    if ship:
+        wanted = F.broadcast(wanted)
     matches = F.col("_one") == F.col("_k_one")
     for k in key_names:
         matches = matches & F.col(k).eqNullSafe(F.col(f"_k_{k}"))

@@ -23,6 +23,7 @@ from claimweave.session import cut_lineage
 
 # A side of at most this many vectors is shipped to every task; larger ones are blocked.
 MAX_SHIPPED = 4096
+MAX_SHIPPED_BYTES = 64 * 1024 * 1024
 # Rows per block of a similarity join, and the most cells it is cut into.
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
@@ -458,13 +459,18 @@ def canonicalize(
         pairs.select(F.col("right_id").alias("_first"), F.col("left_id").alias("_at"), "similarity")
     )
     own = chosen.select(F.col("id").alias("_first"), F.col("id").alias("_at"), F.lit(1.0).alias("similarity"))
-    near = both.join(chosen.select(F.col("id").alias("_at")), "_at").unionByName(own, allowMissingColumns=True)
+    near = both.join(chosen.select(F.col("id").alias("_at")), "_at").unionByName(own)
+    # Only a candidate closer than all before it can be anyone's best: a vector with
+    # very many copies then meets few rows.
+    before = Window.partitionBy("_first").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("similarity", F.round("similarity", _DIGITS)).withColumn("_best", F.max("similarity").over(before))
+    near = near.filter(F.col("_best").isNull() | (F.col("similarity") > F.col("_best"))).drop("_best")
     names = rows.select(F.col(order).alias("_at"), F.col(name).alias("canonical"))
     members = usable.select(name, order, "_first")
     found = (
         members.join(near, "_first")
         .filter(F.col("_at") < F.col(order))
-        .select(name, order, F.lit(1).alias("_late"), "_at", F.round("similarity", _DIGITS).alias("similarity"))
+        .select(name, order, F.lit(1).alias("_late"), "_at", "similarity")
         .groupBy(name, order)
         .agg(F.min_by(F.struct("_late", "_at", "similarity"), F.struct(-F.col("similarity"), F.col("_at"))).alias("_n"))
         .select(name, order, "_n.*")
@@ -539,13 +545,17 @@ def ann_top_k(
 ) -> DataFrame:
     """Approximate top ``k``: the nearest ``probes`` cells of each query, ranked exactly.
 
-    The join is on the cell, so adaptive execution splits an overfull one.
+    The join is on the cell. Few queries are shipped to the index; otherwise both
+    sides are shuffled and adaptive execution splits an overfull cell.
     """
     listed = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(x) for x in c]).alias("centre")) for i, c in enumerate(centres)])
     scored = F.transform(listed, lambda c: F.struct((-vec.cosine(query_vector, c["centre"])).alias("far"), c["cell"].alias("cell")))
     wanted = queries.select(
         F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"), F.explode(F.slice(F.array_sort(scored), 1, probes)).alias("_c")
     ).select("_q", "_qv", F.col("_c.cell").alias("cell"))
+    most = MAX_SHIPPED_BYTES // (8 * probes * max(1, len(centres[0])))
+    if queries.limit(most + 1).count() <= most:
+        wanted = F.broadcast(wanted)
     hits = index.join(wanted, "cell").select("_q", F.col(id).alias("_id"), F.round(vec.cosine(vector, "_qv"), _DIGITS).alias("similarity"))
     ranking = Window.partitionBy("_q").orderBy(F.desc("similarity"), "_id")
     return hits.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= k).select(

@@ -64,11 +64,14 @@ def claims_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
     base = lines.withColumns({name: F.expr(amount) for name, amount in _AMOUNTS.items() if name in text})
     needs_customer = "c_" in text or "n_name" in text
     if needs_customer or "o_" in text:
-        base = base.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if needs_customer:
-        base = base.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    if "n_name" in text:
-        base = base.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        # The dimensions meet first, so the lines are shuffled once at most.
+        order = table(spark, sf_dir, "orders")
+        if needs_customer:
+            customer = table(spark, sf_dir, "customer")
+            if "n_name" in text:
+                customer = customer.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            order = order.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        base = base.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
     return base.selectExpr(*[f"{expression} AS {name}" for name, expression in used.items()])
 
 

@@ -20,23 +20,23 @@ _COLUMNS = ["payment_status", "session_id", "payment_intent", "ts", "event_id"]
 _DELTA = "payment_intent_id string, payment_status string, session_id string, payment_intent string, ts timestamp, event_id bigint, epoch bigint"
 
 
-def status_events(events: DataFrame, payments: DataFrame) -> DataFrame:
-    """Events that set the status of a known payment; all others are ignored.
-
-    Works on a stream (stream-static join) and on a batch.
-    """
+def status_events(events: DataFrame) -> DataFrame:
+    """Events that set the status of a payment; all others are ignored. For streams and batches."""
     kinds = F.create_map(*[F.lit(part) for item in STATUS_OF.items() for part in item])
-    status = F.try_element_at(kinds, F.col("type"))
     completed = F.col("type") == "checkout.session.completed"
-    named = events.filter(F.col("type").isin(*STATUS_OF) & (F.coalesce("client_reference_id", F.lit("")) != "")).select(
+    return events.filter(F.col("type").isin(*STATUS_OF) & (F.coalesce("client_reference_id", F.lit("")) != "")).select(
         F.col("client_reference_id").alias("payment_intent_id"),
-        status.alias("payment_status"),
+        F.try_element_at(kinds, F.col("type")).alias("payment_status"),
         F.when(completed, F.col("session_id")).alias("session_id"),
         F.when(completed, F.col("payment_intent")).alias("payment_intent"),
         F.col("ts").cast("timestamp").alias("ts"),
         "event_id",
     )
-    return named.join(payments.select("payment_intent_id").distinct() if not events.isStreaming else payments.select("payment_intent_id"), "payment_intent_id", "left_semi")
+
+
+def known(changes: DataFrame, payments: DataFrame) -> DataFrame:
+    """Changes of payments that exist."""
+    return changes.join(payments.select("payment_intent_id"), "payment_intent_id", "left_semi")
 
 
 def latest_status(changes: DataFrame) -> DataFrame:
@@ -49,8 +49,12 @@ def latest_status(changes: DataFrame) -> DataFrame:
 
 
 def payment_status(events: DataFrame, payments: DataFrame) -> DataFrame:
-    """Status of every payment an event speaks about, with the time it was processed."""
-    return latest_status(status_events(events, payments)).withColumn("webhook_processed_at", F.col("ts"))
+    """Status of every known payment an event speaks about, with the time it was processed.
+
+    Events are folded before they meet the payments, so a payment with very many
+    events joins as one row.
+    """
+    return known(latest_status(status_events(events)), payments).withColumn("webhook_processed_at", F.col("ts"))
 
 
 def apply_status(payments: DataFrame, statuses: DataFrame) -> DataFrame:
@@ -72,15 +76,16 @@ def apply_status(payments: DataFrame, statuses: DataFrame) -> DataFrame:
 def status_sink(events: DataFrame, payments: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """A stream writer that keeps the statuses as a table of deltas under ``path``.
 
-    Each micro-batch is folded to one row per payment and written to its own
-    ``epoch`` folder. A replayed batch overwrites its folder, so the result is
-    exactly-once; no state is held between batches. Read with ``current_status``.
+    Each micro-batch is folded to one row per payment, joined to the payments as
+    they are then, and written to its own ``epoch`` folder. A replayed batch
+    overwrites its folder, so the result is exactly-once; no state is held between
+    batches. Read with ``current_status``.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        latest_status(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        known(latest_status(batch), payments).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return status_events(events, payments).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return status_events(events).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def current_status(spark: SparkSession, path: str) -> DataFrame:
@@ -89,9 +94,14 @@ def current_status(spark: SparkSession, path: str) -> DataFrame:
     return latest_status(deltas).withColumn("webhook_processed_at", F.col("ts"))
 
 
+def compact_status(spark: SparkSession, path: str, target: str) -> None:
+    """Writes the fold of all deltas as the first one of a new folder."""
+    current_status(spark, path).drop("webhook_processed_at").write.parquet(f"{target}/epoch=-1")
+
+
 def status_changes(events: DataFrame, payments: DataFrame) -> DataFrame:
     """Old and new status per event, in order; the first event of a payment has no old status."""
-    changes = status_events(events, payments)
+    changes = known(status_events(events), payments)
     return previous_value(changes, "payment_intent_id", ["ts", "event_id"], "payment_status", "old_status").select(
         "payment_intent_id", "event_id", "ts", "old_status", F.col("payment_status").alias("new_status")
     )

@@ -83,9 +83,11 @@ def test_keyword_is_literal(spark):
     assert ops.keyword_filter(df, "t", "medical").count() == 1
 
 
+@pytest.mark.parametrize("shipped", [10, 1])
 @pytest.mark.parametrize("groups", [1, 3])
-def test_percentiles_from_brackets(spark, monkeypatch, groups):
+def test_percentiles_from_brackets(spark, monkeypatch, groups, shipped):
     """A tiny accuracy forces every group through the sketch brackets."""
+    monkeypatch.setattr(percentiles, "MAX_SHIPPED_GROUPS", shipped)
     monkeypatch.setattr(percentiles, "ACCURACY", 100)
     monkeypatch.setattr(percentiles, "_SMALL", 50)
     monkeypatch.setattr(percentiles, "_MARGIN", 4 / 100)

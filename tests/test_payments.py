@@ -64,6 +64,8 @@ def test_stream_equals_batch_when_late_and_repeated(spark):
     sink(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source_dirs))
     final = stream.current_status(spark, f"{out}/deltas").collect()
     assert {r["payment_intent_id"]: (r["payment_status"], r["session_id"]) for r in final} == expected(rows)
+    stream.compact_status(spark, f"{out}/deltas", f"{out}/compact")
+    assert sorted(stream.current_status(spark, f"{out}/compact").collect()) == sorted(final)
 
 
 def test_stateful_stream_in_update_mode(spark):
@@ -71,7 +73,7 @@ def test_stateful_stream_in_update_mode(spark):
     source = scratch_path(spark, "events")
     spark.createDataFrame(rows, EVENTS).repartition(4).write.parquet(source)
     events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
-    latest = stream.latest_status(stream.status_events(events, payments(spark)))
+    latest = stream.latest_status(stream.known(stream.status_events(events), payments(spark)))
     query = latest.writeStream.outputMode("complete").format("memory").queryName("latest_status").start()
     query.processAllAvailable()
     query.stop()
