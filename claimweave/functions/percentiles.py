@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,66 +23,79 @@ def exact_percentiles(
     keys: Sequence[str],
     value: Column,
     percents: dict[str, float],
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Interpolated percentiles of ``value`` per key; NULL values are skipped.
 
-    ``percents`` maps an output column to its fraction. The built-in exact
-    ``percentile`` holds every distinct value of a group in one buffer. Here a
-    sketch first brackets each wanted rank (its rank error is at most
-    1/ACCURACY of the group; the bracket is four times as wide), and the second
-    pass counts only the values inside the bracket, so even a group holding a
-    third of the table leaves under 0.1 % of its rows for the final ranking.
-    Groups of up to ten times ACCURACY rows take their whole range as bracket.
+    ``percents`` maps an output column to its fraction; ``extra`` aggregates ride
+    along in the first pass. The built-in exact ``percentile`` holds every distinct
+    value of a group in one buffer. Here a sketch first brackets each wanted rank
+    (its rank error is at most 1/ACCURACY of the group; the bracket is four times
+    as wide), and the second pass counts only the values inside the bracket, so
+    even a group holding a third of the table leaves under 0.1 % of its rows for
+    the final ranking. Groups of up to ten times ACCURACY rows take their whole
+    range as bracket. The first pass runs at once: its result, one row per group,
+    is pinned and counted, and shipped to the second pass when it is small.
     """
     key_names = list(keys)
-    # Without keys a constant stands in, so both paths are the same equi-join.
-    data = df.select(*key_names, F.lit(0).alias("_one"), value.cast("double").alias("_x")).filter("_x IS NOT NULL")
     fractions = list(percents.values())
     cuts = [min(max(p + side * _MARGIN, 0.0), 1.0) for p in fractions for side in (-1, 1)]
-    sketch = data.groupBy(*key_names, "_one").agg(
-        F.count("*").alias("_n"),
+    valued = df.withColumn("_x", value.cast("double"))
+    first_pass = [
+        F.count("_x").alias("_n"),
         F.min("_x").alias("_min"),
         F.max("_x").alias("_max"),
         F.percentile_approx("_x", cuts, ACCURACY).alias("_cut"),
-    )
+        *extra,
+    ]
+    grouped = valued.groupBy(*key_names).agg(*first_pass) if key_names else valued.agg(*first_pass)
+    sketch = cut_lineage(grouped)
+    outputs = [c for c in sketch.columns if c not in (*key_names, "_n", "_min", "_max", "_cut")]
     small = F.col("_n") <= _SMALL
-    brackets = F.array(
+    bounds = []
+    for i, p in enumerate(fractions):
+        bounds += [
+            F.when(small, F.col("_min")).otherwise(F.col("_cut")[2 * i]).alias(f"_lo{i}"),
+            F.when(small, F.col("_max")).otherwise(F.col("_cut")[2 * i + 1]).alias(f"_hi{i}"),
+            ((F.col("_n") - 1) * F.lit(p)).alias(f"_rank{i}"),
+        ]
+    # Without keys a constant stands in, so both cases are the same equi-join.
+    renamed = [F.col(k).alias(f"_k_{k}") for k in key_names]
+    wanted = sketch.filter("_n > 0").select(*renamed, F.lit(0).alias("_k_one"), *bounds)
+    if not key_names or sketch.limit(MAX_SHIPPED_GROUPS + 1).count() <= MAX_SHIPPED_GROUPS:
+        wanted = F.broadcast(wanted)
+    data = valued.filter("_x IS NOT NULL").select(*key_names, F.lit(0).alias("_one"), "_x")
+    x, numbers = F.col("_x"), range(len(fractions))
+    held = [(x >= F.col(f"_lo{i}")) & (x <= F.col(f"_hi{i}")) for i in numbers]
+    # Rows outside all brackets fold into one NULL row per group and task before the shuffle.
+    fixed = [f"_{name}{i}" for i in numbers for name in ("lo", "hi", "rank")]
+    folded = (
+        data.join(wanted, _same(key_names, "_k_") & (F.col("_one") == F.col("_k_one")))
+        .withColumn("_v", F.when(reduce(lambda a, b: a | b, held), x))
+        .groupBy(*key_names, *fixed, "_v")
+        .agg(F.count("*").alias("_all"), *[F.count_if(x < F.col(f"_lo{i}")).alias(f"_below{i}") for i in numbers])
+    )
+    # From here on only the values inside brackets are left. Those under a bracket
+    # come as a NULL value, ahead of it.
+    value_of = F.col("_v")
+    per_bracket = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(small, F.col("_min")).otherwise(F.col("_cut")[2 * i]).alias("lo"),
-                F.when(small, F.col("_max")).otherwise(F.col("_cut")[2 * i + 1]).alias("hi"),
-                ((F.col("_n") - 1) * F.lit(p)).alias("rank"),
+            F.when(
+                value_of.isNull() | (value_of < F.col(f"_lo{i}")),
+                F.struct(F.lit(i).alias("i"), F.col(f"_rank{i}").alias("rank"), F.lit(None).cast("double").alias("v"), F.col(f"_below{i}").alias("c")),
+            ).when(
+                value_of <= F.col(f"_hi{i}"),
+                F.struct(F.lit(i).alias("i"), F.col(f"_rank{i}").alias("rank"), value_of.alias("v"), F.col("_all").alias("c")),
             )
-            for i, p in enumerate(fractions)
+            for i in numbers
         ]
     )
-    if key_names:
-        # The brackets are computed first and counted: the values then meet them
-        # without a shuffle by key, unless there are too many groups to ship.
-        sketch = cut_lineage(sketch)
-        ship = sketch.limit(MAX_SHIPPED_GROUPS + 1).count() <= MAX_SHIPPED_GROUPS
-    else:
-        ship = True  # exactly one row
-    wanted = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in key_names], F.col("_one").alias("_k_one"), brackets.alias("_b"))
-    if ship:
-        wanted = F.broadcast(wanted)
-    matches = F.col("_one") == F.col("_k_one")
-    for k in key_names:
-        matches = matches & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = (
-        data.join(wanted, matches)
-        .select(*key_names, "_x", F.explode("_b").alias("_b"))
-        .filter(F.col("_x") <= F.col("_b.hi"))
-        # Rows under the bracket fold into one NULL row per task before the shuffle.
-        .select(
-            *key_names,
-            F.col("_b.i").alias("_i"),
-            F.col("_b.rank").alias("_rank"),
-            F.when(F.col("_x") >= F.col("_b.lo"), F.col("_x")).alias("_v"),
-        )
+        folded.select(*key_names, F.explode(per_bracket).alias("_b"))
+        .filter("_b IS NOT NULL AND _b.c > 0")
+        .select(*key_names, F.col("_b.i").alias("_i"), F.col("_b.rank").alias("_rank"), F.col("_b.v").alias("_v"), F.col("_b.c").alias("_c"))
         .groupBy(*key_names, "_i", "_rank", "_v")
-        .agg(F.count("*").alias("_c"))
+        .agg(F.sum("_c").alias("_c"))
     )
     running = Window.partitionBy(*key_names, "_i").orderBy(F.col("_v").asc_nulls_first())
     after = F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -92,6 +106,19 @@ def exact_percentiles(
         .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .withColumn("_p", F.col("_lo") + (F.col("_rank") - F.floor("_rank")) * (F.col("_hi") - F.col("_lo")))
     )
-    return hits.groupBy(*key_names).agg(
+    found = hits.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key_names], F.lit(0).alias("_k_one")).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_p"))).alias(name) for i, name in enumerate(percents)]
     )
+    return (
+        sketch.withColumn("_one", F.lit(0))
+        .join(found, _same(key_names, "_k_") & (F.col("_one") == F.col("_k_one")), "left")
+        .select(*key_names, *outputs, *percents)
+    )
+
+
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    """Equality of all keys and their renamed twins, NULL equal to NULL."""
+    matches = F.lit(True)
+    for k in keys:
+        matches = matches & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return matches

@@ -146,17 +146,11 @@ def overall_stats(
     The percentiles count NULL as ``null_as``; ``None`` skips NULLs.
     """
     percents = dict(percents or {f"p50_{measure}": 0.5, f"p90_{measure}": 0.9})
-    totals = df.agg(
-        _count().alias("n_claims"),
-        *[F.sum(c).alias(f"sum_{c}") for c in sums],
-        _avg(measure).alias(f"avg_{measure}"),
-    )
+    totals = [_count().alias("n_claims"), *[F.sum(c).alias(f"sum_{c}") for c in sums], _avg(measure).alias(f"avg_{measure}")]
     value = F.col(measure).cast("double")
     if null_as is not None:
         value = F.coalesce(value, F.lit(float(null_as)))
-    cuts = exact_percentiles(df, [], value, percents)
-    # Both sides are one-row aggregates.
-    return totals.select("*", *[cuts.select(name).scalar().alias(name) for name in percents])
+    return exact_percentiles(df, [], value, percents, totals)
 
 
 def stats_by(
@@ -177,9 +171,7 @@ def stats_by(
     if approx:
         sketches = [F.percentile_approx(F.col(measure).cast("double"), p, 10_000).alias(name) for name, p in percents.items()]
         return df.groupBy(key).agg(*aggregates, *sketches).select(names).orderBy(*order)
-    totals = df.groupBy(key).agg(*aggregates)
-    cuts = exact_percentiles(df, [key], F.col(measure), percents).withColumnRenamed(key, "_key")
-    return totals.join(cuts, F.col(key).eqNullSafe(F.col("_key")), "left").select(names).orderBy(*order)
+    return exact_percentiles(df, [key], F.col(measure), percents, aggregates).select(names).orderBy(*order)
 
 
 def mean_ratio(df: DataFrame, numerator: str, denominator: str, name: str = "avg_ratio") -> DataFrame:

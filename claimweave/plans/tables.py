@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.session import spread
+from claimweave.session import broadcast_within_threshold, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,13 +65,17 @@ def claims_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
     needs_customer = "c_" in text or "n_name" in text
     if needs_customer or "o_" in text:
         # The dimensions meet first, so the lines are shuffled once at most.
-        order = table(spark, sf_dir, "orders")
+        dimension = orders = table(spark, sf_dir, "orders")
+        scans = [orders]
         if needs_customer:
             customer = table(spark, sf_dir, "customer")
+            scans.append(customer)
             if "n_name" in text:
-                customer = customer.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            order = order.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        base = base.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+                nation = table(spark, sf_dir, "nation")
+                scans.append(nation)
+                customer = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            dimension = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        base = base.join(broadcast_within_threshold(dimension, *scans), F.col("l_orderkey") == F.col("o_orderkey"))
     return base.selectExpr(*[f"{expression} AS {name}" for name, expression in used.items()])
 
 

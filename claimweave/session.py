@@ -70,6 +70,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def broadcast_within_threshold(df: DataFrame, *scans: DataFrame) -> DataFrame:
+    """Marks a join of lookup tables for broadcast when all its scans together stay
+    within the session's broadcast threshold.
+
+    Spark multiplies the sizes of joined tables when it estimates their join, so
+    it would not ship even a few small tables joined beforehand. Each row of such a
+    join comes from one row of its largest table, so the sum is the fair measure.
+    """
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = sum(int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for scan in scans)
+    return F.broadcast(df) if size <= limit else df
+
+
 def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
     """Engine-neutral column types: integers to bigint, decimals and floats to
     rounded doubles, dates and timestamps to ISO strings."""
