@@ -27,6 +27,8 @@ MAX_SHIPPED_BYTES = 64 * 1024 * 1024
 # Rows per block of a similarity join, and the most cells it is cut into.
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
+# Pairs are listed once there are at most this many per row.
+MAX_PAIRS_PER_ROW = 16
 # Similarities are ranked after rounding, so that equal vectors tie exactly.
 _DIGITS = 12
 
@@ -348,14 +350,40 @@ def similarity_join(
     exact. Vectors are cut into the cells of pivots drawn from the data; a row
     meets only the cells its radius reaches, and each cell, however full, is cut
     into hash blocks of bounded size. Only pairs beyond the threshold leave a task.
+    The input is read several times: pass a table or a pinned frame.
     """
+    return _blocked_join(left, right, threshold, id, vector, inclusive, block_rows, counted=False)
+
+
+def neighbour_counts(
+    left: DataFrame,
+    right: DataFrame | None,
+    threshold: float,
+    id: str = "id",
+    vector: str = "embedding",
+    inclusive: bool = False,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """The same join reduced inside the tasks to ``right_id, hits``: how many left rows
+    each right row meets. A crowd of close vectors gives one row each, not all pairs."""
+    blocks = _blocked_join(left, right, threshold, id, vector, inclusive, block_rows, counted=True)
+    return blocks.groupBy("right_id").agg(F.sum("hits").alias("hits"))
+
+
+def _blocked_join(
+    left: DataFrame, right: DataFrame | None, threshold: float, id: str, vector: str, inclusive: bool, block_rows: int | None, counted: bool
+) -> DataFrame:
     rows = block_rows or BLOCK_ROWS
     self_join = right is None
     a = _usable(left, vector, "cosine").select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
     b = a if self_join else _usable(right, vector, "cosine").select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
     n_pivots = min(MAX_PIVOTS, max(1, -(-a.count() // rows)))
     drawn = a.orderBy(F.xxhash64("_id"), "_id").limit(n_pivots).select("_v").toArrow()
-    schema = T.StructType([T.StructField("left_id", a.schema["_id"].dataType), T.StructField("right_id", b.schema["_id"].dataType), T.StructField("similarity", T.DoubleType())])
+    right_field = T.StructField("right_id", b.schema["_id"].dataType)
+    if counted:
+        schema = T.StructType([right_field, T.StructField("hits", T.LongType())])
+    else:
+        schema = T.StructType([T.StructField("left_id", a.schema["_id"].dataType), right_field, T.StructField("similarity", T.DoubleType())])
     if drawn.num_rows == 0:
         return left.sparkSession.createDataFrame([], schema)
     pivots = _matrix(drawn["_v"], "cosine")
@@ -388,8 +416,14 @@ def similarity_join(
         hits = scores >= threshold if inclusive else scores > threshold
         if self_join:
             hits &= x_ids[:, None] < y_ids[None, :]
-        i, j = np.nonzero(hits)
-        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip((x_ids[i], y_ids[j], scores[i, j]), arrow)], schema=arrow)
+        if counted:
+            per_right = hits.sum(axis=0)
+            met = np.nonzero(per_right)[0]
+            columns = (y_ids[met], per_right[met])
+        else:
+            i, j = np.nonzero(hits)
+            columns = (x_ids[i], y_ids[j], scores[i, j])
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     keys = ["_cell", "_lb", "_rb"]
     x = block(homes, "_nl", "_nr", ("_lb", "_rb"))
@@ -410,16 +444,24 @@ def near_duplicates(df: DataFrame, threshold: float, id: str = "id", vector: str
     repeated n times gives n - 1 pairs instead of all of them.
     """
     usable = _usable(df.select(id, vector), vector, "cosine")
-    firsts = usable.groupBy(vector).agg(F.min(id).alias(id))
+    # The join below reads its input several times, so the fold is pinned.
+    firsts = cut_lineage(usable.groupBy(vector).agg(F.min(id).alias(id)))
     between = similarity_join(firsts, None, threshold, id, vector)
     copies = _copies(usable, id, vector).filter(F.col(id) != F.col("_first"))
     return between.unionByName(copies.select(F.col("_first").alias("left_id"), F.col(id).alias("right_id"), F.lit(1.0).alias("similarity")))
 
 
 def dedup(df: DataFrame, threshold: float, id: str = "id", vector: str = "embedding") -> DataFrame:
-    """Drops the later id of every close pair. Copies share a vector, so they share its neighbours."""
-    pairs = near_duplicates(df, threshold, id, vector)
-    return df.join(pairs.select(F.col("right_id").alias(id)).distinct(), id, "left_anti")
+    """Drops the later id of every close pair.
+
+    Of the copies of a vector only the first can stay. No pair leaves a task: each
+    vector only learns whether an earlier one is close.
+    """
+    usable = _usable(df.select(id, vector), vector, "cosine")
+    firsts = cut_lineage(usable.groupBy(vector).agg(F.min(id).alias(id)))
+    late = neighbour_counts(firsts, None, threshold, id, vector).select(F.col("right_id").alias(id))
+    copies = usable.select(id).join(firsts.select(id), id, "left_anti")
+    return df.join(late.unionByName(copies), id, "left_anti")
 
 
 def canonicalize(
@@ -438,28 +480,27 @@ def canonicalize(
     ``name, canonical, similarity, is_new``.
 
     The visit is replayed in rounds: a concept with no earlier neighbour left to
-    decide is decided. Copies of one vector take part once, under the first.
+    decide is decided. While there are many pairs, only their number per concept is
+    computed, so a crowd of close concepts is decided without listing its pairs;
+    once few are left they are listed and the rounds go on over the list. Copies of
+    one vector take part once, under the first.
     """
     rows = new.select(name, order, vector)
-    usable = _copies(_usable(rows, vector, "cosine"), order, vector)
+    usable = cut_lineage(_copies(_usable(rows, vector, "cosine"), order, vector))
     firsts = usable.filter(F.col(order) == F.col("_first"))
-    pairs = similarity_join(firsts.select(F.col(order).alias("id"), F.col(vector).alias("embedding")), None, threshold, inclusive=True)
-    pairs = cut_lineage(pairs)  # computed once, read in every round
+    points = firsts.select(F.col(order).alias("id"), F.col(vector).alias("embedding"))
     best = None
-    undecided = firsts.select(F.col(order).alias("id"))
+    undecided = points
     if existing is not None:
         old = existing.select(F.col(name).alias("_old"), F.col(vector).alias("embedding"))
-        best = top_k(old, firsts.select(F.col(order).alias("_first"), F.col(vector).alias("embedding")), 1, "_old", "embedding", "_first", "embedding")
+        best = top_k(old, points.withColumnRenamed("id", "_first"), 1, "_old", "embedding", "_first", "embedding")
         best = cut_lineage(best.filter(F.col("similarity") >= threshold).drop("rank"))
-        undecided = undecided.join(best.select(F.col("_first").alias("id")), "id", "left_anti")
-    chosen = _first_come(undecided, pairs)
+        undecided = cut_lineage(points.join(best.select(F.col("_first").alias("id")), "id", "left_anti"))
+    chosen = cut_lineage(_first_come(undecided, threshold))
 
-    # A member's candidates: canonical neighbours of its vector that were visited before it, and its own first.
-    both = pairs.select(F.col("left_id").alias("_first"), F.col("right_id").alias("_at"), "similarity").unionByName(
-        pairs.select(F.col("right_id").alias("_first"), F.col("left_id").alias("_at"), "similarity")
-    )
-    own = chosen.select(F.col("id").alias("_first"), F.col("id").alias("_at"), F.lit(1.0).alias("similarity"))
-    near = both.join(chosen.select(F.col("id").alias("_at")), "_at").unionByName(own)
+    # A member's candidates: canonical vectors near its own that were visited before it.
+    near = similarity_join(points.join(chosen, "id", "left_semi"), points, threshold, inclusive=True)
+    near = near.select(F.col("right_id").alias("_first"), F.col("left_id").alias("_at"), "similarity")
     # Only a candidate closer than all before it can be anyone's best: a vector with
     # very many copies then meets few rows.
     before = Window.partitionBy("_first").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
@@ -490,17 +531,34 @@ def canonicalize(
     )
 
 
-def _first_come(undecided: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Ids picked in order, skipping those with a picked earlier neighbour.
-
-    Only pairs of undecided ids are looped over. In each round an id that is no
-    one's later neighbour is picked, its later neighbours are covered, and the
-    pairs of both leave; ids without pairs are picked in the end.
+def _first_come(undecided: DataFrame, threshold: float) -> DataFrame:
+    """Ids of ``(id, embedding)`` picked in order, skipping those near an earlier pick."""
+    picks = []
+    while True:
+        earlier = cut_lineage(neighbour_counts(undecided, None, threshold, inclusive=True))
+        pairs = earlier.agg(F.sum("hits")).first()[0] or 0
+        if pairs <= MAX_PAIRS_PER_ROW * undecided.count():
+            break
+        picked = cut_lineage(undecided.join(earlier.select(F.col("right_id").alias("id")), "id", "left_anti"))
+        decided = neighbour_counts(picked, undecided, threshold, inclusive=True).select(F.col("right_id").alias("id"))
+        picks.append(picked.select("id"))
+        # A pick is near itself; it is named again in case rounding says otherwise.
+        undecided = cut_lineage(undecided.join(decided.unionByName(picked.select("id")), "id", "left_anti"))
+    edges = similarity_join(undecided, None, threshold, inclusive=True) if pairs else None
+    return reduce(DataFrame.unionByName, picks, _peel(undecided.select("id"), edges))
+
+
+def _peel(ids: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """The same over listed pairs, ``left_id`` being the earlier.
+
+    In each round an id that is no one's later neighbour is picked, its later
+    neighbours are covered, and the pairs of both leave; ids without pairs are
+    picked in the end.
     """
-    undecided = cut_lineage(undecided)
+    if edges is None:
+        return ids
+    edges = cut_lineage(edges.select("left_id", "right_id"))
     left, right = F.col("id").alias("left_id"), F.col("id").alias("right_id")
-    edges = pairs.select("left_id", "right_id").join(undecided.select(left), "left_id", "left_semi").join(undecided.select(right), "right_id", "left_semi")
-    edges = cut_lineage(edges)
     covered = []
     while not edges.isEmpty():
         later = edges.select(F.col("right_id").alias("left_id")).distinct()
@@ -509,9 +567,7 @@ def _first_come(undecided: DataFrame, pairs: DataFrame) -> DataFrame:
         covered.append(hit)
         # A picked id has only covered neighbours, so its pairs leave with them.
         edges = cut_lineage(edges.join(hit.select(left), "left_id", "left_anti").join(hit.select(right), "right_id", "left_anti"))
-    if not covered:
-        return undecided
-    return undecided.join(reduce(DataFrame.unionByName, covered), "id", "left_anti")
+    return ids.join(reduce(DataFrame.unionByName, covered), "id", "left_anti") if covered else ids
 
 
 # --- approximate search --------------------------------------------------------

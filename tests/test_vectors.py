@@ -130,9 +130,11 @@ def sequential(new, existing, t):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.95, 0.7, 0.4])
-def test_canonicalize_replays_the_visit(spark, monkeypatch, threshold):
+@pytest.mark.parametrize("threshold,listed", [(0.95, 16), (0.7, 16), (0.7, 0), (0.4, 1)])
+def test_canonicalize_replays_the_visit(spark, monkeypatch, threshold, listed):
+    """``listed`` 0 never lists pairs; a small one mixes both ways."""
     monkeypatch.setattr(ops, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(ops, "MAX_PAIRS_PER_ROW", listed)
     vectors = clustered(11, 150)
     vectors[100] = vectors[3]
     vectors[101] = vectors[3]
