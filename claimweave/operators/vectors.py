@@ -534,29 +534,27 @@ def canonicalize(
 def _first_come(undecided: DataFrame, threshold: float) -> DataFrame:
     """Ids of ``(id, embedding)`` picked in order, skipping those near an earlier pick."""
     picks = []
-    while True:
+    # One block's worth of rows has a bounded number of pairs: list them at once.
+    while (rows := undecided.count()) > BLOCK_ROWS:
         earlier = cut_lineage(neighbour_counts(undecided, None, threshold, inclusive=True))
-        pairs = earlier.agg(F.sum("hits")).first()[0] or 0
-        if pairs <= MAX_PAIRS_PER_ROW * undecided.count():
+        if (earlier.agg(F.sum("hits")).first()[0] or 0) <= MAX_PAIRS_PER_ROW * rows:
             break
         picked = cut_lineage(undecided.join(earlier.select(F.col("right_id").alias("id")), "id", "left_anti"))
         decided = neighbour_counts(picked, undecided, threshold, inclusive=True).select(F.col("right_id").alias("id"))
         picks.append(picked.select("id"))
         # A pick is near itself; it is named again in case rounding says otherwise.
         undecided = cut_lineage(undecided.join(decided.unionByName(picked.select("id")), "id", "left_anti"))
-    edges = similarity_join(undecided, None, threshold, inclusive=True) if pairs else None
+    edges = similarity_join(undecided, None, threshold, inclusive=True)
     return reduce(DataFrame.unionByName, picks, _peel(undecided.select("id"), edges))
 
 
-def _peel(ids: DataFrame, edges: DataFrame | None) -> DataFrame:
+def _peel(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """The same over listed pairs, ``left_id`` being the earlier.
 
     In each round an id that is no one's later neighbour is picked, its later
     neighbours are covered, and the pairs of both leave; ids without pairs are
     picked in the end.
     """
-    if edges is None:
-        return ids
     edges = cut_lineage(edges.select("left_id", "right_id"))
     left, right = F.col("id").alias("left_id"), F.col("id").alias("right_id")
     covered = []
