@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import mixing, sharding
+from claimweave.llm import line_dedup, mixing, sharding
 from claimweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,37 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_OP1_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n_lines
+    FROM documents WHERE text IS NOT NULL
+), hashed AS (
+    SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines
+), rolled AS (
+    SELECT *, (h + 31337 * coalesce(lag(h, 1) OVER w, 0) + 31337 * 31337 * coalesce(lag(h, 2) OVER w, 0)) % 2147483647 % 4 = 0 OR i = n_lines - 1 AS closes
+    FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+    SELECT *, coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM rolled
+), chunked AS (
+    SELECT doc_id, chunk, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body,
+           count(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 1 END) AS worded
+    FROM numbered GROUP BY doc_id, chunk
+), ranked AS (
+    SELECT *, worded >= 2 AND row_number() OVER (PARTITION BY body, worded >= 2 ORDER BY doc_id, start) > 1 AS removed FROM chunked
+), rebuilt AS (
+    SELECT doc_id, sum(CASE WHEN removed THEN n ELSE 0 END) AS n_removed, string_agg(CASE WHEN NOT removed THEN body END, chr(10) ORDER BY start) AS kept FROM ranked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN rebuilt ON d.doc_id = rebuilt.doc_id
+"""
+
+
+@query("op1_line_dedup", _OP1_SQL)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("kept_text"), F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op7_sharding")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"))
