@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from claimweave.session import scratch_path
 
@@ -40,3 +45,21 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def map_texts(docs: DataFrame, function: Callable[[list[str | None]], list[Sequence]], fields: dict[str, pa.DataType], keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds columns computed from the texts of each Arrow batch.
+
+    The result has the struct ``row`` with the columns in ``keep`` (all by default), which pass
+    through untouched, and the new ``fields``. Nothing is shuffled.
+    """
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text"))
+    names, kinds = ["row", *fields], list(fields.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = function(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+
+    added = [T.StructField(name, from_arrow_type(kind)) for name, kind in fields.items()]
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType), *added]))

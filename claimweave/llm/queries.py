@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import line_dedup, mixing, sharding
+from claimweave.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality, sharding
 from claimweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,60 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("kept_text"), F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.learn_from(docs), ["doc_id"])
+    return found.select("row.doc_id", language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+_OP4_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), words AS (
+    SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM docs
+), windows AS (
+    SELECT doc_id, i, word, lead(word, 1) OVER w AS b, lead(word, 2) OVER w AS c, lead(word, 3) OVER w AS d, lead(word, 4) OVER w AS e
+    FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), again AS (
+    SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, word, b, c, d, e) AS times FROM windows WHERE e IS NOT NULL) WHERE times > 1
+), repeats AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(5) AS t(k) GROUP BY doc_id
+), tops AS (
+    SELECT doc_id, max(times) AS top FROM (SELECT doc_id, word, count(*) AS times FROM words GROUP BY doc_id, word) GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs
+), line_counts AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), measured AS (
+    SELECT docs.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+           CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(top, 0) AS top,
+           length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters
+    FROM docs LEFT JOIN repeats ON docs.doc_id = repeats.doc_id LEFT JOIN tops ON docs.doc_id = tops.doc_id LEFT JOIN line_counts ON docs.doc_id = line_counts.doc_id
+), judged AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT 10 * n_symbols > n_words AND NOT 10 * n_dup_lines > 4 * n_lines AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+       AND NOT 2 * letters < word_chars AND NOT 10 * top > 3 * n_words AS kept
+FROM judged
+"""
+
+
+@query("op4_quality_rules", _OP4_SQL)
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.cascade(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op7_sharding")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"))
@@ -92,3 +146,19 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN c
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = mixing.repetitions(table(spark, sf_dir, "documents"))
     return counted.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+_OP9_SQL = r"""
+WITH normal AS (
+    SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS normal FROM documents
+), named AS (
+    SELECT doc_id, sha256(normal) AS text_sha256, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size
+    FROM normal WINDOW w AS (PARTITION BY normal ORDER BY chars DESC, doc_id)
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM named
+"""
+
+
+@query("op9_exact_dedup", _OP9_SQL)
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
