@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality, sharding
+from claimweave.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality, sharding, suffix_dedup
 from claimweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,37 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+_OP5_SQL = """
+WITH bytes AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), places AS (
+    SELECT doc_id, unnest(range(n - 99)) AS p FROM bytes
+), windows AS (
+    SELECT places.doc_id, p, sha256(substr(h, 2 * p + 1, 200)) AS window_ FROM places JOIN bytes ON places.doc_id = bytes.doc_id
+), earlier AS (
+    SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY window_ ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1
+), numbered AS (
+    SELECT doc_id, p, sum(far) OVER (PARTITION BY doc_id ORDER BY p) AS run
+    FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS far FROM earlier)
+), spans AS (
+    SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, run
+), edges AS (
+    SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans
+), cut AS (
+    SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+    FROM edges JOIN bytes d ON edges.doc_id = d.doc_id GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM bytes d LEFT JOIN cut ON d.doc_id = cut.doc_id
+"""
+
+
+@query("op5_suffix_dedup", _OP5_SQL)
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
