@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality, sharding, suffix_dedup
+from claimweave.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, sharding, suffix_dedup
 from claimweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,3 +193,31 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n
 @query("op9_exact_dedup", _OP9_SQL)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+_OP10_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n
+    FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL)
+), runs AS (
+    SELECT doc_id, n, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o AS shingle FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), sets AS (
+    SELECT DISTINCT doc_id, shingle FROM runs WHERE shingle IS NOT NULL
+    UNION ALL SELECT doc_id, string_agg(word, ' ' ORDER BY i) FROM words WHERE n < 4 GROUP BY doc_id
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS (
+    SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id) p
+    JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * both_ >= 85 * (s.n + t.n - both_)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+"""
+
+
+@query("op10_jaccard_join", _OP10_SQL)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
