@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -29,7 +31,8 @@ class Encoder:
     """Ids of a text. Words are encoded once and remembered, since no token of these
     vocabularies spans white space."""
 
-    REMEMBERED = 400_000
+    # Two generations of so many words: what was not met again while one filled is forgotten.
+    REMEMBERED = 500_000
     LONGEST = 64
 
     def __init__(self, path: str) -> None:
@@ -39,18 +42,28 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [array("I", e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in found:
+                ids.byteswap()
+        return [ids.tobytes() for ids in found]
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         for text in texts:
             words = text.encode("utf-8", "replace").split()
             if len(self._known) > self.REMEMBERED:
-                self._known.clear()
-            new = [w for w in set(words) if w not in self._known]
+                self._older, self._known = self._known, {}
+            new = []
+            for word in set(words).difference(self._known):
+                if (ids := self._older.get(word)) is None:
+                    new.append(word)
+                else:
+                    self._known[word] = ids
             once = {}
             for word, ids in zip(new, self._learn(new), strict=True) if new else ():
                 (self._known if len(word) <= self.LONGEST else once)[word] = ids

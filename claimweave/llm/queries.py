@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, sharding, suffix_dedup
+from claimweave.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, revisits, sharding, suffix_dedup
 from claimweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,66 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def capture_log(pages: DataFrame) -> DataFrame:
+    """Captures of the given pages as WARC-like records: every page is fetched in full at ten times its
+    id, and asked for again later, under another spelling of its URL. The later answer is a 304 that
+    carries the page's etag, a weak or a wrong one, only the modification time, or no validator."""
+    page = F.col("page_id")
+    etag, modified = F.concat(F.lit('"'), F.md5(F.coalesce(F.col("html"), F.lit(""))), F.lit('"')), F.concat(F.lit("day "), (page % 365).cast("string"))
+    day = lambda at: F.concat(F.lit("at "), at.cast("string"))
+    first = pages.select(
+        F.concat(F.lit("r"), page.cast("string")).alias("record_id"), "url", (page * 10).alias("at"), F.lit(revisits.RESPONSE).alias("kind"), F.lit(200).alias("status"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), day(page * 10), F.lit("etag"), etag, F.lit("last-modified"), modified).alias("headers"), F.col("html").alias("body"),
+    )
+    later = page * 10 + 5 + (page % 7) * 4
+    told = F.when(page % 5 == 0, F.concat(F.lit("W/"), etag)).when(page % 5 == 1, F.lit('"other"')).when(page % 5 == 2, F.lit(None)).when(page % 5 == 3, F.lit(None)).otherwise(etag)
+    answers = F.map_filter(
+        F.create_map(
+            F.lit("cache-control"), F.lit("max-age=60"), F.lit("date"), day(later), F.lit("etag"), told,
+            F.lit("last-modified"), F.when(page % 5 == 2, modified), F.lit("set-cookie"), F.lit("a=1"),
+        ),
+        lambda _, value: value.isNotNull(),
+    )
+    again = pages.select(
+        F.concat(F.lit("v"), page.cast("string")).alias("record_id"), F.concat(F.col("url"), F.lit("#again")).alias("url"), later.alias("at"), F.lit(revisits.REVISIT).alias("kind"), F.lit(304).alias("status"),
+        answers.alias("headers"), F.lit(None).cast("string").alias("body"),
+    )
+    return first.unionByName(again)
+
+
+_OP3_SQL = r"""
+WITH bare AS (
+    SELECT page_id, html, md5(coalesce(html, '')) AS tag, regexp_replace(trim(url), '#.*$', '') AS url FROM pages
+), parts AS (
+    SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+           regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', ''), '([?&])utm_[a-z]+=[^&]*(&|$)', '\1', 'g'), '[?&]+$', ''), '/$', '') AS path FROM bare
+), named AS (
+    SELECT *, CASE WHEN host <> '' THEN host || path END AS canonical_url, page_id * 10 + 5 + (page_id % 7) * 4 AS later FROM parts
+), met AS (
+    SELECT v.page_id, v.canonical_url, v.later, v.tag AS own_tag, r.page_id AS source, r.tag, r.html,
+           row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC) AS k
+    FROM named v LEFT JOIN named r ON r.canonical_url = v.canonical_url AND r.page_id * 10 < v.later AND r.html IS NOT NULL
+), judged AS (
+    SELECT *, CASE WHEN canonical_url IS NULL THEN 'no_url' WHEN source IS NULL THEN 'no_response'
+                   WHEN page_id % 5 IN (0, 4) THEN CASE WHEN own_tag = tag THEN 'resolved' ELSE 'changed' END
+                   WHEN page_id % 5 = 1 THEN 'changed'
+                   WHEN page_id % 5 = 2 THEN CASE WHEN page_id % 365 = source % 365 THEN 'resolved' ELSE 'changed' END ELSE 'no_validator' END AS outcome
+    FROM met WHERE k = 1
+)
+SELECT 'v' || page_id AS record_id, canonical_url, later AS at, outcome, 'r' || source AS source_id,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=60;content-type=text/html;date=at ' || later || ';etag=' || CASE WHEN page_id % 5 = 0 THEN 'W/' ELSE '' END || '"' || tag || '";last-modified=day ' || (source % 365) END AS headers,
+       CASE WHEN outcome = 'resolved' THEN sha256(html) END AS body_sha256
+FROM judged
+"""
+
+
+@query("op3_revisits", _OP3_SQL)
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(capture_log(table(spark, sf_dir, "pages")))
+    header = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("record_id", "canonical_url", "at", "outcome", "source_id", F.array_join(header, ";").alias("headers"), F.sha2("body", 256).alias("body_sha256"))
+
+
 _OP4_SQL = r"""
 WITH docs AS (
     SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
