@@ -31,6 +31,8 @@ COMMON = 1 << 16
 _COMMON_TIMES = 4
 # Members of a group that one task holds.
 BLOCK = 512
+# Pairs of node and group that are looked at together.
+_PAIRS = 1 << 20
 _CLASS_BITS = 6  # of a packed shingle, below the sign
 
 
@@ -172,44 +174,65 @@ def _shared_tokens(texts: DataFrame, width: int, percent: int, common: tuple[np.
     return shared.groupBy("node", "n").agg(F.collect_list("token").alias("tokens"))
 
 
-def _visits(shared: DataFrame, percent: int) -> DataFrame:
-    """The groups that a node visits besides its own: ``node``, ``g``. The matrix is read by token, in runs."""
+def _matches(shared: DataFrame, percent: int) -> DataFrame:
+    """How many first tokens a node has in common with the other nodes of a group: ``node``, ``n``, ``g``, ``times``.
+
+    The matrix is read by token, in runs; a run pairs its nodes with its groups, not with each other.
+    """
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.empty((4, 0), np.int64)
 
-        def visits(block: np.ndarray) -> pa.RecordBatch:
+        def matched(block: np.ndarray) -> Iterator[pa.RecordBatch]:
             token, g, node, n = block  # sorted by token, then group
-            a, b = [], []
-            new_group = np.ones(len(token), bool)
-            new_group[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
-            heads = np.flatnonzero(new_group)
-            low = np.minimum.reduceat(n, heads) if len(heads) else heads
-            high = np.maximum.reduceat(n, heads) if len(heads) else heads
-            runs = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else heads
-            ends = np.append(runs[1:], len(token))
-            first_head, last_head = np.searchsorted(heads, runs), np.searchsorted(heads, ends)
-            for i in np.flatnonzero(last_head - first_head > 1):
-                rows = slice(runs[i], ends[i])
-                for h in range(first_head[i], last_head[i]):
-                    # Sizes must be within the threshold of each other for any member that has this token.
-                    fits = (g[rows] != g[heads[h]]) & (100 * high[h] >= percent * n[rows]) & (100 * n[rows] >= percent * low[h])
-                    found = node[rows][fits]
-                    if len(found):
-                        a.append(found)
-                        b.append(np.full(len(found), g[heads[h]]))
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.empty((2, 0), np.int64)
-            return _record({"node": (pairs[0], pa.int64()), "g": (pairs[1], pa.int64())})
+            if not len(token):
+                return
+            runs = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            heads = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (g[1:] != g[:-1])))
+            low, high = np.minimum.reduceat(n, heads), np.maximum.reduceat(n, heads)
+            alone = np.diff(np.append(heads, len(token))) == 1
+            first = np.searchsorted(heads, runs)
+            groups = np.diff(np.append(first, len(heads)))
+            run = np.cumsum(np.append(False, token[1:] != token[:-1]))
+            before = np.cumsum(groups[run])
+            cuts = np.searchsorted(before, np.arange(0, before[-1], _PAIRS), "right")
+            for begin, end in zip(cuts, np.append(cuts[1:], len(token)), strict=True):
+                many = groups[run[begin:end]]
+                row = np.repeat(np.arange(begin, end), many)
+                head = first[run[row]] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                own = g[row] == g[heads[head]]
+                # Sizes must be within the threshold of each other for some member that has this token.
+                fits = ~(own & alone[head]) & (100 * high[head] >= percent * n[row]) & (100 * n[row] >= percent * low[head])
+                row, head = row[fits], head[fits]
+                if len(row):
+                    found, times = np.unique(np.stack([node[row], n[row], g[heads[head]]]), axis=1, return_counts=True)
+                    yield _record({"node": (found[0], pa.int64()), "n": (found[1], pa.int64()), "g": (found[2], pa.int64()), "times": (times, pa.int64())})
 
         for batch in batches:
             block = np.concatenate([rest, np.stack([batch.column(c).to_numpy() for c in ("token", "g", "node", "n")])], axis=1)
             cut = int(np.searchsorted(block[0], block[0, -1])) if block.shape[1] else 0
-            yield visits(block[:, :cut])
+            yield from matched(block[:, :cut])
             rest = block[:, cut:]
-        yield visits(rest)
+        yield from matched(rest)
 
     matrix = shared.select(F.explode("tokens").alias("token"), "g", "node", "n")
-    return matrix.repartition("token").sortWithinPartitions("token", "g").mapInArrow(look_up, "node bigint, g bigint").distinct()
+    found = matrix.repartition("token").sortWithinPartitions("token", "g").mapInArrow(look_up, "node bigint, n bigint, g bigint, times bigint")
+    return found.groupBy("node", "n", "g").agg(F.sum("times").alias("times"))
+
+
+def _visits(shared: DataFrame, percent: int) -> DataFrame:
+    """The groups a node must visit: ``node``, ``g``. Others cannot hold a similar set.
+
+    Similar sets of n and m shingles share o = ceil(t (n + m) / (1 + t)) at least, so each lacks
+    few of the other's. Of the one whose first tokens end earlier, all first tokens that the other
+    has are among the other's first tokens; hence both have o - ceil(t max(n, m)) + 1 first tokens
+    in common. Over the sizes in a group this is least at its ends; one is taken off for rounding.
+    """
+    sizes = shared.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    met = _matches(shared, percent).join(sizes, "g")
+    met = met.withColumn("low", F.greatest("low", F.expr(f"({percent}L * n + 99) div 100"))).withColumn("high", F.least("high", F.expr(f"100L * n div {percent}L")))
+    least = [f"({percent}L * (n + {m}) + {99 + percent}L) div {100 + percent}L - ({percent}L * greatest(n, {m}) + 99) div 100" for m in ("low", "high")]
+    return met.where("low <= high").where(f"times >= least({least[0]}, {least[1]})").select("node", "g")
 
 
 def _links(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -296,10 +319,15 @@ def _grouped(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("ord"), pa.array(nodes, pa.int64()), pa.array(list(map(len, sets)), pa.int64())], ["k", "ord", "node", "n"])
 
     named = pinned(texts.mapInArrow(name, "k bigint, ord bigint, node bigint, n bigint"), "jaccard-nodes")
-    shared = pinned(_shared_tokens(texts, width, percent, _common(texts, width)).withColumn("g", F.array_min("tokens")), "jaccard-shared")
-    visits = pinned(_visits(shared, percent).withColumn("member", F.lit(False)).union(shared.select("node", "g", F.lit(True))), "jaccard-visits")
-    # A group with one member and no visitor has nothing to compare.
-    groups = visits.groupBy("g").agg(F.count("*").alias("rows"), F.count_if("member").alias("members")).where("rows > 1")
+    # Sizes within a tenth of each other share a group, so its bound is sharp.
+    group = F.xxhash64(F.array_min("tokens"), F.floor(F.log("n") * 10))
+    shared = pinned(_shared_tokens(texts, width, percent, _common(texts, width)).withColumn("g", group), "jaccard-shared")
+    visits = pinned(_visits(shared, percent), "jaccard-visits")
+    # Only groups that someone must visit are opened.
+    members = shared.select("node", "g").join(visits.select("g").distinct(), "g", "left_semi")
+    visits = visits.join(shared.select("node", "g"), ["node", "g"], "left_anti").select("node", "g", F.lit(False).alias("member")).union(members.select("node", "g", F.lit(True)))
+    visits = pinned(visits, "jaccard-placed")
+    groups = visits.groupBy("g").agg(F.count_if("member").alias("members"))
     groups = pinned(groups.select("g", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "jaccard-groups")
     own = F.pmod(F.hash("node"), "blocks")
     # Members of a large group are dealt to blocks, and each visits the blocks before its own.

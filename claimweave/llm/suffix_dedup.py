@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import NO_ID
@@ -204,31 +204,42 @@ def _marked(group_texts: list[bytes], length: int) -> list[tuple[int, int, int]]
 _SEGMENT = [("key", pa.int64()), ("ord", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("bytes", pa.binary()), ("inner", pa.bool_())]
 
 
+_PACKED = ("lows", "highs", "names", "starts", "windows")
+
+
+def _ord() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+
+
 def _rows(columns: list, schema: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, schema, strict=True)], [name for name, _ in schema])
 
 
-def repeated_runs(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def repeated_runs(texts: DataFrame, firsts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Runs of bytes that occur earlier: ``k``, ``start``, ``size``; they may overlap.
 
-    ``texts`` has ``k`` (a hash that names the document), ``ord`` (its place in the order) and ``text``.
+    ``texts`` has ``k`` and ``th`` (hashes that name the document and its text), ``doc_id`` and
+    ``text``; ``firsts`` has the first document ``k`` of each text ``th``.
+    Only these take part, so copies of a whole text are never compared.
     """
     buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The segments of a batch, packed by bucket of their key: a few columns of plain numbers."""
         for batch in batches:
-            names = batch.column("k").to_numpy()
-            keys, owner, start, windows, inner = segments([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], length)
+            names, at = np.unique(batch.column("th").to_numpy(), return_index=True)
+            keys, owner, start, windows, inner = segments(batch.column("text").take(pa.array(at)).cast(pa.binary()).to_pylist(), length)
             bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            # With the bucket, 40 bits of a key are enough: keys that meet by chance only meet in vain.
+            low, high = keys.astype(np.uint32), (keys >> 32).astype(np.uint8)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = []
             for b in range(buckets):
                 own = order[cuts[b] : cuts[b + 1]]
                 if len(own):
-                    out.append((b, keys[own].tobytes(), names[owner[own]].tobytes(), start[own].astype("<u4").tobytes(), (2 * windows[own] + inner[own]).astype("<u4").tobytes()))
-            yield _rows([list(c) for c in zip(*out, strict=True)] or [[]] * 5, [("bucket", pa.int64()), *[(c, pa.binary()) for c in ("keys", "names", "starts", "windows")]])
+                    out.append((b, low[own].tobytes(), high[own].tobytes(), names[owner[own]].tobytes(), start[own].astype("<u4").tobytes(), (2 * windows[own] + inner[own]).astype("<u4").tobytes()))
+            yield _rows([list(c) for c in zip(*out, strict=True)] or [[]] * 6, [("bucket", pa.int64()), *[(c, pa.binary()) for c in _PACKED]])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each bucket, the segments whose key occurs again, or that may repeat within themselves."""
@@ -236,16 +247,21 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         current = None
 
         def settle() -> pa.RecordBatch:
-            keys, names = (np.frombuffer(b"".join(r[i] for r in held), np.int64) for i in (0, 1))
-            starts, windows = (np.frombuffer(b"".join(r[i] for r in held), "<u4").astype(np.int64) for i in (2, 3))
+            low, high, names, starts, windows = (np.frombuffer(b"".join(r[i] for r in held), kind).astype(np.int64) for i, kind in enumerate(("<u4", "u1", np.int64, "<u4", "<u4")))
+            keys = current << 40 | high << 32 | low
+            order = np.lexsort((starts, names, keys))
+            keys, names, starts, windows = (c[order] for c in (keys, names, starts, windows))
+            new = np.ones(len(keys), bool)  # a text that several batches have counts once
+            new[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1]) | (starts[1:] != starts[:-1])
+            keys, names, starts, windows = (c[new] for c in (keys, names, starts, windows))
             _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
             times = counts[inverse]
             again = (times > 1) | (windows % 2 == 1)
             columns = [c[again] for c in (names, keys, starts, windows // 2, times >= hot, windows % 2 == 1)]
-            return _rows(columns, [*[(c, pa.int64()) for c in ("k", "key", "start", "windows")], ("hot", pa.bool_()), ("inner", pa.bool_())])
+            return _rows(columns, [*[(c, pa.int64()) for c in ("th", "key", "start", "windows")], ("hot", pa.bool_()), ("inner", pa.bool_())])
 
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 if row[0] != current:
                     if held:
                         yield settle()
@@ -333,10 +349,10 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         if out:
             yield _rows([list(c) for c in zip(*out, strict=True)], [(c, pa.int64()) for c in ("k", "start", "size")])
 
-    packed = texts.select("k", "text").mapInArrow(deal, "bucket bigint, keys binary, names binary, starts binary, windows binary")
-    again = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(ask, "k bigint, key bigint, start bigint, windows bigint, hot boolean, inner boolean")
-    asked = again.groupBy("k").agg(F.collect_list(F.struct("key", "start", "windows", "hot", "inner")).alias("asked"))
-    pieces = texts.join(asked, "k").select("k", "ord", "text", "asked").mapInArrow(fetch, "key bigint, ord bigint, k bigint, start bigint, size bigint, bytes binary, inner boolean")
+    packed = texts.select("th", "text").mapInArrow(deal, "bucket bigint, " + ", ".join(f"{c} binary" for c in _PACKED))
+    again = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(ask, "th bigint, key bigint, start bigint, windows bigint, hot boolean, inner boolean")
+    asked = again.groupBy("th").agg(F.collect_list(F.struct("key", "start", "windows", "hot", "inner")).alias("asked")).join(firsts, "th").select("k", "asked")
+    pieces = texts.join(asked, "k").select("k", _ord().alias("ord"), "text", "asked").mapInArrow(fetch, "key bigint, ord bigint, k bigint, start bigint, size bigint, bytes binary, inner boolean")
     return pieces.repartition("key").sortWithinPartitions("key", "ord", "k", "start").mapInArrow(mark, "k bigint, start bigint, size bigint")
 
 
@@ -349,17 +365,21 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFr
     repeat id and text are one document, and all fare alike. A null text counts as empty. Only
     ``doc_id`` and ``text`` are read; an empty table gives no rows.
     """
-    ord_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(F.xxhash64(ord_, text).alias("k"), F.col("doc_id").cast("bigint").alias("doc_id"), ord_.alias("ord"), text.alias("text"))
-    runs = repeated_runs(texts, length, hot).groupBy("k").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    # Both joins with the texts take the same columns, so Spark deals the texts by document once.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).select(F.xxhash64("doc_id", "text").alias("k"), F.xxhash64("text").alias("th"), "doc_id", "text")
+    firsts = texts.groupBy("th").agg(F.min(F.struct(_ord().alias("ord"), "k")).alias("first")).select("th", "first.k")
+    runs = repeated_runs(texts.select("k", "th", "doc_id", "text"), firsts, length, hot).groupBy("k").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    known = firsts.select("k").join(runs, "k", "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<start: bigint, size: bigint>>")))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept = [], [], []
             for data, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 merged: list[list[int]] = []
-                for start, end in sorted((r["start"], r["start"] + r["size"]) for r in found or ()):
+                if found is None:  # a later copy of a whole text
+                    found = [{"start": 0, "size": len(data)}] if len(data) >= length else []
+                for start, end in sorted((r["start"], r["start"] + r["size"]) for r in found):
                     if merged and start <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], end)
                     else:
@@ -372,4 +392,4 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     schema = "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, size: bigint>>, kept binary"
-    return texts.join(runs, "k", "left").select("doc_id", "text", "runs").mapInArrow(apply, schema)
+    return texts.join(known, "k", "left").select("doc_id", "text", "runs").mapInArrow(apply, schema)
