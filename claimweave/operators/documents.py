@@ -2,44 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claimweave.functions.text import sentences, strip, strip_end
 
 
-def _tail(held: Sequence[str], overlap: int) -> str:
-    """The last whole sentences that together fit into ``overlap`` characters."""
-    start, used = len(held), 0
-    while start > 0 and used + len(held[start - 1]) <= overlap:
-        start -= 1
-        used += len(held[start])
-    return " ".join(held[start:])
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def pack_sentences(units: Iterable[str], size: int, overlap: int, minimum: int) -> Iterator[str]:
-    """Greedy packing: a chunk closes before the sentence that would exceed ``size``.
+def chunk_bounds(lengths: Column, size: int, overlap: int) -> Column:
+    """The runs of sentences that make up a document's chunks, as structs ``begin`` and ``end``.
 
-    The length counts sentences without the blanks between them. Each chunk opens
-    with the tail of the one before; chunks under ``minimum`` are dropped.
+    ``lengths`` holds the sentences' lengths. Walking over them keeps the begin of the open chunk,
+    where its own sentences start after those repeated from the chunk before (``fresh``), and two
+    lengths: of the repeated part, which counts as one piece with its blanks, and of the whole. A
+    chunk closes before the sentence that would exceed ``size``. The next one begins with the
+    longest run of whole pieces at its end that fits into ``overlap``.
     """
-    held: list[str] = []
-    used = 0
-    for unit in units:
-        if held and used + len(unit) > size:
-            chunk = " ".join(held)
-            if len(chunk) >= minimum:
-                yield chunk
-            tail = _tail(held, overlap)
-            held, used = ([tail], len(tail)) if tail else ([], 0)
-        held.append(unit)
-        used += len(unit)
-    if held and len(chunk := " ".join(held)) >= minimum:
-        yield chunk
+    begin, fresh, head, used = (F.lit(0).alias(n) for n in ("begin", "fresh", "head", "used"))
+    start = F.struct(F.array().cast("array<struct<begin:int,end:int>>").alias("done"), begin, fresh, head, used)
+
+    def walk(lens: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            own = F.get(lens, i)
+
+            def fit(last: Column) -> Column:
+                """How many of the chunk's own sentences, from its end, fit into the overlap, and their length."""
+                return F.aggregate(
+                    last,
+                    F.struct(F.lit(0).alias("n"), F.lit(0).alias("length"), F.lit(True).alias("open")),
+                    lambda f, x: F.when(f["open"] & (f["length"] + x <= overlap), F.struct((f["n"] + 1).alias("n"), (f["length"] + x).alias("length"), F.lit(True).alias("open"))).otherwise(
+                        F.struct(f["n"].alias("n"), f["length"].alias("length"), F.lit(False).alias("open"))
+                    ),
+                )
+
+            def close(f: Column) -> Column:
+                everything = f["open"] & (state["fresh"] > state["begin"]) & (f["length"] + state["head"] <= overlap)
+                at = F.when(everything, state["begin"]).otherwise(i - f["n"])
+                length = F.when(everything, state["head"]).otherwise(F.lit(0)) + f["length"] + F.greatest(F.when(everything, f["n"]).otherwise(f["n"] - 1), F.lit(0))
+                done = F.concat(state["done"], F.array(F.struct(state["begin"].alias("begin"), i.alias("end"))))
+                return F.struct(done.alias("done"), at.alias("begin"), i.alias("fresh"), length.alias("head"), (length + own).alias("used"))
+
+            grown = F.struct(state["done"].alias("done"), state["begin"].alias("begin"), state["fresh"].alias("fresh"), state["head"].alias("head"), (state["used"] + own).alias("used"))
+            closed = _let(fit(F.reverse(F.slice(lens, state["fresh"] + 1, i - state["fresh"]))), close)
+            return F.when((state["begin"] < i) & (state["used"] + own > size), closed).otherwise(grown)
+
+        def last(state: Column) -> Column:
+            return F.concat(state["done"], F.array(F.struct(state["begin"].alias("begin"), F.size(lens).alias("end"))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(lens) - 1), start, step, last)
+
+    return F.when(F.size(lengths) > 0, _let(lengths, walk))
 
 
 def chunk(
@@ -53,30 +71,16 @@ def chunk(
 ) -> DataFrame:
     """Sentence-aware chunks of each document, one row per chunk.
 
-    Sentences are split natively; only the fold over one document's sentences
-    runs in Python, in Arrow batches, without a shuffle.
+    The length of a chunk counts its sentences without the blanks between them. Chunks under
+    ``minimum`` characters are dropped and take no index. Column functions only, and no shuffle.
     """
-    source = df.select(*keys, sentences(text).alias("_s"))
-    key_fields = [source.schema[k] for k in keys]
-    schema = T.StructType(
-        key_fields + [T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("char_count", T.IntegerType())]
-    )
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, index, texts = [], [], []
-            for row, units in enumerate(batch.column(batch.num_columns - 1)):
-                for position, piece in enumerate(pack_sentences(units.as_py() or (), size, overlap, minimum)):
-                    rows.append(row)
-                    index.append(position)
-                    texts.append(piece)
-            taken = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(batch.num_columns - 1)]
-            lengths = pa.array([len(t) for t in texts], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*taken, pa.array(index, pa.int32()), pa.array(texts, pa.string()), lengths], names=[*keys, "chunk_index", "text", "char_count"]
-            )
-
-    chunks = source.mapInArrow(fold, schema)
+    def cut(units: Column) -> Column:
+        bounds = chunk_bounds(F.transform(units, F.length), size, overlap)
+        texts = F.transform(bounds, lambda b: F.array_join(F.slice(units, b["begin"] + 1, b["end"] - b["begin"]), " "))
+        return F.filter(texts, lambda t: F.length(t) >= minimum)
+
+    chunks = df.select(*keys, F.posexplode(_let(sentences(text), cut)).alias("chunk_index", "text")).withColumn("char_count", F.length("text"))
     if metadata is not None:
         entries = [F.lit(part) for item in metadata.items() for part in item]
         chunks = chunks.withColumn("metadata", F.create_map(*entries))

@@ -7,17 +7,15 @@ row per (product, key).
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claimweave.functions import variants
 from claimweave.functions.ordered import dense_ids
+from claimweave.functions.variants import kind, members, parse, text
 
 # Above this many products the completion grid is a join instead of a literal list.
 MAX_LISTED_PRODUCTS = 10_000
@@ -271,72 +269,73 @@ def flatten_layer(df: DataFrame, layer: str, products: DataFrame) -> DataFrame:
 # --- text form of an item ------------------------------------------------------
 
 
-def _spell(value: object) -> str:
-    """Parameters as ``key: value`` text; nested objects in braces, lists in brackets."""
-    parts = []
-    for key, item in (value or {}).items():
-        if isinstance(item, dict):
-            parts.append(f"{key}: {{{_spell(item)}}}")
-        elif isinstance(item, list):
-            parts.append(f"{key}: [{', '.join(map(str, item))}]")
-        elif item is not None:
-            parts.append(f"{key}: {item}")
-    return "; ".join(parts)
+# Nested objects are spelled to this depth; what lies deeper is shown as JSON.
+_DEPTH = 4
 
 
-def _money(value: object) -> str:
-    return f"${value:,.0f}" if isinstance(value, (int, float)) else str(value)
+def _entries(json: Column) -> Column:
+    """An object's members in the order they are written, as structs of key and raw text."""
+    return F.map_entries(F.from_json(json, "map<string,string>"))
 
 
-def _spell_limit(limit: object) -> str:
-    if isinstance(limit, dict):
-        return "Coverage limits: " + "; ".join(f"{plan}: {_money(amount)}" for plan, amount in limit.items())
-    return f"Coverage limit: {_money(limit)}" if isinstance(limit, (int, float)) else str(limit)
+def _shown(member: Column, raw: Column) -> Column:
+    """A scalar as text; truth values in title case, a list in brackets."""
+    items = F.transform(F.try_variant_get(member, "$", "array<variant>"), lambda v: F.when(kind(v) == "boolean", F.initcap(text(v))).otherwise(text(v)))
+    return (
+        F.when(kind(member) == "array", F.concat(F.lit("["), F.array_join(items, ", ", "None"), F.lit("]")))
+        .when(kind(member) == "boolean", F.initcap(raw))
+        .otherwise(F.coalesce(raw, F.lit("None")))
+    )
 
 
-def _spell_sub_limits(limits: dict, depth: int = 0) -> str:
-    parts = []
-    for key, value in limits.items():
-        shown = f"{{{_spell_sub_limits(value, depth + 1)}}}" if isinstance(value, dict) else _money(value)
-        parts.append(f"{'  ' * depth}{key}: {shown}")
-    return "; ".join(parts)
+def _amount(member: Column, raw: Column) -> Column:
+    """A number as dollars (a truth value counts as 1 or 0), anything else as it is."""
+    number = F.when(kind(member) == "boolean", F.try_variant_get(member, "$", "boolean").cast("double")).when(kind(member) == "number", F.try_variant_get(member, "$", "double"))
+    return F.coalesce(F.concat(F.lit("$"), F.format_number(number, 0)), _shown(member, raw))
 
 
-@F.pandas_udf(T.StringType())
-def _item_text(kind: pd.Series, benefit: pd.Series, condition: pd.Series, ctype: pd.Series, limit: pd.Series, subs: pd.Series, params: pd.Series) -> pd.Series:
-    def load(text):
-        return json.loads(text) if isinstance(text, str) and text else None
+def _listing(json: Column, value: Callable[[Column, Column], Column], indent: str = "", nulls: bool = True, depth: int = 0) -> Column:
+    """``key: value`` of every member, joined by semicolons; objects follow in braces, each level indented further."""
+    known = members(parse(json))
 
-    def describe(kind, benefit, condition, ctype, limit, subs, params):
-        lines = []
-        if isinstance(benefit, str):
-            lines.append("Benefit: " + benefit.replace("_", " ").title())
-        if isinstance(condition, str):
-            lines.append("Condition: " + condition.replace("_", " ").title())
-        if kind == "general_conditions" or (kind == "benefit_specific_conditions" and ctype):
-            lines.append(f"Type: {ctype}")
-        limit, subs, params = load(limit), load(subs), load(params)
-        if limit is not None:
-            lines.append(_spell_limit(limit))
-        if subs:
-            lines.append("Sub-limits: " + _spell_sub_limits(subs))
-        if params:
-            lines.append("Parameters: " + _spell(params))
-        return "\n".join(lines)
+    def one(entry: Column) -> Column:
+        member = F.element_at(known, entry["key"])
+        plain = value(member, entry["value"])
+        if depth + 1 < _DEPTH:
+            inner = _listing(entry["value"], value, indent, nulls, depth + 1)
+            plain = F.when(kind(member) == "object", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(plain)
+        return F.concat(F.lit(indent * depth), entry["key"], F.lit(": "), plain)
 
-    return pd.Series([describe(*row) for row in zip(kind, benefit, condition, ctype, limit, subs, params)])
+    entries = _entries(json) if nulls else F.filter(_entries(json), lambda e: e["value"].isNotNull())
+    return F.array_join(F.transform(entries, one), "; ")
 
 
 def describe_item(df: DataFrame, layer: str, name: str = "description") -> DataFrame:
-    """Text form of a flat row, for an embedding model. JSON columns are strings."""
+    """Text form of a flat row, for an embedding model. JSON columns are strings.
+
+    One line each for the names, the type, the limit, the sub-limits and the parameters,
+    as far as they are there; JSON that cannot be read counts as missing.
+    """
     column = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
-    return df.withColumn(
-        name,
-        _item_text(
-            F.lit(layer), column("benefit_name"), column("condition_name"), column("condition_type"),
-            column("raw_limit"), column("sub_limits"), column("parameters"),
-        ),
+    title = lambda c: F.initcap(F.replace(column(c), F.lit("_"), F.lit(" ")))
+    limit, limits = column("raw_limit"), parse(column("raw_limit"))
+    filled = lambda c: F.size(F.coalesce(_entries(column(c)), F.array().cast("array<struct<key:string,value:string>>"))) > 0
+    kind_of_limit = kind(limits)
+    shown_limit = (
+        F.when(kind_of_limit == "object", F.concat(F.lit("Coverage limits: "), _listing(limit, _amount)))
+        .when(kind_of_limit.isin("number", "boolean"), F.concat(F.lit("Coverage limit: "), _amount(limits, limit)))
+        .when(kind_of_limit != "null", _shown(limits, text(limits)))
     )
+    has_type = {"general_conditions": F.lit(True), "benefit_specific_conditions": column("condition_type") != ""}.get(layer, F.lit(False))
+    lines = [
+        F.concat(F.lit("Benefit: "), title("benefit_name")),
+        F.concat(F.lit("Condition: "), title("condition_name")),
+        F.when(has_type, F.concat(F.lit("Type: "), F.coalesce(column("condition_type"), F.lit("None")))),
+        shown_limit,
+        F.when(filled("sub_limits"), F.concat(F.lit("Sub-limits: "), _listing(column("sub_limits"), _amount, indent="  "))),
+        F.when(filled("parameters"), F.concat(F.lit("Parameters: "), _listing(column("parameters"), _shown, nulls=False))),
+    ]
+    return df.withColumn(name, F.concat_ws("\n", *lines))
 
 
 # --- views ---------------------------------------------------------------------
