@@ -21,7 +21,8 @@ def annotate(
 
     ``load`` returns the function and runs once per task; it gets a frame of up to
     ``batch`` rows and returns one text per row. A failing batch is retried row by
-    row with a growing pause; what still fails becomes an error row.
+    row with a growing pause, and so is one that gives another number of texts; what
+    still fails becomes an error row.
     """
     added = [T.StructField(c, T.StringType()) for c in ("status", "response", "error")]
     schema = T.StructType(df.schema.fields + added)
@@ -33,7 +34,10 @@ def annotate(
             problem = None
             for attempt in range(retries):
                 try:
-                    return "success", call(row)[0], None
+                    texts = list(call(row))
+                    if len(texts) != 1:
+                        raise ValueError(f"{len(texts)} answers to one row")
+                    return "success", texts[0], None
                 except Exception as error:
                     problem = str(error)
                     time.sleep(wait * 2**attempt)
@@ -44,7 +48,10 @@ def annotate(
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
                 try:
-                    outcomes += [("success", text, None) for text in call(part)]
+                    texts = list(call(part))
+                    if len(texts) != len(part):
+                        raise ValueError(f"{len(texts)} answers to {len(part)} rows")
+                    outcomes += [("success", text, None) for text in texts]
                 except Exception:  # find the rows that fail
                     outcomes += [single(part.iloc[i : i + 1]) for i in range(len(part))]
             results = pd.DataFrame(outcomes, columns=["status", "response", "error"], index=frame.index, dtype=object)

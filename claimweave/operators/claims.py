@@ -7,10 +7,12 @@ aggregate is one pass with map-side combining.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.arrays import names_where
@@ -409,23 +411,52 @@ def destination_summary(
 _QUERY_RESULT = "topic string, status string, row_count bigint, preview array<string>, error string"
 
 
+# Roots of a parsed query; whatever else a statement parses to is not run.
+_QUERIES = {
+    "Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Filter", "Distinct", "Union", "Except", "Intersect", "Join", "Pivot", "Range", "SubqueryAlias",
+    "UnresolvedWith", "CTE", "UnresolvedHaving", "UnresolvedRelation", "UnresolvedInlineTable", "WithWindowDefinition", "LocalRelation",
+}
+
+
+def _refusal(spark: SparkSession, sql: str) -> str | None:
+    """Why a statement is not run. Spark parses it without running it; commands are refused."""
+    try:
+        plan = spark.sql("EXPLAIN EXTENDED " + sql).first()[0]
+    except Exception as error:  # whatever Spark says about it
+        return str(error)
+    root = re.match(r"== Parsed Logical Plan ==\s*'?(\w+)", plan)
+    return None if root and root[1] in _QUERIES else f"refused, not a query: {plan.split(chr(10))[1] if root else plan}"
+
+
 def run_queries(spark: SparkSession, claims: DataFrame, queries: Mapping[str, str], preview: int = 5, view: str = "claims") -> DataFrame:
     """Runs several SELECTs over the claims view; a failing one is reported and the rest go on.
 
-    One row per topic: its row count and its first ``preview`` rows as JSON.
-    Only those few rows and the count reach the driver.
+    One row per topic: its row count and its first ``preview`` rows as JSON, or the
+    whole error. Each query runs once, and only those few rows and the count reach the
+    driver. Statements that are not queries are refused. They run in a session of their
+    own, so the caller's view of that name stays as it is.
     """
-    claims.createOrReplaceTempView(view)
+    inner = spark.newSession()
+    # The claims cross over by their plan; a temporary view in the caller's session would be seen there.
+    shared = f"_{view}_{uuid.uuid4().hex}"
+    claims.createOrReplaceGlobalTempView(shared)
+    inner.table(f"global_temp.{shared}").createOrReplaceTempView(view)
     outcomes = []
     for topic, sql in queries.items():
+        if reason := _refusal(inner, sql):
+            outcomes.append((topic, "error", None, None, reason))
+            continue
         try:
-            frame = spark.sql(sql)
-            count = frame.count()
+            frame = inner.sql(sql)
             record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in frame.columns]), {"ignoreNullFields": "false"})
-            head = [row[0] for row in frame.limit(preview).select(record).collect()]
-            outcomes.append((topic, "ok", count, head, None))
+            # One pass: the rows are counted on their way to a bounded sort by their own order.
+            seen = Observation()
+            rows = frame.select(record.alias("r"), F.monotonically_increasing_id().alias("i")).observe(seen, F.count(F.lit(1)).alias("n"))
+            head = [row["r"] for row in rows.orderBy("i").limit(preview).collect()]
+            outcomes.append((topic, "ok", seen.get.get("n", 0), head, None))
         except Exception as error:  # a bad query becomes a row, whatever Spark raised
-            outcomes.append((topic, "error", None, None, str(error).split("\n")[0][:500]))
+            outcomes.append((topic, "error", None, None, str(error)))
+    spark.catalog.dropGlobalTempView(shared)
     return spark.createDataFrame(outcomes, _QUERY_RESULT)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.functions.ordered import dense_ids
 from claimweave.functions.text import sentences, strip, strip_end
 
 
@@ -178,13 +179,13 @@ def size_filter(files: DataFrame, megabytes: float, length: str = "length") -> D
 
 
 def sample_positions(df: DataFrame, doc: str, index: str = "text_index") -> DataFrame:
-    """First, middle and last text of each document; all of them when there are fewer than three.
+    """First, middle and last text of each document by ``index``; all of them when there are fewer than three.
 
-    ``index`` counts from 0 without gaps, so three positions follow from the
-    count, and the join on (document, position) spreads even a huge document.
+    Positions count the rows of a document in order, so gaps in the index do not matter. The
+    rows are numbered over range partitions; even a huge document spans many tasks.
     """
-    counts = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.col("_n")
-    wanted = F.when(n >= 3, F.array(F.lit(0).cast("bigint"), F.floor(n / 2), n - 1)).otherwise(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    positions = counts.select(doc, F.explode(wanted).alias(index))
-    return df.withColumn(index, F.col(index).cast("bigint")).join(positions, [doc, index], "left_semi")
+    numbered = dense_ids(df.select(doc, index), [doc, index], "_at", start=0)
+    ends = numbered.groupBy(doc).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    place = F.col("_at") - F.col("_first")
+    wanted = numbered.join(ends, doc).filter((F.col("_n") < 3) | place.isin(0) | (place == F.floor(F.col("_n") / 2)) | (place == F.col("_n") - 1))
+    return df.join(wanted.select(doc, index), [doc, index], "left_semi")

@@ -17,8 +17,8 @@ from claimweave.functions import variants
 from claimweave.functions.ordered import dense_ids
 from claimweave.functions.variants import kind, members, parse, text
 
-# Above this many products the completion grid is a join instead of a literal list.
-MAX_LISTED_PRODUCTS = 10_000
+# Slices of the keys in a completion grid.
+_SLICES = 64
 
 
 def _filled(column: str) -> Column:
@@ -57,10 +57,15 @@ def approved_values(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 def _product_grid(keys: DataFrame, products: DataFrame, product: str) -> DataFrame:
-    names = [row[0] for row in products.select(product).distinct().limit(MAX_LISTED_PRODUCTS + 1).collect()]
-    if len(names) <= MAX_LISTED_PRODUCTS:
-        return keys.withColumn(product, F.explode(F.lit(names)))
-    return keys.crossJoin(products.select(product).distinct())
+    """Every key with every product: the grid is the result, so its size is asked for.
+
+    Keys are dealt to slices and every product visits every slice, so the join is by slice number
+    and no side is collected.
+    """
+    names = products.select(product).distinct()
+    placed = keys.withColumn("_slice", F.pmod(F.xxhash64(*keys.columns), F.lit(_SLICES)).cast("int"))
+    visiting = names.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))))
+    return placed.join(visiting, "_slice").drop("_slice")
 
 
 def complete_grid(
@@ -77,8 +82,7 @@ def complete_grid(
 
     The value of the highest ``seq`` wins per (key, product); each column in
     ``last_filled`` takes its last non-empty value per key. Keys and products
-    that are not listed are dropped. The product list becomes a literal while it
-    is short, so the grid needs no join of its own.
+    that are not listed are dropped.
     """
     fields = list(defaults)
     latest = values.groupBy(*key_columns, product).agg(F.max_by(F.struct(*fields), F.col(seq)).alias("_value"))

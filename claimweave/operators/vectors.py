@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -21,12 +22,14 @@ from pyspark.sql import types as T
 from claimweave.functions import vector as vec
 from claimweave.session import cut_lineage
 
-# A side of at most this many vectors is shipped to every task; larger ones are blocked.
+# Defaults of the parameters of the same names. A side of at most so many vectors and bytes is shipped to every task.
 MAX_SHIPPED = 4096
 MAX_SHIPPED_BYTES = 64 * 1024 * 1024
-# Rows per block of a similarity join, and the most cells it is cut into.
+# Rows per block, and the most pivots that are shipped to place the rows of a similarity join.
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
+MAX_PIVOTS = 4096
+# Similarities that are held at once.
+_PRODUCT = 1 << 22
 # Pairs are listed once there are at most this many per row.
 MAX_PAIRS_PER_ROW = 16
 # Similarities are ranked after rounding, so that equal vectors tie exactly.
@@ -39,6 +42,9 @@ def _matrix(column: pa.Array, metric: str = "dot") -> np.ndarray:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 0))
+    widths = pc.unique(pc.list_value_length(column))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(widths.to_pylist())[:5]}")
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return values / np.linalg.norm(values, axis=1, keepdims=True) if metric == "cosine" else values
 
@@ -53,10 +59,12 @@ def _usable(df: DataFrame, vector: str, metric: str) -> DataFrame:
     return kept.filter(F.exists(vector, lambda x: x != 0)) if metric == "cosine" else kept
 
 
-def _shipped(df: DataFrame) -> pa.Table | None:
-    """The whole frame, if it has at most MAX_SHIPPED rows."""
-    head = df.limit(MAX_SHIPPED + 1).toArrow()
-    return head if head.num_rows <= MAX_SHIPPED else None
+def _shipped(df: DataFrame, rows: int) -> pa.Table | None:
+    """The whole frame, if it has at most so many rows, and few bytes."""
+    size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.size("_v")), F.lit(0))).first()
+    if size[0] > rows or 8 * size[1] > MAX_SHIPPED_BYTES:
+        return None
+    return df.toArrow()
 
 
 # --- one query vector ----------------------------------------------------------
@@ -163,9 +171,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, threshold: float | None)
 def _ranked(queries: np.ndarray, query_ids: np.ndarray, corpus: np.ndarray, ids: np.ndarray, k: int, threshold: float | None, schema: pa.Schema) -> pa.Table:
     """Top-k of a block of queries against a block of the corpus."""
     left, right, scores = [], [], []
-    if len(query_ids) and len(ids):
-        product = np.round(queries @ corpus.T, _DIGITS)
-        for row, query_id in zip(product, query_ids):
+    slice_ = max(1, _PRODUCT // max(1, len(ids)))
+    for begin in range(0, len(query_ids) if len(ids) else 0, slice_):
+        product = queries[begin : begin + slice_] @ corpus.T
+        np.round(product, _DIGITS, out=product)
+        for row, query_id in zip(product, query_ids[begin : begin + slice_]):
             chosen = _best(row, ids, k, threshold)
             left.append(np.repeat(np.asarray([query_id], dtype=query_ids.dtype), len(chosen)))
             right.append(ids[chosen])
@@ -193,13 +203,16 @@ def top_k(
     metric: str = "cosine",
     threshold: float | None = None,
     where: Column | None = None,
+    max_shipped: int = MAX_SHIPPED,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Best ``k`` corpus rows of every query: ``query_id, id, similarity, rank``.
 
-    A small query side visits every corpus task, and each task passes on at most
-    ``k`` rows per query; a small corpus visits the query tasks. When both are
-    large, hash blocks of both sides meet pairwise, and again only the best ``k``
-    per query and block go on. The result is exact in all three cases.
+    A query side of at most ``max_shipped`` rows visits every corpus task, and each
+    batch passes on at most ``k`` rows per query; a corpus that small visits the query
+    tasks. Otherwise hash blocks of ``block_rows`` meet pairwise, and again only the best
+    ``k`` per query and block go on. The result is exact in all three cases. Vectors of
+    different lengths are an error.
     """
     corpus = _usable(corpus if where is None else corpus.filter(where), vector, metric).select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
     queries = _usable(queries, query_vector, metric).select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v"))
@@ -208,13 +221,13 @@ def top_k(
     )
     arrow = _arrow_schema(schema)
 
-    if (small := _shipped(queries)) is not None:
+    if (small := _shipped(queries, max_shipped)) is not None:
         hits = corpus.mapInArrow(_scan(small, "_q", k, metric, threshold, arrow, corpus_first=False), schema)
-    elif (small := _shipped(corpus)) is not None:
+    elif (small := _shipped(corpus, max_shipped)) is not None:
         hits = queries.mapInArrow(_scan(small, "_id", k, metric, threshold, arrow, corpus_first=True), schema)
     else:
         hits = _meet(queries, "_q", corpus, "_id", schema, lambda left, right: _ranked(
-            _matrix(left["_v"], metric), _plain(left["_q"]), _matrix(right["_v"], metric), _plain(right["_id"]), k, threshold, arrow))
+            _matrix(left["_v"], metric), _plain(left["_q"]), _matrix(right["_v"], metric), _plain(right["_id"]), k, threshold, arrow), block_rows)
     ranking = Window.partitionBy("_q").orderBy(F.desc("similarity"), "_id")
     return (
         hits.withColumn("rank", F.row_number().over(ranking))
@@ -242,11 +255,11 @@ def _scan(small: pa.Table, small_id: str, k: int, metric: str, threshold: float
     return scan
 
 
-def _meet(left: DataFrame, left_id: str, right: DataFrame, right_id: str, schema: T.StructType, kernel: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+def _meet(left: DataFrame, left_id: str, right: DataFrame, right_id: str, schema: T.StructType, kernel: Callable[[pa.Table, pa.Table], pa.Table], block_rows: int) -> DataFrame:
     """Every hash block of one side with every hash block of the other."""
 
     def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // BLOCK_ROWS))
+        return max(1, -(-df.count() // block_rows))
 
     n_left, n_right = blocks(left), blocks(right)
 
@@ -258,10 +271,10 @@ def _meet(left: DataFrame, left_id: str, right: DataFrame, right_id: str, schema
     return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInArrow(kernel, schema)
 
 
-def similarity_matrix(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_vector: str = "embedding", b_vector: str = "embedding", metric: str = "cosine") -> DataFrame:
+def similarity_matrix(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_vector: str = "embedding", b_vector: str = "embedding", metric: str = "cosine", max_shipped: int = MAX_SHIPPED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All similarities of two sets: ``a_id, b_id, similarity``.
 
-    The second set visits every task when it is small; otherwise blocks meet.
+    The second set visits every task when it has at most ``max_shipped`` rows; otherwise blocks meet.
     """
     left = _usable(a, a_vector, metric).select(F.col(a_id).alias("_a"), F.col(a_vector).alias("_v"))
     right = _usable(b, b_vector, metric).select(F.col(b_id).alias("_b"), F.col(b_vector).alias("_v"))
@@ -274,7 +287,7 @@ def similarity_matrix(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_vector
         columns = [np.repeat(ids, len(other_ids)), np.tile(other_ids, len(ids)), (mine @ other.T).ravel()]
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    small = _shipped(right)
+    small = _shipped(right, max_shipped)
     if small is not None:
         other, other_ids = _matrix(small["_v"], metric), _plain(small["_b"])
 
@@ -285,16 +298,16 @@ def similarity_matrix(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_vector
 
         pairs = left.mapInArrow(scan, schema)
     else:
-        pairs = _meet(left, "_a", right, "_b", schema, lambda x, y: full(_matrix(x["_v"], metric), _plain(x["_a"]), _matrix(y["_v"], metric), _plain(y["_b"])))
+        pairs = _meet(left, "_a", right, "_b", schema, lambda x, y: full(_matrix(x["_v"], metric), _plain(x["_a"]), _matrix(y["_v"], metric), _plain(y["_b"])), block_rows)
     return pairs.select(F.col("_a").alias(a_id), F.col("_b").alias(b_id), "similarity")
 
 
-def match_existing(new: DataFrame, existing: DataFrame, threshold: float, id: str = "id", name: str = "name", vector: str = "embedding", metric: str = "dot") -> DataFrame:
+def match_existing(new: DataFrame, existing: DataFrame, threshold: float, id: str = "id", name: str = "name", vector: str = "embedding", metric: str = "dot", **limits: int) -> DataFrame:
     """Per new row: is its best existing match at least ``threshold``, which one, how close.
 
     Without any existing row the answer is false, NULL, 0.
     """
-    best = top_k(existing, new, 1, name, vector, id, vector, metric).drop("rank").withColumnRenamed(id, "_id")
+    best = top_k(existing, new, 1, name, vector, id, vector, metric, **limits).drop("rank").withColumnRenamed(id, "_id")
     similar = F.coalesce(F.col("similarity"), F.lit(0.0))
     return new.select(id).join(best, F.col(id) == F.col("_id"), "left").select(
         id,
@@ -437,7 +450,7 @@ def _copies(df: DataFrame, order: str, vector: str) -> DataFrame:
     return df.join(firsts, vector)
 
 
-def near_duplicates(df: DataFrame, threshold: float, id: str = "id", vector: str = "embedding") -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float, id: str = "id", vector: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """Pairs above the threshold among distinct vectors, each standing under its first id.
 
     Further copies of a vector are linked to that first id only, so a vector
@@ -446,12 +459,12 @@ def near_duplicates(df: DataFrame, threshold: float, id: str = "id", vector: str
     usable = _usable(df.select(id, vector), vector, "cosine")
     # The join below reads its input several times, so the fold is pinned.
     firsts = cut_lineage(usable.groupBy(vector).agg(F.min(id).alias(id)))
-    between = similarity_join(firsts, None, threshold, id, vector)
+    between = similarity_join(firsts, None, threshold, id, vector, block_rows=block_rows)
     copies = _copies(usable, id, vector).filter(F.col(id) != F.col("_first"))
     return between.unionByName(copies.select(F.col("_first").alias("left_id"), F.col(id).alias("right_id"), F.lit(1.0).alias("similarity")))
 
 
-def dedup(df: DataFrame, threshold: float, id: str = "id", vector: str = "embedding") -> DataFrame:
+def dedup(df: DataFrame, threshold: float, id: str = "id", vector: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """Drops the later id of every close pair.
 
     Of the copies of a vector only the first can stay. No pair leaves a task: each
@@ -459,7 +472,7 @@ def dedup(df: DataFrame, threshold: float, id: str = "id", vector: str = "embedd
     """
     usable = _usable(df.select(id, vector), vector, "cosine")
     firsts = cut_lineage(usable.groupBy(vector).agg(F.min(id).alias(id)))
-    late = neighbour_counts(firsts, None, threshold, id, vector).select(F.col("right_id").alias(id))
+    late = neighbour_counts(firsts, None, threshold, id, vector, block_rows=block_rows).select(F.col("right_id").alias(id))
     copies = usable.select(id).join(firsts.select(id), id, "left_anti")
     return df.join(late.unionByName(copies), id, "left_anti")
 
@@ -471,6 +484,9 @@ def canonicalize(
     name: str = "name",
     order: str = "pos",
     vector: str = "embedding",
+    block_rows: int | None = None,
+    pairs_per_row: int = MAX_PAIRS_PER_ROW,
+    **limits: int,
 ) -> DataFrame:
     """Maps each new concept to its most similar canonical concept, or makes it one.
 
@@ -493,13 +509,13 @@ def canonicalize(
     undecided = points
     if existing is not None:
         old = existing.select(F.col(name).alias("_old"), F.col(vector).alias("embedding"))
-        best = top_k(old, points.withColumnRenamed("id", "_first"), 1, "_old", "embedding", "_first", "embedding")
+        best = top_k(old, points.withColumnRenamed("id", "_first"), 1, "_old", "embedding", "_first", "embedding", **limits)
         best = cut_lineage(best.filter(F.col("similarity") >= threshold).drop("rank"))
         undecided = cut_lineage(points.join(best.select(F.col("_first").alias("id")), "id", "left_anti"))
-    chosen = cut_lineage(_first_come(undecided, threshold))
+    chosen = cut_lineage(_first_come(undecided, threshold, block_rows, pairs_per_row))
 
     # A member's candidates: canonical vectors near its own that were visited before it.
-    near = similarity_join(points.join(chosen, "id", "left_semi"), points, threshold, inclusive=True)
+    near = similarity_join(points.join(chosen, "id", "left_semi"), points, threshold, inclusive=True, block_rows=block_rows)
     near = near.select(F.col("right_id").alias("_first"), F.col("left_id").alias("_at"), "similarity")
     # Only a candidate closer than all before it can be anyone's best: a vector with
     # very many copies then meets few rows.
@@ -531,20 +547,19 @@ def canonicalize(
     )
 
 
-def _first_come(undecided: DataFrame, threshold: float) -> DataFrame:
+def _first_come(undecided: DataFrame, threshold: float, block_rows: int | None, pairs_per_row: int) -> DataFrame:
     """Ids of ``(id, embedding)`` picked in order, skipping those near an earlier pick."""
     picks = []
-    # One block's worth of rows has a bounded number of pairs: list them at once.
-    while (rows := undecided.count()) > BLOCK_ROWS:
-        earlier = cut_lineage(neighbour_counts(undecided, None, threshold, inclusive=True))
-        if (earlier.agg(F.sum("hits")).first()[0] or 0) <= MAX_PAIRS_PER_ROW * rows:
+    while rows := undecided.count():
+        earlier = cut_lineage(neighbour_counts(undecided, None, threshold, inclusive=True, block_rows=block_rows))
+        if (earlier.agg(F.sum("hits")).first()[0] or 0) <= pairs_per_row * rows:
             break
         picked = cut_lineage(undecided.join(earlier.select(F.col("right_id").alias("id")), "id", "left_anti"))
-        decided = neighbour_counts(picked, undecided, threshold, inclusive=True).select(F.col("right_id").alias("id"))
+        decided = neighbour_counts(picked, undecided, threshold, inclusive=True, block_rows=block_rows).select(F.col("right_id").alias("id"))
         picks.append(picked.select("id"))
         # A pick is near itself; it is named again in case rounding says otherwise.
         undecided = cut_lineage(undecided.join(decided.unionByName(picked.select("id")), "id", "left_anti"))
-    edges = similarity_join(undecided, None, threshold, inclusive=True)
+    edges = similarity_join(undecided, None, threshold, inclusive=True, block_rows=block_rows)
     return reduce(DataFrame.unionByName, picks, _peel(undecided.select("id"), edges))
 
 
@@ -571,17 +586,18 @@ def _peel(ids: DataFrame, edges: DataFrame) -> DataFrame:
 # --- approximate search --------------------------------------------------------
 
 
-def ann_index(df: DataFrame, lists: int = 100, vector: str = "embedding", train_rows: int = 100_000, seed: int = 7) -> tuple[DataFrame, list[list[float]]]:
+def ann_index(df: DataFrame, lists: int = 100, vector: str = "embedding", train_share: float = 1.0, seed: int = 7) -> tuple[DataFrame, list[list[float]]]:
     """Adds the k-means ``cell`` of each vector; returns the frame and the centres.
 
-    Training uses at most ``train_rows`` rows picked by hash, indexing uses all.
+    Training uses all rows, or the share of them that the caller gives, by a hash of the vector; indexing uses all.
     Write the frame partitioned by ``cell`` and a probe reads only its cells.
     """
     usable = _usable(df, vector, "cosine")
     length = vec.norm(vector)
     unit = F.transform(vector, lambda x: x.cast("double"))
     points = usable.withColumn("_n", length).withColumn("_p", array_to_vector(F.transform(unit, lambda x: x / F.col("_n"))))
-    sample = points.select("_p").orderBy(F.xxhash64(vector)).limit(train_rows) if train_rows else points.select("_p")
+    drawn = F.pmod(F.xxhash64(vector), F.lit(1_000_000)) < int(train_share * 1_000_000)
+    sample = points.where(drawn).select("_p") if train_share < 1 else points.select("_p")
     model = KMeans(k=lists, seed=seed, featuresCol="_p", predictionCol="cell", maxIter=10).fit(sample)
     return model.transform(points).drop("_n", "_p"), [list(map(float, c)) for c in model.clusterCenters()]
 
@@ -599,17 +615,13 @@ def ann_top_k(
 ) -> DataFrame:
     """Approximate top ``k``: the nearest ``probes`` cells of each query, ranked exactly.
 
-    The join is on the cell. Few queries are shipped to the index; otherwise both
-    sides are shuffled and adaptive execution splits an overfull cell.
+    The join is on the cell; adaptive execution ships few queries and splits an overfull cell.
     """
     listed = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(x) for x in c]).alias("centre")) for i, c in enumerate(centres)])
     scored = F.transform(listed, lambda c: F.struct((-vec.cosine(query_vector, c["centre"])).alias("far"), c["cell"].alias("cell")))
     wanted = queries.select(
         F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"), F.explode(F.slice(F.array_sort(scored), 1, probes)).alias("_c")
     ).select("_q", "_qv", F.col("_c.cell").alias("cell"))
-    most = MAX_SHIPPED_BYTES // (8 * probes * max(1, len(centres[0])))
-    if queries.limit(most + 1).count() <= most:
-        wanted = F.broadcast(wanted)
     hits = index.join(wanted, "cell").select("_q", F.col(id).alias("_id"), F.round(vec.cosine(vector, "_qv"), _DIGITS).alias("similarity"))
     ranking = Window.partitionBy("_q").orderBy(F.desc("similarity"), "_id")
     return hits.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= k).select(
@@ -637,32 +649,43 @@ def attach_embeddings(
     """Encodes a text column with a caller's model.
 
     ``load`` returns the encoder and runs once per task. Each distinct text is
-    encoded once; blank texts give NULL; a failing batch is retried text by text,
-    and what still fails gives NULL.
+    encoded once; blank texts give NULL. A batch that fails, or gives another number
+    of vectors than it has texts, is retried text by text; what still fails gives NULL
+    and its reason in the column ``error``.
     """
-    distinct = df.select(F.col(text).alias("_t")).filter(F.trim("_t") != "").distinct()
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
+    distinct = df.where(F.trim(text) != "").select(key.alias("_k"), F.col(text).alias("_t")).groupBy("_k", "_t").agg(F.lit(1)).select("_k", "_t")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load()
 
-        def attempt(texts: list[str]) -> list[list[float] | None]:
+        def attempt(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
             try:
-                return list(encoder(texts))
+                found = list(encoder(texts))
+                if len(found) == len(texts):
+                    return [(v, None) for v in found]
             except Exception:  # one bad text must not lose the batch
-                return [retry(t) for t in texts]
+                pass
+            return [retry(t) for t in texts]
 
-        def retry(single: str) -> list[float] | None:
+        def retry(single: str) -> tuple[list[float] | None, str | None]:
+            reason = None
             for _ in range(retries):
                 try:
-                    return encoder([single])[0]
-                except Exception:
-                    continue
-            return None
+                    found = list(encoder([single]))
+                    if len(found) == 1:
+                        return found[0], None
+                    reason = f"{len(found)} vectors for one text"
+                except Exception as error:
+                    reason = f"{type(error).__name__}: {error}"
+            return None, reason
 
         for records in batches:
-            texts = records.column(0).to_pylist()
-            vectors = [v for start in range(0, len(texts), batch) for v in attempt(texts[start : start + batch])]
-            yield pa.RecordBatch.from_arrays([records.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["_t", name])
-
-    encoded = distinct.mapInArrow(encode, f"_t string, {name} array<float>")
-    return df.join(encoded, F.col(text) == F.col("_t"), "left").drop("_t")
+            texts = records.column("_t").to_pylist()
+            pairs = [p for start in range(0, len(texts), batch) for p in attempt(texts[start : start + batch])]
+            columns = [records.column("_k"), records.column("_t"), pa.array([v for v, _ in pairs], pa.list_(pa.float32())), pa.array([e for _, e in pairs], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_k", "_t", name, "error"])
+
+    encoded = distinct.mapInArrow(encode, f"_k struct<a: bigint, b: bigint>, _t string, {name} array<float>, error string")
+    # The hash is the key, so long texts are neither sorted nor hashed again; the text decides.
+    return df.withColumn("_own", key).join(encoded, (F.col("_own") == F.col("_k")) & (F.col(text) == F.col("_t")), "left").drop("_own", "_k", "_t")

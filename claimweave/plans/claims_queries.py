@@ -264,6 +264,8 @@ TOPICS = {
     "by_status": "SELECT claim_status, count(*) AS n FROM claims GROUP BY claim_status",
     "big_reserves": "SELECT claim_number FROM claims WHERE net_reserve > 5000",
     "broken": "SELECT no_such_column FROM claims",
+    "command": "CREATE OR REPLACE TEMP VIEW claims AS SELECT 1",
+    "nothing": "SELECT claim_number FROM claims WHERE net_reserve < 0 AND net_reserve > 0",
 }
 
 
@@ -272,7 +274,7 @@ TOPICS = {
     _sql(
         "SELECT 'by_status' AS topic, 'ok' AS status, count(DISTINCT claim_status) AS row_count FROM claims "
         "UNION ALL SELECT 'big_reserves', 'ok', count(*) FROM claims WHERE net_reserve > 5000 "
-        "UNION ALL SELECT 'broken', 'error', NULL"
+        "UNION ALL SELECT 'broken', 'error', NULL UNION ALL SELECT 'command', 'error', NULL UNION ALL SELECT 'nothing', 'ok', 0"
     ),
 )
 def run_topics(spark, sf_dir):

@@ -180,10 +180,13 @@ def file_category(spark, sf_dir):
 
 @REGISTRY.add(
     "d18_sample_positions",
-    "SELECT conv_id, turn, text FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n < 3 OR turn IN (0, n // 2, n - 1)",
+    "SELECT conv_id, turn, text FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE turn % 3 <> 1) "
+    "WHERE n < 3 OR i IN (0, n // 2, n - 1)",
 )
 def sample_positions(spark, sf_dir):
-    return ops.sample_positions(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "text")
+    """Without every third turn, so the index has gaps."""
+    turns = table(spark, sf_dir, "conversations").where("turn % 3 <> 1")
+    return ops.sample_positions(turns, "conv_id", "turn").select("conv_id", "turn", "text")
 
 
 _INPUTS = ["greece", " GR ", "UK", "Unknown", "hong kong", "Viet Nam", "republic of korea", ""]
