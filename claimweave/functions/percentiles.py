@@ -12,9 +12,6 @@ from pyspark.sql import Window
 from claimweave.session import cut_lineage
 
 ACCURACY = 10_000
-# At most this many groups (a few hundred bytes each) are shipped to every task.
-MAX_SHIPPED_GROUPS = 50_000
-_SMALL = 10 * ACCURACY
 _MARGIN = 4 / ACCURACY
 
 
@@ -33,9 +30,9 @@ def exact_percentiles(
     (its rank error is at most 1/ACCURACY of the group; the bracket is four times
     as wide), and the second pass counts only the values inside the bracket, so
     even a group holding a third of the table leaves under 0.1 % of its rows for
-    the final ranking. Groups of up to ten times ACCURACY rows take their whole
-    range as bracket. The first pass runs at once: its result, one row per group,
-    is pinned and counted, and shipped to the second pass when it is small.
+    the final ranking. The counts below and inside tell whether a rank really lies in
+    its bracket; the groups of which one does not are computed anew from all their
+    values. Both passes run at once and leave one row per group, which is pinned.
     """
     key_names = list(keys)
     fractions = list(percents.values())
@@ -43,26 +40,19 @@ def exact_percentiles(
     valued = df.withColumn("_x", value.cast("double"))
     first_pass = [
         F.count("_x").alias("_n"),
-        F.min("_x").alias("_min"),
-        F.max("_x").alias("_max"),
         F.percentile_approx("_x", cuts, ACCURACY).alias("_cut"),
         *extra,
     ]
     grouped = valued.groupBy(*key_names).agg(*first_pass) if key_names else valued.agg(*first_pass)
     sketch = cut_lineage(grouped)
-    outputs = [c for c in sketch.columns if c not in (*key_names, "_n", "_min", "_max", "_cut")]
-    small = F.col("_n") <= _SMALL
+    outputs = [c for c in sketch.columns if c not in (*key_names, "_n", "_cut")]
     bounds = []
     for i, p in enumerate(fractions):
-        bounds += [
-            F.when(small, F.col("_min")).otherwise(F.col("_cut")[2 * i]).alias(f"_lo{i}"),
-            F.when(small, F.col("_max")).otherwise(F.col("_cut")[2 * i + 1]).alias(f"_hi{i}"),
-            ((F.col("_n") - 1) * F.lit(p)).alias(f"_rank{i}"),
-        ]
-    # Without keys a constant stands in, so both cases are the same equi-join.
+        bounds += [F.col("_cut")[2 * i].alias(f"_lo{i}"), F.col("_cut")[2 * i + 1].alias(f"_hi{i}"), ((F.col("_n") - 1) * F.lit(p)).alias(f"_rank{i}")]
+    # Without keys a constant stands in, so both cases are the same equi-join; its one row is shipped.
     renamed = [F.col(k).alias(f"_k_{k}") for k in key_names]
     wanted = sketch.filter("_n > 0").select(*renamed, F.lit(0).alias("_k_one"), *bounds)
-    if not key_names or sketch.limit(MAX_SHIPPED_GROUPS + 1).count() <= MAX_SHIPPED_GROUPS:
+    if not key_names:
         wanted = F.broadcast(wanted)
     data = valued.filter("_x IS NOT NULL").select(*key_names, F.lit(0).alias("_one"), "_x")
     x, numbers = F.col("_x"), range(len(fractions))
@@ -103,17 +93,26 @@ def exact_percentiles(
         inside.withColumn("_after", after)
         .filter((F.col("_after") > F.floor("_rank")) & (F.col("_after") - F.col("_c") <= F.ceil("_rank")))
         .groupBy(*key_names, "_i", "_rank")
-        .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.bool_or(F.col("_v").isNull()).alias("_under"), F.max("_after").alias("_upto"))
+        # A rank under the bracket falls to the NULL value, one above it is not reached.
+        .filter(~F.col("_under") & (F.col("_upto") > F.ceil("_rank")))
         .withColumn("_p", F.col("_lo") + (F.col("_rank") - F.floor("_rank")) * (F.col("_hi") - F.col("_lo")))
     )
     found = hits.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key_names], F.lit(0).alias("_k_one")).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_p"))).alias(name) for i, name in enumerate(percents)]
     )
-    return (
-        sketch.withColumn("_one", F.lit(0))
-        .join(found, _same(key_names, "_k_") & (F.col("_one") == F.col("_k_one")), "left")
-        .select(*key_names, *outputs, *percents)
-    )
+    met = _same(key_names, "_k_") & (F.col("_one") == F.col("_k_one"))
+    result = cut_lineage(sketch.withColumn("_one", F.lit(0)).join(found, met, "left").select(*key_names, "_one", "_n", *outputs, *percents))
+    missed = result.filter("_n > 0").filter(reduce(lambda a, b: a | b, [F.col(name).isNull() for name in percents]))
+    if not missed.isEmpty():
+        keys_of = missed.select(*[F.col(k).alias(f"_k_{k}") for k in key_names], F.col("_one").alias("_k_one"))
+        again = (
+            data.join(keys_of, met)
+            .groupBy(*[F.col(f"_k_{k}") for k in key_names], "_k_one")
+            .agg(*[F.percentile("_x", p).alias(f"_again_{name}") for name, p in percents.items()])
+        )
+        result = result.join(again, met, "left").withColumns({name: F.coalesce(f"_again_{name}", name) for name in percents})
+    return result.select(*key_names, *outputs, *percents)
 
 
 def _same(keys: Sequence[str], prefix: str) -> Column:

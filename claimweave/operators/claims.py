@@ -103,8 +103,10 @@ def random_n(df: DataFrame, key: Sequence[str], n: int = 20, seed: int = 0) -> D
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """Distinct values of each column. The exact counts run over the distinct rows, so few rows are multiplied by columns."""
     count = F.approx_count_distinct if approx else F.count_distinct
-    return df.agg(*[count(F.col(c)).alias(f"n_{c}") for c in columns])
+    rows = df if approx else df.select(*columns).distinct()
+    return rows.agg(*[count(F.col(c)).alias(f"n_{c}") for c in columns])
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -81,10 +81,17 @@ def quote_offers(quotes: DataFrame) -> DataFrame:
     )
 
 
+def _left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join in which rows without a key meet nothing and so are not dealt by it."""
+    keyed = left.filter(F.col(key).isNotNull()).join(right, key, "left")
+    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key]
+    return keyed.unionByName(left.filter(F.col(key).isNull()).select("*", *added))
+
+
 def selection_view(selections: DataFrame, quotes: DataFrame) -> DataFrame:
     """Selections with their quote's response and offers."""
     quoted = quotes.select("quote_id", "quotation_response", _offers("quotation_response").alias("offers"))
-    return selections.join(quoted, "quote_id", "left")
+    return _left_join(selections, quoted, "quote_id")
 
 
 def selected_offer(selections: DataFrame, quotes: DataFrame, payments: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def selected_offer(selections: DataFrame, quotes: DataFrame, payments: DataFrame
     selection, then from the payment (cents / 100).
     """
     paid = payments.select(F.col("payment_intent_id").alias("payment_id"), "amount", F.col("currency").alias("_currency"))
-    joined = selection_view(selections, quotes).join(paid, "payment_id", "left")
+    joined = _left_join(selection_view(selections, quotes), paid, "payment_id")
     chosen = F.get(F.filter("offers", lambda o: o["id"] == F.col("selected_offer_id")), 0)
     found = F.col("_o").isNotNull()
     return joined.withColumn("_o", chosen).select(

@@ -346,7 +346,7 @@ def describe_item(df: DataFrame, layer: str, name: str = "description") -> DataF
 
 
 def comparison_view(benefits: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Existing benefits and existing conditions side by side."""
+    """Existing benefits and existing conditions side by side, in no order."""
     none = F.lit(None).cast("string")
     left = benefits.filter("benefit_exist").select(
         F.lit("benefit").alias("item_type"), F.col("benefit_name").alias("item_name"), "product_name",
@@ -356,7 +356,7 @@ def comparison_view(benefits: DataFrame, conditions: DataFrame) -> DataFrame:
         F.lit("condition").alias("item_type"), F.col("condition_name").alias("item_name"), "product_name",
         F.col("condition_exist").alias("exists"), none.alias("coverage_limit"), none.alias("sub_limits"), "parameters",
     )
-    return left.unionByName(right).orderBy("item_type", "item_name", "product_name")
+    return left.unionByName(right)
 
 
 def _eligibility(prefix: str) -> Column:
@@ -387,7 +387,7 @@ def scenario_view(benefits: DataFrame, benefit_conditions: DataFrame, max_condit
     parts = existing.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(max_conditions)).alias("_parts")).filter("_parts > 1")
     nested = (
         existing.join(parts, keys, "left")
-        .withColumn("part", F.pmod(F.xxhash64("condition_name"), F.coalesce("_parts", F.lit(1).cast("bigint"))))
+        .withColumn("part", F.conv(F.substring(F.md5("condition_name"), 1, 8), 16, 10).cast("bigint") % F.coalesce("_parts", F.lit(1).cast("bigint")))
         .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(F.struct("condition_name", "condition_type", "parameters", "original_text"))).alias("related_conditions"))
     )
@@ -427,9 +427,13 @@ def taxonomy_stats(products: DataFrame, conditions: DataFrame, benefits: DataFra
     return joined.drop("product_id").fillna(0)
 
 
-def comparison_matrix(view: DataFrame, products: Sequence[str], value: str = "coverage_limit") -> DataFrame:
-    """Items as rows, the given products as columns."""
-    return view.groupBy("item_type", "item_name").pivot("product_name", list(products)).agg(F.first(value, ignorenulls=True))
+def comparison_matrix(view: DataFrame, products: Sequence[str] | None = None, value: str = "coverage_limit") -> DataFrame:
+    """Items as rows, products as columns: those given, or else all there are.
+
+    Of several values of an item and product the largest counts.
+    """
+    grouped = view.groupBy("item_type", "item_name")
+    return (grouped.pivot("product_name") if products is None else grouped.pivot("product_name", list(products))).agg(F.max(value))
 
 
 def contains(df: DataFrame, column: str, path: str, value: str | int | float | bool) -> DataFrame:

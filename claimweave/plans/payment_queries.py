@@ -198,9 +198,11 @@ def payment_status_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     path = scratch_path(spark, "payment_status")
-    sink = stream.status_sink(webhook_events(source), known_payments(spark, sf_dir), f"{path}/deltas", f"{path}/checkpoint")
+    sink = stream.status_sink(webhook_events(source), f"{path}/statuses", f"{path}/checkpoint")
     sink.trigger(availableNow=True).start().awaitTermination()
-    return stream.current_status(spark, f"{path}/deltas")
+    stream.compact_status(spark, f"{path}/statuses")
+    # The payments are those of the time of reading, so events ahead of their payment count.
+    return stream.current_status(spark, f"{path}/statuses", known_payments(spark, sf_dir))
 
 
 @REGISTRY.add(

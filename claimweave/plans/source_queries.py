@@ -9,6 +9,7 @@ from claimweave.plans.registry import Registry
 from claimweave.plans.tables import claims_view, table
 from claimweave.plans.taxonomy_queries import _layers
 from claimweave.plans.taxonomy_tables import taxonomy_sql
+from claimweave.plans.text_queries import _CHARS, _filled
 from claimweave.session import scratch_path
 from claimweave.sources import readers, writers
 
@@ -113,8 +114,8 @@ def upsert(spark, sf_dir):
 
 @REGISTRY.add(
     "a08_ingest_files",
-    "SELECT 'text' AS category, CAST(sum(length(html) + 1) AS BIGINT) AS characters, CAST(0 AS BIGINT) AS errors FROM pages "
-    "UNION ALL SELECT 'spreadsheet', NULL, CAST(1 AS BIGINT)",
+    f"SELECT 'text' AS category, 'utf-8' AS encoding, CAST(sum(length(html) + 1) AS BIGINT) AS characters, CAST(sum({_filled(f'string_split_regex(html, {chr(39)}[{_CHARS}]+{chr(39)})')}) AS BIGINT) AS words, CAST(0 AS BIGINT) AS errors FROM pages "
+    "UNION ALL SELECT 'spreadsheet', NULL, NULL, NULL, CAST(1 AS BIGINT)",
 )
 def ingest_files(spark, sf_dir):
     """Pages as text files, and suppliers as a CSV file that has no text reader."""
@@ -122,7 +123,9 @@ def ingest_files(spark, sf_dir):
     table(spark, sf_dir, "pages").select("html").write.text(f"{path}/pages")
     table(spark, sf_dir, "supplier").coalesce(1).write.csv(f"{path}/suppliers")
     files = readers.ingest_files(spark, path, pattern="part-*")
-    return files.groupBy("category").agg(F.sum(F.length("text")).cast("bigint").alias("characters"), F.count("error").alias("errors"))
+    return files.groupBy("category", "encoding").agg(
+        F.sum(F.length("text")).cast("bigint").alias("characters"), F.sum("word_count").cast("bigint").alias("words"), F.count("error").alias("errors")
+    )
 
 
 def _csv(spark, sf_dir):

@@ -283,17 +283,15 @@ def eligibility_view(spark, sf_dir):
 
 @REGISTRY.add(
     "c13_scenario_view",
-    _WITH + "SELECT b.product_name, b.benefit_name, b.coverage_limit, b.original_text AS benefit_text, string_agg(bc.condition_name || '=' || coalesce(bc.condition_type, '?'), ',' ORDER BY bc.condition_name) AS related_conditions "
-    "FROM b LEFT JOIN bc ON b.product_name = bc.product_name AND b.benefit_name = bc.benefit_name AND bc.condition_exist WHERE b.benefit_exist GROUP BY ALL",
+    _WITH + ", kept AS (SELECT *, CAST(ceil(count(*) OVER (PARTITION BY product_name, benefit_name) / 2.0) AS BIGINT) AS parts FROM bc WHERE condition_exist), "
+    "placed AS (SELECT *, CAST('0x' || substr(md5(condition_name), 1, 8) AS BIGINT) % parts AS part FROM kept) "
+    "SELECT b.product_name, b.benefit_name, b.coverage_limit, b.original_text AS benefit_text, coalesce(part, 0) AS part, string_agg(p.condition_name || '=' || coalesce(p.condition_type, '?'), ',' ORDER BY p.condition_name) AS related_conditions "
+    "FROM b LEFT JOIN placed p ON b.product_name = p.product_name AND b.benefit_name = p.benefit_name WHERE b.benefit_exist GROUP BY ALL",
 )
 def scenario_view(spark, sf_dir):
-    view = ops.scenario_view(taxonomy_table(spark, sf_dir, "benefits"), taxonomy_table(spark, sf_dir, "benefit_conditions"))
+    view = ops.scenario_view(taxonomy_table(spark, sf_dir, "benefits"), taxonomy_table(spark, sf_dir, "benefit_conditions"), max_conditions=2)
     flat = F.array_join(F.transform("related_conditions", lambda c: F.concat_ws("=", c["condition_name"], F.coalesce(c["condition_type"], F.lit("?")))), ",")
-    return view.select("product_name", "benefit_name", "coverage_limit", "benefit_text", flat.alias("related_conditions"))
-
-
-def _with_ids(df, spark, sf_dir):
-    return df.join(_products(spark, sf_dir).withColumnRenamed("id", "product_id"), "product_name")
+    return view.select("product_name", "benefit_name", "coverage_limit", "benefit_text", "part", flat.alias("related_conditions"))
 
 
 def _count_kind(table_name: str, kind: str, name: str) -> str:
@@ -311,8 +309,10 @@ def _count_kind(table_name: str, kind: str, name: str) -> str:
     "LEFT JOIN bc ON p.product_name = bc.product_name AND bc.condition_exist GROUP BY p.product_name",
 )
 def taxonomy_stats(spark, sf_dir):
-    children = [_with_ids(taxonomy_table(spark, sf_dir, name), spark, sf_dir) for name in ("general_conditions", "benefits", "benefit_conditions")]
-    return ops.taxonomy_stats(_products(spark, sf_dir), *children)
+    """Counted by name; ids are not needed to count."""
+    named = lambda df: df.withColumn("product_id", F.col("product_name"))
+    children = [named(taxonomy_table(spark, sf_dir, name)) for name in ("general_conditions", "benefits", "benefit_conditions")]
+    return ops.taxonomy_stats(product_names(spark, sf_dir).withColumn("id", F.col("product_name")), *children)
 
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
@@ -326,7 +326,8 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
     "UNION ALL SELECT 'condition', condition_name, product_name, NULL FROM gc WHERE condition_exist) GROUP BY 1, 2",
 )
 def comparison_matrix(spark, sf_dir):
-    return ops.comparison_matrix(comparison_view(spark, sf_dir), BRANDS)
+    """The products come from the data; the other engine's list is written out."""
+    return ops.comparison_matrix(comparison_view(spark, sf_dir))
 
 
 @REGISTRY.add("c16_contains", "SELECT event_id, props FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 42")

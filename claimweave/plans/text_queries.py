@@ -114,25 +114,44 @@ REGISTRY.oracles["d11_script_language"] = (
 )
 
 
+# So few pieces to a part that most documents have several.
+_PARTS = 2
+
+
+@REGISTRY.add(
+    "d10_join_sections",
+    "WITH filled AS (SELECT conv_id, turn, turn // 2 AS part, text FROM conversations WHERE turn % 4 <> 2), "
+    "parts AS (SELECT conv_id, part, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM filled GROUP BY conv_id, part) "
+    "SELECT conv_id, part, CASE WHEN part = min(part) OVER (PARTITION BY conv_id) THEN '' ELSE chr(10) || chr(10) END || body AS text FROM parts",
+)
+def join_sections(spark, sf_dir):
+    """Turns as sections; every fourth one is blank."""
+    sections = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 != 2, F.col("text")).otherwise(F.lit(" \n")).alias("text"))
+    return ops.join_sections(sections, "conv_id", "turn", "text", per_part=_PARTS)
+
+
+_PIECE = "chr(10) || '---' || chr(10) || chr(10) || chr(10) || '## Page ' || (turn + 1) || chr(10) || chr(10) || " + _strip("text || ' ![](conv/page-' || lpad(CAST(turn AS VARCHAR), 3, '0') || '/images/0.jpg)'") + " || chr(10)"
+
+
 @REGISTRY.add(
     "d12_assemble_pages",
-    "SELECT conv_id, " + _strip(
-        "'# ' || conv_id || string_agg(chr(10) || '---' || chr(10) || chr(10) || chr(10) || '## Page ' || (turn + 1) || chr(10) || chr(10) || "
-        + _strip("text || ' ![](conv/page-' || lpad(CAST(turn AS VARCHAR), 3, '0') || '/images/0.jpg)'") + " || chr(10), '' ORDER BY turn)"
-    ) + " || chr(10) AS text FROM conversations GROUP BY conv_id",
+    f"WITH parts AS (SELECT conv_id, turn // {_PARTS} AS part, string_agg({_PIECE}, '' ORDER BY turn) AS body FROM conversations GROUP BY 1, 2), "
+    "ends AS (SELECT *, min(part) OVER (PARTITION BY conv_id) AS low, max(part) OVER (PARTITION BY conv_id) AS high FROM parts), "
+    "titled AS (SELECT *, CASE WHEN part = low THEN '# ' || conv_id ELSE '' END || body AS whole FROM ends) "
+    f"SELECT conv_id, part, CASE WHEN part = high THEN regexp_replace(whole, '[{_CHARS}]+$', '') || chr(10) ELSE whole END AS text FROM titled",
 )
 def assemble_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" ![](./images/0.jpg)")).alias("markdown"))
-    return ops.assemble_pages(pages, "conv_id", "turn", prefix="conv/").select("conv_id", "text")
+    return ops.assemble_pages(pages, "conv_id", "turn", prefix="conv/", per_part=_PARTS).select("conv_id", "part", "text")
 
 
 @REGISTRY.add(
     "d13_page_array",
-    "SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN '' ELSE text END, '|' ORDER BY turn) AS pages FROM conversations GROUP BY conv_id",
+    f"SELECT conv_id, turn // {_PARTS} AS part, string_agg(CASE WHEN role = 'assistant' THEN '' ELSE text END, '|' ORDER BY turn) AS pages FROM conversations GROUP BY 1, 2",
 )
 def page_array(spark, sf_dir):
     pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") != "assistant", F.col("text")).alias("text"))
-    return ops.page_array(pages, "conv_id", "turn").select("conv_id", F.array_join("pages", "|").alias("pages"))
+    return ops.page_array(pages, "conv_id", "turn", per_part=_PARTS).select("conv_id", "part", F.array_join("pages", "|").alias("pages"))
 
 
 @REGISTRY.add(
@@ -150,12 +169,14 @@ def strip_detections(spark, sf_dir):
 
 @REGISTRY.add(
     "d15_page_confidence",
-    f"SELECT doc_id AS doc, CAST(0 AS BIGINT) AS page, text, round(list_avg(list_transform({_LINES}, lambda l: (length(l) % 100) / 100.0)), 6) AS average_confidence FROM documents",
+    f"WITH lines AS (SELECT doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS i FROM documents) "
+    "SELECT doc_id AS doc, CAST(0 AS BIGINT) AS page, i // 5 AS part, string_agg(line, chr(10) ORDER BY i) AS text, "
+    "round(sum(sum((length(line) % 100) / 100.0)) OVER w / sum(count(*)) OVER w, 6) AS average_confidence FROM lines GROUP BY doc_id, i // 5 WINDOW w AS (PARTITION BY doc_id)",
 )
 def page_confidence(spark, sf_dir):
     lines = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"), F.lit(0).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     scored = lines.withColumn("confidence", (F.length("text") % 100) / F.lit(100.0))
-    return ops.page_confidence(scored).drop("part")
+    return ops.page_confidence(scored, per_part=5)
 
 
 @REGISTRY.add("d16_size_filter", "SELECT page_id, url FROM pages WHERE strlen(html) <= CAST(floor(0.002 * 1048576) AS BIGINT)")

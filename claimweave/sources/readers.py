@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweave.functions.lookups import file_category
+from claimweave.functions.text import script_language, text_stats
 from claimweave.operators.documents import size_filter
 
 _MONEY = T.DecimalType(10, 2)
@@ -106,20 +107,33 @@ def read_graph(spark: SparkSession, path: str, now: str, lines: bool = False) ->
 _TEXTUAL = ["text", "markup", "documentation", "code"]
 
 
+def _decoded(content: Column) -> Column:
+    """Bytes as text with the encoding found: by a byte-order mark, else UTF-8 if they are valid, else Latin-1."""
+    utf8 = F.try_validate_utf8(content.cast("string"))
+    mark = F.hex(F.substring(content, 1, 2))
+    return (
+        F.when(mark == "FFFE", F.struct(F.decode(F.substring(content, 3, 2147483647), "UTF-16LE").alias("text"), F.lit("utf-16").alias("encoding")))
+        .when(mark == "FEFF", F.struct(F.decode(F.substring(content, 3, 2147483647), "UTF-16BE").alias("text"), F.lit("utf-16").alias("encoding")))
+        .when(utf8.isNotNull(), F.struct(utf8.alias("text"), F.lit("utf-8").alias("encoding")))
+        .otherwise(F.struct(F.decode(content, "ISO-8859-1").alias("text"), F.lit("iso-8859-1").alias("encoding")))
+    )
+
+
 def ingest_files(spark: SparkSession, path: str, max_mb: float = 100, pattern: str = "*") -> DataFrame:
-    """Text-like files as rows; what cannot be read becomes a row with an ``error``.
+    """Text-like files as rows, with encoding, language and word count; what cannot be read becomes a row with an ``error``.
 
-    Sizes and categories come from the file listing. Bytes that are no UTF-8 are
-    replaced.
+    Sizes and categories come from the file listing.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     typed = files.withColumn("category", file_category("path"))
     too_large = F.col("length") > int(max_mb * 1024 * 1024)
     error = F.when(too_large, "file too large").when(~F.col("category").isin(*_TEXTUAL), F.concat(F.lit("no reader for "), "category"))
-    listed = typed.filter(error.isNotNull()).select("path", "category", "length", F.lit(None).cast("string").alias("text"), error.alias("error"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("text", "string"), ("encoding", "string"), ("language", "string"), ("word_count", "int"))]
+    listed = typed.filter(error.isNotNull()).select("path", "category", "length", *none, error.alias("error"))
     readable = size_filter(typed.filter(F.col("category").isin(*_TEXTUAL)), max_mb)
-    texts = readable.select("path", "category", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(None).cast("string").alias("error"))
-    return texts.unionByName(listed)
+    texts = readable.select("path", "category", "length", _decoded(F.col("content")).alias("_d")).select("path", "category", "length", "_d.*")
+    described = texts.withColumns({"language": script_language("text"), "word_count": text_stats("text")["word_count"].cast("int"), "error": F.lit(None).cast("string")})
+    return described.select(*listed.columns).unionByName(listed)
 
 
 def csv_text(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ be dropped and no watermark is needed for a right result.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -17,7 +18,7 @@ from claimweave.functions.ordered import previous_value
 STATUS_OF = {"checkout.session.completed": "completed", "checkout.session.expired": "expired"}
 
 _COLUMNS = ["payment_status", "session_id", "payment_intent", "ts", "event_id"]
-_DELTA = "payment_intent_id string, payment_status string, session_id string, payment_intent string, ts timestamp, event_id bigint, epoch bigint"
+_DELTA = "payment_intent_id string, payment_status string, session_id string, payment_intent string, ts timestamp, event_id bigint"
 
 
 def status_events(events: DataFrame) -> DataFrame:
@@ -73,30 +74,55 @@ def apply_status(payments: DataFrame, statuses: DataFrame) -> DataFrame:
     ).drop("_status", "_session", "_intent")
 
 
-def status_sink(events: DataFrame, payments: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+def status_sink(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """A stream writer that keeps the statuses as a table of deltas under ``path``.
 
-    Each micro-batch is folded to one row per payment, joined to the payments as
-    they are then, and written to its own ``epoch`` folder. A replayed batch
-    overwrites its folder, so the result is exactly-once; no state is held between
-    batches. Read with ``current_status``.
+    Each micro-batch is folded to one row per payment and written to its own ``epoch``
+    folder, whether the payment is known yet or not: an event may come ahead of its
+    payment. A replayed batch overwrites its folder, so the result is exactly-once; no
+    state is held between batches. Read with ``current_status``.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        known(latest_status(batch), payments).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        latest_status(batch).write.mode("overwrite").parquet(f"{path}/deltas/epoch={epoch}")
 
     return status_events(events).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def current_status(spark: SparkSession, path: str) -> DataFrame:
-    """Folds the deltas to one row per payment."""
-    deltas = spark.read.schema(_DELTA).option("recursiveFileLookup", "false").parquet(path)
-    return latest_status(deltas).withColumn("webhook_processed_at", F.col("ts"))
+def _read(spark: SparkSession, path: str, number: str) -> DataFrame:
+    schema = f"{_DELTA}, {number} bigint"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # nothing was written yet
 
 
-def compact_status(spark: SparkSession, path: str, target: str) -> None:
-    """Writes the fold of all deltas as the first one of a new folder."""
-    current_status(spark, path).drop("webhook_processed_at").write.parquet(f"{target}/epoch=-1")
+def _deltas(spark: SparkSession, path: str) -> tuple[DataFrame, int | None]:
+    """What a reader folds: the newest snapshot and the deltas after it, and the newest epoch."""
+    snapshots, deltas = _read(spark, f"{path}/snapshots", "upto"), _read(spark, f"{path}/deltas", "epoch")
+    upto = snapshots.agg(F.max("upto")).first()[0]
+    newest = deltas.agg(F.max("epoch")).first()[0]
+    later = deltas if upto is None else deltas.filter(F.col("epoch") > upto)
+    rows = later.drop("epoch") if upto is None else later.drop("epoch").unionByName(snapshots.filter(F.col("upto") == upto).drop("upto"))
+    return rows, newest if newest is not None and (upto is None or newest > upto) else None
+
+
+def current_status(spark: SparkSession, path: str, payments: DataFrame | None = None) -> DataFrame:
+    """One row per payment; with ``payments``, of those that exist by now. Without any batch there are none."""
+    found = latest_status(_deltas(spark, path)[0])
+    return (found if payments is None else known(found, payments)).withColumn("webhook_processed_at", F.col("ts"))
+
+
+def compact_status(spark: SparkSession, path: str) -> None:
+    """Folds all deltas so far into a snapshot, which readers use from then on.
+
+    Deltas up to it, and older snapshots, are not read any more and may be deleted.
+    """
+    rows, newest = _deltas(spark, path)
+    if newest is not None:
+        latest_status(rows).write.mode("overwrite").parquet(f"{path}/snapshots/upto={newest}")
 
 
 def status_changes(events: DataFrame, payments: DataFrame) -> DataFrame:

@@ -83,14 +83,12 @@ def test_keyword_is_literal(spark):
     assert ops.keyword_filter(df, "t", "medical").count() == 1
 
 
-@pytest.mark.parametrize("shipped", [10, 1])
+@pytest.mark.parametrize("margin", [4 / 100, 0.0, -0.05])
 @pytest.mark.parametrize("groups", [1, 3])
-def test_percentiles_from_brackets(spark, monkeypatch, groups, shipped):
-    """A tiny accuracy forces every group through the sketch brackets."""
-    monkeypatch.setattr(percentiles, "MAX_SHIPPED_GROUPS", shipped)
+def test_percentiles_from_brackets(spark, monkeypatch, groups, margin):
+    """A tiny accuracy gives wide brackets; without a margin, or with a negative one, they miss."""
     monkeypatch.setattr(percentiles, "ACCURACY", 100)
-    monkeypatch.setattr(percentiles, "_SMALL", 50)
-    monkeypatch.setattr(percentiles, "_MARGIN", 4 / 100)
+    monkeypatch.setattr(percentiles, "_MARGIN", margin)
     rng = np.random.default_rng(3)
     # A hot group, heavy ties and a NULL key.
     keys = rng.choice(["a", "a", "a", "b", None], 6000)

@@ -55,17 +55,22 @@ def test_stream_equals_batch_when_late_and_repeated(spark):
     spark.createDataFrame(rows[:half], EVENTS).repartition(3).write.parquet(f"{source}/a")
     source_dirs = f"{source}/*"
     events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source_dirs)
-    sink = lambda e: stream.status_sink(e, known, f"{out}/deltas", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    sink = lambda e: stream.status_sink(e, f"{out}/deltas", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    assert stream.current_status(spark, f"{out}/deltas", known).count() == 0  # before the first batch
     sink(events)
-    middle = stream.current_status(spark, f"{out}/deltas").collect()
+    assert stream.current_status(spark, f"{out}/deltas", known.limit(0)).count() == 0  # no payment is known yet
+    middle = stream.current_status(spark, f"{out}/deltas", known).collect()
+    stream.compact_status(spark, f"{out}/deltas")
+    assert sorted(stream.current_status(spark, f"{out}/deltas", known).collect()) == sorted(middle)
     assert {r["payment_intent_id"]: (r["payment_status"], r["session_id"]) for r in middle} == expected(rows[:half])
     spark.createDataFrame(rows[half:], EVENTS).repartition(2).write.parquet(f"{source}/b")
     # Restarts from the checkpoint and reads only what is new.
     sink(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source_dirs))
-    final = stream.current_status(spark, f"{out}/deltas").collect()
+    final = stream.current_status(spark, f"{out}/deltas", known).collect()
     assert {r["payment_intent_id"]: (r["payment_status"], r["session_id"]) for r in final} == expected(rows)
-    stream.compact_status(spark, f"{out}/deltas", f"{out}/compact")
-    assert sorted(stream.current_status(spark, f"{out}/compact").collect()) == sorted(final)
+    stream.compact_status(spark, f"{out}/deltas")
+    stream.compact_status(spark, f"{out}/deltas")  # nothing new
+    assert sorted(stream.current_status(spark, f"{out}/deltas", known).collect()) == sorted(final)
 
 
 def test_stateful_stream_in_update_mode(spark):

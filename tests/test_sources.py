@@ -60,7 +60,19 @@ def test_files(spark):
     write(folder, **{"a__txt": "grüße", "b__md": b"caf\xe9", "c__png": b"\x89PNG", "d__txt": "x" * 3000})
     rows = {os.path.basename(r["path"]): (r["category"], r["text"], r["error"]) for r in readers.ingest_files(spark, folder, max_mb=0.002).collect()}
     assert rows == {
-        "a.txt": ("text", "grüße", None), "b.md": ("text", "caf�", None), "c.png": ("image", None, "no reader for image"), "d.txt": ("text", None, "file too large")
+        "a.txt": ("text", "grüße", None), "b.md": ("text", "café", None), "c.png": ("image", None, "no reader for image"), "d.txt": ("text", None, "file too large")
+    }
+
+
+def test_encodings(spark):
+    folder = scratch_path(spark, "encodings")
+    os.makedirs(folder)
+    for name, data in {"a.txt": "\ufeffdrei Wörter hier".encode("utf-16-le"), "b.txt": b"\xfe\xff" + "zwei Wörter".encode("utf-16-be"), "c.txt": "ein Wörtchen mehr".encode("latin-1")}.items():
+        with open(f"{folder}/{name}", "wb") as file:
+            file.write(data)
+    rows = {os.path.basename(r["path"]): (r["text"], r["encoding"], r["language"], r["word_count"]) for r in readers.ingest_files(spark, folder).collect()}
+    assert rows == {
+        "a.txt": ("drei Wörter hier", "utf-16", "en", 3), "b.txt": ("zwei Wörter", "utf-16", "en", 2), "c.txt": ("ein Wörtchen mehr", "iso-8859-1", "en", 3)
     }
 
 

@@ -6,7 +6,7 @@ from claimweave.functions.ordered import dense_ids, previous_value
 from claimweave.operators import taxonomy as ops
 
 
-def test_grid_is_complete(spark, monkeypatch):
+def test_grid_is_complete(spark):
     values = spark.createDataFrame(
         [("c1", "exclusion", "p1", True, "old", 1), ("c1", "", "p1", True, "new", 2), ("c1", None, "gone", True, "x", 3),
          ("c2", None, "p2", True, "t", 4), ("odd", "eligibility", "p1", True, "t", 5), (None, "exclusion", "p1", True, "t", 6)],
@@ -24,8 +24,6 @@ def test_grid_is_complete(spark, monkeypatch):
     listed = grid()
     assert listed["c1", "p1"] == ("exclusion", True, "new") and listed["c1", "p2"] == ("exclusion", False, "")
     assert listed["c2", "p2"] == (None, True, "t") and listed["c3", "p1"] == (None, False, "")
-    monkeypatch.setattr(ops, "MAX_LISTED_PRODUCTS", 1)
-    assert grid() == listed
 
 
 def test_limits(spark):

@@ -67,13 +67,11 @@ def test_copies_are_linked_to_the_first(spark):
 
 @pytest.mark.parametrize("metric", ["cosine", "dot"])
 @pytest.mark.parametrize("shipped", [4096, 30, 5])
-def test_top_k_strategies_agree(spark, monkeypatch, metric, shipped):
+def test_top_k_strategies_agree(spark, metric, shipped):
     """Queries shipped; corpus shipped is not (30 < 200); both blocked."""
-    monkeypatch.setattr(ops, "MAX_SHIPPED", shipped)
-    monkeypatch.setattr(ops, "BLOCK_ROWS", 60)
     corpus, queries = clustered(5, 200), clustered(6, 20)
     corpus[50] = corpus[10]
-    found = ops.top_k(frame(spark, corpus), frame(spark, queries, id="query_id"), 7, metric=metric).collect()
+    found = ops.top_k(frame(spark, corpus), frame(spark, queries, id="query_id"), 7, metric=metric, max_shipped=shipped, block_rows=60).collect()
     a, b = queries.astype(float), corpus.astype(float)
     if metric == "cosine":
         a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
@@ -83,22 +81,19 @@ def test_top_k_strategies_agree(spark, monkeypatch, metric, shipped):
         assert mine == list(np.lexsort((np.arange(200), -s[q]))[:7])
 
 
-def test_top_k_with_a_small_corpus(spark, monkeypatch):
-    monkeypatch.setattr(ops, "MAX_SHIPPED", 50)
+def test_top_k_with_a_small_corpus(spark):
     corpus, queries = clustered(7, 30), clustered(8, 90)
-    found = ops.top_k(frame(spark, corpus), frame(spark, queries, id="query_id"), 3, threshold=0.5).collect()
+    found = ops.top_k(frame(spark, corpus), frame(spark, queries, id="query_id"), 3, threshold=0.5, max_shipped=50).collect()
     a, b = np.array([unit(x.astype(float)) for x in queries]), np.array([unit(x.astype(float)) for x in corpus])
     s = np.round(a @ b.T, 12)
     expected = {(q, i) for q in range(90) for i in np.lexsort((np.arange(30), -s[q]))[:3] if s[q][i] > 0.5}
     assert {(r["query_id"], r["id"]) for r in found} == expected
 
 
-def test_matrix_in_blocks(spark, monkeypatch):
+def test_matrix_in_blocks(spark):
     a, b = clustered(9, 40), clustered(10, 25)
     whole = {(r["id"], r["b"]): r["similarity"] for r in ops.similarity_matrix(frame(spark, a), frame(spark, b, id="b"), "id", "b").collect()}
-    monkeypatch.setattr(ops, "MAX_SHIPPED", 5)
-    monkeypatch.setattr(ops, "BLOCK_ROWS", 16)
-    blocked = {(r["id"], r["b"]): r["similarity"] for r in ops.similarity_matrix(frame(spark, a), frame(spark, b, id="b"), "id", "b").collect()}
+    blocked = {(r["id"], r["b"]): r["similarity"] for r in ops.similarity_matrix(frame(spark, a), frame(spark, b, id="b"), "id", "b", max_shipped=5, block_rows=16).collect()}
     assert len(whole) == 1000 and whole.keys() == blocked.keys()
     assert all(blocked[k] == pytest.approx(v) for k, v in whole.items())
 
@@ -131,10 +126,9 @@ def sequential(new, existing, t):
 
 
 @pytest.mark.parametrize("threshold,listed", [(0.95, 16), (0.7, 16), (0.7, 0), (0.4, 1)])
-def test_canonicalize_replays_the_visit(spark, monkeypatch, threshold, listed):
+def test_canonicalize_replays_the_visit(spark, threshold, listed):
     """``listed`` 0 never lists pairs; a small one mixes both ways."""
-    monkeypatch.setattr(ops, "BLOCK_ROWS", 50)
-    monkeypatch.setattr(ops, "MAX_PAIRS_PER_ROW", listed)
+    limits = {"block_rows": 50, "pairs_per_row": listed}
     vectors = clustered(11, 150)
     vectors[100] = vectors[3]
     vectors[101] = vectors[3]
@@ -143,9 +137,9 @@ def test_canonicalize_replays_the_visit(spark, monkeypatch, threshold, listed):
     schema = "name string, embedding array<float>"
     shuffled = spark.createDataFrame(new, schema).orderBy(F.xxhash64("name")).repartition(5)
     ordered = shuffled.withColumn("pos", F.when(F.col("name").startswith("n0") | F.col("name").startswith("n1"), F.substring("name", 2, 3).cast("int")).otherwise(F.when(F.col("name") == "zero", 900).otherwise(901)))
-    mine = {r["name"]: r["canonical"] for r in ops.canonicalize(ordered, spark.createDataFrame(old, schema), threshold).collect()}
+    mine = {r["name"]: r["canonical"] for r in ops.canonicalize(ordered, spark.createDataFrame(old, schema), threshold, **limits).collect()}
     assert mine == sequential(new, old, threshold)
-    alone = {r["name"]: r["canonical"] for r in ops.canonicalize(ordered, None, threshold).collect()}
+    alone = {r["name"]: r["canonical"] for r in ops.canonicalize(ordered, None, threshold, **limits).collect()}
     assert alone == sequential(new, [], threshold)
 
 
@@ -181,3 +175,23 @@ def test_embeddings_with_failures(spark):
     df = spark.createDataFrame([("aa",), ("bad",), ("  ",), (None,), ("aa",), ("bbb",)], "t string")
     rows = [(r["t"], r["embedding"]) for r in ops.attach_embeddings(df, "t", load).collect()]
     assert sorted(rows, key=str) == sorted([("aa", [2.0]), ("bad", None), ("  ", None), (None, None), ("aa", [2.0]), ("bbb", [3.0])], key=str)
+
+
+def test_ragged_vectors_are_an_error(spark):
+    ragged = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0])], "id int, embedding array<float>").coalesce(1)
+    with pytest.raises(Exception, match="different lengths"):
+        ops.top_k(ragged, ragged.withColumnRenamed("id", "query_id"), 1).collect()
+
+
+def test_embedding_errors_are_told(spark):
+    def load():
+        def encode(texts):
+            if "bad" in texts:
+                raise RuntimeError("no")
+            return [[1.0]] * (len(texts) - ("short" in texts))
+
+        return encode
+
+    df = spark.createDataFrame([("good",), ("bad",), ("short",), ("good",), ("",), (None,)], "t string").coalesce(1)
+    rows = sorted((str(r["t"]), r["embedding"], r["error"]) for r in ops.attach_embeddings(df, "t", load).collect())
+    assert rows == [("", None, None), ("None", None, None), ("bad", None, "RuntimeError: no"), ("good", [1.0], None), ("good", [1.0], None), ("short", None, "0 vectors for one text")]
