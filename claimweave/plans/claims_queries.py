@@ -63,6 +63,27 @@ _add("b02_row_count", _KEY, "SELECT count(*) AS exact_rows FROM claims")(ops.row
 _add("b03_first_n", _ALL, f"SELECT {_ALL_SQL} FROM claims ORDER BY {_ROW_TIE_SQL} LIMIT 10")(lambda df: ops.first_n(df, _ROW_TIE))
 _add("b04_random_n", _ALL)(lambda df: ops.random_n(df, _ROW_TIE))
 
+
+@REGISTRY.add("b04_random_n_properties", "SELECT least(count(*), 20) AS drawn, least(count(*), 20) AS members, least(count(*), 20) AS again FROM lineitem")
+def random_n_properties(spark, sf_dir):
+    """How many rows are drawn, how many of them are claims, and how many are drawn again from the claims in another order."""
+    claims = claims_view(spark, sf_dir)
+    drawn, again = ops.random_n(claims, _ROW_TIE), ops.random_n(claims.repartition(7), _ROW_TIE)
+    tagged = drawn.select("claim_number", F.lit("drawn").alias("t")).union(again.select("claim_number", F.lit("again").alias("t"))).union(claims.select("claim_number", F.lit("claim").alias("t")))
+    per = tagged.groupBy("claim_number").agg(*[F.count_if(F.col("t") == t).alias(t) for t in ("drawn", "again", "claim")])
+    both = lambda other: F.coalesce(F.sum(F.when(F.col(other) > 0, F.col("drawn"))), F.lit(0)).alias({"claim": "members"}.get(other, other))
+    return per.agg(F.sum("drawn").alias("drawn"), both("claim"), both("again"))
+
+
+_PROFILED = ["product_category", "claim_status", "closed_date", "net_paid", "loss_type"]
+_add(
+    "b01_profile_distinct",
+    _PROFILED,
+    " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS ordinal_position, '{c}' AS column_name, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM claims" for i, c in enumerate(_PROFILED, 1)
+    ),
+)(lambda df: ops.profile(df, "exact").select("ordinal_position", "column_name", "nulls", "distinct_values"))
+
 _DISTINCT = ["product_category", "product_name", "claim_status", "loss_type", "destination"]
 _add("b05_distinct_counts", _DISTINCT, "SELECT " + ", ".join(f"count(DISTINCT {c}) AS n_{c}" for c in _DISTINCT) + " FROM claims")(
     lambda df: ops.distinct_counts(df, _DISTINCT)

@@ -299,15 +299,14 @@ def _nodes_and_edges(spark, sf_dir):
     return concepts.select("id", "kind").unionByName(questions.select("id", "kind")), ops.qa_edges(questions)
 
 
-@REGISTRY.add("f18_valid_edges", _QA + _EDGES + f"SELECT source, target, type FROM raw_edges WHERE target IN (SELECT {_NODE_ID} FROM qa)")
+@REGISTRY.add("f18_valid_edges", _QA + _EDGES + f"SELECT source, target, type FROM raw_edges WHERE target IN (SELECT {_NODE_ID} FROM qa) OR target IN (SELECT source FROM raw_edges)")
 def valid_edges(spark, sf_dir):
     nodes, edges = _nodes_and_edges(spark, sf_dir)
     # Concept nodes may start an edge but are missing as targets, and every edge comes twice.
     starts = edges.select(F.col("source").alias("id")).distinct()
     questions = nodes.filter(F.col("kind") != "concept").select("id")
     both = edges.unionByName(edges)
-    kept = ops.valid_edges(starts.unionByName(questions), both)
-    return kept.join(questions.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "type")
+    return ops.valid_edges(starts.unionByName(questions), both).select("source", "target", "type")
 
 
 @REGISTRY.add(

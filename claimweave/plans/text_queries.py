@@ -92,7 +92,36 @@ def text_stats(spark, sf_dir):
 _document("d09_sentences", lambda c: F.array_join(fn.sentences(c), "|"), f"array_to_string({_SENTENCES}, '|')")
 
 
-@REGISTRY.add("d10_chunk")
+_CHUNKS = f"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, sents, list_transform(sents, lambda x: length(x)) AS lens FROM (SELECT doc_id, {_SENTENCES} AS sents FROM documents) WHERE len(sents) > 0
+), walk AS (
+    SELECT doc_id, 0 AS i, 0 AS b, 0 AS f, 0 AS head, 0 AS used, -1 AS cut_b, -1 AS cut_e FROM docs
+    UNION ALL
+    SELECT doc_id, i + 1, CASE WHEN NOT shut THEN b WHEN whole THEN b ELSE i - n END, CASE WHEN shut THEN i ELSE f END, CASE WHEN shut THEN fresh_head ELSE head END,
+           CASE WHEN shut THEN fresh_head ELSE used END + l, CASE WHEN shut THEN b ELSE -1 END, CASE WHEN shut THEN i ELSE -1 END
+    FROM (
+        SELECT *, CASE WHEN whole THEN head + tail + n ELSE tail + greatest(n - 1, 0) END AS fresh_head FROM (
+            SELECT *, n = i - f AND f > b AND tail + head <= 200 AS whole FROM (
+                SELECT *, CAST(coalesce(list_sum(lens[i - n + 1 : i]), 0) AS INTEGER) AS tail FROM (
+                    SELECT w.*, lens, CAST(lens[i + 1] AS INTEGER) AS l, b < i AND used + lens[i + 1] > 1000 AS shut,
+                           CAST(len(list_filter(range(f, i), lambda j: list_sum(lens[j + 1 : i]) <= 200)) AS INTEGER) AS n
+                    FROM walk w JOIN docs d ON d.doc_id = w.doc_id WHERE i < len(lens)
+                )
+            )
+        )
+    )
+), cuts AS (
+    SELECT doc_id, cut_b AS b, cut_e AS e FROM walk WHERE cut_b >= 0
+    UNION ALL SELECT w.doc_id, b, i FROM walk w JOIN docs d ON d.doc_id = w.doc_id WHERE i = len(lens)
+), texts AS (
+    SELECT cuts.doc_id, b, e, array_to_string(sents[b + 1 : e], ' ') AS text FROM cuts JOIN docs ON docs.doc_id = cuts.doc_id
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS chunk_index, text, length(text) AS char_count FROM texts WHERE length(text) >= 100
+"""
+
+
+@REGISTRY.add("d10_chunk", _CHUNKS)
 def chunk(spark, sf_dir):
     return ops.chunk(spread(table(spark, sf_dir, "documents")), ["doc_id"], "text")
 
@@ -101,7 +130,16 @@ def _letters(ranges: str) -> str:
     return f"length(regexp_replace(text, '[^{ranges}]', '', 'g'))"
 
 
-_SCRIPT_COUNTS = ", ".join(f"{_letters(ranges)} AS c{i}" for i, (ranges, _) in enumerate(fn._SCRIPTS))
+# Fixed values, written out again for the other engine: script ranges in order of precedence and their languages.
+_RANGES = [
+    (r"A-z\x{00C0}-\x{024F}", "en"),
+    (r"\x{4E00}-\x{9FFF}", "ch"),
+    (r"\x{3040}-\x{30FF}", "japan"),
+    (r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}", "korean"),
+    (r"\x{0600}-\x{06FF}\x{0750}-\x{077F}", "ar"),
+    (r"\x{0400}-\x{04FF}", "ru"),
+]
+_SCRIPT_COUNTS = ", ".join(f"{_letters(ranges)} AS c{i}" for i, (ranges, _) in enumerate(_RANGES))
 _document(
     "d11_script_language",
     fn.script_language,
@@ -109,7 +147,7 @@ _document(
 )
 REGISTRY.oracles["d11_script_language"] = (
     "SELECT doc_id, CASE WHEN c0 + c1 + c2 + c3 + c4 + c5 < 10 THEN 'en' "
-    + " ".join(f"WHEN c{i} = greatest(c0, c1, c2, c3, c4, c5) THEN '{code}'" for i, (_, code) in enumerate(fn._SCRIPTS))
+    + " ".join(f"WHEN c{i} = greatest(c0, c1, c2, c3, c4, c5) THEN '{code}'" for i, (_, code) in enumerate(_RANGES))
     + f" END AS result FROM (SELECT doc_id, {_SCRIPT_COUNTS} FROM documents)"
 )
 
