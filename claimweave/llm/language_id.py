@@ -25,7 +25,7 @@ BUCKETS = 1 << 15
 SMOOTHING = 0.5
 ROUNDS = 12
 # Texts are worked on together up to so many distinct trigrams.
-TOGETHER = 400_000
+TOGETHER = 100_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
