@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import os
 import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
@@ -32,8 +33,10 @@ class Encoder:
     vocabularies spans white space."""
 
     # Two generations of so many words: what was not met again while one filled is forgotten.
-    REMEMBERED = 500_000
+    REMEMBERED = 700_000
     LONGEST = 64
+    # Marks after plain letters are a token run of their own, and letters are lower-cased, so "The," is "the" and ",".
+    MARKS = b".,;:!?*#$%&"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,6 +47,14 @@ class Encoder:
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
 
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """The encoder of this Python worker: tasks that follow each other share what it remembers."""
+        store = sys.modules.setdefault("_packing_encoders", types.ModuleType("_packing_encoders")).__dict__
+        if path not in store:
+            store[path] = cls(path)
+        return store[path]
+
     def _learn(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
         found = [array("I", e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -52,22 +63,38 @@ class Encoder:
                 ids.byteswap()
         return [ids.tobytes() for ids in found]
 
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+        core = word.rstrip(self.MARKS)
+        return (core.lower(), word[len(core) :]) if core.isalpha() else (word,)
+
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         for text in texts:
             words = text.encode("utf-8", "replace").split()
             if len(self._known) > self.REMEMBERED:
-                self._older, self._known = self._known, {}
-            new = []
-            for word in set(words).difference(self._known):
-                if (ids := self._older.get(word)) is None:
-                    new.append(word)
+                self._older, self._known = self._known, {b"": b""}
+            known, older = self._known, self._older
+            known.setdefault(b"", b"")
+            once: dict[bytes, bytes] = {}
+            new = {}
+            for word in set(words).difference(known):
+                if (ids := older.get(word)) is None:
+                    new[word] = self._parts(word)
                 else:
-                    self._known[word] = ids
-            once = {}
-            for word, ids in zip(new, self._learn(new), strict=True) if new else ():
-                (self._known if len(word) <= self.LONGEST else once)[word] = ids
-            known = self._known
+                    known[word] = ids
+            if new:
+                atoms = []
+                for atom in {a for parts in new.values() for a in parts}.difference(known):
+                    if (ids := older.get(atom)) is None:
+                        atoms.append(atom)
+                    else:
+                        known[atom] = ids
+                for atom, ids in zip(atoms, self._learn(atoms), strict=True):
+                    (known if len(atom) <= self.LONGEST else once)[atom] = ids
+                for word, parts in new.items():
+                    if len(parts) > 1:
+                        ids = b"".join([known[a] if a in known else once[a] for a in parts])
+                        (known if len(word) <= self.LONGEST else once)[word] = ids
             yield b"".join([known[w] if w in known else once[w] for w in words] if once else map(known.__getitem__, words))
 
 
@@ -146,7 +173,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of_worker(tokenizer)
         next_id = TaskContext.get().partitionId() << 32
         rests: list[Piece] = []
         gathered = 0
