@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import NO_ID, WORD
+from claimweave.llm.common import NO_ID, WORD, pinned
 
 # The rolling hash: h[i] + B h[i-1] + B^2 h[i-2] modulo a prime, of 32-bit line hashes; it stays below 2^63.
 BASE = 31337
@@ -86,7 +86,8 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     light = docs.where(F.col("text").isNotNull()).select(*_keys(), F.explode(_let(_lines(F.col("text")), found)).alias("c")).select("ord", "th", "c.*")
     place = F.struct("ord", "th", "start")
     first = light.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times")
-    met = light.join(first, ["h1", "h2"]).withColumn("is_first", place == F.col("first"))
+    # Written out, so both sides of the join are plain and adaptive execution can split a chunk that is everywhere.
+    met = light.join(pinned(first, "line-first"), ["h1", "h2"]).withColumn("is_first", place == F.col("first"))
 
     # Only now are bytes fetched, of the chunks whose hash occurs again.
     asked = met.groupBy("ord", "th").agg(F.collect_set(F.struct("h1", "h2", "start", "n", "is_first")).alias("asked"))
