@@ -2,7 +2,7 @@
 
 1. Equal sets are one node. A global order puts the commonest shingles last; a set's first few
    shingles in that order are such that two similar sets share one of them.
-2. Nodes whose smallest shared shingle agrees form a group. The matrix, from shingles to the
+2. Nodes that agree in one of their shared shingles form a group. The matrix, from shingles to the
    groups that hold them, names for each node the few groups it could be similar to.
 3. A group's task holds the union of its members' shingles. It bounds what a query shares with
    any member, opens the group only if that can be enough, and then counts the overlap with
@@ -25,15 +25,16 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import NO_ID, pinned
 from claimweave.llm.components import components
 
-# Shingles counted as common come from one document in so many, and are so many at most: half a megabyte.
+# Shingles counted as common come from one text in so many, and are so many at most: two megabytes.
 SAMPLE = 16
-COMMON = 1 << 16
-_COMMON_TIMES = 4
+COMMON = 1 << 18
+_COMMON_TIMES = 3
 # Members of a group that one task holds.
 BLOCK = 512
 # Pairs of node and group that are looked at together.
-_PAIRS = 1 << 20
-_CLASS_BITS = 6  # of a packed shingle, below the sign
+_PAIRS = 1 << 18
+# A packed shingle: the sign, six bits of class, and the hash.
+_CLASS_SHIFT = 57
 
 
 class Shingles:
@@ -82,10 +83,10 @@ def _needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
 
 def _first(shingles: np.ndarray, common: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     """The set's first shingles in the global order: class, then hash, packed into one number."""
-    packed = shingles >> np.uint64(_CLASS_BITS + 1)
+    packed = shingles >> np.uint64(64 - _CLASS_SHIFT)
     if len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        packed = packed | np.where(common[at] == shingles, classes[at], np.uint64(0)) << np.uint64(64 - _CLASS_BITS - 1)
+        packed = packed | np.where(common[at] == shingles, classes[at], np.uint64(0)) << np.uint64(_CLASS_SHIFT)
     count = len(shingles) - int(_needed(len(shingles), percent)) + 1
     return np.partition(packed, count - 1)[:count].astype(np.int64) if count < len(packed) else packed.astype(np.int64)
 
@@ -107,10 +108,12 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             found, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
             yield _record({"shingle": (found.view(np.int64), pa.int64()), "times": (times, pa.int64())})
 
-    counted = texts.where(F.pmod(F.col("k"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(count, "shingle bigint, times bigint")
-    top = counted.groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= _COMMON_TIMES).orderBy(F.desc("times"), "shingle").limit(COMMON).collect()
-    shingles = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    classes = np.array([min(31, r[1].bit_length()) for r in top], np.uint64)
+    # Copies of a text count once, or a few large groups of copies would fill the list.
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    counted = drawn.mapInArrow(count, "shingle bigint, times bigint").groupBy("shingle").agg(F.sum("times").alias("times"))
+    top = counted.where(F.col("times") >= _COMMON_TIMES).orderBy(F.desc("times"), "shingle").limit(COMMON).toPandas()
+    shingles = top["shingle"].to_numpy(np.int64).view(np.uint64)
+    classes = np.minimum(31, np.frexp(top["times"].to_numpy(np.float64))[1]).astype(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], classes[order]
 
@@ -319,8 +322,10 @@ def _grouped(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("ord"), pa.array(nodes, pa.int64()), pa.array(list(map(len, sets)), pa.int64())], ["k", "ord", "node", "n"])
 
     named = pinned(texts.mapInArrow(name, "k bigint, ord bigint, node bigint, n bigint"), "jaccard-nodes")
+    # The commonest class of a set's tokens is what a crowd of variants has in common; rarer ones come from their edits.
     # Sizes within a tenth of each other share a group, so its bound is sharp.
-    group = F.xxhash64(F.array_min("tokens"), F.floor(F.log("n") * 10))
+    commonest = F.filter("tokens", lambda t: F.shiftright(t, _CLASS_SHIFT) == F.shiftright(F.array_max("tokens"), _CLASS_SHIFT))
+    group = F.xxhash64(F.array_min(commonest), F.floor(F.log("n") * 10))
     shared = pinned(_shared_tokens(texts, width, percent, _common(texts, width)).withColumn("g", group), "jaccard-shared")
     visits = pinned(_visits(shared, percent), "jaccard-visits")
     # Only groups that someone must visit are opened.
