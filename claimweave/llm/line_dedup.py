@@ -3,6 +3,8 @@
 A rolling hash over the hashes of three lines chooses where a chunk ends, so a passage is cut
 alike wherever it stands, whatever was inserted before it. Chunks of two or more lines with
 words that occur again anywhere are removed, but for the first, after their bytes were compared.
+With ``passages`` every two neighbouring lines with words take the place of a chunk, so each run
+of two or more that stands earlier goes in full, wherever it begins and ends.
 
 Column functions only. Text moves twice: once to fetch the bytes of repeated chunks, once to
 rebuild the documents; everything between works on hashes, positions and ids.
@@ -51,6 +53,19 @@ def chunks(lines: Column, divisor: int = DIVISOR) -> Column:
     return _let(_let(hashes, ends), cut)
 
 
+def windows(lines: Column, min_lines: int = MIN_LINES) -> Column:
+    """Every ``min_lines`` lines with words that follow each other, with the lines between them, as ``chunks`` gives them.
+
+    A window depends on its own lines alone, so a repeated run of that many lines is all made of repeated windows.
+    """
+
+    def paired(worded: Column) -> Column:
+        spans = F.transform(worded, lambda i, k: F.struct(i.alias("start"), (F.get(worded, k + (min_lines - 1)) - i + 1).alias("n")))
+        return F.filter(spans, lambda c: c["n"].isNotNull())
+
+    return _let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD)), paired)
+
+
 def _keys() -> list[Column]:
     """A document is known by its id and its text; rows that repeat both are one document."""
     return [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("ord"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th")]
@@ -64,17 +79,19 @@ def _piece(lines: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, n), "\n")
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, hash_bits: int = 64) -> DataFrame:
+def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, hash_bits: int = 64, passages: bool = False) -> DataFrame:
     """The chunks to remove: ``ord``, ``th``, ``start`` and ``n`` of every occurrence but the first.
 
     The first is the one with the smallest (id, text hash, line); ids that are null come last.
+    With ``passages`` the chunks are the overlapping ``windows``, and ``divisor`` has no effect.
     ``hash_bits`` narrows the hashes that find candidates, for tests: a chunk whose hash meets
     another's but whose bytes differ is never removed.
     """
     with_words = lambda lines: F.size(F.filter(lines, lambda x: x.rlike(WORD))) >= min_lines
 
     def found(lines: Column) -> Column:
-        texts = F.transform(chunks(lines, divisor), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.slice(lines, c["start"] + 1, c["n"]).alias("lines")))
+        cut = windows(lines, min_lines) if passages else chunks(lines, divisor)
+        texts = F.transform(cut, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.slice(lines, c["start"] + 1, c["n"]).alias("lines")))
         several = F.filter(texts, lambda c: (c["n"] >= min_lines) & with_words(c["lines"]))
 
         def hashed(c: Column) -> Column:
@@ -107,10 +124,14 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     Columns: ``row`` (the document as it came, so its columns cannot clash), ``kept_text``,
     ``n_lines`` and ``n_removed`` (lines). A null text stays null and has no lines; an empty
     text has one line. Rows that repeat id and text are one document and all fare alike. An
-    empty table gives no rows.
+    empty table gives no rows. With ``passages=True`` a line goes if it lies in ``min_lines``
+    lines with words (and any blank ones between them) that also start earlier: in a document
+    before this one, or above in the same one.
     """
     cuts = repeated_chunks(docs, **options).groupBy("ord", "th").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("cuts"))
-    rows = docs.select(F.struct("*").alias("row"), *_keys()).join(cuts, ["ord", "th"], "left")
+    # Windows overlap; each ends where the next removed one begins, which ends no earlier.
+    apart = F.transform("cuts", lambda c, k: F.struct(c["start"].alias("start"), F.least(c["n"], F.get(F.col("cuts"), k + 1)["start"] - c["start"]).alias("n")))
+    rows = docs.select(F.struct("*").alias("row"), *_keys()).join(cuts.withColumn("cuts", apart), ["ord", "th"], "left")
 
     def rebuilt(lines: Column) -> Column:
         def between(k: Column) -> Column:

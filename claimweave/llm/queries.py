@@ -56,6 +56,34 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("kept_text"), F.lit("")), 256).alias("kept_sha256"))
 
 
+_OP1_PASSAGES_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
+    FROM documents WHERE text IS NOT NULL
+), worded AS (
+    SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), windows AS (
+    SELECT w.doc_id, w.i AS start, w.next AS last, array_to_string(string_split(d.text, chr(10))[w.i + 1 : w.next + 1], chr(10)) AS body
+    FROM worded w JOIN documents d ON d.doc_id = w.doc_id WHERE w.next IS NOT NULL
+), ranked AS (
+    SELECT doc_id, start, last, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) > 1 AS removed FROM windows
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(start, last + 1)) AS i FROM ranked WHERE removed
+), rebuilt AS (
+    SELECT l.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS kept
+    FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN rebuilt ON d.doc_id = rebuilt.doc_id
+"""
+
+
+@query("op1_line_passages", _OP1_PASSAGES_SQL)
+def op1_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), passages=True)
+    return left.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("kept_text"), F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

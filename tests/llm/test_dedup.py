@@ -82,6 +82,42 @@ def test_lines_compare_bytes(spark):
     assert set(narrow.collect()) <= set(full.collect())
 
 
+def brute_passages(rows):
+    """Repeated runs of lines with words, grown from every pair of places to both sides; no chunks, no windows."""
+    places = [(key, i, line) for key in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0)) for i, line in enumerate(key[1].split("\n"))]
+    gone = set()
+    for a, b in itertools.combinations(range(len(places)), 2):
+        fits = lambda n: b + n < len(places) and places[a + n][0] == places[a][0] and places[b + n][0] == places[b][0] and places[a + n][2] == places[b + n][2]
+        if not fits(0) or (a and places[a - 1][0] == places[a][0] and places[b - 1][0] == places[b][0] and places[a - 1][2] == places[b - 1][2]):
+            continue
+        run = next(n for n in itertools.count() if not fits(n))
+        worded = [b + n for n in range(run) if words(places[b + n][2])]
+        if len(worded) > 1:
+            gone.update(range(worded[0], worded[-1] + 1))
+    out = {r: None if r[1] is None else [] for r in rows}
+    for at, (key, _, line) in enumerate(places):
+        if at not in gone:
+            out[key].append(line)
+    return {r: None if kept is None else "\n".join(kept) for r, kept in out.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_match_brute_force(spark, seed):
+    """Runs of two to five long lines between lines of their own, with blank ones; none of usual length is missed."""
+    rng = random.Random(seed)
+    lines = [" ".join(f"word{rng.randint(0, 99)}" for _ in range(30)) + f" {i}" for i in range(30)] + ["", " \t"]
+    shared = [rng.choices(lines, k=rng.randint(2, 5)) for _ in range(6)]
+    rows = [(i, "\n".join([f"head {i}"] * rng.randint(0, 2) + rng.choice(shared) + [""] * rng.randint(0, 1) + [f"own {i}"] * rng.randint(0, 1) + rng.choice(shared))) for i in range(40)]
+    rows += [(50, "a a\na a\na a\na a"), (51, "a a\n\na a"), *[(100 + i if r[0] is not None else None, r[1]) for i, r in enumerate(ROWS)]]
+    got = line_dedup.dedup_lines(frame(spark, [(a, b, None, None) for a, b in rows]), passages=True).select("row.doc_id", "row.text", "kept_text", "n_removed", "n_lines").collect()
+    want = brute_passages(rows)
+    assert len(got) == len(rows)
+    assert sum(r.n_removed for r in got) > 150
+    for r in got:
+        assert r.kept_text == want[r.doc_id, r.text]
+        assert r.n_removed == r.n_lines - (r.kept_text.count("\n") + 1 if r.kept_text else 0) or not r.kept_text
+
+
 def test_lines_empty(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
