@@ -305,7 +305,7 @@ def repeated_runs(texts: DataFrame, firsts: DataFrame, length: int = LENGTH, hot
         out: list[tuple[int, int, int]] = []
         pending: list[bytes] = []  # different segments of keys that have several, in order
         places: list[tuple[int, int]] = []
-        seen: dict[bytes, None] = {}
+        seen: dict[bytes, tuple[int, int]] = {}  # the place of each; a row that repeats may bring it again from another task
         spots: list[tuple[int, int]] = []
         current, inside = None, False
 
@@ -337,9 +337,10 @@ def repeated_runs(texts: DataFrame, firsts: DataFrame, length: int = LENGTH, hot
                     seen, spots, current, inside = {}, [], key, False
                 inside = inside or inner
                 if piece in seen:
-                    out.append((k, start, size))
+                    if seen[piece] != (k, start):
+                        out.append((k, start, size))
                 else:
-                    seen[piece] = None
+                    seen[piece] = (k, start)
                     spots.append((k, start))
             if out:
                 yield _rows([list(c) for c in zip(*out, strict=True)], [(c, pa.int64()) for c in ("k", "start", "size")])

@@ -149,6 +149,29 @@ def test_bytes_match_brute_force(spark, hot):
     assert found == sorted((str(a), len((b or "").encode()), *want[a, b]) for a, b in rows)
 
 
+@pytest.mark.parametrize("hot", [8192, 3])
+def test_bytes_repeated_rows_apart(spark, tmp_path, hot):
+    """Rows that repeat the first occurrence, each in a task of its own, are not their own earlier copies."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(1, "one " + passage), (2, "two " + passage + " end"), (1, "one " + passage), (3, passage[50:250]), (1, "one " + passage), (2, "two " + passage + " end")]
+    for i, row in enumerate(rows):
+        frame(spark, [(*row, None, None)], clash=False).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    apart = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "1g"}
+    before = {key: spark.conf.get(key, None) for key in apart}
+    try:
+        for key, value in apart.items():
+            spark.conf.set(key, value)
+        docs = spark.read.parquet(*[f"{tmp_path}/{i}" for i in range(len(rows))])
+        assert docs.rdd.getNumPartitions() >= len(rows)
+        got = suffix_dedup.dedup_bytes(docs, hot=hot).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    want = brute_bytes(rows, 100)
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got) == sorted((a, want[a, b][0]) for a, b in rows)
+
+
 def test_longest_previous_factor():
     rng = random.Random(7)
     for _ in range(20):
