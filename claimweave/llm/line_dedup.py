@@ -79,11 +79,12 @@ def _piece(lines: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, n), "\n")
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, hash_bits: int = 64, passages: bool = False) -> DataFrame:
+def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, hash_bits: int = 64, passages: bool = False, copies: bool = False) -> DataFrame:
     """The chunks to remove: ``ord``, ``th``, ``start`` and ``n`` of every occurrence but the first.
 
     The first is the one with the smallest (id, text hash, line); ids that are null come last.
     With ``passages`` the chunks are the overlapping ``windows``, and ``divisor`` has no effect.
+    With ``copies`` a whole text is a chunk too, with hashes of its own, so it meets whole texts.
     ``hash_bits`` narrows the hashes that find candidates, for tests: a chunk whose hash meets
     another's but whose bytes differ is never removed.
     """
@@ -94,11 +95,14 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
         texts = F.transform(cut, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.slice(lines, c["start"] + 1, c["n"]).alias("lines")))
         several = F.filter(texts, lambda c: (c["n"] >= min_lines) & with_words(c["lines"]))
 
-        def hashed(c: Column) -> Column:
-            text = F.array_join(c["lines"], "\n")
-            return F.struct(c["start"].alias("start"), c["n"].alias("n"), F.shiftright(F.xxhash64(text), 64 - hash_bits).alias("h1"), F.shiftright(F.xxhash64(F.lit(1), text), 64 - hash_bits).alias("h2"))
+        def hashed(start: Column, n: Column, text: Column, *seeds: Column) -> Column:
+            return F.struct(start.alias("start"), n.alias("n"), F.shiftright(F.xxhash64(*seeds, text), 64 - hash_bits).alias("h1"), F.shiftright(F.xxhash64(F.lit(1), *seeds, text), 64 - hash_bits).alias("h2"))
 
-        return F.transform(several, hashed)
+        out = F.transform(several, lambda c: hashed(c["start"], c["n"], F.array_join(c["lines"], "\n")))
+        if copies:
+            whole = F.array(hashed(F.lit(0), F.size(lines), F.array_join(lines, "\n"), F.lit(2)))
+            out = F.concat(out, F.filter(whole, lambda c: with_words(lines)))
+        return out
 
     light = docs.where(F.col("text").isNotNull()).select(*_keys(), F.explode(_let(_lines(F.col("text")), found)).alias("c")).select("ord", "th", "c.*")
     place = F.struct("ord", "th", "start")
@@ -126,12 +130,17 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     text has one line. Rows that repeat id and text are one document and all fare alike. An
     empty table gives no rows. With ``passages=True`` a line goes if it lies in ``min_lines``
     lines with words (and any blank ones between them) that also start earlier: in a document
-    before this one, or above in the same one.
+    before this one, or above in the same one. With ``copies=True`` later copies of a whole text
+    with ``min_lines`` lines with words lose all their lines.
     """
     cuts = repeated_chunks(docs, **options).groupBy("ord", "th").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("cuts"))
     # Windows overlap; each ends where the next removed one begins, which ends no earlier.
     apart = F.transform("cuts", lambda c, k: F.struct(c["start"].alias("start"), F.least(c["n"], F.get(F.col("cuts"), k + 1)["start"] - c["start"]).alias("n")))
-    rows = docs.select(F.struct("*").alias("row"), *_keys()).join(cuts.withColumn("cuts", apart), ["ord", "th"], "left")
+    # A cut of all lines makes the others needless.
+    longest = F.array_max(F.col("cuts")["n"])
+    rows = docs.select(F.struct("*").alias("row"), *_keys()).join(cuts.withColumn("longest", longest).withColumn("cuts", apart), ["ord", "th"], "left")
+    every = F.col("longest") == F.size(_lines(F.col("row.text")))
+    rows = rows.withColumn("cuts", F.when(every, F.array(F.struct(F.lit(0).alias("start"), F.col("longest").alias("n")))).otherwise(F.col("cuts")))
 
     def rebuilt(lines: Column) -> Column:
         def between(k: Column) -> Column:

@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup (1): texts lose repeated chunks of lines; documents of which no word is left go."""
-    left = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
+    """Line dedup (1): texts lose repeated chunks of lines; later copies of texts with several lines, and documents of which no word is left, go."""
+    left = line_dedup.dedup_lines(docs, copies=True).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
     changed = F.col("n_removed") > 0
     columns = {c: F.col("row")[c] for c in docs.columns}
     columns["text"] = F.col("kept_text")

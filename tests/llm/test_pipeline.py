@@ -57,6 +57,17 @@ def test_stages(spark, tmp_path):
     check_pieces(pieces, want, 4096)
 
 
+def test_copies_leave_no_fragment(spark):
+    """By chunks alone several of these copies would leave the lines of chunks that are one line long."""
+    texts = ["\n".join(f"line {j} of text {i}" for j in range(2 + i % 7)) + "\n" * (i % 2) for i in range(20)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(100 + i, t, "en", "s") for i, t in enumerate(texts)] + [(200, "one line only", "en", "s"), (201, "one line only", "en", "s"), (None, texts[3], "en", "s")]
+    rows += [(2, texts[2], "en", "s"), (102, texts[2], "en", "s")]
+    chunks = brute_lines([r[:2] for r in rows])
+    assert sum(bool(words(chunks[100 + i, t])) for i, t in enumerate(texts)) > 5
+    got = corpus_pipeline.lines(spark, frame(spark, rows), "unused").select("doc_id", "text", "n_chars").collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in got) == sorted((a, t, len(t)) for a, t in [*enumerate(texts), (2, texts[2]), (200, "one line only"), (201, "one line only")])
+
+
 def test_empty_table(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
