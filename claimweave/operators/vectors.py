@@ -607,28 +607,57 @@ def ann_top_k(
     centres: Sequence[Sequence[float]],
     queries: DataFrame,
     k: int,
-    probes: int = 10,
+    probes: int | None = None,
     id: str = "id",
     vector: str = "embedding",
     query_id: str = "query_id",
     query_vector: str = "embedding",
+    first: int = 10,
 ) -> DataFrame:
-    """Approximate top ``k``: the nearest ``probes`` cells of each query, ranked exactly.
+    """Top ``k`` of each query from the cells near it, ranked exactly.
+
+    Without ``probes`` nothing is missed: after the nearest ``first`` cells every other one is read
+    that may hold a vector as close as the k-th found, by its centre and its widest angle. On
+    vectors without clusters that is nearly all of them. With ``probes`` only so many cells are
+    read, and the result is approximate.
 
     The join is on the cell; adaptive execution ships few queries and splits an overfull cell.
     """
     listed = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(x) for x in c]).alias("centre")) for i, c in enumerate(centres)])
     scored = F.transform(listed, lambda c: F.struct((-vec.cosine(query_vector, c["centre"])).alias("far"), c["cell"].alias("cell")))
     wanted = queries.select(
-        F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"), F.explode(F.slice(F.array_sort(scored), 1, probes)).alias("_c")
-    ).select("_q", "_qv", F.col("_c.cell").alias("cell"))
-    hits = index.join(wanted, "cell").select("_q", F.col(id).alias("_id"), F.round(vec.cosine(vector, "_qv"), _DIGITS).alias("similarity"))
+        F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"), F.posexplode(F.array_sort(scored) if probes is None else F.slice(F.array_sort(scored), 1, probes)).alias("_n", "_c")
+    ).select("_q", "_qv", "_n", F.col("_c.cell").alias("cell"), F.col("_c.far").alias("_far"))
     ranking = Window.partitionBy("_q").orderBy(F.desc("similarity"), "_id")
-    return hits.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= k).select(
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= k)
+
+    def found(cells: DataFrame) -> DataFrame:
+        return index.join(cells.select("_q", "_qv", "cell"), "cell").select("_q", F.col(id).alias("_id"), F.round(vec.cosine(vector, "_qv"), _DIGITS).alias("similarity"))
+
+    if probes is None:
+        near = cut_lineage(ranked(found(wanted.filter(F.col("_n") < first))).drop("rank"))
+        hits = near.unionByName(found(_within_bound(index, listed, wanted.filter(F.col("_n") >= first), near, k, vector)))
+    else:
+        hits = found(wanted)
+    return ranked(hits).select(
         F.col("_q").alias(query_id), F.col("_id").alias(id), "similarity", F.col("rank").cast("bigint").alias("rank")
     )
 
 
+def _within_bound(index: DataFrame, listed: Column, cells: DataFrame, near: DataFrame, k: int, vector: str) -> DataFrame:
+    """The ``cells`` of each query that may hold a vector as close as the k-th in ``near``, by the triangle inequality of angles."""
+    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+    centre = F.element_at(listed, F.col("cell") + 1)["centre"]
+    # A centre without direction has no angles; such a cell is always read.
+    widest = index.groupBy("cell").agg(angle(F.min(vec.cosine(vector, centre))).alias("_wide"))
+    floor = near.groupBy("_q").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("_floor"))
+    best = F.cos(F.greatest(F.lit(0.0), angle(-F.col("_far")) - F.col("_wide")))
+    ruled_out = best < F.col("_floor") - F.lit(1e-6)  # well above what rounding makes of an angle
+    return cells.join(widest, "cell").join(floor, "_q", "left").filter(~F.coalesce(ruled_out & F.col("_far").isNotNull() & F.col("_wide").isNotNull(), F.lit(False)))
+
+
 def recall(exact: DataFrame, approximate: DataFrame, query_id: str = "query_id", id: str = "id") -> DataFrame:
     """Share of the exact hits that the approximate search found, per query."""
     found = approximate.select(query_id, id, F.lit(1).alias("_hit"))

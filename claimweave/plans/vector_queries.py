@@ -191,6 +191,16 @@ def ann_recall(spark, sf_dir):
     return share.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reaches_floor"))
 
 
+@REGISTRY.add("e10_ann_recall_rows", "SELECT count(*) AS queries, true AS reaches_floor FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall_rows(spark, sf_dir):
+    """With the operator's own lists and probes, every row whose id is divisible by 50 finds nine tenths of its exact hits among all rows."""
+    rows = vectors(spark, sf_dir)
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index, middle = ops.ann_index(rows)
+    share = ops.recall(ops.top_k(rows, asked, 10), ops.ann_top_k(index, middle, asked, 10))
+    return share.agg(F.count("*").alias("queries"), (F.min("recall") >= 0.9).alias("reaches_floor"))
+
+
 def letter_encoder():
     """A deterministic stand-in for a model: length and two letter counts."""
     return lambda texts: [[float(len(t)), float(t.count("e")), float(t.count("t"))] for t in texts]

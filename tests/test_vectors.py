@@ -163,6 +163,26 @@ def test_ann_recall(spark):
     assert some > 0.8 and full == 1.0
 
 
+def test_ann_default_misses_nothing(spark):
+    """Vectors without clusters, lists and probes as the operator has them."""
+    points = np.random.default_rng(15).normal(size=(500, 64))
+    df = frame(spark, points)
+    asked = df.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index, centres = ops.ann_index(df)
+    got = ops.recall(ops.top_k(df, asked, 10), ops.ann_top_k(index, centres, asked, 10)).collect()
+    assert len(got) == 10 and all(r.recall == 1.0 for r in got)
+
+
+def test_ann_bound_keeps_all_hits(spark):
+    corpus, queries = clustered(13, 600), clustered(14, 20)
+    df, asked = frame(spark, corpus), frame(spark, queries, id="query_id")
+    index, centres = ops.ann_index(df, lists=12)
+    found = ops.ann_top_k(index, centres, asked, 10, first=2)
+    assert ops.recall(ops.top_k(df, asked, 10), found).agg(F.min("recall")).first()[0] == 1.0
+    far = ops.ann_top_k(index, centres, asked, 1000, first=12)
+    assert far.count() == 20 * 600  # fewer than k found: no cell is ruled out
+
+
 def test_embeddings_with_failures(spark):
     def load():
         def encode(texts):
