@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, revisits, sharding, suffix_dedup
-from claimweave.llm.common import table
+from claimweave.llm import byte_network, exact_dedup, importance, jaccard_join, language_id, line_dedup, mixing, packing, periodic_runs, quality, revisits, sharding, suffix_dedup
+from claimweave.llm.common import WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -309,3 +309,113 @@ FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id JOIN (SELECT a, min(
 @query("op10_jaccard_join", _OP10_SQL)
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def _crc32_sql(text: str) -> str:
+    """The checksum of a string's UTF-8 bytes, eight shifts a byte; 3988292384 is the fixed polynomial."""
+    data = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    shifts = "list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: {shifts}), 4294967295)"
+
+
+_OP11_SQL = rf"""
+WITH texts AS (
+    SELECT doc_id, 0 AS target, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark
+), words AS (
+    SELECT doc_id, target, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+), vocabulary AS (
+    SELECT word, {_crc32_sql("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM words)
+), features AS (
+    SELECT doc_id, target, bucket, count(*) AS n FROM words JOIN vocabulary USING (word) GROUP BY doc_id, target, bucket
+), counts AS (
+    SELECT bucket, sum(CASE WHEN target = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN target = 1 THEN n ELSE 0 END) AS t FROM features GROUP BY bucket
+), totals AS (
+    SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM counts
+), gains AS (
+    SELECT bucket, CAST(floor(CAST(1000 AS DOUBLE) * ln(CAST(t + 1 AS DOUBLE) * (s_all + 10000) / (CAST(s + 1 AS DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain FROM counts, totals
+), weights AS (
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM features JOIN gains USING (bucket) WHERE target = 0 GROUP BY doc_id
+), weighed AS (
+    SELECT d.doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+           CAST(CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS DOUBLE) AS h
+    FROM documents d LEFT JOIN weights ON d.doc_id = weights.doc_id
+), scored AS (
+    SELECT doc_id, n_features, weight, weight + CAST(floor(CAST(-1000 AS DOUBLE) * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM weighed
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query("op11_importance_resampling", _OP11_SQL)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return drawn.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_byte_network")
+def op12_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), language_id.held_out(F.col("doc_id"))
+    net = byte_network.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = byte_network.score(docs, net, ["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The documents, a tenth of them with an end that repeats itself: by their id's checksum h, words
+    from number a = h/10 mod n on repeat with a period of 1 + (n - a) / (3 + h/10 mod 8)."""
+    g = F.floor(F.col("h") / 10)
+
+    def changed(words):
+        n, a = F.col("n"), F.col("a")
+        period = 1 + F.floor((n - a) / (3 + F.col("g") % 8))
+        return F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % period).cast("int"))))
+
+    chosen = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))
+    numbered = chosen.withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", g)
+    numbered = numbered.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    return numbered.select("doc_id", F.when(F.col("n") > 0, F.array_join(changed(F.col("words")), " ")).otherwise(F.col("text")).alias("text"))
+
+
+_OP13_SQL = rf"""
+WITH split AS (
+    SELECT doc_id, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h, CAST(coalesce(len(words), 0) AS BIGINT) AS n, words FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents)
+), placed AS (
+    SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN h // 10 % n ELSE n END AS a, h // 10 % 8 AS g8 FROM split
+), words AS (
+    SELECT doc_id, i, words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g8)) END] AS word
+    FROM (SELECT *, unnest(range(n)) AS i FROM placed WHERE n > 0)
+), windows AS (
+    SELECT doc_id, i, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w || ' ' || lead(word, 4) OVER w || ' ' || lead(word, 5) OVER w AS six
+    FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), apart AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND x.six = y.six AND x.i < y.i
+), islands AS (
+    SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM apart) GROUP BY doc_id, q, island
+), runs AS (
+    SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= 12 AND length >= 2 * q GROUP BY doc_id, start, length
+), digests AS (
+    SELECT doc_id, count(*) AS n_runs, arg_max(struct_pack(start := start, length := length, period := period), struct_pack(l := length, s := -start, p := -period)) AS best,
+           string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+       CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN digests ON digests.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+@query("op13_periodic_runs", _OP13_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_periods(table(spark, sf_dir, "documents")), ["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    digested = found.select("row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("best"), F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    period = -F.col("best.period")
+    exponent = F.floor(1000 * F.col("best.length") / period).alias("exponent_milli")
+    return digested.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), "best.length", period.alias("period"), exponent, "runs_sha256", "collapsed_sha256")

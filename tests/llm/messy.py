@@ -32,7 +32,7 @@ def frame(spark: SparkSession, rows=ROWS, clash: bool = True) -> DataFrame:
     """The rows as documents, with extra columns whose names the operators use themselves."""
     docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], SCHEMA)
     if clash:
-        names = ["row", "k", "ord", "th", "n", "size", "start", "node", "first", "kept", "copies", "shard", "slot", "lang_pred", "score", "target", "h", "sha", "turn", "draw", "cuts", "chunk", "_source", "_coin"]
+        names = ["row", "k", "ord", "th", "n", "size", "start", "node", "first", "kept", "copies", "shard", "slot", "lang_pred", "score", "target", "h", "sha", "turn", "draw", "cuts", "chunk", "_source", "_coin", "runs", "collapsed", "n_words", "n_features", "weight", "rank", "label", "_down", "_id"]
         docs = docs.withColumns({name: F.lit(f"own {name}") for name in names})
     return docs
 
