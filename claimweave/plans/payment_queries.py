@@ -8,6 +8,7 @@ from claimweave.operators import payments as ops
 from claimweave.plans.registry import Registry
 from claimweave.plans.tables import table
 from claimweave.session import scratch_path
+from claimweave.streaming import payment_changes as changes
 from claimweave.streaming import payment_status as stream
 
 REGISTRY = Registry.empty()
@@ -217,9 +218,29 @@ def apply_status(spark, sf_dir):
     return stream.apply_status(known, statuses).select("payment_intent_id", "payment_status", "stripe_session_id")
 
 
-@REGISTRY.add(
-    "h02_status_changes",
-    _EVENTS + "SELECT payment_intent_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, lag(payment_status) OVER (PARTITION BY payment_intent_id ORDER BY ts, event_id) AS old_status, payment_status AS new_status FROM w",
+_CHANGES = (
+    _EVENTS + "SELECT payment_intent_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, lag(payment_status) OVER (PARTITION BY payment_intent_id ORDER BY ts, event_id) AS old_status, payment_status AS new_status FROM w"
 )
+
+
+@REGISTRY.add("h02_status_changes", _CHANGES)
 def status_changes(spark, sf_dir):
     return stream.status_changes(webhook_events(table(spark, sf_dir, "events")), known_payments(spark, sf_dir))
+
+
+@REGISTRY.add("h02_status_changes_stream", _CHANGES)
+def status_changes_stream(spark, sf_dir):
+    """The events in two deliveries, so at least two micro-batches: a third of the first ones' last day comes late, and a fifth of it comes again."""
+    events = table(spark, sf_dir, "events")
+    border = events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("m")).first()["m"]
+    last_day = F.col("ts").between(F.lit(border) - F.expr("interval 23 hours"), F.lit(border))
+    late = last_day & (F.col("event_id") % 3 == 0)
+    source, path = scratch_path(spark, "deliveries"), scratch_path(spark, "payment_changes")
+    first = events.where((F.col("ts") <= border) & ~late)
+    second = events.where((F.col("ts") > border) | late).unionByName(first.where(last_day & (F.col("event_id") % 5 == 0)))
+    for name, part in (("first", first), ("second", second)):
+        part.write.parquet(f"{source}/{name}")
+        deliveries = spark.readStream.schema(events.schema).parquet(f"{source}/*")
+        sink = changes.change_sink(webhook_events(deliveries), path, f"{path}-checkpoint", "1 day")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return changes.current_changes(spark, path, known_payments(spark, sf_dir))

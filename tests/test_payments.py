@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators import payments as ops
 from claimweave.session import scratch_path
+from claimweave.streaming import payment_changes as changes
 from claimweave.streaming import payment_status as stream
 
 EVENTS = "event_id bigint, type string, client_reference_id string, session_id string, payment_intent string, ts timestamp"
@@ -127,3 +128,44 @@ def test_offers_and_policies(spark):
     assert checks["a"] == (False, ["missing_main_contact"]) and checks["e"] == (True, []) and checks["b"] == (False, ["payment_not_completed"])
     policies = {r["payment_id"]: r["premium_amount"] for r in ops.policy_records(ledger(spark), selections).collect()}
     assert policies == {"a": 10.0, "e": 50.5}
+
+
+def told_in_batches(spark, batches, known, delay="60 minutes", **options):
+    source, out = scratch_path(spark, "events"), scratch_path(spark, "changes")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENTS).repartition(2).write.parquet(f"{source}/{i}")
+        events = spark.readStream.schema(EVENTS).parquet(f"{source}/*")
+        changes.change_sink(events, out, f"{out}-checkpoint", delay, **options).trigger(availableNow=True).start().awaitTermination()
+    return changes.current_changes(spark, out, known)
+
+
+def test_changes_stream_equals_batch_when_late_and_repeated(spark):
+    """Three deliveries in any order of time, within the delay, with repeats: a late event corrects the change after it."""
+    rows = sample(seed=8)
+    third = len(rows) // 3
+    found = told_in_batches(spark, [rows[:third], rows[third : 2 * third], rows[2 * third :] + rows[:50]], payments(spark))
+    batch = stream.status_changes(spark.createDataFrame(list(dict.fromkeys(rows)), EVENTS), payments(spark))
+    columns = ["payment_intent_id", "event_id", "ts", "old_status", "new_status"]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, batch.select(columns).collect()))
+
+
+def test_changes_stream_settles_and_forgets(spark):
+    """What is behind the watermark is one status; an event beyond the delay is dropped; an idle payment is forgotten on request."""
+    batches = [
+        [webhook(1, DONE, "p1", 0), webhook(2, GONE, "p1", 5), webhook(3, DONE, "p2", 300)],
+        [webhook(4, DONE, "p1", 3), webhook(5, DONE, "p1", 310)],  # 4 comes too late
+        [webhook(6, GONE, "p2", 3000)],
+        [webhook(7, GONE, "p1", 3001)],
+    ]
+    kept = {(r.event_id, r.old_status, r.new_status) for r in told_in_batches(spark, batches, None).collect()}
+    assert kept == {(1, None, "completed"), (2, "completed", "expired"), (3, None, "completed"), (5, "expired", "completed"), (6, "completed", "expired"), (7, "completed", "expired")}
+    short = {(r.event_id, r.old_status) for r in told_in_batches(spark, batches, None, idle_ms=1000 * 60 * 600).collect()}
+    assert short == {(1, None), (2, "completed"), (3, None), (5, "expired"), (6, "completed"), (7, None)}
+
+
+def test_told_changes():
+    a, b, c = (1, 1, "x"), (2, 2, "y"), (3, 3, "z")
+    assert changes.told(None, [], [a, c]) == [(a, None), (c, "x")]
+    assert changes.told(None, [a, c], [a, b, c]) == [(b, "x"), (c, "y")]
+    assert changes.told(a, [c], [b, c]) == [(b, "x"), (c, "y")]
+    assert changes.told(a, [c], [c]) == []
