@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweave.functions import vector as vec
+from claimweave.operators.pivot_tree import MAX_TREE_BYTES, PivotTree, unit_rows
 from claimweave.session import cut_lineage
 
 # Defaults of the parameters of the same names. A side of at most so many vectors and bytes is shipped to every task.
 MAX_SHIPPED = 4096
 MAX_SHIPPED_BYTES = 64 * 1024 * 1024
-# Rows per block, and the most pivots that are shipped to place the rows of a similarity join.
+# Rows per block.
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 4096
 # Similarities that are held at once.
 _PRODUCT = 1 << 22
 # Pairs are listed once there are at most this many per row.
@@ -38,6 +39,8 @@ _DIGITS = 12
 
 def _matrix(column: pa.Array, metric: str = "dot") -> np.ndarray:
     """A list column as a matrix, its rows of unit length for the cosine."""
+    if metric == "cosine":
+        return unit_rows(column)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
@@ -45,8 +48,7 @@ def _matrix(column: pa.Array, metric: str = "dot") -> np.ndarray:
     widths = pc.unique(pc.list_value_length(column))
     if len(widths) > 1:
         raise ValueError(f"vectors of different lengths: {sorted(widths.to_pylist())[:5]}")
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return values / np.linalg.norm(values, axis=1, keepdims=True) if metric == "cosine" else values
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _plain(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -320,34 +322,6 @@ def match_existing(new: DataFrame, existing: DataFrame, threshold: float, id: st
 # --- similarity joins ----------------------------------------------------------
 
 
-def _cells(pivots: np.ndarray, radius: float, spread: bool):
-    """Assigns rows to the cell of their nearest pivot.
-
-    With ``spread`` a row also goes to every other cell whose border is within
-    the radius: a partner living there cannot be closer than that border.
-    """
-    gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * pivots @ pivots.T))
-    slack = radius + 1e-6
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            squared = 2.0 - 2.0 * _matrix(batch.column(1), "cosine") @ pivots.T
-            home = squared.argmin(axis=1)
-            if spread:
-                ahead = squared - squared[np.arange(len(home)), home][:, None]
-                reached = ahead <= 2.0 * slack * gaps[home]
-                reached[np.arange(len(home)), home] = True
-                rows, cells = np.nonzero(reached)
-            else:
-                rows, cells = np.arange(len(home)), home
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), *taken.columns], names=["_cell", "_id", "_v"])
-
-    return assign
-
-
 def similarity_join(
     left: DataFrame,
     right: DataFrame | None,
@@ -356,16 +330,33 @@ def similarity_join(
     vector: str = "embedding",
     inclusive: bool = False,
     block_rows: int | None = None,
+    max_tree_bytes: int = MAX_TREE_BYTES,
 ) -> DataFrame:
     """Pairs ``left_id, right_id, similarity`` whose cosine exceeds the threshold.
 
     Without ``right`` it is a self join keeping ``left_id < right_id``. The join is
-    exact. Vectors are cut into the cells of pivots drawn from the data; a row
+    exact. Vectors are cut into the cells of a pivot tree drawn from the data; a row
     meets only the cells its radius reaches, and each cell, however full, is cut
     into hash blocks of bounded size. Only pairs beyond the threshold leave a task.
+    A tree of more than ``max_tree_bytes`` keeps its second level distributed.
     The input is read several times: pass a table or a pinned frame.
     """
-    return _blocked_join(left, right, threshold, id, vector, inclusive, block_rows, counted=False)
+    return _blocked_join(left, right, threshold, id, vector, inclusive, block_rows, max_tree_bytes, counted=False)
+
+
+def compared_pairs(left: DataFrame, right: DataFrame | None, threshold: float, id: str = "id", vector: str = "embedding", block_rows: int | None = None, max_tree_bytes: int = MAX_TREE_BYTES) -> DataFrame:
+    """One row: the pairs that such a join compares, and all pairs there are."""
+    placed = _placed(left, right, threshold, id, vector, block_rows or BLOCK_ROWS, max_tree_bytes)
+    if placed is None:
+        return left.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("compared"), F.lit(0).cast("bigint").alias("all_pairs"))
+    sizes = placed.sizes()
+    met = F.col("_homes") * F.col("_guests")
+    if right is None:
+        met = met - F.expr("_homes * (_homes + 1) div 2")  # within a cell each pair once
+        total = (F.sum("_homes") * (F.sum("_homes") - 1) / 2).cast("bigint")
+    else:
+        total = F.sum("_homes") * F.lit(_usable(right, vector, "cosine").count())
+    return sizes.agg(F.sum(met).alias("compared"), total.alias("all_pairs"))
 
 
 def neighbour_counts(
@@ -376,44 +367,62 @@ def neighbour_counts(
     vector: str = "embedding",
     inclusive: bool = False,
     block_rows: int | None = None,
+    max_tree_bytes: int = MAX_TREE_BYTES,
 ) -> DataFrame:
     """The same join reduced inside the tasks to ``right_id, hits``: how many left rows
     each right row meets. A crowd of close vectors gives one row each, not all pairs."""
-    blocks = _blocked_join(left, right, threshold, id, vector, inclusive, block_rows, counted=True)
+    blocks = _blocked_join(left, right, threshold, id, vector, inclusive, block_rows, max_tree_bytes, counted=True)
     return blocks.groupBy("right_id").agg(F.sum("hits").alias("hits"))
 
 
+class _Placed(NamedTuple):
+    """Rows of both sides by cell: ``homes`` in their own, ``guests`` also in those they reach."""
+
+    homes: DataFrame
+    guests: DataFrame
+    one_table: bool
+
+    def sizes(self) -> DataFrame:
+        """Homes and guests of each cell that has both."""
+        if self.one_table:
+            counts = self.guests.groupBy("_cell").agg(F.count_if("_own").alias("_homes"), F.count("*").alias("_guests"))
+            return counts.where("_homes > 0")
+        counted = lambda df, name: df.groupBy("_cell").agg(F.count("*").alias(name))
+        return counted(self.homes, "_homes").join(counted(self.guests, "_guests"), "_cell")
+
+
+def _placed(left: DataFrame, right: DataFrame | None, threshold: float, id: str, vector: str, rows: int, max_tree_bytes: int) -> _Placed | None:
+    a = _usable(left, vector, "cosine").select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
+    tree = PivotTree(a, rows, max_tree_bytes)
+    if tree.empty:
+        return None
+    radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
+    if right is None:
+        guests = tree.place(a, radius, halved=True)
+        # Columns of its own, so that Spark can tell both sides of the join apart.
+        homes = guests.where("_own").select(*[F.col(c).alias(f"{c}_") for c in guests.columns]).toDF(*guests.columns)
+        return _Placed(homes, guests, True)
+    b = _usable(right, vector, "cosine").select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
+    return _Placed(tree.place(a, None), tree.place(b, radius), False)
+
+
 def _blocked_join(
-    left: DataFrame, right: DataFrame | None, threshold: float, id: str, vector: str, inclusive: bool, block_rows: int | None, counted: bool
+    left: DataFrame, right: DataFrame | None, threshold: float, id: str, vector: str, inclusive: bool, block_rows: int | None, max_tree_bytes: int, counted: bool
 ) -> DataFrame:
     rows = block_rows or BLOCK_ROWS
     self_join = right is None
-    a = _usable(left, vector, "cosine").select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
-    b = a if self_join else _usable(right, vector, "cosine").select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
-    n_pivots = min(MAX_PIVOTS, max(1, -(-a.count() // rows)))
-    drawn = a.orderBy(F.xxhash64("_id"), "_id").limit(n_pivots).select("_v").toArrow()
-    right_field = T.StructField("right_id", b.schema["_id"].dataType)
+    right_field = T.StructField("right_id", (left if self_join else right).schema[id].dataType)
     if counted:
         schema = T.StructType([right_field, T.StructField("hits", T.LongType())])
     else:
-        schema = T.StructType([T.StructField("left_id", a.schema["_id"].dataType), right_field, T.StructField("similarity", T.DoubleType())])
-    if drawn.num_rows == 0:
+        schema = T.StructType([T.StructField("left_id", left.schema[id].dataType), right_field, T.StructField("similarity", T.DoubleType())])
+    placed = _placed(left, right, threshold, id, vector, rows, max_tree_bytes)
+    if placed is None:
         return left.sparkSession.createDataFrame([], schema)
-    pivots = _matrix(drawn["_v"], "cosine")
-    radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
-    placed = "_cell int, _id {}, _v array<{}>"
-
-    def place(df: DataFrame, spread: bool) -> DataFrame:
-        kind = placed.format(df.schema["_id"].dataType.simpleString(), df.schema["_v"].dataType.elementType.simpleString())
-        return df.mapInArrow(_cells(pivots, radius, spread), kind)
 
-    homes, guests = place(a, False), place(b, True)
-
-    # At most MAX_PIVOTS rows each.
-    def block_counts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("_cell").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias(name))
-
-    sizes = F.broadcast(block_counts(homes, "_nl").join(block_counts(guests, "_nr"), "_cell"))
+    # A row per cell: as many as the table has blocks. Left to Spark, which ships it if it is small.
+    blocks = lambda name: F.ceil(F.col(name) / F.lit(rows)).cast("int")
+    sizes = placed.sizes().select("_cell", blocks("_homes").alias("_nl"), blocks("_guests").alias("_nr"))
 
     def block(df: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
         sized = df.join(sizes, "_cell").withColumn(names[0], F.pmod(F.xxhash64("_id"), F.col(own)).cast("int"))
@@ -424,23 +433,26 @@ def _blocked_join(
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         if x.num_rows == 0 or y.num_rows == 0:
             return arrow.empty_table()
-        scores = _matrix(x["_v"], "cosine") @ _matrix(y["_v"], "cosine").T
+        scores = unit_rows(x["_v"]) @ unit_rows(y["_v"]).T
         x_ids, y_ids = _plain(x["_id"]), _plain(y["_id"])
         hits = scores >= threshold if inclusive else scores > threshold
         if self_join:
-            hits &= x_ids[:, None] < y_ids[None, :]
+            # Two rows of one cell meet in both orders; a guest from a later cell meets once.
+            hits &= (x_ids[:, None] < y_ids[None, :]) | ~_plain(y["_own"]).astype(bool)[None, :]
+        i, j = np.nonzero(hits)
+        left_ids, right_ids = x_ids[i], y_ids[j]
+        if self_join:
+            turned = left_ids > right_ids
+            left_ids, right_ids = np.where(turned, right_ids, left_ids), np.where(turned, left_ids, right_ids)
         if counted:
-            per_right = hits.sum(axis=0)
-            met = np.nonzero(per_right)[0]
-            columns = (y_ids[met], per_right[met])
+            columns = np.unique(right_ids, return_counts=True)
         else:
-            i, j = np.nonzero(hits)
-            columns = (x_ids[i], y_ids[j], scores[i, j])
+            columns = (left_ids, right_ids, scores[i, j])
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     keys = ["_cell", "_lb", "_rb"]
-    x = block(homes, "_nl", "_nr", ("_lb", "_rb"))
-    y = block(guests, "_nr", "_nl", ("_rb", "_lb"))
+    x = block(placed.homes, "_nl", "_nr", ("_lb", "_rb"))
+    y = block(placed.guests, "_nr", "_nl", ("_rb", "_lb"))
     return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(kernel, schema)
 
 
@@ -450,7 +462,7 @@ def _copies(df: DataFrame, order: str, vector: str) -> DataFrame:
     return df.join(firsts, vector)
 
 
-def near_duplicates(df: DataFrame, threshold: float, id: str = "id", vector: str = "embedding", block_rows: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float, id: str = "id", vector: str = "embedding", block_rows: int | None = None, max_tree_bytes: int = MAX_TREE_BYTES) -> DataFrame:
     """Pairs above the threshold among distinct vectors, each standing under its first id.
 
     Further copies of a vector are linked to that first id only, so a vector
@@ -459,7 +471,7 @@ def near_duplicates(df: DataFrame, threshold: float, id: str = "id", vector: str
     usable = _usable(df.select(id, vector), vector, "cosine")
     # The join below reads its input several times, so the fold is pinned.
     firsts = cut_lineage(usable.groupBy(vector).agg(F.min(id).alias(id)))
-    between = similarity_join(firsts, None, threshold, id, vector, block_rows=block_rows)
+    between = similarity_join(firsts, None, threshold, id, vector, block_rows=block_rows, max_tree_bytes=max_tree_bytes)
     copies = _copies(usable, id, vector).filter(F.col(id) != F.col("_first"))
     return between.unionByName(copies.select(F.col("_first").alias("left_id"), F.col(id).alias("right_id"), F.lit(1.0).alias("similarity")))
 

@@ -29,20 +29,33 @@ def brute_pairs(a, b, t, self_join, inclusive=False):
 
 
 @pytest.mark.parametrize("threshold", [0.97, 0.8, 0.3])
-@pytest.mark.parametrize("rows", [1000, 40])
-def test_self_join_is_exact(spark, threshold, rows):
-    """Forty rows per block gives ten cells, and several blocks in the hot one."""
+@pytest.mark.parametrize("rows,shipped", [(1000, 1 << 20), (10, 1 << 20), (10, 0)])
+def test_self_join_is_exact(spark, threshold, rows, shipped):
+    """Ten rows per block gives some forty cells under six pivots, and several blocks in the hot ones; the second level is shipped or not."""
     vectors = clustered(1, 400)
-    found = ops.similarity_join(frame(spark, vectors), None, threshold, block_rows=rows).collect()
+    found = ops.similarity_join(frame(spark, vectors), None, threshold, block_rows=rows, max_tree_bytes=shipped).collect()
     pairs = [(r["left_id"], r["right_id"]) for r in found]
     assert len(pairs) == len(set(pairs))
     assert set(pairs) == brute_pairs(vectors, vectors, threshold, True)
 
 
-def test_two_sided_join_is_exact(spark):
+@pytest.mark.parametrize("shipped", [1 << 20, 0])
+def test_two_sided_join_is_exact(spark, shipped):
     a, b = clustered(2, 150), clustered(3, 220)
-    found = ops.similarity_join(frame(spark, a), frame(spark, b), 0.7, block_rows=30, inclusive=True).collect()
+    found = ops.similarity_join(frame(spark, a), frame(spark, b), 0.7, block_rows=10, inclusive=True, max_tree_bytes=shipped).collect()
     assert {(r["left_id"], r["right_id"]) for r in found} == brute_pairs(a, b, 0.7, False, True)
+    counts = ops.neighbour_counts(frame(spark, a), frame(spark, b), 0.7, block_rows=10, inclusive=True, max_tree_bytes=shipped).collect()
+    assert sum(r["hits"] for r in counts) == len(found)
+
+
+def test_tree_spares_comparisons(spark):
+    """On clustered vectors at most a tenth of all pairs is compared in vain, though a third of all rows is in one cluster."""
+    vectors = clustered(21, 3000, dim=16, centres=60, noise=0.05)
+    hits = len(brute_pairs(vectors, vectors, 0.99, True))
+    for shipped in (1 << 20, 0):
+        row = ops.compared_pairs(frame(spark, vectors), None, 0.99, block_rows=40, max_tree_bytes=shipped).first()
+        assert row["all_pairs"] == 3000 * 2999 // 2 and hits <= row["compared"] <= hits + row["all_pairs"] / 10
+    assert ops.compared_pairs(frame(spark, vectors).limit(0), None, 0.9).first()["compared"] == 0
 
 
 def test_unusable_vectors_are_skipped(spark):
