@@ -14,6 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -610,7 +611,10 @@ def ann_index(df: DataFrame, lists: int = 100, vector: str = "embedding", train_
     points = usable.withColumn("_n", length).withColumn("_p", array_to_vector(F.transform(unit, lambda x: x / F.col("_n"))))
     drawn = F.pmod(F.xxhash64(vector), F.lit(1_000_000)) < int(train_share * 1_000_000)
     sample = points.where(drawn).select("_p") if train_share < 1 else points.select("_p")
+    # Training passes over its rows a dozen times.
+    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     model = KMeans(k=lists, seed=seed, featuresCol="_p", predictionCol="cell", maxIter=10).fit(sample)
+    sample.unpersist()
     return model.transform(points).drop("_n", "_p"), [list(map(float, c)) for c in model.clusterCenters()]
 
 
@@ -635,11 +639,17 @@ def ann_top_k(
 
     The join is on the cell; adaptive execution ships few queries and splits an overfull cell.
     """
-    listed = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(x) for x in c]).alias("centre")) for i, c in enumerate(centres)])
-    scored = F.transform(listed, lambda c: F.struct((-vec.cosine(query_vector, c["centre"])).alias("far"), c["cell"].alias("cell")))
-    wanted = queries.select(
-        F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"), F.posexplode(F.array_sort(scored) if probes is None else F.slice(F.array_sort(scored), 1, probes)).alias("_n", "_c")
-    ).select("_q", "_qv", "_n", F.col("_c.cell").alias("cell"), F.col("_c.far").alias("_far"))
+    spark = queries.sparkSession
+    middle = spark.createDataFrame([(i, list(map(float, c))) for i, c in enumerate(centres)], "cell int, _centre array<double>")
+    # Each query meets each centre once: a row per query and list, without the centre.
+    scored = similarity_matrix(queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv")), middle.where(F.exists("_centre", lambda x: x != 0)), "_q", "cell", "_qv", "_centre")
+    # A centre without direction is as far as can be.
+    blind = queries.select(F.col(query_id).alias("_q")).join(F.broadcast(middle.where(F.forall("_centre", lambda x: x == 0)).select("cell")), how="cross").withColumn("similarity", F.lit(None).cast("double"))
+    order = Window.partitionBy("_q").orderBy(F.desc_nulls_last("similarity"), "cell")
+    placed = scored.unionByName(blind).withColumn("_n", F.row_number().over(order) - 1)
+    wanted = placed.join(queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv")), "_q").select("_q", "_qv", "_n", "cell", (-F.col("similarity")).alias("_far"))
+    if probes is not None:
+        wanted = wanted.where(F.col("_n") < probes)
     ranking = Window.partitionBy("_q").orderBy(F.desc("similarity"), "_id")
 
     def ranked(hits: DataFrame) -> DataFrame:
@@ -650,7 +660,7 @@ def ann_top_k(
 
     if probes is None:
         near = cut_lineage(ranked(found(wanted.filter(F.col("_n") < first))).drop("rank"))
-        hits = near.unionByName(found(_within_bound(index, listed, wanted.filter(F.col("_n") >= first), near, k, vector)))
+        hits = near.unionByName(found(_within_bound(index, middle, wanted.filter(F.col("_n") >= first), near, k, vector)))
     else:
         hits = found(wanted)
     return ranked(hits).select(
@@ -658,12 +668,11 @@ def ann_top_k(
     )
 
 
-def _within_bound(index: DataFrame, listed: Column, cells: DataFrame, near: DataFrame, k: int, vector: str) -> DataFrame:
+def _within_bound(index: DataFrame, middle: DataFrame, cells: DataFrame, near: DataFrame, k: int, vector: str) -> DataFrame:
     """The ``cells`` of each query that may hold a vector as close as the k-th in ``near``, by the triangle inequality of angles."""
     angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
-    centre = F.element_at(listed, F.col("cell") + 1)["centre"]
     # A centre without direction has no angles; such a cell is always read.
-    widest = index.groupBy("cell").agg(angle(F.min(vec.cosine(vector, centre))).alias("_wide"))
+    widest = index.join(F.broadcast(middle), "cell").groupBy("cell").agg(angle(F.min(vec.cosine(vector, "_centre"))).alias("_wide"))
     floor = near.groupBy("_q").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("_floor"))
     best = F.cos(F.greatest(F.lit(0.0), angle(-F.col("_far")) - F.col("_wide")))
     ruled_out = best < F.col("_floor") - F.lit(1e-6)  # well above what rounding makes of an angle

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimweave.functions import vector as vec
+from claimweave.operators import quantized
 from claimweave.operators import vectors as ops
 from claimweave.plans.registry import Registry
 from claimweave.plans.tables import table
+from claimweave.session import cut_lineage
 
 REGISTRY = Registry.empty()
 
@@ -202,6 +204,18 @@ def ann_recall_rows(spark, sf_dir):
     return share.agg(F.count("*").alias("queries"), (F.min("recall") >= 0.9).alias("reaches_floor"))
 
 
+@REGISTRY.add("e10_quantized_recall", "SELECT count(*) AS queries, true AS reaches_floor, true AS reads_a_fifth FROM embeddings WHERE vec_id % 50 = 0")
+def quantized_recall(spark, sf_dir):
+    """Every row whose id is divisible by 50 finds nine tenths of its exact hits among all rows by codes, and at most a fifth of all vectors is read in full."""
+    rows = vectors(spark, sf_dir)
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = quantized.quantized_index(rows, lists=20)
+    index = index._replace(rows=cut_lineage(index.rows))
+    share = ops.recall(ops.top_k(rows, asked, 10), quantized.quantized_top_k(index, asked, 10))
+    read = quantized.read_share(index, quantized.candidates(index, asked, 100))
+    return share.agg(F.count("*").alias("queries"), (F.min("recall") >= 0.9).alias("reaches_floor")).withColumn("reads_a_fifth", read <= 0.2)
+
+
 def letter_encoder():
     """A deterministic stand-in for a model: length and two letter counts."""
     return lambda texts: [[float(len(t)), float(t.count("e")), float(t.count("t"))] for t in texts]

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from claimweave.operators import quantized
 from claimweave.operators import vectors as ops
 
 
@@ -228,3 +229,29 @@ def test_embedding_errors_are_told(spark):
     df = spark.createDataFrame([("good",), ("bad",), ("short",), ("good",), ("",), (None,)], "t string").coalesce(1)
     rows = sorted((str(r["t"]), r["embedding"], r["error"]) for r in ops.attach_embeddings(df, "t", load).collect())
     assert rows == [("", None, None), ("None", None, None), ("bad", None, "RuntimeError: no"), ("good", [1.0], None), ("good", [1.0], None), ("short", None, "0 vectors for one text")]
+
+
+@pytest.mark.parametrize("block_rows", [1 << 17, 40])
+def test_quantized_search(spark, block_rows):
+    """Codes of clustered and of plain vectors; the best tenth by code is ranked exactly, in one block or in several."""
+    points = np.concatenate([clustered(31, 700, dim=24), np.random.default_rng(32).normal(size=(300, 24)).astype(np.float32)])
+    rows = frame(spark, [*points, None, np.zeros(24)])
+    asked = rows.filter("id % 50 = 0 and embedding is not null").filter("id < 1000").select(F.col("id").alias("query_id"), "embedding")
+    index = quantized.quantized_index(rows, lists=8, parts=5)
+    kept = index._replace(rows=index.rows.persist())
+    assert kept.rows.count() == 1000 and kept.rows.select(F.max(F.length("code"))).first()[0] == 5
+    near = quantized.candidates(kept, asked, 100, block_rows=block_rows)
+    assert near.count() == 20 * 100
+    exact = ops.top_k(rows, asked, 10)
+    found = quantized.quantized_top_k(kept, asked, 10, block_rows=block_rows)
+    assert ops.recall(exact, found).agg(F.avg("recall")).first()[0] >= 0.95
+    everything = quantized.quantized_top_k(kept, asked, 10, refine=1000, block_rows=block_rows)
+    assert sorted(map(str, everything.select("query_id", "id", "rank").collect())) == sorted(map(str, exact.select("query_id", "id", "rank").collect()))
+    few = quantized.quantized_top_k(kept, asked, 10, probes=3, block_rows=block_rows)
+    assert ops.recall(exact, few).agg(F.avg("recall")).first()[0] > 0.5
+    with pytest.raises(ValueError, match="fewer lists"):
+        quantized.MAX_MODEL_BYTES, old = 10, quantized.MAX_MODEL_BYTES
+        try:
+            quantized.quantized_index(rows, lists=8)
+        finally:
+            quantized.MAX_MODEL_BYTES = old
