@@ -92,17 +92,24 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
-    """Captures of the given pages as WARC-like records: every page is fetched in full at ten times its
-    id, and asked for again later, under another spelling of its URL. The later answer is a 304 that
-    carries the page's etag, a weak or a wrong one, only the modification time, or no validator."""
+    """Captures of the given pages as WARC-like records. Four pages with neighbouring ids share the URL of
+    the first, so a later revisit often meets another page's response; every eleventh page has none.
+    A page is fetched in full at ten times its id and asked for again later, under another spelling
+    of its URL, some of the first before any response. Every other four share an etag; the answer, a 304,
+    carries it, a weak or a wrong one, only the modification time, or no validator. Some responses have no id, and some the id of another."""
+    lead = pages.select(F.col("page_id").alias("_lead"), F.col("url").alias("_url"))
+    grouped = pages.join(lead, F.col("page_id") - F.col("page_id") % 4 == F.col("_lead"), "left").withColumn("url", F.when(F.col("page_id") % 11 != 3, F.col("_url")))
     page = F.col("page_id")
-    etag, modified = F.concat(F.lit('"'), F.md5(F.coalesce(F.col("html"), F.lit(""))), F.lit('"')), F.concat(F.lit("day "), (page % 365).cast("string"))
+    four = F.expr("page_id div 4")
+    etag = F.concat(F.lit('"'), F.md5(F.when(four % 2 == 0, four.cast("string")).otherwise(F.coalesce(F.col("html"), F.lit("")))), F.lit('"'))
+    modified = F.concat(F.lit("day "), (four % 365).cast("string"))
     day = lambda at: F.concat(F.lit("at "), at.cast("string"))
-    first = pages.select(
-        F.concat(F.lit("r"), page.cast("string")).alias("record_id"), "url", (page * 10).alias("at"), F.lit(revisits.RESPONSE).alias("kind"), F.lit(200).alias("status"),
+    first_id = F.when(page % 17 == 0, F.lit(None)).when(page % 19 == 1, F.concat(F.lit("r"), (page - 1).cast("string"))).otherwise(F.concat(F.lit("r"), page.cast("string")))
+    first = grouped.select(
+        first_id.alias("record_id"), "url", (page * 10).alias("at"), F.lit(revisits.RESPONSE).alias("kind"), F.lit(200).alias("status"),
         F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), day(page * 10), F.lit("etag"), etag, F.lit("last-modified"), modified).alias("headers"), F.col("html").alias("body"),
     )
-    later = page * 10 + 5 + (page % 7) * 4
+    later = F.when((page % 4 == 0) & (page % 13 == 5), page * 10 - 3).otherwise(page * 10 + 5 + (page % 7) * 4)
     told = F.when(page % 5 == 0, F.concat(F.lit("W/"), etag)).when(page % 5 == 1, F.lit('"other"')).when(page % 5 == 2, F.lit(None)).when(page % 5 == 3, F.lit(None)).otherwise(etag)
     answers = F.map_filter(
         F.create_map(
@@ -111,7 +118,7 @@ def capture_log(pages: DataFrame) -> DataFrame:
         ),
         lambda _, value: value.isNotNull(),
     )
-    again = pages.select(
+    again = grouped.select(
         F.concat(F.lit("v"), page.cast("string")).alias("record_id"), F.concat(F.col("url"), F.lit("#again")).alias("url"), later.alias("at"), F.lit(revisits.REVISIT).alias("kind"), F.lit(304).alias("status"),
         answers.alias("headers"), F.lit(None).cast("string").alias("body"),
     )
@@ -119,26 +126,30 @@ def capture_log(pages: DataFrame) -> DataFrame:
 
 
 _OP3_SQL = r"""
-WITH bare AS (
-    SELECT page_id, html, md5(coalesce(html, '')) AS tag, regexp_replace(trim(url), '#.*$', '') AS url FROM pages
+WITH grouped AS (
+    SELECT p.page_id, p.html, p.page_id // 4 AS four, CASE WHEN p.page_id % 11 <> 3 THEN l.url END AS url FROM pages p LEFT JOIN pages l ON l.page_id = p.page_id - p.page_id % 4
+), bare AS (
+    SELECT page_id, html, four, md5(CASE WHEN four % 2 = 0 THEN CAST(four AS VARCHAR) ELSE coalesce(html, '') END) AS tag, regexp_replace(trim(url), '#.*$', '') AS url FROM grouped
 ), parts AS (
     SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
            regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', ''), '([?&])utm_[a-z]+=[^&]*(&|$)', '\1', 'g'), '[?&]+$', ''), '/$', '') AS path FROM bare
 ), named AS (
-    SELECT *, CASE WHEN host <> '' THEN host || path END AS canonical_url, page_id * 10 + 5 + (page_id % 7) * 4 AS later FROM parts
+    SELECT *, CASE WHEN host <> '' THEN host || path END AS canonical_url,
+           CASE WHEN page_id % 17 = 0 THEN NULL WHEN page_id % 19 = 1 THEN 'r' || (page_id - 1) ELSE 'r' || page_id END AS first_id,
+           CASE WHEN page_id % 4 = 0 AND page_id % 13 = 5 THEN page_id * 10 - 3 ELSE page_id * 10 + 5 + (page_id % 7) * 4 END AS later FROM parts
 ), met AS (
-    SELECT v.page_id, v.canonical_url, v.later, v.tag AS own_tag, r.page_id AS source, r.tag, r.html,
+    SELECT v.page_id, v.canonical_url, v.later, v.tag AS own_tag, v.four AS own_four, r.page_id AS source, r.first_id, r.tag, r.html, r.four,
            row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC) AS k
     FROM named v LEFT JOIN named r ON r.canonical_url = v.canonical_url AND r.page_id * 10 < v.later AND r.html IS NOT NULL
 ), judged AS (
     SELECT *, CASE WHEN canonical_url IS NULL THEN 'no_url' WHEN source IS NULL THEN 'no_response'
                    WHEN page_id % 5 IN (0, 4) THEN CASE WHEN own_tag = tag THEN 'resolved' ELSE 'changed' END
                    WHEN page_id % 5 = 1 THEN 'changed'
-                   WHEN page_id % 5 = 2 THEN CASE WHEN page_id % 365 = source % 365 THEN 'resolved' ELSE 'changed' END ELSE 'no_validator' END AS outcome
+                   WHEN page_id % 5 = 2 THEN CASE WHEN own_four % 365 = four % 365 THEN 'resolved' ELSE 'changed' END ELSE 'no_validator' END AS outcome
     FROM met WHERE k = 1
 )
-SELECT 'v' || page_id AS record_id, canonical_url, later AS at, outcome, 'r' || source AS source_id,
-       CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=60;content-type=text/html;date=at ' || later || ';etag=' || CASE WHEN page_id % 5 = 0 THEN 'W/' ELSE '' END || '"' || tag || '";last-modified=day ' || (source % 365) END AS headers,
+SELECT 'v' || page_id AS record_id, canonical_url, later AS at, outcome, first_id AS source_id,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=60;content-type=text/html;date=at ' || later || ';etag=' || CASE WHEN page_id % 5 = 0 THEN 'W/' ELSE '' END || '"' || tag || '";last-modified=day ' || (four % 365) END AS headers,
        CASE WHEN outcome = 'resolved' THEN sha256(html) END AS body_sha256
 FROM judged
 """

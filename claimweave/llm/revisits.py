@@ -31,8 +31,8 @@ def canonical_url(url: Column) -> Column:
 
 
 def _latest_earlier(records: DataFrame) -> DataFrame:
-    """``records`` (``url``, ``at``, ``rank``, ``id``, ``full``) with ``met``: the last non-null ``full`` before, within the URL."""
-    order = ["url", "at", "rank", "id"]
+    """``records`` (``url``, ``at``, ``rank``, ``id``, ``key``, ``full``) with ``met``: the last non-null ``full`` before, within the URL."""
+    order = ["url", "at", "rank", "id", "key"]
     ranges = pinned(records.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "revisit-ranges")
     before = Window.partitionBy("part", "url").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
     # What crosses a border is the last full response of a partition: one row per partition.
@@ -44,6 +44,13 @@ def _latest_earlier(records: DataFrame) -> DataFrame:
     return joined.withColumn("met", F.coalesce("inside", F.when(F.col("carried.url") == F.col("url"), F.col("carried.full")))).drop("part", "inside", "carried")
 
 
+def _record_key(headers: Column) -> Column:
+    """Two hashes of all that a record says. Records of one key are equal, so it does not matter whose body is taken."""
+    parts = [F.col("url"), F.col("at"), F.col("record_id"), F.col("body")]
+    told = [x for part in parts for x in (part.isNull(), part)] + [F.array_sort(F.map_entries(headers))]
+    return F.struct(F.xxhash64(F.lit(0), *told).alias("a"), F.xxhash64(F.lit(1), *told).alias("b"))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """Every revisit with the response it stands for.
 
@@ -57,11 +64,15 @@ def resolve(records: DataFrame) -> DataFrame:
     ``changed`` (the revisit's etag, or without one its last-modified time, differs from the
     response's); ``no_validator`` (neither is on both sides). ``source_id`` is null for the first two.
 
-    Weak etags compare by their value. Of responses at one time the largest id is the latest.
-    Null headers are no headers. Revisits that repeat give as many rows, and a response that repeats
-    its id gives its revisits once for each time. Other columns are ignored; an empty table gives no rows.
+    Weak etags compare by their value. Of responses at one time the largest id is the latest, null
+    ids being the smallest, and of equal ids the one with the largest hash of the record. Ids need
+    not be unique or present: bodies are fetched by that hash, so each revisit gets the body of the
+    very record it met, once, and a response without id resolves with a null ``source_id``. Null
+    headers are no headers. Revisits that repeat give as many rows. A null time is earlier than any
+    other. Texts may be of any length. Other columns are ignored; an empty table gives no rows.
     """
     headers = F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
+    key = _record_key(headers)
     full = (F.col("kind") == RESPONSE) & (F.col("status") == 200) & F.col("body").isNotNull()
     # Bodies stay behind; they are fetched once the responses are known.
     light = records.select(
@@ -69,8 +80,9 @@ def resolve(records: DataFrame) -> DataFrame:
         F.col("at"),
         F.when(F.col("kind") == REVISIT, 0).otherwise(1).alias("rank"),  # at the same time nothing is earlier
         F.col("record_id").alias("id"),
+        key.alias("key"),
         headers.alias("headers"),
-        F.when(full, F.struct(F.col("record_id").alias("id"), headers.alias("headers"))).alias("full"),
+        F.when(full, F.struct(F.col("record_id").alias("id"), key.alias("key"), headers.alias("headers"))).alias("full"),
     ).where((F.col("rank") == 0) | F.col("full").isNotNull())
     light = light.withColumn("headers", F.when(F.col("rank") == 0, F.col("headers")))
     known = _latest_earlier(light.where("url is not null")).where("rank = 0")
@@ -91,11 +103,12 @@ def resolve(records: DataFrame) -> DataFrame:
     updates = F.map_filter(mine, lambda name, _: name.isin(*PERMITTED))
     stored = F.map_filter(theirs, lambda name, _: ~F.array_contains(F.map_keys(updates), name))
     found = revisits.select(
-        F.col("id").alias("record_id"), F.col("url").alias("canonical_url"), "at", outcome.alias("outcome"), F.col("met.id").alias("source_id"), F.map_concat(stored, updates).alias("headers")
+        F.col("id").alias("record_id"), F.col("url").alias("canonical_url"), "at", outcome.alias("outcome"), F.col("met.id").alias("source_id"), F.map_concat(stored, updates).alias("headers"), F.col("met.key").alias("key")
     ).withColumn("headers", F.when(F.col("outcome") == "resolved", F.col("headers")))
     found = pinned(found, "revisit-found")
-    bodies = records.where(full).select(F.col("record_id").alias("source_id"), "body")
-    # Many revisits of one response are one hot key: adaptive execution splits it, since both sides are plain scans.
-    resolved = found.where("outcome = 'resolved'").join(bodies, "source_id")
+    # Equal records have one key and one body.
+    bodies = records.where(full).select(key.alias("key"), "body").groupBy("key").agg(F.first("body").alias("body"))
+    # Many revisits of one response are one hot key: adaptive execution splits it, since this side is a plain scan.
+    resolved = found.where("outcome = 'resolved'").join(bodies, "key", "left")
     rest = found.where("outcome <> 'resolved'").withColumn("body", F.lit(None).cast(records.schema["body"].dataType))
-    return resolved.unionByName(rest)
+    return resolved.unionByName(rest).drop("key")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave.llm import language_id, mixing, packing, quality, revisits, sharding
+from claimweave.llm.queries import QUERIES
 from tests.llm.messy import LONG, POEM, ROWS, empty, frame, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -137,6 +138,39 @@ def test_revisits(spark):
     assert revisits.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_every_revisit_gets_the_body_it_met(spark):
+    """Responses without id, with the id of another URL's response, and twice over: a row per revisit, and always the right body."""
+    a, b, c = "http://a.org/x", "http://b.org/x", "http://c.org/x"
+    rows = [
+        record(None, a, 1, "response", 200, {"etag": "1"}, "body of a"),
+        record("same", b, 1, "response", 200, {"etag": "1"}, "body of b"),
+        record("same", c, 1, "response", 200, {"etag": "1"}, "body of c"),
+        record("same", c, 1, "response", 200, {"etag": "1"}, "body of c"),
+        record("same", c, 5, "response", 200, {"etag": "1"}, "later body of c"),
+        record("va", a, 2, "revisit", 304, {"etag": "1"}),
+        record("vb", b, 2, "revisit", 304, {"etag": "1"}),
+        record("vc", c, 2, "revisit", 304, {"etag": "1"}),
+        record("vd", c, 6, "revisit", 304, {"etag": "1"}),
+        record(None, c, 6, "revisit", 304, {"etag": "1"}),
+        record("vn", c, None, "revisit", 304, {"etag": "1"}),
+    ]
+    got = [(r.record_id, r.outcome, r.source_id, r.body) for r in revisits.resolve(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted([
+        ("va", "resolved", None, "body of a"), ("vb", "resolved", "same", "body of b"), ("vc", "resolved", "same", "body of c"),
+        ("vd", "resolved", "same", "later body of c"), (None, "resolved", "same", "later body of c"), ("vn", "no_response", None, None),
+    ], key=str)
+
+
+def test_captures_need_the_join(spark, sf_dir):
+    """In the query's captures all outcomes occur, and at least a fifth of the revisits meets another page's response."""
+    found = QUERIES["op3_revisits"](spark, sf_dir).collect()
+    assert {r.outcome for r in found} == {"resolved", "changed", "no_validator", "no_url", "no_response"}
+    own = lambda r: r.source_id is not None and int(r.source_id[1:]) in (int(r.record_id[1:]), int(r.record_id[1:]) - 1)
+    assert sum(r.source_id is not None and not own(r) for r in found) >= 0.2 * len(found)
+    bodies = [r for r in found if r.outcome == "resolved"]
+    assert bodies and all(r.body_sha256 for r in bodies) and any(r.source_id is None for r in bodies)
+
+
 def test_one_url_over_many_partitions(spark):
     """A hot URL spans range partitions; what stands before a border is carried over it."""
     rows = [record(f"r{i}", "http://a.b/c", 100 * i, "response", 200, {"etag": str(i)}, f"body {i}") for i in range(5)]
