@@ -83,12 +83,11 @@ def test_keyword_is_literal(spark):
     assert ops.keyword_filter(df, "t", "medical").count() == 1
 
 
-@pytest.mark.parametrize("margin", [4 / 100, 0.0, -0.05])
+@pytest.mark.parametrize("margin,small", [(4 / 100, 100_000), (0.0, 100_000), (-0.05, 16), (4 / 100, 16)])
 @pytest.mark.parametrize("groups", [1, 3])
-def test_percentiles_from_brackets(spark, monkeypatch, groups, margin):
-    """A tiny accuracy gives wide brackets; without a margin, or with a negative one, they miss."""
+def test_percentiles_from_brackets(spark, monkeypatch, groups, margin, small):
+    """A tiny accuracy gives wide brackets; without a margin, or with a negative one, they miss. Small rests are narrowed in rounds."""
     monkeypatch.setattr(percentiles, "ACCURACY", 100)
-    monkeypatch.setattr(percentiles, "_MARGIN", margin)
     rng = np.random.default_rng(3)
     # A hot group, heavy ties and a NULL key.
     keys = rng.choice(["a", "a", "a", "b", None], 6000)
@@ -96,14 +95,30 @@ def test_percentiles_from_brackets(spark, monkeypatch, groups, margin):
     df = spark.createDataFrame(list(zip(keys.tolist(), values.tolist())), "k string, v double").repartition(7)
     wanted = {"p1": 0.01, "p50": 0.5, "p90": 0.9, "p100": 1.0}
     if groups == 1:
-        row = percentiles.exact_percentiles(df, [], F.col("v"), wanted).first()
+        row = percentiles.exact_percentiles(df, [], F.col("v"), wanted, margin=margin, small=small).first()
         assert [row[c] for c in wanted] == pytest.approx([np.quantile(values, p) for p in wanted.values()])
     else:
-        for row in percentiles.exact_percentiles(df, ["k"], F.col("v"), wanted).collect():
+        for row in percentiles.exact_percentiles(df, ["k"], F.col("v"), wanted, margin=margin, small=small).collect():
             group = values[[k == row["k"] for k in keys]]
             assert [row[c] for c in wanted] == pytest.approx([np.quantile(group, p) for p in wanted.values()])
 
 
+def test_a_missed_bracket_with_many_values(spark, monkeypatch):
+    """A million distinct values of which every bracket misses: no task ranks more than a few thousand of them."""
+    ranked, real = [], percentiles._ranked
+
+    def watched(inside, keys, names):
+        ranked.append(inside.count())
+        return real(inside, keys, names)
+
+    monkeypatch.setattr(percentiles, "_ranked", watched)
+    df = spark.range(1_000_000, numPartitions=8).select(((F.col("id") * 7919) % 1_000_003).cast("double").alias("v"))
+    found = percentiles.exact_percentiles(df, [], F.col("v"), {"p25": 0.25, "p90": 0.9}, margin=-0.001, small=5000).first()
+    values = np.sort((np.arange(1_000_000) * 7919) % 1_000_003)
+    assert [found["p25"], found["p90"]] == [np.quantile(values, 0.25), np.quantile(values, 0.9)]
+    assert len(ranked) == 2 and max(ranked) <= 2 * 5000
+
+
 def test_narrow_view_has_the_rows_of_the_wide_one(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").count()
     assert claims_view(spark, sf_dir).count() == lines
