@@ -92,15 +92,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
-    """Captures of the given pages as WARC-like records. Four pages with neighbouring ids share the URL of
-    the first, so a later revisit often meets another page's response; every eleventh page has none.
-    A page is fetched in full at ten times its id and asked for again later, under another spelling
-    of its URL, some of the first before any response. Every other four share an etag; the answer, a 304,
-    carries it, a weak or a wrong one, only the modification time, or no validator. Some responses have no id, and some the id of another."""
-    lead = pages.select(F.col("page_id").alias("_lead"), F.col("url").alias("_url"))
-    grouped = pages.join(lead, F.col("page_id") - F.col("page_id") % 4 == F.col("_lead"), "left").withColumn("url", F.when(F.col("page_id") % 11 != 3, F.col("_url")))
+    """Captures of the given pages as WARC-like records. Four pages with neighbouring ids are one address, each in
+    the spelling (scheme, tracking, fragment) of its own URL, so a later revisit often meets another page's
+    response; every eleventh page has none. A page is fetched in full at ten times its id and asked for again later,
+    some of the first before any response. Every other four share an etag; the answer, a 304, carries it, a weak
+    or a wrong one, only the modification time, or no validator. Some responses have no id, and some the id of another."""
     page = F.col("page_id")
     four = F.expr("page_id div 4")
+    spelled = F.concat(
+        F.regexp_extract("url", "^[A-Za-z]+://", 0), F.when(page % 2 == 0, "www.").otherwise(""), F.lit("site"), four.cast("string"), F.lit(".example.org/p"), F.regexp_extract("url", r"(\?utm_source=[a-z]+)?(#.*)?$", 0)
+    )
+    grouped = pages.withColumn("url", F.when(page % 11 != 3, spelled))
     etag = F.concat(F.lit('"'), F.md5(F.when(four % 2 == 0, four.cast("string")).otherwise(F.coalesce(F.col("html"), F.lit("")))), F.lit('"'))
     modified = F.concat(F.lit("day "), (four % 365).cast("string"))
     day = lambda at: F.concat(F.lit("at "), at.cast("string"))
@@ -127,7 +129,8 @@ def capture_log(pages: DataFrame) -> DataFrame:
 
 _OP3_SQL = r"""
 WITH grouped AS (
-    SELECT p.page_id, p.html, p.page_id // 4 AS four, CASE WHEN p.page_id % 11 <> 3 THEN l.url END AS url FROM pages p LEFT JOIN pages l ON l.page_id = p.page_id - p.page_id % 4
+    SELECT page_id, html, page_id // 4 AS four, CASE WHEN page_id % 11 <> 3 THEN regexp_extract(url, '^[A-Za-z]+://', 0) || CASE WHEN page_id % 2 = 0 THEN 'www.' ELSE '' END || 'site' || (page_id // 4)
+           || '.example.org/p' || regexp_extract(url, '(\?utm_source=[a-z]+)?(#.*)?$', 0) END AS url FROM pages
 ), bare AS (
     SELECT page_id, html, four, md5(CASE WHEN four % 2 = 0 THEN CAST(four AS VARCHAR) ELSE coalesce(html, '') END) AS tag, regexp_replace(trim(url), '#.*$', '') AS url FROM grouped
 ), parts AS (
