@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimweave.operators import containment, postings
 from claimweave.operators import taxonomy as ops
 from claimweave.plans.registry import Registry
 from claimweave.plans.tables import table
@@ -350,6 +351,56 @@ def fuzzy_names(spark, sf_dir):
     return ops.fuzzy_names(table(spark, sf_dir, "part"), "p_name", "cold rings")
 
 
+# Nested JSON from events; the same text runs in both engines.
+_DETAILS = (
+    "concat('{{\"user\":{{\"id\":', cast(user_id as {text}), ',\"did\":\"', event_type, '\"}},\"tags\":[\"t', cast(event_id % 7 as {text}), '\",\"t', cast(event_id % 5 as {text}), '\",', cast(event_id % 3 as {text}), "
+    "'],\"items\":[{{\"sku\":', cast(event_id % 4 as {text}), ',\"n\":', cast(event_id % 3 as {text}), '}},{{\"sku\":', cast(event_id % 6 as {text}), ',\"n\":1.0,\"more\":[[', cast(event_id % 2 as {text}), ',null]]}}]}}')"
+)
+_PATTERNS = {
+    "user": '{"user":{"did":"click"}}',
+    "tags": '{"tags":["t4",2,"t4"]}',
+    "one_item": '{"items":[{"n":2.0,"sku":3}]}',
+    "two_items": '{"items":[{"sku":3},{"sku":1}],"user":{}}',
+    "deep": '{"items":[{"more":[[1],[]]}]}',
+    "list": '["t4"]',
+    "wrong_kind": '{"tags":{}}',
+    "all": "{}",
+}
+_WHERE = {
+    "user": "event_type = 'click'",
+    "tags": "(event_id % 7 = 4 OR event_id % 5 = 4) AND event_id % 3 = 2",
+    "one_item": "event_id % 4 = 3 AND event_id % 3 = 2",
+    "two_items": "(event_id % 4 = 3 OR event_id % 6 = 3) AND (event_id % 4 = 1 OR event_id % 6 = 1)",
+    "deep": "event_id % 2 = 1",
+    "all": "true",
+}
+
+
+@REGISTRY.add("c16_contains_any", " UNION ALL ".join(f"SELECT event_id, '{name}' AS pattern_id FROM events WHERE {where}" for name, where in _WHERE.items()))
+def contains_any(spark, sf_dir):
+    """Objects, arrays and what is inside them, several patterns at once; two of them match nothing."""
+    details = table(spark, sf_dir, "events").select("event_id", F.expr(_DETAILS.format(text="string")).alias("details"))
+    patterns = spark.createDataFrame(list(_PATTERNS.items()), "pattern_id string, pattern string")
+    return containment.contains_any(details, patterns, "event_id", "details")
+
+
+_HEADLINES = (
+    "heads AS (SELECT DISTINCT regexp_extract(text, '^[^.\n]*', 0) AS n FROM documents WHERE text IS NOT NULL), titles AS (SELECT DISTINCT regexp_extract(html, '<title>([^<]*)', 1) AS n FROM pages WHERE html IS NOT NULL)"
+)
+
+
+@REGISTRY.add(
+    "c17_fuzzy_join",
+    f"WITH {_HEADLINES}, a AS (SELECT n, {_GRAMS.format('n')} AS g FROM titles), b AS (SELECT n, {_GRAMS.format('n')} AS g FROM heads) "
+    "SELECT * FROM (SELECT a.n AS left_name, b.n AS right_name, round(CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM a, b WHERE len(a.g) > 0 AND len(b.g) > 0) WHERE similarity >= 0.4",
+)
+def fuzzy_join(spark, sf_dir):
+    """Page titles and the first sentences of documents that resemble each other."""
+    titles = table(spark, sf_dir, "pages").select(F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    heads = table(spark, sf_dir, "documents").select(F.regexp_extract("text", r"^[^.\n]*", 0).alias("head"))
+    return postings.fuzzy_join(titles, heads, "title", "head", ops.trigrams, 0.4)
+
+
 def turn_chunks(spark, sf_dir):
     """Conversation turns as a chunk table; user turns carry a vector."""
     return table(spark, sf_dir, "conversations").select(

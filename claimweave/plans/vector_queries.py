@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimweave.functions import vector as vec
-from claimweave.operators import quantized
+from claimweave.operators import postings, quantized
 from claimweave.operators import vectors as ops
 from claimweave.plans.registry import Registry
 from claimweave.plans.tables import table
@@ -262,3 +262,37 @@ def hybrid_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.array(F.length("text").cast("double"), count("e"), count("t")).alias("embedding"))
     query = F.array(F.lit(100.0), F.lit(10.0), F.lit(10.0))
     return ops.hybrid_search(docs, " ".join(_TERMS), query).select("id", "score")
+
+
+_BM25 = (
+    f"d AS (SELECT doc_id AS id, list_filter({_WORDS}, lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT id, term, count(*) AS f FROM (SELECT id, unnest(w) AS term FROM d) GROUP BY id, term), "
+    "whole AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS mean FROM d WHERE len(w) > 0), spread AS (SELECT term, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY term), "
+    "scored AS (SELECT q, p.id, round(sum(ln(1 + (whole.n - spread.n + 0.5) / (spread.n + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(d.w) / mean))), 9) AS score "
+    "FROM asked JOIN p ON p.term = asked.term JOIN spread ON spread.term = asked.term JOIN d ON d.id = p.id, whole GROUP BY q, p.id)"
+)
+
+
+@REGISTRY.add(
+    "e13_ranked_text",
+    f"WITH asked AS (SELECT DISTINCT q, term FROM (SELECT item_id AS q, unnest({_WORDS}) AS term FROM benchmark) WHERE term <> ''), {_BM25} "
+    "SELECT q AS query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10",
+)
+def ranked_text(spark, sf_dir):
+    """Every benchmark item as a query against all documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return postings.ranked_text(cut_lineage(postings.postings(docs)), queries, 10)
+
+
+@REGISTRY.add(
+    "e13_ranked_hybrid",
+    f"WITH asked AS (SELECT 0 AS q, unnest({_TERMS}) AS term), {_BM25}, "
+    f"s AS (SELECT doc_id AS id, coalesce(score, 0) AS t, coalesce({_COS}({_LETTERS}, [100.0, 10.0, 10.0]), 0) AS c FROM documents LEFT JOIN scored ON scored.id = doc_id), "
+    "b AS (SELECT min(t) AS t0, max(t) AS t1, min(c) AS c0, max(c) AS c1 FROM s) "
+    "SELECT id, round(score, 6) AS score FROM (SELECT id, round(0.3 * (t - t0) / (t1 - t0) + 0.7 * (c - c0) / (c1 - c0), 9) AS score FROM s, b) ORDER BY score DESC, id LIMIT 10",
+)
+def ranked_hybrid(spark, sf_dir):
+    count = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.array(F.length("text").cast("double"), count("e"), count("t")).alias("embedding"))
+    similarity = vec.cosine("embedding", F.array(F.lit(100.0), F.lit(10.0), F.lit(10.0)))
+    return postings.text_and_vector(docs, cut_lineage(postings.postings(docs)), " ".join(_TERMS), similarity).select("id", "score")
