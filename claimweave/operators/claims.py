@@ -178,6 +178,24 @@ def stats_by(
     return exact_percentiles(df, [key], F.col(measure), percents, aggregates).select(names).orderBy(*order)
 
 
+def sketch_stats(df: DataFrame, keys: Sequence[str], measure: str, k: int = 400) -> DataFrame:
+    """Per group: ``n`` values of the measure, their ``sum`` and a mergeable KLL ``sketch``; NULLs skipped.
+
+    Meant to be stored by fine keys, such as day and group, and merged on request: a rank read off a sketch is
+    off by about 1.2 / k^0.9 of the rows, 0.7 % for 400, however many sketches were merged.
+    """
+    value = F.col(measure).cast("double")
+    return df.where(F.col(measure).isNotNull()).groupBy(*keys).agg(_count().alias("n"), F.sum(measure).alias("sum"), F.kll_sketch_agg_double(value, k).alias("sketch"))
+
+
+def merged_stats(sketches: DataFrame, keys: Sequence[str], percents: Mapping[str, float] | None = None) -> DataFrame:
+    """Count, average, sum and approximate percentiles per coarser group, from stored sketches alone."""
+    percents = dict(percents or {"p50": 0.5, "p90": 0.9})
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.kll_merge_agg_double("sketch").alias("_s"))
+    quantiles = [F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(name) for name, p in percents.items()]
+    return merged.select(*keys, "n", (F.col("sum").cast("double") / F.col("n")).alias("avg"), "sum", *quantiles)
+
+
 def mean_ratio(df: DataFrame, numerator: str, denominator: str, name: str = "avg_ratio") -> DataFrame:
     """Average of row ratios; a zero on either side drops the row."""
     top, bottom = F.col(numerator).cast("double"), F.col(denominator).cast("double")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweave.functions import vector as vec
+from claimweave.operators.calls import TokenBucket, in_order
 from claimweave.operators.pivot_tree import MAX_TREE_BYTES, PivotTree, unit_rows
 from claimweave.session import cut_lineage
 
@@ -695,19 +696,26 @@ def attach_embeddings(
     batch: int = 50,
     retries: int = 3,
     name: str = "embedding",
+    workers: int = 1,
+    per_second: float | None = None,
 ) -> DataFrame:
     """Encodes a text column with a caller's model.
 
     ``load`` returns the encoder and runs once per task. Each distinct text is
     encoded once; blank texts give NULL. A batch that fails, or gives another number
     of vectors than it has texts, is retried text by text; what still fails gives NULL
-    and its reason in the column ``error``.
+    and its reason in the column ``error``. A task makes up to ``workers`` calls at once, for which
+    the encoder must be safe, and starts at most ``per_second`` of them, retries included.
     """
     key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
     distinct = df.where(F.trim(text) != "").select(key.alias("_k"), F.col(text).alias("_t")).groupBy("_k", "_t").agg(F.lit(1)).select("_k", "_t")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load()
+        model, bucket = load(), TokenBucket(per_second, workers)
+
+        def encoder(texts: list[str]) -> list[list[float]]:
+            bucket.take()
+            return model(texts)
 
         def attempt(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
             try:
@@ -732,7 +740,7 @@ def attach_embeddings(
 
         for records in batches:
             texts = records.column("_t").to_pylist()
-            pairs = [p for start in range(0, len(texts), batch) for p in attempt(texts[start : start + batch])]
+            pairs = [p for part in in_order(attempt, (texts[start : start + batch] for start in range(0, len(texts), batch)), workers) for p in part]
             columns = [records.column("_k"), records.column("_t"), pa.array([v for v, _ in pairs], pa.list_(pa.float32())), pa.array([e for _, e in pairs], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["_k", "_t", name, "error"])
 

@@ -97,21 +97,39 @@ def read_graph_edges(spark, sf_dir):
     return _graph_files(spark, sf_dir)[1]
 
 
-@REGISTRY.add(
-    "a07_upsert",
+_UPSERTED = (
     "WITH src AS (SELECT k, arg_max(name, o) AS name, arg_max(amount, o) AS amount FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS k, o_orderpriority AS name, o_totalprice AS amount, o_orderkey AS o FROM orders) GROUP BY k) "
     "SELECT coalesce(k, c_custkey) AS id, CASE WHEN k IS NULL THEN c_mktsegment ELSE name END AS name, round(CASE WHEN k IS NULL THEN c_acctbal ELSE amount END, 6) AS amount, "
-    "CASE WHEN c_custkey IS NULL THEN 'now' ELSE 'before' END AS created_at, CASE WHEN k IS NULL THEN 'before' ELSE 'now' END AS updated_at FROM customer FULL OUTER JOIN src ON k = c_custkey",
+    "CASE WHEN c_custkey IS NULL THEN 'now' ELSE 'before' END AS created_at, CASE WHEN k IS NULL THEN 'before' ELSE 'now' END AS updated_at FROM customer FULL OUTER JOIN src ON k = c_custkey"
 )
-def upsert(spark, sf_dir):
+
+
+def _upserted(spark, sf_dir):
+    """Customers as the target, and orders as the source; some keys are new."""
     target = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), F.col("c_acctbal").alias("amount"), F.lit("before").alias("created_at"), F.lit("before").alias("updated_at")
     )
     moved = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_custkey") + 100000000).otherwise(F.col("o_custkey"))
     source = table(spark, sf_dir, "orders").select(moved.alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("amount"), F.col("o_orderkey").alias("seq"))
+    return target, source
+
+
+@REGISTRY.add("a07_upsert", _UPSERTED)
+def upsert(spark, sf_dir):
+    target, source = _upserted(spark, sf_dir)
     return writers.upsert(target, source, ["id"], "seq", F.lit("now"))
 
 
+@REGISTRY.add("a07_upsert_in_place", _UPSERTED)
+def upsert_in_place(spark, sf_dir):
+    """The same in a table cut by ranges of the key."""
+    target, source = _upserted(spark, sf_dir)
+    part, path = F.expr("id div 100"), scratch_path(spark, "upserted")
+    target.withColumn("part", part).write.partitionBy("part").parquet(path)
+    writers.upsert_in_place(spark, path, source, ["id"], "seq", F.lit("now"), part)
+    return spark.read.parquet(path).drop("part")
+
+
 @REGISTRY.add(
     "a08_ingest_files",
     f"SELECT 'text' AS category, 'utf-8' AS encoding, CAST(sum(length(html) + 1) AS BIGINT) AS characters, CAST(sum({_filled(f'string_split_regex(html, {chr(39)}[{_CHARS}]+{chr(39)})')}) AS BIGINT) AS words, CAST(0 AS BIGINT) AS errors FROM pages "

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +33,31 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: str
         F.coalesce("_created", now).alias("created_at"),
         F.when(written, now).otherwise(F.col("_updated")).alias("updated_at"),
     )
+
+
+def upsert_in_place(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], order: str, now: Column, part: Column, name: str = "part") -> None:
+    """Upserts into the Parquet table at ``path``, rewriting only the partitions that have a changed key.
+
+    ``part`` is a column expression over ``keys`` that every row of a key agrees on, for example a range of
+    the key; it is kept as the folder column ``name``. Only partitions that the source touches are read,
+    merged as by ``upsert`` and written, each replaced as a whole when the job commits, so files of others
+    stay as they are. The touched values come to the driver: partitions should be so large that there are few.
+    Writers must not run at the same time. A table that does not exist yet is created from the source.
+    """
+    incoming = source.withColumn(name, part)
+    touched = [row[0] for row in incoming.select(name).distinct().collect()]
+    columns = [c for c in source.columns if c != order]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != order)
+    stamp = source.select(now.alias("t")).schema["t"].dataType.simpleString()
+    schema = f"{kinds}, created_at {stamp}, updated_at {stamp}, `{name}` {incoming.schema[name].dataType.simpleString()}"
+    try:
+        table = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        table = spark.createDataFrame([], schema)
+    has_null = None in touched
+    held = F.col(name).isin([value for value in touched if value is not None])
+    old = table.where((held | F.col(name).isNull()) if has_null else held).drop(name)
+    merged = upsert(old.select(*columns, "created_at", "updated_at"), source, keys, order, now).withColumn(name, part)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)

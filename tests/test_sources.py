@@ -102,3 +102,21 @@ def test_partitioned_write_and_fixed_schema(spark):
     assert back.count() == 10 and back.filter("loss_type = 'medical'").count() == 10
     plan = back.filter("claim_number = 'x'").select("claim_number", "net_paid")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(claim_number), EqualTo(claim_number,x)]" in plan and "gross_paid" not in plan
+
+
+def test_upsert_in_place_leaves_other_partitions(spark):
+    from pathlib import Path
+
+    path = scratch_path(spark, "in-place")
+    names = lambda: {p.parent.name: {f.name for f in p.parent.glob("*.parquet")} for p in Path(path).glob("*/*.parquet")}
+    first = spark.createDataFrame([(i, f"v{i}", 1) for i in range(40)] + [(None, "none", 1)], "id int, v string, seq int")
+    part = F.expr("id div 10")
+    writers.upsert_in_place(spark, path, first, ["id"], "seq", F.lit("t1"), part)  # creates the table
+    before = names()
+    changes = spark.createDataFrame([(3, "old", 1), (3, "new", 2), (35, None, 1), (99, "far", 1)], "id int, v string, seq int")
+    writers.upsert_in_place(spark, path, changes, ["id"], "seq", F.lit("t2"), part)
+    after = names()
+    assert {k for k in after if after.get(k) != before.get(k)} == {"part=0", "part=3", "part=9"}
+    rows = {r.id: (r.v, r.created_at, r.updated_at) for r in spark.read.parquet(path).collect()}
+    want = {i: (f"v{i}", "t1", "t1") for i in range(40)} | {None: ("none", "t1", "t1"), 3: ("new", "t1", "t2"), 35: (None, "t1", "t2"), 99: ("far", "t2", "t2")}
+    assert rows == want
