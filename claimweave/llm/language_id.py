@@ -24,6 +24,8 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 ROUNDS = 12
+# By so many standard errors a text may be less likely than the limit.
+ERRORS = 6.0
 # Texts are worked on together up to so many distinct trigrams.
 TOGETHER = 100_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -133,23 +135,67 @@ def mixtures(model: Model, found: list[tuple[np.ndarray, np.ndarray]]) -> np.nda
     return out
 
 
+class Expected(NamedTuple):
+    """What a language's own texts look like to the model, per trigram: the mean log-likelihood, its standard deviation, and the log-likelihood of what was never seen."""
+
+    p: np.ndarray  # buckets x languages
+    mean: np.ndarray
+    spread: np.ndarray
+    unseen: np.ndarray
+
+
+def expected(model: Model) -> Expected:
+    p = np.exp(model.log_p)
+    # Without the smoothing, which every bucket has alike, what was counted is left.
+    seen = p - p.min(axis=0)
+    seen /= np.maximum(seen.sum(axis=0), 1e-300)
+    mean = (seen * model.log_p).sum(axis=0)
+    return Expected(p, mean, np.sqrt((seen * (model.log_p - mean) ** 2).sum(axis=0)), model.log_p.min(axis=0))
+
+
+def fits(of: Expected, found: list[tuple[np.ndarray, np.ndarray]], shares: np.ndarray) -> list[bool]:
+    """Whether each text is closer to texts of its mixture than to what these languages never have.
+
+    Its mean log-likelihood per trigram must reach the middle between the two, less ERRORS standard
+    errors, as a short text varies: a rare topic or a name passes, an unlearned script does not.
+    Text without trigrams does not fit.
+    """
+    out = []
+    for (buckets, counts), share in zip(found, shares, strict=True):
+        total = counts.sum()
+        if not len(buckets) or not share.any():
+            out.append(False)
+            continue
+        mean = float(counts @ np.log(of.p[buckets] @ share)) / total
+        out.append(bool(mean >= share @ ((of.mean + of.unseen) / 2 - ERRORS / np.sqrt(total) * of.spread)))
+    return out
+
+
 def identify(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
-    """Every document with ``lang_pred``, ``score`` and ``languages``.
+    """Every document with ``lang_pred``, ``score``, ``languages`` and ``fits``.
 
     ``lang_pred`` is the language with the largest proportion, ``score`` that proportion, and
-    ``languages`` all proportions of the selected set. A text that is null or has no letter is
-    ``und`` with score 0, and so is everything if nothing was learned. Only the text is looked
+    ``languages`` all proportions of the selected set. ``fits`` tells whether the text is closer to
+    texts of these languages than to what they never have; one in an unlearned script is not, though it
+    still has a share in learned languages. A text that is null or has no letter is
+    ``und`` with score 0 and does not fit, and so is everything if nothing was learned. Only the text is looked
     at; the document's columns (those in ``keep``) stay inside ``row``, so they cannot clash. Rows
     that repeat get equal results; an empty table gives no rows.
     """
 
+    known: list[Expected] = []
+
     def predict(texts: list[str | None]) -> list[list]:
         pending: list[tuple[np.ndarray, np.ndarray]] = []
-        languages, scores, sets = [], [], []
+        languages, scores, sets, fit = [], [], [], []
         size = 0
+        if not known:
+            known.append(expected(model))
 
         def settle() -> None:
-            for shares in mixtures(model, pending):
+            found = mixtures(model, pending)
+            fit.extend(fits(known[0], pending, found))
+            for shares in found:
                 chosen = [i for i in np.argsort(-shares, kind="stable") if shares[i] > 0]
                 languages.append(model.languages[chosen[0]] if chosen else UNKNOWN)
                 scores.append(round(min(1.0, float(shares[chosen[0]])), 6) if chosen else 0.0)
@@ -163,10 +209,10 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -
                 settle()
                 size = 0
         settle()
-        return [languages, scores, sets]
+        return [languages, scores, sets, fit]
 
     share = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-    return map_texts(docs, predict, {"lang_pred": pa.string(), "score": pa.float64(), "languages": share}, keep)
+    return map_texts(docs, predict, {"lang_pred": pa.string(), "score": pa.float64(), "languages": share, "fits": pa.bool_()}, keep)
 
 
 def held_out(doc_id: Column) -> Column:

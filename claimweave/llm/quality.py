@@ -91,6 +91,9 @@ def repeat_words(words: Sequence[bytes], width: int = 5) -> int:
     return int(covered.sum())
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 class Rule(NamedTuple):
     name: str
     rejects: Callable[[Text], bool]
@@ -112,31 +115,46 @@ RULES = (
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> list[tuple[str, float, float]]:
     """Name, seconds per row and share of rejections of each rule, in the order they should run.
 
-    About ``sample_rows`` rows are drawn from the whole table; each rule is timed on every one of
-    them alone, the measures it needs included. One row per rule comes to the driver.
+    About ``sample_rows`` rows are drawn from the whole table. Only those that pass the base count, as
+    only they reach the rules, and each rule is timed with the base's measures at hand, as it
+    runs. The first rule is the one with most rejections per second; each next one is chosen by the
+    rejections among rows that those before it let pass, and its share is of these rows. Rows of the sample that are rejected by the
+    same rules come to the driver as one count. Times differ from run to run, so rules of nearly equal worth may change places.
     """
     fraction = min(1.0, sample_rows / max(1, docs.count()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seconds, rejected, rows = [0.0] * len(rules), [0] * len(rules), 0
+        seconds, found = [0.0] * len(rules), Counter()
         for batch in batches:
             for text in batch["text"]:
-                rows += 1
+                t = Text(text)
+                if base_failed(t):
+                    continue
+                for measure in MEASURES:
+                    getattr(t, measure)
+                rejected = 0
                 for i, rule in enumerate(rules):
-                    fresh = Text(text)
                     start = time.perf_counter()
-                    rejected[i] += bool(rule.rejects(fresh))
+                    rejected |= bool(rule.rejects(t)) << i
                     seconds[i] += time.perf_counter() - start
-        yield pd.DataFrame({"rule": range(len(rules)), "seconds": seconds, "rejected": rejected, "rows": rows})
-
-    found = docs.select("text").sample(fraction, seed).mapInPandas(run, "rule int, seconds double, rejected bigint, rows bigint")
-    sums = found.groupBy("rule").agg(F.sum("seconds"), F.sum("rejected"), F.sum("rows")).collect()
-    costs = [(rules[r[0]].name, r[1] / max(1, r[3]), r[2] / max(1, r[3])) for r in sums]
-    # Without a single rejection the cheaper rule still comes first.
-    return sorted(costs, key=lambda c: (-(c[2] + 1 / sample_rows) / max(c[1], 1e-9), c[0]))
-
-
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+                found[rejected] += 1
+        yield pd.DataFrame({"rule": range(len(rules)), "rejected": -1, "seconds": seconds, "rows": 0})
+        yield pd.DataFrame({"rule": -1, "rejected": list(found), "seconds": 0.0, "rows": list(found.values())})
+
+    measured = docs.select("text").sample(fraction, seed).mapInPandas(run, "rule int, rejected bigint, seconds double, rows bigint")
+    sums = measured.groupBy("rule", "rejected").agg(F.sum("seconds").alias("seconds"), F.sum("rows").alias("rows")).collect()
+    reached = sum(r["rows"] for r in sums if r["rule"] < 0)
+    cost = {r["rule"]: max(r["seconds"] / max(1, reached), 1e-9) for r in sums if r["rule"] >= 0}
+    left, order = {r["rejected"]: r["rows"] for r in sums if r["rule"] < 0}, []
+    waiting = list(range(len(rules)))
+    while waiting:
+        rejections = {i: sum(n for mask, n in left.items() if mask >> i & 1) for i in waiting}
+        # Without a single rejection the cheaper rule still comes first.
+        best = min(waiting, key=lambda i: (-(rejections[i] + 1 / sample_rows) / cost.get(i, 1e-9), rules[i].name))
+        order.append((rules[best].name, cost.get(best, 0.0), rejections[best] / max(1, sum(left.values()))))
+        left = {mask: n for mask, n in left.items() if not mask >> best & 1}
+        waiting.remove(best)
+    return order
 
 
 def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, order: Sequence[str] | None = None, keep: Sequence[str] | None = None, **sample) -> DataFrame:
@@ -144,7 +162,8 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, order: Sequence[str]
 
     A text that fails the base measures is rejected by ``base``; the others go through the rules
     in ``order`` (by default as estimated), up to the first that rejects. The document's columns
-    (those in ``keep``) stay inside ``row``, so they cannot clash. A null text has no words and
+    (those in ``keep``) stay inside ``row``, so they cannot clash. ``rejected_by`` depends on the order, and
+    so may differ between runs; nothing else does. Texts of any length are measured whole. A null text has no words and
     fails the base; rows that repeat are judged each for itself; an empty table gives no rows.
     """
     by_name = {rule.name: rule for rule in rules}

@@ -25,25 +25,48 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _crc32_sql(text: str) -> str:
+    """The checksum of a string's UTF-8 bytes, a byte at a time; the table follows from the polynomial 3988292384, a fixed value."""
+    table_ = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (3988292384 if value & 1 else 0)
+        table_.append(value)
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c >> 8, {table_}[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
 _OP1_SQL = r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n_lines
     FROM documents WHERE text IS NOT NULL
 ), hashed AS (
-    SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines
-), rolled AS (
-    SELECT *, (h + 31337 * coalesce(lag(h, 1) OVER w, 0) + 31337 * 31337 * coalesce(lag(h, 2) OVER w, 0)) % 2147483647 % 4 = 0 OR i = n_lines - 1 AS closes
-    FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+    SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded FROM lines
+), marked AS (
+    SELECT *, (h + 31337 * coalesce(lag(h) OVER w, 0)) % 2147483647 % 8 < 7 AS chosen FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), ended AS (
+    SELECT *, CASE WHEN chosen OR coalesce(lead(chosen) OVER w, true) THEN 1 ELSE 0 END AS ends FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), numbered AS (
-    SELECT *, coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM rolled
+    SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM ended
 ), chunked AS (
-    SELECT doc_id, chunk, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body,
-           count(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 1 END) AS worded
-    FROM numbered GROUP BY doc_id, chunk
+    SELECT doc_id, min(i) AS start, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, chunk HAVING bool_or(worded)
 ), ranked AS (
-    SELECT *, worded >= 2 AND row_number() OVER (PARTITION BY body, worded >= 2 ORDER BY doc_id, start) > 1 AS removed FROM chunked
+    SELECT doc_id, start, row_number() OVER w AS k, first_value(doc_id) OVER w AS doc0, first_value(start) OVER w AS start0 FROM chunked WINDOW w AS (PARTITION BY body ORDER BY doc_id, start)
+), anchors AS (
+    SELECT DISTINCT doc_id, doc0, start - start0 AS delta, start FROM ranked WHERE k > 1
+), equal AS (
+    SELECT d.doc_id, d.doc0, d.delta, x.i, x.worded, x.i - row_number() OVER (PARTITION BY d.doc_id, d.doc0, d.delta ORDER BY x.i) AS run
+    FROM (SELECT DISTINCT doc_id, doc0, delta FROM anchors) d JOIN hashed x ON x.doc_id = d.doc_id JOIN hashed y ON y.doc_id = d.doc0 AND y.i = x.i - d.delta AND y.line = x.line
+), held AS (
+    SELECT DISTINCT e.doc_id, e.doc0, e.delta, e.run FROM equal e JOIN anchors a ON a.doc_id = e.doc_id AND a.doc0 = e.doc0 AND a.delta = e.delta AND a.start = e.i
+), spans AS (
+    SELECT e.doc_id, min(CASE WHEN worded THEN i END) AS a, max(CASE WHEN worded THEN i END) AS b
+    FROM equal e JOIN held h ON h.doc_id = e.doc_id AND h.doc0 = e.doc0 AND h.delta = e.delta AND h.run = e.run GROUP BY e.doc_id, e.doc0, e.delta, e.run HAVING count(CASE WHEN worded THEN 1 END) >= 2
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM spans
 ), rebuilt AS (
-    SELECT doc_id, sum(CASE WHEN removed THEN n ELSE 0 END) AS n_removed, string_agg(CASE WHEN NOT removed THEN body END, chr(10) ORDER BY start) AS kept FROM ranked GROUP BY doc_id
+    SELECT l.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS kept
+    FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
 )
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN rebuilt ON d.doc_id = rebuilt.doc_id
@@ -243,7 +266,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op7_sharding")
+_OP7_SQL = f"""
+WITH light AS (
+    SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, CASE WHEN text IS NULL OR text = '' THEN 0 ELSE {_crc32_sql("text")} END AS text_crc32, md5('20240817:' || doc_id) AS draw FROM documents
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id, text_crc32, size) AS k, count(*) OVER (PARTITION BY source) AS rows FROM light
+), cut AS (
+    SELECT *, row_number() OVER (ORDER BY CAST(2 * k - 1 AS DOUBLE) / CAST(2 * rows AS DOUBLE), source NULLS FIRST, draw, doc_id, text_crc32, size) - 1 AS n, count(*) OVER () AS total FROM ranked
+), placed AS (
+    SELECT *, CAST(n * 24 // total AS INTEGER) AS shard FROM cut
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, n - (shard * total + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM placed
+"""
+
+
+@query("op7_sharding", _OP7_SQL)
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
@@ -325,13 +362,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-def _crc32_sql(text: str) -> str:
-    """The checksum of a string's UTF-8 bytes, eight shifts a byte; 3988292384 is the fixed polynomial."""
-    data = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
-    shifts = "list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
-    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: {shifts}), 4294967295)"
-
-
 _OP11_SQL = rf"""
 WITH texts AS (
     SELECT doc_id, 0 AS target, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark

@@ -225,6 +225,26 @@ def test_cascade_prefers_rejections_per_second(spark):
     assert {r.rejected_by for r in quality.cascade(docs, rules).collect()} == {"quick"}
 
 
+def test_rules_are_weighed_among_survivors(spark):
+    """A rule that only rejects what the base or an earlier rule rejects comes last, however often it rejects."""
+
+    def slow(reject):
+        def rule(t):
+            sum(range(3000))
+            return reject(t)
+
+        return rule
+
+    start = lambda c: slow(lambda t: t.text.startswith(c))
+    words_ = " ".join(f"w{j}" for j in range(20))
+    rows = [(i, "abc"[i % 3] * 3 + " " + words_, None, None) for i in range(60)] + [(100 + i, "zzz", None, None) for i in range(300)]
+    rules = [quality.Rule("short", lambda t: t.n_words < 10), quality.Rule("a_or_b", slow(lambda t: t.text[0] in "ab")), quality.Rule("a", start("a")), quality.Rule("c", start("c"))]
+    order = [(name, share) for name, _, share in quality.estimate(frame(spark, rows), rules)]
+    assert [name for name, _ in order if name not in ("short",)] == ["a_or_b", "c", "a"]
+    shares = dict(order)
+    assert shares["short"] == 0 and shares["a"] == 0 and shares["c"] == 1.0 and abs(shares["a_or_b"] - 2 / 3) < 0.01
+
+
 # --- packing -------------------------------------------------------------------
 
 
