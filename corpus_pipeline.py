@@ -21,14 +21,20 @@ WIDTH, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID (2): documents without letters, or with no main language, go."""
+    """Language ID (2): documents without letters, with no main language, or unlike the texts of their languages, go.
+
+    Null texts go; rows that repeat fare alike, and all columns come through as they were.
+    """
     found = language_id.identify(docs, language_id.learn_from(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE) & F.col("fits")).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup (1): texts lose repeated chunks of lines; later copies of texts with several lines, and documents of which no word is left, go."""
-    left = line_dedup.dedup_lines(docs, copies=True).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
+    """Line dedup (1): texts lose runs of lines that stand earlier; documents of which no word is left go.
+
+    Null texts stay. Rows that repeat id and text are one document and fare alike; of equal texts the one with the smallest id is the first.
+    """
+    left = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
     changed = F.col("n_removed") > 0
     columns = {c: F.col("row")[c] for c in docs.columns}
     columns["text"] = F.col("kept_text")
@@ -38,12 +44,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (10): of each group of near duplicates the document with the smallest id stays."""
+    """N-gram Jaccard join (10): of each group of near duplicates the document with the smallest id stays.
+
+    Documents without words are in no group and stay; rows that repeat id and text leave one; other columns come through.
+    """
     return jaccard_join.keep_one(docs, WIDTH, PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing (8): every document as often as its source's target weight asks for."""
+    """Mixing (8): every document as often as its source's target weight asks for.
+
+    Null sources are a source of their own; documents without words, and null texts, have size 0; rows that repeat an id share a draw.
+    """
     return mixing.mix(docs)
 
 
