@@ -49,19 +49,19 @@ COUNTRIES = {
 
 # File extensions per category.
 FILE_CATEGORIES = {
-    "text": "txt log md rst nfo",
-    "markup": "html xml json jsonl yaml yml ini cfg toml conf properties",
-    "documentation": "tex ltx srt vtt po pot org wiki bbcode texinfo",
-    "image": "jpg jpeg png bmp tif tiff webp heic heif pbm pgm ppm gif raw cr2 nef arw dng",
-    "vector": "svg",
-    "word": "docx dotx doc odt rtf pages",
-    "pdf": "pdf",
-    "ebook": "epub mobi azw azw3",
-    "spreadsheet": "xls xlsx xlsm ods csv tsv numbers",
-    "archive": "zip tar gz bz2 7z xz rar tgz",
-    "code": "py js ts java cpp c h go rs sh ps1 sql php rb swift ipynb",
-    "email": "msg eml ics vcf vcard",
-    "web_archive": "mhtml mht har",
+    "text": [".txt", ".log", ".md", ".rst", ".nfo"],
+    "markup": [".html", ".xml", ".json", ".jsonl", ".yaml", ".yml", ".ini", ".cfg", ".toml", ".conf", ".properties"],
+    "documentation": [".tex", ".ltx", ".srt", ".vtt", ".po", ".pot", ".org", ".wiki", ".bbcode", ".texinfo"],
+    "image": [".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp", ".heic", ".heif", ".pbm", ".pgm", ".ppm", ".gif", ".raw", ".cr2", ".nef", ".arw", ".dng"],
+    "vector": [".svg"],
+    "word": [".docx", ".dotx", ".doc", ".odt", ".rtf", ".pages"],
+    "pdf": [".pdf"],
+    "ebook": [".epub", ".mobi", ".azw", ".azw3"],
+    "spreadsheet": [".xls", ".xlsx", ".xlsm", ".ods", ".csv", ".tsv", ".numbers"],
+    "archive": [".zip", ".tar", ".gz", ".bz2", ".7z", ".xz", ".rar", ".tgz"],
+    "code": [".py", ".js", ".ts", ".java", ".cpp", ".c", ".h", ".go", ".rs", ".sh", ".ps1", ".sql", ".php", ".rb", ".swift", ".ipynb"],
+    "email": [".msg", ".eml", ".ics", ".vcf", ".vcard"],
+    "web_archive": [".mhtml", ".mht", ".har"],
 }
 
 
@@ -82,7 +82,7 @@ def is_supported_country(name: str | Column) -> Column:
 
 
 def _categories() -> dict[str, str]:
-    listed = {f".{ext}": category for category, exts in FILE_CATEGORIES.items() for ext in exts.split()}
+    listed = {extension: category for category, extensions in FILE_CATEGORIES.items() for extension in extensions}
     # Unlisted extensions fall back to their registered media type.
     for extension, media in sorted(mimetypes.MimeTypes().types_map[True].items()):
         family = media.split("/")[0]

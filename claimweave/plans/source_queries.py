@@ -24,16 +24,18 @@ def read_claims(spark, sf_dir):
     return readers.read_claims(spark, path)
 
 
-@REGISTRY.add("a02_read_page_texts", "SELECT CAST(conv_id AS VARCHAR) AS source, turn AS text_index, text FROM conversations")
+@REGISTRY.add("a02_read_page_texts", "SELECT conv_id, true AS named_by_file, turn AS text_index, text FROM conversations")
 def read_page_texts(spark, sf_dir):
-    """One JSON array per conversation, each conversation in its own folder."""
+    """One JSON array per conversation, each conversation in its own folder; the reader's source is the file's name without its ending."""
     path = scratch_path(spark, "page_texts")
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
     documents = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(turns).alias("value"))
     documents.write.partitionBy("conv_id").text(path)
     pages = readers.read_page_texts(spark, path, "*.txt")
-    # The writer names the folder, not the file.
-    return pages.withColumn("source", F.regexp_extract(F.input_file_name(), r"conv_id=(\d+)", 1))
+    file = F.input_file_name()
+    # The writer chooses the files' names; the folder tells the conversation.
+    named = (F.length("source") > 0) & (F.concat(F.col("source"), F.lit(".txt")) == F.substring_index(file, "/", -1))
+    return pages.select(F.regexp_extract(file, r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"), named.alias("named_by_file"), "text_index", "text")
 
 
 @REGISTRY.add("a03_merge_batches", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS result FROM orders")

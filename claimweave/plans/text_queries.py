@@ -223,17 +223,34 @@ def size_filter(spark, sf_dir):
     return ops.size_filter(files, 0.002).drop("length")
 
 
-_NAMES = [".txt", ".PDF", ".tar.gz", ".csv", "", ".css", ".zzz", ".JPEG", ".docx"]
-_KINDS = ["text", "pdf", "archive", "spreadsheet", "unknown", "text", "unknown", "image", "word"]
-
-
 def _pick(values: list[str], key: str, quote: bool = True) -> str:
     return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN " + (f"'{v}'" if quote else v) for i, v in enumerate(values)) + " END"
 
 
-@REGISTRY.add("d17_file_category", f"SELECT p_partkey, {_pick(_KINDS, 'p_partkey')} AS category FROM part")
+# Every extension, some in capitals, with double ones, without any and unknown ones.
+_ENDINGS = {
+    "text": [".txt", ".log", ".md", ".rst", ".nfo", ".css"],
+    "markup": [".html", ".xml", ".json", ".jsonl", ".yaml", ".yml", ".ini", ".cfg", ".toml", ".conf", ".properties", ".x.Json"],
+    "documentation": [".tex", ".ltx", ".srt", ".vtt", ".po", ".pot", ".org", ".wiki", ".bbcode", ".texinfo"],
+    "image": [".jpg", ".JPEG", ".png", ".bmp", ".tif", ".tiff", ".webp", ".heic", ".heif", ".pbm", ".pgm", ".ppm", ".gif", ".raw", ".cr2", ".nef", ".arw", ".dng"],
+    "vector": [".svg"],
+    "word": [".docx", ".dotx", ".doc", ".odt", ".rtf", ".pages"],
+    "pdf": [".pdf", ".PDF"],
+    "ebook": [".epub", ".mobi", ".azw", ".azw3"],
+    "spreadsheet": [".xls", ".xlsx", ".xlsm", ".ods", ".csv", ".tsv", ".numbers"],
+    "archive": [".zip", ".tar", ".gz", ".bz2", ".7z", ".xz", ".rar", ".tgz", ".tar.gz", ".tar.bz2", ".tar.xz"],
+    "code": [".py", ".js", ".ts", ".java", ".cpp", ".c", ".h", ".go", ".rs", ".sh", ".ps1", ".sql", ".php", ".rb", ".swift", ".ipynb"],
+    "email": [".msg", ".eml", ".ics", ".vcf", ".vcard"],
+    "web_archive": [".mhtml", ".mht", ".har"],
+    "unknown": ["", ".", ".nothing", ".tar.nothing"],
+}
+_ENDING_LIST = [ending for endings in _ENDINGS.values() for ending in endings]
+_ENDING_KIND = [kind for kind, endings in _ENDINGS.items() for _ in endings]
+
+
+@REGISTRY.add("d17_file_category", f"SELECT p_partkey, {_pick(_ENDING_KIND, 'p_partkey')} AS category FROM part")
 def file_category(spark, sf_dir):
-    name = F.concat(F.lit("/data/a.b/"), F.col("p_name"), F.expr(_pick(_NAMES, "p_partkey")))
+    name = F.concat(F.lit("/data/a.b/"), F.replace("p_name", F.lit("."), F.lit("")), F.expr(_pick(_ENDING_LIST, "p_partkey")))
     return table(spark, sf_dir, "part").select("p_partkey", lookups.file_category(name).alias("category"))
 
 
@@ -248,8 +265,16 @@ def sample_positions(spark, sf_dir):
     return ops.sample_positions(turns, "conv_id", "turn").select("conv_id", "turn", "text")
 
 
-_INPUTS = ["greece", " GR ", "UK", "Unknown", "hong kong", "Viet Nam", "republic of korea", ""]
-_CODES = ["'GR'", "'GR'", "'GB'", "NULL", "'HK'", "'VT'", "'KR'", "NULL"]
+# Every name and code, in changing case and spacing, and some that stand for nothing.
+_NAMED = {
+    "AL": ["albania"], "AU": ["Australia"], "BE": ["Belgium "], "BG": ["bulgaria"], "CH": ["SWITZERLAND"], "CN": ["China", "People's Republic of China"], "CY": ["Cyprus", "republic of cyprus"],
+    "DE": ["Germany"], "DK": ["denmark"], "EG": ["Egypt"], "ES": ["spain"], "FR": [" France"], "GB": ["United Kingdom", "uk", "Great Britain", "BRITAIN"], "GR": ["greece"], "HK": ["Hong Kong", "HongKong"],
+    "ID": ["indonesia"], "IL": ["Israel"], "IN": ["india"], "IT": ["Italy"], "JP": ["Japan"], "KR": ["South Korea", "korea", "Republic of Korea"], "LA": ["Laos", "lao"], "MO": ["Macau", "macao"],
+    "MY": ["Malaysia"], "PH": ["philippines", "Philippine"], "RO": ["Romania"], "RU": ["Russian Federation", "russia"], "SA": ["Saudi Arabia", "saudi"], "SE": ["Sweden"], "SG": ["singapore"],
+    "TH": ["Thailand"], "TR": ["turkey"], "TW": ["Taiwan"], "VT": ["Vietnam", "viet nam"],
+}
+_INPUTS = [name for names in _NAMED.values() for name in names] + [f" {code.lower()} " for code in _NAMED] + ["Unknown", "", "hong  kong", "XX"]
+_CODES = [f"'{code}'" for code, names in _NAMED.items() for _ in names] + [f"'{code}'" for code in _NAMED] + ["NULL"] * 4
 
 
 @REGISTRY.add(
@@ -257,7 +282,7 @@ _CODES = ["'GR'", "'GR'", "'GB'", "NULL", "'HK'", "'VT'", "'KR'", "NULL"]
     f"SELECT c_custkey, code, code IS NOT NULL AS supported FROM (SELECT c_custkey, {_pick(_CODES, 'c_custkey', quote=False)} AS code FROM customer)",
 )
 def normalize_country(spark, sf_dir):
-    name = F.expr(_pick(_INPUTS, "c_custkey"))
+    name = F.expr(_pick([name.replace("'", r"\'") for name in _INPUTS], "c_custkey"))
     return table(spark, sf_dir, "customer").select(
         "c_custkey", lookups.normalize_country(name).alias("code"), lookups.is_supported_country(name).alias("supported")
     )
