@@ -17,8 +17,8 @@ from claimweave.functions import variants
 from claimweave.functions.ordered import dense_ids
 from claimweave.functions.variants import kind, members, parse, text
 
-# Slices of the keys in a completion grid.
-_SLICES = 64
+# Keys in one slice of a completion grid, about.
+_SLICE_KEYS = 2048
 
 
 def _filled(column: str) -> Column:
@@ -59,12 +59,13 @@ def approved_values(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 def _product_grid(keys: DataFrame, products: DataFrame, product: str) -> DataFrame:
     """Every key with every product: the grid is the result, so its size is asked for.
 
-    Keys are dealt to slices and every product visits every slice, so the join is by slice number
-    and no side is collected.
+    Keys are dealt to slices, as many as their number asks for, and every product visits every slice,
+    so the join is by slice number and no side is collected.
     """
     names = products.select(product).distinct()
-    placed = keys.withColumn("_slice", F.pmod(F.xxhash64(*keys.columns), F.lit(_SLICES)).cast("int"))
-    visiting = names.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))))
+    slices = max(1, -(-keys.count() // _SLICE_KEYS))
+    placed = keys.withColumn("_slice", F.pmod(F.xxhash64(*keys.columns), F.lit(slices)).cast("int"))
+    visiting = names.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return placed.join(visiting, "_slice").drop("_slice")
 
 
@@ -273,8 +274,15 @@ def flatten_layer(df: DataFrame, layer: str, products: DataFrame) -> DataFrame:
 # --- text form of an item ------------------------------------------------------
 
 
-# Nested objects are spelled to this depth; what lies deeper is shown as JSON.
-_DEPTH = 4
+def _depth(json: Column) -> Column:
+    """How deep objects are nested, by the braces outside strings; 0 without any."""
+    braces = F.regexp_replace(F.regexp_replace(json, r'"(\\.|[^"\\])*"', ""), r"[^{}]", "")
+
+    def step(state: Column, brace: Column) -> Column:
+        now = state["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["top"], now).alias("top"))
+
+    return F.aggregate(F.split(braces, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda state: state["top"])
 
 
 def _entries(json: Column) -> Column:
@@ -284,7 +292,7 @@ def _entries(json: Column) -> Column:
 
 def _shown(member: Column, raw: Column) -> Column:
     """A scalar as text; truth values in title case, a list in brackets."""
-    items = F.transform(F.try_variant_get(member, "$", "array<variant>"), lambda v: F.when(kind(v) == "boolean", F.initcap(text(v))).otherwise(text(v)))
+    items = F.transform(F.try_variant_get(member, "$", "array<variant>"), lambda v: F.when(kind(v) == "boolean", F.initcap(text(v))).when(kind(v) == "null", "None").otherwise(text(v)))
     return (
         F.when(kind(member) == "array", F.concat(F.lit("["), F.array_join(items, ", ", "None"), F.lit("]")))
         .when(kind(member) == "boolean", F.initcap(raw))
@@ -298,15 +306,15 @@ def _amount(member: Column, raw: Column) -> Column:
     return F.coalesce(F.concat(F.lit("$"), F.format_number(number, 0)), _shown(member, raw))
 
 
-def _listing(json: Column, value: Callable[[Column, Column], Column], indent: str = "", nulls: bool = True, depth: int = 0) -> Column:
-    """``key: value`` of every member, joined by semicolons; objects follow in braces, each level indented further."""
+def _listing(json: Column, value: Callable[[Column, Column], Column], deepest: int, indent: str = "", nulls: bool = True, depth: int = 0) -> Column:
+    """``key: value`` of every member, joined by semicolons; objects follow in braces, each of ``deepest`` levels indented further."""
     known = members(parse(json))
 
     def one(entry: Column) -> Column:
         member = F.element_at(known, entry["key"])
         plain = value(member, entry["value"])
-        if depth + 1 < _DEPTH:
-            inner = _listing(entry["value"], value, indent, nulls, depth + 1)
+        if depth + 1 < deepest:
+            inner = _listing(entry["value"], value, deepest, indent, nulls, depth + 1)
             plain = F.when(kind(member) == "object", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(plain)
         return F.concat(F.lit(indent * depth), entry["key"], F.lit(": "), plain)
 
@@ -314,19 +322,25 @@ def _listing(json: Column, value: Callable[[Column, Column], Column], indent: st
     return F.array_join(F.transform(entries, one), "; ")
 
 
-def describe_item(df: DataFrame, layer: str, name: str = "description") -> DataFrame:
+def describe_item(df: DataFrame, layer: str, name: str = "description", deepest: int | None = None) -> DataFrame:
     """Text form of a flat row, for an embedding model. JSON columns are strings.
 
     One line each for the names, the type, the limit, the sub-limits and the parameters,
-    as far as they are there; JSON that cannot be read counts as missing.
+    as far as they are there; JSON that cannot be read counts as missing. Objects are spelled to
+    the deepest level there is, which one pass over the JSON finds unless ``deepest`` gives it;
+    what lies deeper than a given one is shown as JSON.
     """
+    nested = [c for c in ("raw_limit", "sub_limits", "parameters") if c in df.columns]
+    if deepest is None and nested:
+        deepest = df.agg(F.max(F.greatest(*[F.coalesce(_depth(F.col(c).cast("string")), F.lit(0)) for c in nested], F.lit(0)))).first()[0]
+    levels = max(1, deepest or 0)
     column = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
     title = lambda c: F.initcap(F.replace(column(c), F.lit("_"), F.lit(" ")))
     limit, limits = column("raw_limit"), parse(column("raw_limit"))
     filled = lambda c: F.size(F.coalesce(_entries(column(c)), F.array().cast("array<struct<key:string,value:string>>"))) > 0
     kind_of_limit = kind(limits)
     shown_limit = (
-        F.when(kind_of_limit == "object", F.concat(F.lit("Coverage limits: "), _listing(limit, _amount)))
+        F.when(kind_of_limit == "object", F.concat(F.lit("Coverage limits: "), _listing(limit, _amount, levels)))
         .when(kind_of_limit.isin("number", "boolean"), F.concat(F.lit("Coverage limit: "), _amount(limits, limit)))
         .when(kind_of_limit != "null", _shown(limits, text(limits)))
     )
@@ -336,8 +350,8 @@ def describe_item(df: DataFrame, layer: str, name: str = "description") -> DataF
         F.concat(F.lit("Condition: "), title("condition_name")),
         F.when(has_type, F.concat(F.lit("Type: "), F.coalesce(column("condition_type"), F.lit("None")))),
         shown_limit,
-        F.when(filled("sub_limits"), F.concat(F.lit("Sub-limits: "), _listing(column("sub_limits"), _amount, indent="  "))),
-        F.when(filled("parameters"), F.concat(F.lit("Parameters: "), _listing(column("parameters"), _shown, nulls=False))),
+        F.when(filled("sub_limits"), F.concat(F.lit("Sub-limits: "), _listing(column("sub_limits"), _amount, levels, indent="  "))),
+        F.when(filled("parameters"), F.concat(F.lit("Parameters: "), _listing(column("parameters"), _shown, levels, nulls=False))),
     ]
     return df.withColumn(name, F.concat_ws("\n", *lines))
 

@@ -263,6 +263,23 @@ def describe_benefit_conditions(spark, sf_dir):
     return ops.describe_item(rows, "benefit_specific_conditions").select("product_name", "benefit_name", "condition_name", "description")
 
 
+@REGISTRY.add(
+    "c10_describe_nested",
+    "SELECT p_partkey, concat_ws(chr(10), 'Benefit: Cover', 'Coverage limits: Basic: $' || format('{:,}', p_partkey) || '; more: {top: {gold: none}}', "
+    "'Sub-limits: a: {  b: {    c: {      d: {        e: $100;         f: {          g: $1}}}}}', "
+    "'Parameters: l1: {l2: {l3: {l4: {l5: {l6: {l7: ' || p_partkey || '; on: True}}; list: [1, a, False, None]}}}}; quoted {: {x: }}') AS description FROM part",
+)
+def describe_nested(spark, sf_dir):
+    """Seven levels, lists, sub-limits in objects, and braces inside keys and texts."""
+    key = F.col("p_partkey").cast("string")
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.lit("cover").alias("benefit_name"), F.concat(F.lit('{"Basic":'), key, F.lit(',"more":{"top":{"gold":"none"}}}')).alias("raw_limit"),
+        F.lit('{"a":{"b":{"c":{"d":{"e":100,"f":{"g":true}}}}}}').alias("sub_limits"),
+        F.concat(F.lit('{"l1":{"l2":{"l3":{"l4":{"l5":{"l6":{"l7":'), key, F.lit(',"on":true}},"list":[1,"a",false,null]}}}},"quoted {":{"x":"}"}}')).alias("parameters"),
+    )
+    return ops.describe_item(rows, "benefits").select("p_partkey", "description")
+
+
 @REGISTRY.add(
     "c11_comparison_view",
     _WITH + "SELECT 'benefit' AS item_type, benefit_name AS item_name, product_name, benefit_exist AS exists, coverage_limit, sub_limits, parameters FROM b WHERE benefit_exist "
