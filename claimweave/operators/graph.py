@@ -67,13 +67,13 @@ def _proposed(proposals: DataFrame) -> DataFrame:
     return proposals.filter(F.col("status") == "success").select(F.col("center_concept").alias("center"), F.explode("new_concepts").alias("raw"))
 
 
-def expand(graph: Graph, proposals: DataFrame, threshold: float, embed: Embed) -> tuple[Graph, DataFrame]:
+def expand(graph: Graph, proposals: DataFrame, threshold: float, embed: Embed, **limits: int) -> tuple[Graph, DataFrame]:
     """Adds proposed neighbours; returns the new graph and a one-row statistic.
 
     A known name goes through the mapping; an unknown one is compared by vector,
     in name order, and either mapped or added. Only unknown names are embedded.
     Every occurrence of a known alias counts as a duplicate, a new alias counts
-    once. Self-edges are left out.
+    once. Self-edges are left out. ``limits`` are those of ``canonicalize``.
     """
     named = _proposed(proposals).select("center", strip("raw").alias("name")).filter("name <> ''")
     counted = named.groupBy("name", "center").agg(F.count(F.lit(1)).alias("_n"))
@@ -81,8 +81,11 @@ def expand(graph: Graph, proposals: DataFrame, threshold: float, embed: Embed) -
     known = cut_lineage(known)
     unknown = known.filter("canonical IS NULL").select("name").distinct()
     vectors = cut_lineage(embed(unknown))
-    placed = canonicalize(vectors.select("name", F.col("name").alias("pos"), "embedding"), graph.nodes, threshold)
-    placed = cut_lineage(placed)
+    # A round that proposes only known names compares nothing.
+    if vectors.isEmpty():
+        placed = vectors.select("name", F.col("name").alias("canonical"), F.lit(1.0).alias("similarity"), F.lit(True).alias("is_new"))
+    else:
+        placed = cut_lineage(canonicalize(vectors.select("name", F.col("name").alias("pos"), "embedding"), graph.nodes, threshold, **limits))
 
     added = vectors.join(placed.filter("is_new").select("name"), "name", "left_semi").select("name", "embedding")
     nodes = graph.nodes.select("name", "embedding").unionByName(added)
@@ -141,6 +144,7 @@ def grow(
     max_rounds: int = 10,
     min_add_rate: float = 0.05,
     min_connectivity: float = 0.2,
+    **limits: int,
 ) -> tuple[DataFrame, list[Graph]]:
     """Expands until a rate falls below its threshold; returns one row per round and every round's graph.
 
@@ -151,7 +155,7 @@ def grow(
     for number in range(1, max_rounds + 1):
         proposals = cut_lineage(propose(graph))
         links = connectivity(graph, proposals).first()
-        grown, stats = expand(graph, proposals, threshold, embed)
+        grown, stats = expand(graph, proposals, threshold, embed, **limits)
         numbers = stats.first()
         skipped = proposals.filter((F.col("status") == "success") & (F.size("new_concepts") == 0)).count()
         graph = grown.pinned()
@@ -183,12 +187,12 @@ def add_products(graph: Graph, names: DataFrame, column: str = "product_name") -
     return Graph(nodes, graph.edges, graph.mapping)
 
 
-def link_facts(graph: Graph, facts: DataFrame, k: int = 5) -> Graph:
+def link_facts(graph: Graph, facts: DataFrame, k: int = 5, **limits: int) -> Graph:
     """Joins each fact ``(name, embedding)`` to its ``k`` nearest nodes by dot product, both ways.
 
-    Facts are matched against the nodes as they were, never against each other.
+    Facts are matched against the nodes as they were, never against each other. ``limits`` are those of ``top_k``.
     """
-    nearest = cut_lineage(top_k(graph.nodes, facts, k, "name", "embedding", "name", "embedding", metric="dot").select("name", F.col("id").alias("node")))
+    nearest = cut_lineage(top_k(graph.nodes, facts, k, "name", "embedding", "name", "embedding", metric="dot", **limits).select("name", F.col("id").alias("node")))
     nearest = nearest.filter(F.col("name") != F.col("node"))
     links = nearest.select(F.col("name").alias("src"), F.col("node").alias("dst")).union(nearest.select("node", "name"))
     fresh = facts.select("name", "embedding").dropDuplicates(["name"]).join(graph.nodes, "name", "left_anti")

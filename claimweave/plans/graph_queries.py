@@ -105,7 +105,8 @@ def collect_facts(spark, sf_dir):
     "(SELECT count(DISTINCT target) AS nodes_added FROM mapped WHERE target NOT IN (SELECT name FROM nodes))",
 )
 def expand_stats(spark, sf_dir):
-    return ops.expand(concept_graph(spark, sf_dir), proposals(spark, sf_dir), 0.9, embedder(spark, sf_dir))[1]
+    # Limits so low that several cells and blocks meet.
+    return ops.expand(concept_graph(spark, sf_dir), proposals(spark, sf_dir), 0.9, embedder(spark, sf_dir), block_rows=10, max_shipped=4)[1]
 
 
 @REGISTRY.add("f04_expand_edges", _GRAPH + "SELECT src, dst FROM edges UNION SELECT src, dst FROM fresh")
@@ -122,8 +123,32 @@ def connectivity(spark, sf_dir):
     return ops.connectivity(concept_graph(spark, sf_dir), proposals(spark, sf_dir))
 
 
-@REGISTRY.add("f06_grow")
+def _round_sql(n: int) -> str:
+    """One round of growth over nodes, edges and known names before it; those after it take the next number."""
+    return (
+        f"p{n} AS (SELECT name AS center, unnest(['new_' || k, 'concept_' || (k % 10)]) AS raw FROM n{n}), "
+        f"t{n} AS (SELECT center, raw, canonical AS target, raw IN (SELECT alias FROM k{n}) AS known FROM p{n} JOIN canon ON alias = raw), "
+        f"b{n} AS (SELECT center AS src, target AS dst FROM t{n} WHERE center <> target UNION SELECT target, center FROM t{n} WHERE center <> target), "
+        f"f{n} AS (SELECT src, dst FROM b{n} EXCEPT SELECT src, dst FROM e{n}), a{n} AS (SELECT DISTINCT target AS name FROM t{n} EXCEPT SELECT name FROM n{n}), "
+        f"n{n + 1} AS (SELECT name, k FROM n{n} UNION ALL SELECT name, CAST(substr(name, 5) AS BIGINT) FROM a{n}), e{n + 1} AS (SELECT src, dst FROM e{n} UNION ALL SELECT src, dst FROM f{n}), "
+        f"k{n + 1} AS (SELECT alias FROM k{n} UNION SELECT raw FROM t{n}), "
+        f"s{n} AS (SELECT {n} AS round, (SELECT count(*) FROM a{n}) AS nodes_added, (SELECT count(*) FROM f{n}) // 2 AS edges_added, "
+        f"(SELECT count(*) FROM t{n} WHERE known AND raw <> target) + (SELECT count(DISTINCT raw) FROM t{n} WHERE NOT known AND raw <> target) AS duplicates, CAST(0 AS BIGINT) AS skipped, "
+        f"(SELECT count(*) FROM n{n + 1}) AS nodes, (SELECT count(*) FROM e{n + 1}) // 2 AS edges, round((SELECT count(*) FROM a{n}) / (SELECT count(*) FROM p{n}), 6) AS add_rate, "
+        f"round((SELECT count(*) FROM p{n} WHERE center <> raw AND raw IN (SELECT name FROM n{n}) AND NOT EXISTS (SELECT 1 FROM e{n} WHERE src = center AND dst = raw)) / ((SELECT count(*) FROM e{n}) // 2), 6) AS connectivity_rate)"
+    )
+
+
+@REGISTRY.add(
+    "f06_grow",
+    _GRAPH + ", n1 AS (SELECT name, vec_id AS k FROM nodes), e1 AS (SELECT src, dst FROM edges), k1 AS (SELECT name AS alias FROM nodes), "
+    # A new concept of a number divisible by four has the vector of the old one.
+    "canon AS (SELECT name AS alias, name AS canonical FROM nodes UNION ALL SELECT 'new_' || vec_id, CASE WHEN vec_id % 4 = 0 THEN name ELSE 'new_' || vec_id END FROM nodes), "
+    + ", ".join(_round_sql(n) for n in (1, 2)) + " SELECT * FROM s1 UNION ALL SELECT * FROM s2",
+)
 def grow(spark, sf_dir):
+    """Two rounds; in the second every name is known."""
+
     def propose(graph):
         return graph.nodes.select(
             F.lit("success").alias("status"), F.col("name").alias("center_concept"),
@@ -153,7 +178,7 @@ def add_products(spark, sf_dir):
 )
 def link_facts(spark, sf_dir):
     facts = centres(spark, sf_dir).select(F.concat(F.lit("fact_"), "label").alias("name"), "embedding")
-    return ops.link_facts(concept_graph(spark, sf_dir), facts).edges
+    return ops.link_facts(concept_graph(spark, sf_dir), facts, max_shipped=4, block_rows=100).edges
 
 
 @REGISTRY.add("f10_unique_edges", _GRAPH + "SELECT least(s, t) AS a, greatest(s, t) AS b FROM half")
