@@ -132,10 +132,15 @@ def test_offers_and_policies(spark):
 
 def told_in_batches(spark, batches, known, delay="60 minutes", **options):
     source, out = scratch_path(spark, "events"), scratch_path(spark, "changes")
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, EVENTS).repartition(2).write.parquet(f"{source}/{i}")
-        events = spark.readStream.schema(EVENTS).parquet(f"{source}/*")
-        changes.change_sink(events, out, f"{out}-checkpoint", delay, **options).trigger(availableNow=True).start().awaitTermination()
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one state store; there are few events
+    try:
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, EVENTS).repartition(2).write.parquet(f"{source}/{i}")
+            events = spark.readStream.schema(EVENTS).parquet(f"{source}/*")
+            changes.change_sink(events, out, f"{out}-checkpoint", delay, **options).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
     return changes.current_changes(spark, out, known)
 
 
