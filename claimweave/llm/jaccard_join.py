@@ -40,7 +40,7 @@ _CLASS_SHIFT = 57
 class Shingles:
     """Shingle sets of texts, as sorted 64-bit numbers."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 200_000
 
     def __init__(self, width: int) -> None:
         self._width = width
@@ -118,24 +118,41 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], classes[order]
 
 
-def _shared_tokens(texts: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Nodes with those of their first tokens that another node has among its own: ``node``, ``n``, ``tokens``."""
-    buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _named(texts: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``k``, ``ord``, ``node``, ``n`` and ``tokens`` (the first ones) of every document: the one pass that makes all shingles.
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Of the documents of a batch that are one node, only the first has tokens.
+    """
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(width)
         for batch in batches:
-            seen: dict[int, tuple[int, np.ndarray]] = {}
+            nodes, sizes, tokens, seen = [], [], [], set()
             for text in batch.column("text").to_pylist():
                 shingles = make.of(text)
-                if len(shingles) and (node := _node(shingles)) not in seen:
-                    seen[node] = (len(shingles), _first(shingles, *common, percent))
+                nodes.append(_node(shingles) if len(shingles) else None)
+                sizes.append(len(shingles))
+                fresh = len(shingles) and nodes[-1] not in seen
+                tokens.append(_first(shingles, *common, percent) if fresh else None)
+                seen.add(nodes[-1])
+            columns = [batch.column("k"), batch.column("ord"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "ord", "node", "n", "tokens"])
+
+    return texts.mapInArrow(name, "k bigint, ord bigint, node bigint, n bigint, tokens array<bigint>")
+
+
+def _shared_tokens(named: DataFrame) -> DataFrame:
+    """Nodes with those of their first tokens that another node has among its own: ``node``, ``n``, ``tokens``."""
+    buckets = 4 * int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out: list[tuple] = []
-            if seen:
-                lengths = np.array([len(t) for _, t in seen.values()])
-                tokens = np.concatenate([t for _, t in seen.values()])
-                nodes = np.repeat(np.array(list(seen), np.int64), lengths)
-                sizes = np.repeat(np.array([n for n, _ in seen.values()], "<u4"), lengths)
+            if batch.num_rows:
+                lengths = batch.column("tokens").value_lengths().to_numpy(zero_copy_only=False)
+                tokens = batch.column("tokens").flatten().to_numpy()
+                nodes = np.repeat(batch.column("node").to_numpy(), lengths)
+                sizes = np.repeat(batch.column("n").to_numpy().astype("<u4"), lengths)
                 bucket = tokens % buckets
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -172,7 +189,7 @@ def _shared_tokens(texts: DataFrame, width: int, percent: int, common: tuple[np.
         if held:
             yield settle()
 
-    packed = texts.select("text").mapInArrow(deal, "bucket bigint, tokens binary, nodes binary, sizes binary")
+    packed = named.where("tokens is not null").select("node", "n", "tokens").mapInArrow(deal, "bucket bigint, tokens binary, nodes binary, sizes binary")
     shared = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node bigint, n bigint, token bigint")
     return shared.groupBy("node", "n").agg(F.collect_list("token").alias("tokens"))
 
@@ -231,7 +248,8 @@ def _visits(shared: DataFrame, percent: int) -> DataFrame:
     has are among the other's first tokens; hence both have o - ceil(t max(n, m)) + 1 first tokens
     in common. Over the sizes in a group this is least at its ends; one is taken off for rounding.
     """
-    sizes = shared.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # Written out, so that both sides of the join are plain and adaptive execution can split a hot group.
+    sizes = pinned(shared.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "jaccard-sizes")
     met = _matches(shared, percent).join(sizes, "g")
     met = met.withColumn("low", F.greatest("low", F.expr(f"({percent}L * n + 99) div 100"))).withColumn("high", F.least("high", F.expr(f"100L * n div {percent}L")))
     least = [f"({percent}L * (n + {m}) + {99 + percent}L) div {100 + percent}L - ({percent}L * greatest(n, {m}) + 99) div 100" for m in ("low", "high")]
@@ -313,23 +331,15 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """``k``, ``ord`` and ``n`` of every document, and ``first``: the ``ord`` and ``k`` of the first one that links reach."""
     texts = _texts(docs)
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles(width)
-        for batch in batches:
-            sets = [make.of(t) for t in batch.column("text").to_pylist()]
-            nodes = [_node(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("ord"), pa.array(nodes, pa.int64()), pa.array(list(map(len, sets)), pa.int64())], ["k", "ord", "node", "n"])
-
-    named = pinned(texts.mapInArrow(name, "k bigint, ord bigint, node bigint, n bigint"), "jaccard-nodes")
+    named = pinned(_named(texts, width, percent, _common(texts, width)), "jaccard-nodes")
     # The commonest class of a set's tokens is what a crowd of variants has in common; rarer ones come from their edits.
     # Sizes within a tenth of each other share a group, so its bound is sharp.
     commonest = F.filter("tokens", lambda t: F.shiftright(t, _CLASS_SHIFT) == F.shiftright(F.array_max("tokens"), _CLASS_SHIFT))
     group = F.xxhash64(F.array_min(commonest), F.floor(F.log("n") * 10))
-    shared = pinned(_shared_tokens(texts, width, percent, _common(texts, width)).withColumn("g", group), "jaccard-shared")
+    shared = pinned(_shared_tokens(named).withColumn("g", group), "jaccard-shared")
     visits = pinned(_visits(shared, percent), "jaccard-visits")
     # Only groups that someone must visit are opened.
-    members = shared.select("node", "g").join(visits.select("g").distinct(), "g", "left_semi")
+    members = shared.select("node", "g").join(pinned(visits.select("g").distinct(), "jaccard-open"), "g", "left_semi")
     visits = visits.join(shared.select("node", "g"), ["node", "g"], "left_anti").select("node", "g", F.lit(False).alias("member")).union(members.select("node", "g", F.lit(True)))
     visits = pinned(visits, "jaccard-placed")
     groups = visits.groupBy("g").agg(F.count_if("member").alias("members"))
