@@ -24,6 +24,13 @@ MAX_PIVOTS = 4096
 # A tree of so many bytes is shipped to the tasks; the second level of a larger one stays distributed.
 MAX_TREE_BYTES = 64 * 1024 * 1024
 _SECOND = 1 << 32
+# A row that looks for partners is copied to at most so many cells on average; cells grow for that up to so many bytes of vectors.
+MAX_VISITS = 16
+MAX_CELL_BYTES = 64 * 1024 * 1024
+# Rows that tell how many cells a row reaches, about.
+_PROBED = 512
+# Places of rows in cells that a task gives out at a time.
+_PLACES = 1 << 16
 _DRAWS = 1 << 40
 
 
@@ -64,8 +71,8 @@ class PivotTree:
     """Pivots drawn from ``(_id, _v)`` for about one cell per ``rows`` rows; the same draw whatever the partitioning."""
 
     def __init__(self, points: DataFrame, rows: int, max_bytes: int = MAX_TREE_BYTES) -> None:
-        n = points.count()
-        leaves = max(1, -(-n // rows))
+        n = self.n = points.count()
+        leaves = self.leaves = max(1, -(-n // rows))
         top = points.orderBy(F.xxhash64("_id"), "_id").limit(min(MAX_PIVOTS, max(1, round(leaves**0.5)))).select("_v").toArrow()
         self.empty = top.num_rows == 0
         self.top = unit_rows(top["_v"])
@@ -96,6 +103,27 @@ class PivotTree:
         return rows.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(_below(slack, halved), placed)
 
 
+def fitting_tree(points: DataFrame, looking: DataFrame, rows: int, radius: float, halved: bool, max_bytes: int = MAX_TREE_BYTES) -> tuple[PivotTree, int]:
+    """A tree in which the rows of ``looking`` reach few cells, and the rows of its cells, at least ``rows``.
+
+    Vectors without clusters reach nearly all cells, and one copy for each of them would make the shuffle
+    quadratic. Some rows, drawn by their ids, tell how many cells they reach; while these are too many, the cells
+    are made larger. The pairs that are found are the same for every tree.
+    """
+    while True:
+        tree = PivotTree(points, rows, max_bytes)
+        if tree.empty or tree.leaves <= MAX_VISITS:
+            return tree, rows
+        largest = max(rows, MAX_CELL_BYTES // (8 * tree.top.shape[1]))
+        n = tree.n if halved else looking.count()
+        share = min(_DRAWS, int(_DRAWS * _PROBED / max(1, n)))
+        probed = looking.where(F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(_DRAWS)) < share)
+        seen = tree.place(probed.select("_id", "_v"), radius, halved).agg(F.count_if("_own").alias("rows"), F.count("*").alias("places")).first()
+        if rows >= largest or seen["places"] <= MAX_VISITS * seen["rows"]:
+            return tree, rows
+        rows = min(largest, -(-rows * max(2 * MAX_VISITS * seen["rows"], seen["places"]) // (MAX_VISITS * seen["rows"])))
+
+
 def _taken(rows: np.ndarray, cells: np.ndarray, own: np.ndarray, ids, vectors) -> list:
     return [pa.array(cells, pa.int64()), pa.array(own), ids.take(pa.array(rows)), vectors.take(pa.array(rows))]
 
@@ -105,9 +133,9 @@ _NAMES = ["_cell", "_own", "_id", "_v"]
 
 def _descend(top: np.ndarray, seconds: list[np.ndarray] | None, slack: float | None, halved: bool):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        # A row may reach every cell: few rows at a time then.
+        step = max(1, _PLACES // (len(top) if seconds is None else max(1, sum(map(len, seconds))))) if slack is not None else _PLACES
+        for batch in (whole.slice(start, step) for whole in batches for start in range(0, whole.num_rows, step)):
             ids, column = batch.column("_id"), batch.column("_v")
             vectors = unit_rows(column)
             rows, cells, own = reached(vectors, top, slack, np.ones(len(vectors), bool) if halved else None)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from claimweave.functions import vector as vec
 from claimweave.operators.calls import TokenBucket, in_order
-from claimweave.operators.pivot_tree import MAX_TREE_BYTES, PivotTree, unit_rows
+from claimweave.operators.pivot_tree import MAX_TREE_BYTES, fitting_tree, unit_rows
 from claimweave.session import cut_lineage
 
 # Defaults of the parameters of the same names. A side of at most so many vectors and bytes is shipped to every task.
@@ -339,7 +339,8 @@ def similarity_join(
     Without ``right`` it is a self join keeping ``left_id < right_id``. The join is
     exact. Vectors are cut into the cells of a pivot tree drawn from the data; a row
     meets only the cells its radius reaches, and each cell, however full, is cut
-    into hash blocks of bounded size. Only pairs beyond the threshold leave a task.
+    into hash blocks of bounded size. Cells of ``block_rows`` rows that rows would reach
+    by the dozen are made larger first. Only pairs beyond the threshold leave a task.
     A tree of more than ``max_tree_bytes`` keeps its second level distributed.
     The input is read several times: pass a table or a pinned frame.
     """
@@ -383,6 +384,7 @@ class _Placed(NamedTuple):
     homes: DataFrame
     guests: DataFrame
     one_table: bool
+    rows: int  # of a cell, about, as of a block
 
     def sizes(self) -> DataFrame:
         """Homes and guests of each cell that has both."""
@@ -395,32 +397,32 @@ class _Placed(NamedTuple):
 
 def _placed(left: DataFrame, right: DataFrame | None, threshold: float, id: str, vector: str, rows: int, max_tree_bytes: int) -> _Placed | None:
     a = _usable(left, vector, "cosine").select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
-    tree = PivotTree(a, rows, max_tree_bytes)
+    b = a if right is None else _usable(right, vector, "cosine").select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
+    radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
+    tree, rows = fitting_tree(a, b, rows, radius, right is None, max_tree_bytes)
     if tree.empty:
         return None
-    radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
     if right is None:
         guests = tree.place(a, radius, halved=True)
         # Columns of its own, so that Spark can tell both sides of the join apart.
         homes = guests.where("_own").select(*[F.col(c).alias(f"{c}_") for c in guests.columns]).toDF(*guests.columns)
-        return _Placed(homes, guests, True)
-    b = _usable(right, vector, "cosine").select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
-    return _Placed(tree.place(a, None), tree.place(b, radius), False)
+        return _Placed(homes, guests, True, rows)
+    return _Placed(tree.place(a, None), tree.place(b, radius), False, rows)
 
 
 def _blocked_join(
     left: DataFrame, right: DataFrame | None, threshold: float, id: str, vector: str, inclusive: bool, block_rows: int | None, max_tree_bytes: int, counted: bool
 ) -> DataFrame:
-    rows = block_rows or BLOCK_ROWS
     self_join = right is None
     right_field = T.StructField("right_id", (left if self_join else right).schema[id].dataType)
     if counted:
         schema = T.StructType([right_field, T.StructField("hits", T.LongType())])
     else:
         schema = T.StructType([T.StructField("left_id", left.schema[id].dataType), right_field, T.StructField("similarity", T.DoubleType())])
-    placed = _placed(left, right, threshold, id, vector, rows, max_tree_bytes)
+    placed = _placed(left, right, threshold, id, vector, block_rows or BLOCK_ROWS, max_tree_bytes)
     if placed is None:
         return left.sparkSession.createDataFrame([], schema)
+    rows = placed.rows
 
     # A row per cell: as many as the table has blocks. Left to Spark, which ships it if it is small.
     blocks = lambda name: F.ceil(F.col(name) / F.lit(rows)).cast("int")
@@ -435,13 +437,19 @@ def _blocked_join(
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         if x.num_rows == 0 or y.num_rows == 0:
             return arrow.empty_table()
-        scores = unit_rows(x["_v"]) @ unit_rows(y["_v"]).T
+        mine, other = unit_rows(x["_v"]), unit_rows(y["_v"])
         x_ids, y_ids = _plain(x["_id"]), _plain(y["_id"])
-        hits = scores >= threshold if inclusive else scores > threshold
-        if self_join:
-            # Two rows of one cell meet in both orders; a guest from a later cell meets once.
-            hits &= (x_ids[:, None] < y_ids[None, :]) | ~_plain(y["_own"]).astype(bool)[None, :]
-        i, j = np.nonzero(hits)
+        own = _plain(y["_own"]).astype(bool)
+        found, step = [], max(1, _PRODUCT // len(y_ids))
+        for start in range(0, len(x_ids), step):
+            scores = mine[start : start + step] @ other.T
+            i, j = np.nonzero(scores >= threshold if inclusive else scores > threshold)
+            if self_join:
+                # Two rows of one cell meet in both orders; a guest from a later cell meets once.
+                kept = (x_ids[start + i] < y_ids[j]) | ~own[j]
+                i, j = i[kept], j[kept]
+            found.append((start + i, j, scores[i, j]))
+        i, j, similarity = (np.concatenate(c) for c in zip(*found, strict=True))
         left_ids, right_ids = x_ids[i], y_ids[j]
         if self_join:
             turned = left_ids > right_ids
@@ -449,7 +457,7 @@ def _blocked_join(
         if counted:
             columns = np.unique(right_ids, return_counts=True)
         else:
-            columns = (left_ids, right_ids, scores[i, j])
+            columns = (left_ids, right_ids, similarity)
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     keys = ["_cell", "_lb", "_rb"]

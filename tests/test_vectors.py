@@ -255,3 +255,14 @@ def test_quantized_search(spark, block_rows):
             quantized.quantized_index(rows, lists=8)
         finally:
             quantized.MAX_MODEL_BYTES = old
+
+
+@pytest.mark.parametrize("shipped", [1 << 20, 0])
+def test_vectors_without_clusters_are_not_copied_to_every_cell(spark, shipped):
+    """Two hundred cells of five rows, nearly all of them in reach: the cells are made larger, and the pairs are the same."""
+    vectors = np.random.default_rng(41).normal(size=(1000, 32)).astype(np.float32)
+    for right in (None, frame(spark, vectors)):
+        placed = ops._placed(frame(spark, vectors), right, 0.4, "id", "embedding", 5, shipped)
+        assert placed.rows > 5 and placed.guests.count() <= 25 * 1000
+    found = {(r["left_id"], r["right_id"]) for r in ops.similarity_join(frame(spark, vectors), None, 0.4, block_rows=5, max_tree_bytes=shipped).collect()}
+    assert found == brute_pairs(vectors, vectors, 0.4, True) and len(found) > 1000
