@@ -122,3 +122,23 @@ def test_annotate_isolates_failures(spark):
     rows = model.annotate(spark.range(10).coalesce(1), load, batch=4).collect()
     assert {r["id"]: r["response"] for r in rows} == {i: None if i == 7 else f"r{i}" for i in range(10)}
     assert [(r["status"], r["error"]) for r in rows if r["id"] == 7] == [("error", "seven")]
+
+
+def test_growth_over_near_copies_agrees_with_its_sql(spark, tmp_path):
+    """Vectors of near copies: new concepts with vectors of their own stay apart, as the SQL says."""
+    import duckdb
+    import numpy as np
+
+    from claimweave.plans import catalog
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(4, 64))
+    vectors = [(i, [float(x) for x in middle[i % 4] + 0.01 * rng.normal(size=64)], i % 4) for i in range(40)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    cursor = duck.execute(catalog.oracles()["f06_grow"])
+    names = [c[0] for c in cursor.description]
+    want = sorted(tuple(row) for row in cursor.fetchall())
+    got = sorted(tuple(round(v, 6) for v in row) for row in catalog.queries()["f06_grow"](spark, str(tmp_path)).select(*names).collect())
+    assert got == want and len(got) == 2
