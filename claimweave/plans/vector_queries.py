@@ -212,7 +212,7 @@ def quantized_recall(spark, sf_dir):
     index = quantized.quantized_index(rows, lists=20)
     index = index._replace(rows=cut_lineage(index.rows))
     share = ops.recall(ops.top_k(rows, asked, 10), quantized.quantized_top_k(index, asked, 10))
-    read = quantized.read_share(index, quantized.candidates(index, asked, 100))
+    read = quantized.read_share(index, quantized.candidates(index, asked, 100, k=10))
     return share.agg(F.count("*").alias("queries"), (F.min("recall") >= 0.9).alias("reaches_floor")).withColumn("reads_a_fifth", read <= 0.2)
 
 

@@ -266,3 +266,18 @@ def test_vectors_without_clusters_are_not_copied_to_every_cell(spark, shipped):
         assert placed.rows > 5 and placed.guests.count() <= 25 * 1000
     found = {(r["left_id"], r["right_id"]) for r in ops.similarity_join(frame(spark, vectors), None, 0.4, block_rows=5, max_tree_bytes=shipped).collect()}
     assert found == brute_pairs(vectors, vectors, 0.4, True) and len(found) > 1000
+
+
+def test_quantized_search_in_a_crowd(spark):
+    """Four hundred near copies of one vector: more than are refined, and each finds its nearest; other queries read few rows."""
+    rng = np.random.default_rng(43)
+    middle = rng.normal(size=64)
+    points = np.concatenate([middle + 0.08 * rng.normal(size=(400, 64)), rng.normal(size=(2600, 64))]).astype(np.float32)
+    rows = frame(spark, points)
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = quantized.quantized_index(rows, lists=8)
+    index = index._replace(rows=index.rows.persist())
+    share = ops.recall(ops.top_k(rows, asked, 10), quantized.quantized_top_k(index, asked, 10))
+    assert share.agg(F.min("recall")).first()[0] >= 0.9
+    read = {r["_q"]: r["count"] for r in quantized.candidates(index, asked, 100, k=10).groupBy("_q").count().collect()}
+    assert max(n for q, n in read.items() if q < 400) <= 600 and np.mean([n for q, n in read.items() if q >= 400]) <= 300
