@@ -8,6 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows of one partition that a task writes, about.
+_TASK_ROWS = 1 << 20
+
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), format: str = "parquet", mode: str = "errorifexists") -> None:
     """Writes a result; rows of one partition value may go to several files."""
@@ -42,6 +45,8 @@ def upsert_in_place(spark: SparkSession, path: str, source: DataFrame, keys: Seq
     the key; it is kept as the folder column ``name``. Only partitions that the source touches are read,
     merged as by ``upsert`` and written, each replaced as a whole when the job commits, so files of others
     stay as they are. The touched values come to the driver: partitions should be so large that there are few.
+    The rows of a partition are brought together, in as many parts as the largest one has millions of rows,
+    so files grow with the partitions and not with these times the tasks.
     Writers must not run at the same time. A table that does not exist yet is created from the source.
     """
     incoming = source.withColumn(name, part)
@@ -58,6 +63,9 @@ def upsert_in_place(spark: SparkSession, path: str, source: DataFrame, keys: Seq
         table = spark.createDataFrame([], schema)
     has_null = None in touched
     held = F.col(name).isin([value for value in touched if value is not None])
-    old = table.where((held | F.col(name).isNull()) if has_null else held).drop(name)
+    old = table.where((held | F.col(name).isNull()) if has_null else held)
+    counts = old.select(name).unionByName(incoming.select(name)).groupBy(name).agg(F.count("*").alias("n"))
+    parts = max(1, -(-(counts.agg(F.max("n")).first()[0] or 0) // _TASK_ROWS))
     merged = upsert(old.select(*columns, "created_at", "updated_at"), source, keys, order, now).withColumn(name, part)
+    merged = merged.repartition(F.col(name), F.pmod(F.xxhash64(*keys), F.lit(parts)))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)

@@ -120,3 +120,14 @@ def test_upsert_in_place_leaves_other_partitions(spark):
     rows = {r.id: (r.v, r.created_at, r.updated_at) for r in spark.read.parquet(path).collect()}
     want = {i: (f"v{i}", "t1", "t1") for i in range(40)} | {None: ("none", "t1", "t1"), 3: ("new", "t1", "t2"), 35: (None, "t1", "t2"), 99: ("far", "t2", "t2")}
     assert rows == want
+
+
+def test_upsert_in_place_writes_a_file_per_partition(spark):
+    """Rows of one partition come together, however many tasks the join has."""
+    from pathlib import Path
+
+    path = scratch_path(spark, "few-files")
+    rows = spark.createDataFrame([(i, f"v{i}", 1) for i in range(400)], "id int, v string, seq int")
+    for stamp in ("t1", "t2"):
+        writers.upsert_in_place(spark, path, rows, ["id"], "seq", F.lit(stamp), F.expr("id div 100"))
+        assert [len(list(p.glob("*.parquet"))) for p in Path(path).glob("part=*")] == [1] * 4
