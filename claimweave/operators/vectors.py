@@ -29,8 +29,9 @@ from claimweave.session import cut_lineage
 # Defaults of the parameters of the same names. A side of at most so many vectors and bytes is shipped to every task.
 MAX_SHIPPED = 4096
 MAX_SHIPPED_BYTES = 64 * 1024 * 1024
-# Rows per block.
+# Rows per block; in a cell of an index there are fewer blocks to meet.
 BLOCK_ROWS = 2048
+CELL_BLOCK_ROWS = 8192
 # Similarities that are held at once.
 _PRODUCT = 1 << 22
 # Pairs are listed once there are at most this many per row.
@@ -638,6 +639,7 @@ def ann_top_k(
     query_id: str = "query_id",
     query_vector: str = "embedding",
     first: int = 10,
+    block_rows: int = CELL_BLOCK_ROWS,
 ) -> DataFrame:
     """Top ``k`` of each query from the cells near it, ranked exactly.
 
@@ -646,7 +648,8 @@ def ann_top_k(
     vectors without clusters that is nearly all of them. With ``probes`` only so many cells are
     read, and the result is approximate.
 
-    The join is on the cell; adaptive execution ships few queries and splits an overfull cell.
+    Within a cell, blocks of ``block_rows`` queries and vectors meet as matrices, and only the best ``k`` per query
+    and block go on. The index is read several times, so it should be written or cut off before.
     """
     spark = queries.sparkSession
     middle = spark.createDataFrame([(i, list(map(float, c))) for i, c in enumerate(centres)], "cell int, _centre array<double>")
@@ -656,16 +659,30 @@ def ann_top_k(
     blind = queries.select(F.col(query_id).alias("_q")).join(F.broadcast(middle.where(F.forall("_centre", lambda x: x == 0)).select("cell")), how="cross").withColumn("similarity", F.lit(None).cast("double"))
     order = Window.partitionBy("_q").orderBy(F.desc_nulls_last("similarity"), "cell")
     placed = scored.unionByName(blind).withColumn("_n", F.row_number().over(order) - 1)
-    wanted = placed.join(queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv")), "_q").select("_q", "_qv", "_n", "cell", (-F.col("similarity")).alias("_far"))
-    if probes is not None:
-        wanted = wanted.where(F.col("_n") < probes)
+    wanted = placed.select("_q", "_n", "cell", (-F.col("similarity")).alias("_far"))
+    wanted = cut_lineage(wanted if probes is None else wanted.where(F.col("_n") < probes))
+    asked = _usable(queries, query_vector, "cosine").select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v"))
+    rows = index.select("cell", F.col(id).alias("_id"), F.col(vector).alias("_v"))
+    schema = T.StructType([asked.schema["_q"], T.StructField("_id", rows.schema["_id"].dataType), T.StructField("similarity", T.DoubleType())])
+    arrow = _arrow_schema(schema)
     ranking = Window.partitionBy("_q").orderBy(F.desc("similarity"), "_id")
 
     def ranked(hits: DataFrame) -> DataFrame:
         return hits.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= k)
 
     def found(cells: DataFrame) -> DataFrame:
-        return index.join(cells.select("_q", "_qv", "cell"), "cell").select("_q", F.col(id).alias("_id"), F.round(vec.cosine(vector, "_qv"), _DIGITS).alias("similarity"))
+        numbers = [df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n)) for df, n in ((cells, "_queries"), (rows, "_rows"))]
+        blocks = F.broadcast(numbers[0].join(numbers[1], "cell"))  # a row per list
+
+        def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+            numbered = df.join(blocks, "cell").withColumn(own, F.pmod(F.xxhash64(key), own).cast("int"))
+            return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+        meeting = ["cell", "_queries", "_rows"]
+        left = dealt(cells.select("_q", "cell"), "_q", "_queries", "_rows").join(asked, "_q").groupBy(*meeting)
+        right = dealt(rows, "_id", "_rows", "_queries").groupBy(*meeting)
+        return left.cogroup(right).applyInArrow(lambda q, r: _ranked(
+            _matrix(q["_v"], "cosine"), _plain(q["_q"]), _matrix(r["_v"], "cosine"), _plain(r["_id"]), k, None, arrow), schema)
 
     if probes is None:
         near = cut_lineage(ranked(found(wanted.filter(F.col("_n") < first))).drop("rank"))

@@ -178,7 +178,7 @@ def canonicalize(spark, sf_dir):
 
 def _ann(spark, sf_dir, probes):
     index, middle = ops.ann_index(vectors(spark, sf_dir), lists=20)
-    return ops.ann_top_k(index, middle, centres(spark, sf_dir).withColumnRenamed("label", "query_id"), 10, probes=probes)
+    return ops.ann_top_k(cut_lineage(index), middle, centres(spark, sf_dir).withColumnRenamed("label", "query_id"), 10, probes=probes)
 
 
 @REGISTRY.add("e10_ann_top_k", _WITH + _SCORED + _RANKED.format(where=""))
@@ -200,7 +200,7 @@ def ann_recall_rows(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
     index, middle = ops.ann_index(rows)
-    share = ops.recall(ops.top_k(rows, asked, 10), ops.ann_top_k(index, middle, asked, 10))
+    share = ops.recall(ops.top_k(rows, asked, 10), ops.ann_top_k(cut_lineage(index), middle, asked, 10))
     return share.agg(F.count("*").alias("queries"), (F.min("recall") >= 0.9).alias("reaches_floor"))
 
 

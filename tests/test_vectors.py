@@ -197,6 +197,20 @@ def test_ann_bound_keeps_all_hits(spark):
     assert far.count() == 20 * 600  # fewer than k found: no cell is ruled out
 
 
+def test_ann_cells_meet_in_blocks(spark):
+    """Small blocks of queries and vectors give the exact hits, and pairs stay in the tasks."""
+    corpus = clustered(13, 300)
+    corpus[100:130] = corpus[100]  # copies tie, and fill a cell
+    df = frame(spark, corpus)
+    asked = df.filter("id % 5 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index, centres = ops.ann_index(df, lists=6)
+    for limits in ({"probes": 6}, {"first": 2}):
+        found = ops.ann_top_k(index, centres, asked, 10, block_rows=7, **limits)
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.query_id, r.id, r.rank) for r in found.collect()}
+        assert got == {(r.query_id, r.id, r.rank) for r in ops.top_k(df, asked, 10).collect()}
+
+
 def test_embeddings_with_failures(spark):
     def load():
         def encode(texts):
