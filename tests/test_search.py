@@ -37,6 +37,23 @@ def test_bm25(spark):
     assert got == want and {q for q, _ in got} == {1, 2}
 
 
+def test_bm25_shuffles_no_terms(spark, monkeypatch):
+    """Documents are counted and scored where they are read; small matrices and the join on terms give the same."""
+    rng = random.Random(3)
+    draw = lambda: " ".join(rng.choices(["the", "a", "b", "c", "d", "rare"], [30, 9, 3, 3, 2, 1], k=rng.randint(1, 40)))
+    docs = spark.createDataFrame([(f"d{i}", draw()) for i in range(90)] + [("e0", None), ("e1", "..")], "id string, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", draw()) for i in range(12)] + [("none", None)], "query_id string, query string")
+    index = postings.postings(docs)
+    assert "Aggregate" not in index._jdf.queryExecution().optimizedPlan().toString() and index.count() == 90
+    answer = lambda **options: {(r.query_id, r.id): (pytest.approx(r.score, abs=1e-8), r.rank) for r in postings.ranked_text(index, queries, 4, **options).collect()}
+    whole = postings.ranked_text(index, queries, None)
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    joined, got = answer(max_shipped=0), answer()
+    assert got == joined and len(got) == 48
+    monkeypatch.setattr(postings, "_MATRIX", 20)
+    assert answer() == joined
+
+
 def grams(name):
     return {("  " + w + " ")[i : i + 3] for w in words(name) for i in range(len(w) + 1)}
 
