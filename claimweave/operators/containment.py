@@ -16,6 +16,8 @@ from claimweave.functions import variants
 from claimweave.session import cut_lineage
 
 _CONTAINERS = ("object", "array")
+# Nodes of patterns that are shipped to the rows.
+MAX_SHIPPED = 10_000
 
 
 def _scalar(value: Column, kind: Column) -> Column:
@@ -30,15 +32,30 @@ def _described(df: DataFrame) -> DataFrame:
     return df.withColumn("kind", kind).withColumn("scalar", _scalar(F.col("value"), F.col("kind")))
 
 
-def _levels(df: DataFrame, deepest: int | None) -> list[DataFrame]:
-    """Nodes by depth of the values ``row, value``, down to ``deepest`` or, for patterns, as far as there are any."""
+def _shipped(nodes: DataFrame) -> DataFrame:
+    """Few nodes visit the rows: most rows have the same shape, and would meet it in one task."""
+    return F.broadcast(nodes) if nodes.limit(MAX_SHIPPED + 1).count() <= MAX_SHIPPED else nodes
+
+
+def _like(own: DataFrame, shape: str, kind: str, scalar: str) -> Column:
+    return (own["shape"] == F.col(shape)) & (own["kind"] == F.col(kind)) & own["scalar"].eqNullSafe(F.col(scalar))
+
+
+def _levels(df: DataFrame, wanted: list[DataFrame] | None = None) -> list[DataFrame]:
+    """Nodes by depth of the values ``row, value``, as far as there are any; with the levels of ``wanted``, only nodes like one of theirs.
+
+    What lies below a node unlike all is not needed.
+    """
     spark = df.sparkSession
     level = _described(df.select("row", F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit("$").alias("shape"), "value").where("value is not null"))
     found = []
     while True:
+        if wanted is not None:
+            kinds = wanted[len(found)].select(F.col("shape").alias("_shape"), F.col("kind").alias("_kind"), F.col("scalar").alias("_scalar")).distinct()
+            level = level.join(_shipped(kinds), _like(level, "_shape", "_kind", "_scalar"), "left_semi")
         level = cut_lineage(level)
         found.append(level)
-        if len(found) - 1 == deepest or level.where(F.col("kind").isin(*_CONTAINERS)).isEmpty():
+        if (wanted is not None and len(found) == len(wanted)) or level.where(F.col("kind").isin(*_CONTAINERS)).isEmpty():
             return found
         inner = level.where(F.col("kind").isin(*_CONTAINERS)).select("row", F.col("path").alias("parent"), F.col("shape").alias("above"), F.col("value").alias("outer_"))
         parts = inner.lateralJoin(spark.tvf.variant_explode(F.col("outer_").outer()))
@@ -55,7 +72,8 @@ def contains_any(df: DataFrame, patterns: DataFrame, id: str, column: str, patte
     array contains another if each element of the other is contained in one of its own,
     whatever order and number; scalars contain their equals. As the one exception, an array at the top contains a
     scalar that is one of its elements. Null or invalid JSON contains nothing and is contained nowhere;
-    ``id`` is unique. The patterns should be few and small beside the rows; how they are joined is left to Spark.
+    ``id`` is unique. The patterns should be few and small beside the rows: up to ``MAX_SHIPPED`` nodes of a level visit every
+    task, beyond that the join is left to Spark.
     """
     asked = patterns.select(F.col(pattern_id).alias("row"), variants.parse(pattern).alias("value")).where("value is not null")
     lone = asked.where(~variants.kind(F.col("value")).isin(*_CONTAINERS))
@@ -63,8 +81,8 @@ def contains_any(df: DataFrame, patterns: DataFrame, id: str, column: str, patte
     tried = asked.select(F.struct("row", F.lit(0).alias("form")).alias("row"), "value").unionByName(
         lone.select(F.struct("row", F.lit(1).alias("form")).alias("row"), F.parse_json(F.concat(F.lit("["), F.to_json("value"), F.lit("]"))).alias("value"))
     )
-    wanted = _levels(tried, None)
-    held = _levels(df.select(F.col(id).alias("row"), variants.parse(column).alias("value")), len(wanted) - 1)
+    wanted = _levels(tried)
+    held = _levels(df.select(F.col(id).alias("row"), variants.parse(column).alias("value")), wanted)
     matched = None
     for depth in range(min(len(held), len(wanted)) - 1, -1, -1):
         nodes = wanted[depth].select(F.col("row").alias("_pattern"), F.col("path").alias("_node"), F.col("parent").alias("_above"), F.col("shape").alias("_shape"), F.col("kind").alias("_kind"), F.col("scalar").alias("_scalar"))
@@ -74,7 +92,7 @@ def contains_any(df: DataFrame, patterns: DataFrame, id: str, column: str, patte
         else:
             nodes = nodes.withColumn("_children", F.lit(None).cast("bigint"))
         own = held[depth]
-        candidates = own.join(nodes, (own["shape"] == F.col("_shape")) & (own["kind"] == F.col("_kind")) & own["scalar"].eqNullSafe(F.col("_scalar"))).select("row", "path", "parent", "_pattern", "_node", "_above", "_children")
+        candidates = own.join(_shipped(nodes), _like(own, "_shape", "_kind", "_scalar")).select("row", "path", "parent", "_pattern", "_node", "_above", "_children")
         whole = candidates.where("_children is null")
         if matched is not None:
             met = matched.groupBy("row", F.col("parent").alias("path"), "_pattern", F.col("_above").alias("_node")).agg(F.count_distinct("_node").alias("_met"))

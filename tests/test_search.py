@@ -126,6 +126,17 @@ def test_containment(spark):
     assert containment.contains_any(spark.createDataFrame(values, "id int, v string"), spark.createDataFrame([], "pattern_id int, pattern string"), "id", "v").count() == 0
 
 
+def test_containment_keeps_nodes_like_a_pattern(spark):
+    """Rows do not meet by shape in one task, and what no pattern has is not carried along."""
+    values = spark.createDataFrame([(i, json.dumps({"a": i % 2, "b": {"c": [i]}})) for i in range(20)], "id int, v string")
+    patterns = spark.createDataFrame([(1, '{"a":1}'), (2, "{}")], "pattern_id int, pattern string")
+    as_levels = lambda df, text: df.select(F.col(df.columns[0]).alias("row"), F.parse_json(text).alias("value"))
+    wanted = containment._levels(as_levels(patterns, "pattern"))
+    assert [level.count() for level in containment._levels(as_levels(values, "v"), wanted)] == [20, 10]
+    found = containment.contains_any(values, patterns, "id", "v")
+    assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 30
+
+
 def test_hybrid_scales_both_scores(spark):
     docs = spark.createDataFrame([(1, "cover trip", 0.0), (2, "trip", 1.0), (3, None, 0.5)], "id int, text string, s double")
     found = postings.text_and_vector(docs, postings.postings(docs), "cover", F.col("s"), k=3).collect()
