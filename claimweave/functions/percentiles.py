@@ -23,6 +23,8 @@ MARGIN = 4 / ACCURACY
 # Distinct values of one bracket that one task ranks, and ranges per round of narrowing.
 SMALL = 100_000
 RANGES = 64
+# Brackets of so many groups are shipped to the rows: else all rows of a group would meet its bracket in one task.
+SHIPPED_GROUPS = 10_000
 
 
 def exact_percentiles(
@@ -33,6 +35,7 @@ def exact_percentiles(
     extra: Sequence[Column] = (),
     margin: float = MARGIN,
     small: int = SMALL,
+    shipped: int = SHIPPED_GROUPS,
 ) -> DataFrame:
     """Interpolated percentiles of ``value`` per key; NULL values are skipped.
 
@@ -51,12 +54,13 @@ def exact_percentiles(
     sketch = cut_lineage(grouped.withColumn("_one", F.lit(0)))
     outputs = [c for c in sketch.columns if c not in (*names, "_n", "_cut", "_one")]
     keyed = [*names, "_one"]
+    ship = not names or sketch.limit(shipped + 1).count() <= shipped
     data = valued.filter("_x IS NOT NULL").select(*keyed, "_x")
-    found = _search(data, keyed, sketch.filter("_n > 0"), percents, False, small, ship=not names)
+    found = _search(data, keyed, sketch.filter("_n > 0"), percents, False, small, ship)
     result = cut_lineage(_joined(sketch, keyed, found, "left").select(*keyed, "_n", *outputs, *percents))
     missed = result.filter("_n > 0").filter(reduce(lambda a, b: a | b, [F.col(name).isNull() for name in percents]))
     if not missed.isEmpty():
-        again = _search(data, keyed, missed.select(*keyed, "_n"), percents, True, small, ship=not names)
+        again = _search(data, keyed, missed.select(*keyed, "_n"), percents, True, small, ship)
         again = again.toDF(*[c if c.startswith("_k_") else f"_again_{c}" for c in again.columns])
         result = _joined(result, keyed, again, "left").withColumns({name: F.coalesce(name, f"_again_{name}") for name in percents})
     return result.select(*names, *outputs, *percents)
@@ -80,12 +84,12 @@ def _search(data: DataFrame, keys: Sequence[str], groups: DataFrame, percents: d
         low, high = (F.lit(float("-inf")), F.lit(float("nan"))) if all_values else (F.col("_cut")[2 * i], F.col("_cut")[2 * i + 1])
         bounds += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}"), ((F.col("_n") - 1) * F.lit(p)).alias(f"_rank{i}")]
     wanted = groups.select(*_twins(keys), *bounds)
-    if ship:  # one row
+    if ship:
         wanted = F.broadcast(wanted)
     inside = cut_lineage(_inside(data, keys, wanted, len(percents)))
     # What is left per group and rank, by distinct values. A range may be down to a few of them, so the bound is not below that.
     while (inside.groupBy(*keys, "_i").count().agg(F.max("count")).first()[0] or 0) > max(small, 16):
-        inside = cut_lineage(_narrowed(inside, keys))
+        inside = cut_lineage(_narrowed(inside, keys, ship))
     return _ranked(inside, keys, list(percents))
 
 
@@ -124,18 +128,19 @@ def _holding(counted: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return counted.withColumn("_after", after).filter((F.col("_after") > F.floor("_rank")) & (F.col("_after") - F.col("_c") <= F.ceil("_rank")))
 
 
-def _narrowed(inside: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _narrowed(inside: DataFrame, keys: Sequence[str], ship: bool) -> DataFrame:
     """The same with only the values of the ranges that hold the ranks; those under them join the NULL row."""
     ids = [*keys, "_i"]
     fractions = [j / RANGES for j in range(1, RANGES)]
     cuts = inside.groupBy(*ids).agg(F.percentile_approx("_v", fractions, ACCURACY).alias("_cuts"))
     # A value's range: how many cuts it is above; the NULL row is in a range of its own.
-    placed = _joined(inside, ids, cuts.select(*_twins(ids), "_cuts")).select(
+    small = F.broadcast if ship else lambda df: df
+    placed = _joined(inside, ids, small(cuts.select(*_twins(ids), "_cuts"))).select(
         *ids, "_rank", "_v", "_c", F.when(F.col("_v").isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).otherwise(-1).alias("_range")
     )
     sums = placed.groupBy(*ids, "_rank", "_range").agg(F.sum("_c").alias("_c"))  # RANGES + 1 rows per group and rank at most
     held = _holding(sums, keys, "_range").groupBy(*ids).agg(F.min("_range").alias("_from"), F.max("_range").alias("_to"))
-    met = _joined(placed, ids, held.select(*_twins(ids), "_from", "_to")).where("_range <= _to")
+    met = _joined(placed, ids, small(held.select(*_twins(ids), "_from", "_to"))).where("_range <= _to")
     value = F.when(F.col("_range") >= F.col("_from"), F.col("_v"))
     return met.select(*ids, "_rank", value.alias("_v"), "_c").groupBy(*ids, "_rank", "_v").agg(F.sum("_c").alias("_c"))
 

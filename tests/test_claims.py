@@ -146,3 +146,15 @@ def test_report_counts_match(spark, sf_dir):
         assert durations[row["loss_type"]]["avg_days_to_close"] == pytest.approx(row["avg_days_to_close"])
     ranked = [r["net_paid"] for r in sections["rankings", "top_claims_net_paid"][0]]
     assert ranked == sorted(ranked, reverse=True) and len(ranked) == 20
+
+
+def test_few_groups_ship_their_brackets(spark, monkeypatch):
+    """The rows of a group stay where they are: no join shuffles them by the key, and not shipping gives the same."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 1009).cast("double").alias("v"))
+    seen, inside = [], percentiles._inside
+    monkeypatch.setattr(percentiles, "_inside", lambda *a: seen.append(inside(*a)) or seen[-1])
+    wanted = {"p50": 0.5, "p90": 0.9}
+    one = percentiles.exact_percentiles(df, ["k"], F.col("v"), wanted).orderBy("k").collect()
+    assert "strategy=broadcast" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert one == percentiles.exact_percentiles(df, ["k"], F.col("v"), wanted, shipped=1).orderBy("k").collect()
+    assert "strategy=broadcast" not in seen[1]._jdf.queryExecution().optimizedPlan().toString()
