@@ -87,9 +87,13 @@ _add("b04_random_n", _ALL)(lambda df: ops.random_n(df, _ROW_TIE))
 def random_n_properties(spark, sf_dir):
     """How many rows are drawn, how many of them are claims, and how many are drawn again from the claims in another order."""
     claims = claims_view(spark, sf_dir)
-    drawn, again = ops.random_n(claims, _ROW_TIE), ops.random_n(claims.repartition(7), _ROW_TIE)
-    tagged = drawn.select("claim_number", F.lit("drawn").alias("t")).union(again.select("claim_number", F.lit("again").alias("t"))).union(claims.select("claim_number", F.lit("claim").alias("t")))
-    per = tagged.groupBy("claim_number").agg(*[F.count_if(F.col("t") == t).alias(t) for t in ("drawn", "again", "claim")])
+    # Dealt by a hash of the key, so that the order changes in as many tasks as the session has, and no task sorts.
+    other = claims.repartition(F.xxhash64("claim_number"))
+    tagged = cut_lineage(reduce(DataFrame.union, [ops.random_n(df, _ROW_TIE).select("claim_number", F.lit(t).alias("t")) for t, df in (("drawn", claims), ("again", other))]))
+    per = tagged.groupBy("claim_number").agg(*[F.count_if(F.col("t") == t).alias(t) for t in ("drawn", "again")])
+    # Forty keys at most visit the claims.
+    found = claims.select("claim_number").join(F.broadcast(per.select("claim_number")), "claim_number").groupBy("claim_number").agg(F.count("*").alias("claim"))
+    per = per.join(F.broadcast(found), "claim_number", "left")
     both = lambda other: F.coalesce(F.sum(F.when(F.col(other) > 0, F.col("drawn"))), F.lit(0)).alias({"claim": "members"}.get(other, other))
     return per.agg(F.sum("drawn").alias("drawn"), both("claim"), both("again"))
 

@@ -158,3 +158,11 @@ def test_few_groups_ship_their_brackets(spark, monkeypatch):
     assert "strategy=broadcast" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert one == percentiles.exact_percentiles(df, ["k"], F.col("v"), wanted, shipped=1).orderBy("k").collect()
     assert "strategy=broadcast" not in seen[1]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_drawn_rows_are_looked_up_without_shuffling_claims(spark, sf_dir):
+    from claimweave.plans.claims_queries import random_n_properties
+
+    found = random_n_properties(spark, sf_dir)
+    assert found.first().asDict() == {"drawn": 20, "members": 20, "again": 20}
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
