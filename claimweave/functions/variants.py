@@ -17,7 +17,11 @@ def members(variant: Column, path: str = "$") -> Column:
 
 def kind(variant: Column) -> Column:
     """string, boolean, number, object, array, null; NULL when absent or unparsable."""
-    schema = F.schema_of_variant(variant)
+    return kind_of(F.schema_of_variant(variant))
+
+
+def kind_of(schema: Column) -> Column:
+    """The same of a schema's text."""
     return (
         F.when(schema.startswith("OBJECT"), "object")
         .when(schema.startswith("ARRAY"), "array")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import variants
 from claimweave.functions.ordered import dense_ids
-from claimweave.functions.variants import kind, members, parse, text
+from claimweave.functions.variants import kind, kind_of, members, parse, text
+from claimweave.session import spread
 
 # Keys in one slice of a completion grid, about.
 _SLICE_KEYS = 2048
@@ -290,36 +291,49 @@ def _entries(json: Column) -> Column:
     return F.map_entries(F.from_json(json, "map<string,string>"))
 
 
-def _shown(member: Column, raw: Column) -> Column:
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named; inside lambdas nothing else sees to that."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _shown(member: Column, raw: Column, sort: Column | None = None) -> Column:
     """A scalar as text; truth values in title case, a list in brackets."""
-    items = F.transform(F.try_variant_get(member, "$", "array<variant>"), lambda v: F.when(kind(v) == "boolean", F.initcap(text(v))).when(kind(v) == "null", "None").otherwise(text(v)))
+    sort = kind(member) if sort is None else sort
+    item = lambda v: _once(F.struct(v.alias("v"), kind(v).alias("kind")), lambda x: F.when(x["kind"] == "boolean", F.initcap(text(x["v"]))).when(x["kind"] == "null", "None").otherwise(text(x["v"])))
+    items = F.transform(F.try_variant_get(member, "$", "array<variant>"), item)
     return (
-        F.when(kind(member) == "array", F.concat(F.lit("["), F.array_join(items, ", ", "None"), F.lit("]")))
-        .when(kind(member) == "boolean", F.initcap(raw))
+        F.when(sort == "array", F.concat(F.lit("["), F.array_join(items, ", ", "None"), F.lit("]")))
+        .when(sort == "boolean", F.initcap(raw))
         .otherwise(F.coalesce(raw, F.lit("None")))
     )
 
 
-def _amount(member: Column, raw: Column) -> Column:
+def _amount(member: Column, raw: Column, sort: Column | None = None) -> Column:
     """A number as dollars (a truth value counts as 1 or 0), anything else as it is."""
-    number = F.when(kind(member) == "boolean", F.try_variant_get(member, "$", "boolean").cast("double")).when(kind(member) == "number", F.try_variant_get(member, "$", "double"))
-    return F.coalesce(F.concat(F.lit("$"), F.format_number(number, 0)), _shown(member, raw))
+    sort = kind(member) if sort is None else sort
+    number = F.when(sort == "boolean", F.try_variant_get(member, "$", "boolean").cast("double")).when(sort == "number", F.try_variant_get(member, "$", "double"))
+    return F.coalesce(F.concat(F.lit("$"), F.format_number(number, 0)), _shown(member, raw, sort))
 
 
-def _listing(json: Column, value: Callable[[Column, Column], Column], deepest: int, indent: str = "", nulls: bool = True, depth: int = 0) -> Column:
+def _listing(json: Column, value: Callable[..., Column], deepest: int, indent: str = "", nulls: bool = True, depth: int = 0) -> Column:
     """``key: value`` of every member, joined by semicolons; objects follow in braces, each of ``deepest`` levels indented further."""
-    known = members(parse(json))
 
     def one(entry: Column) -> Column:
-        member = F.element_at(known, entry["key"])
-        plain = value(member, entry["value"])
+        plain = value(entry["member"], entry["value"], entry["kind"])
         if depth + 1 < deepest:
             inner = _listing(entry["value"], value, deepest, indent, nulls, depth + 1)
-            plain = F.when(kind(member) == "object", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(plain)
+            plain = F.when(entry["kind"] == "object", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(plain)
         return F.concat(F.lit(indent * depth), entry["key"], F.lit(": "), plain)
 
-    entries = _entries(json) if nulls else F.filter(_entries(json), lambda e: e["value"].isNotNull())
-    return F.array_join(F.transform(entries, one), "; ")
+    def told(known: Column) -> Column:
+        """Each member with its kind, so that the object is read once and a member's kind is told once."""
+        entries = _entries(json) if nulls else F.filter(_entries(json), lambda e: e["value"].isNotNull())
+        found = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.element_at(known, e["key"]).alias("member")))
+        schemas = F.transform(found, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), e["member"].alias("member"), F.schema_of_variant(e["member"]).alias("schema")))
+        kinds = F.transform(schemas, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), e["member"].alias("member"), kind_of(e["schema"]).alias("kind")))
+        return F.array_join(F.transform(kinds, one), "; ")
+
+    return _once(members(parse(json)), told)
 
 
 def describe_item(df: DataFrame, layer: str, name: str = "description", deepest: int | None = None) -> DataFrame:
@@ -328,8 +342,9 @@ def describe_item(df: DataFrame, layer: str, name: str = "description", deepest:
     One line each for the names, the type, the limit, the sub-limits and the parameters,
     as far as they are there; JSON that cannot be read counts as missing. Objects are spelled to
     the deepest level there is, which one pass over the JSON finds unless ``deepest`` gives it;
-    what lies deeper than a given one is shown as JSON.
+    what lies deeper than a given one is shown as JSON. Spelling costs more than moving rows, so a scan of few tasks is spread.
     """
+    df = spread(df)
     nested = [c for c in ("raw_limit", "sub_limits", "parameters") if c in df.columns]
     if deepest is None and nested:
         deepest = df.agg(F.max(F.greatest(*[F.coalesce(_depth(F.col(c).cast("string")), F.lit(0)) for c in nested], F.lit(0)))).first()[0]

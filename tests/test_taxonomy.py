@@ -108,3 +108,11 @@ def test_fuzzy(spark):
     df = spark.createDataFrame([("medical cover",), ("Medical  Cover",), ("baggage",), ("",), (None,)], "n string")
     rows = {r["n"]: r["similarity"] for r in ops.fuzzy_names(df, "n", "medical cover", 0.5).collect()}
     assert rows == {"medical cover": 1.0, "Medical  Cover": 1.0}
+
+
+def test_descriptions_of_a_small_scan_use_all_cores(spark):
+    """One task would spell all rows; each object is read once."""
+    df = spark.createDataFrame([("cover", '{"a":{"b":[1,null,true]},"c":false}')] * 8, "benefit_name string, parameters string").coalesce(1)
+    found = ops.describe_item(df, "benefits")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {r["description"] for r in found.collect()} == {"Benefit: Cover\nParameters: a: {b: [1, None, True]}; c: False"}
