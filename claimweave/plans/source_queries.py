@@ -26,16 +26,26 @@ def read_claims(spark, sf_dir):
 
 @REGISTRY.add("a02_read_page_texts", "SELECT conv_id, true AS named_by_file, turn AS text_index, text FROM conversations")
 def read_page_texts(spark, sf_dir):
-    """One JSON array per conversation, each conversation in its own folder; the reader's source is the file's name without its ending."""
+    """One JSON array per conversation: every fiftieth conversation is a file, the others are lines of larger files. The reader's source is the file's name without its ending."""
     path = scratch_path(spark, "page_texts")
-    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
-    documents = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(turns).alias("value"))
-    documents.write.partitionBy("conv_id").text(path)
-    pages = readers.read_page_texts(spark, path, "*.txt")
-    file = F.input_file_name()
-    # The writer chooses the files' names; the folder tells the conversation.
-    named = (F.length("source") > 0) & (F.concat(F.col("source"), F.lit(".txt")) == F.substring_index(file, "/", -1))
-    return pages.select(F.regexp_extract(file, r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"), named.alias("named_by_file"), "text_index", "text")
+    # Each text is headed by its conversation; a header alone is a NULL text.
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws("\t", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "text").alias("text"))))
+    documents = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(turns, lambda t: t["text"])).alias("value"))
+    alone = F.coalesce(F.col("conv_id") % 50 == 0, F.lit(False))
+    documents.where(alone).select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/files")
+    documents.where(~alone).select("value").write.text(f"{path}/lines")
+
+    def read(folder: str, lines: bool):
+        # The writer chooses the files' names.
+        named = (F.length("source") > 0) & (F.concat(F.col("source"), F.lit(".txt")) == F.substring_index(F.input_file_name(), "/", -1))
+        return readers.read_page_texts(spark, f"{path}/{folder}", "*.txt", lines).select(
+            F.substring_index("text", "\t", 1).try_cast("bigint").alias("conv_id"),
+            named.alias("named_by_file"),
+            "text_index",
+            F.when(F.instr("text", "\t") > 0, F.expr("substring(text, instr(text, '\t') + 1)")).alias("text"),
+        )
+
+    return read("files", False).unionByName(read("lines", True))
 
 
 @REGISTRY.add("a03_merge_batches", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS result FROM orders")

@@ -37,15 +37,16 @@ def _stem(path: str) -> F.Column:
     return F.regexp_replace(F.element_at(F.split(F.col(path), "/"), -1), r"(?<=.)\.[^.]*$", "")
 
 
-def read_page_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+def read_page_texts(spark: SparkSession, path: str, pattern: str = "*.json", lines: bool = False) -> DataFrame:
     """JSON files, each an array of page texts, as ``source, text_index, text``.
 
-    A file that is no array of texts gives no rows.
+    With ``lines`` every line is such an array; large data should come so, since each file of its
+    own costs milliseconds to make and to open. A file or line that is no array of texts gives no rows.
     """
     files = (
         spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
-        .text(path, wholetext=True)
+        .text(path, wholetext=not lines)
         .select(F.col("_metadata.file_path").alias("_path"), F.from_json("value", "array<string>").alias("_texts"))
     )
     return files.select(_stem("_path").alias("source"), F.posexplode("_texts").alias("text_index", "text"))

@@ -3,6 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from claimweave.plans import source_queries
 from claimweave.session import scratch_path
 from claimweave.sources import readers, writers
 
@@ -22,6 +23,26 @@ def test_page_texts(spark):
     assert rows == {("policy.v2", 0, "one\ntwo"), ("policy.v2", 1, "three")}
 
 
+def test_page_texts_by_line(spark):
+    folder = scratch_path(spark, "page_lines")
+    write(folder, many__json="\n".join([json.dumps(["one\ntwo", "three"]), '{"a": 1}', json.dumps(["four", None])]))
+    rows = sorted(((r["source"], r["text_index"], r["text"]) for r in readers.read_page_texts(spark, folder, lines=True).collect()), key=str)
+    assert rows == [("many", 0, "four"), ("many", 0, "one\ntwo"), ("many", 1, "three"), ("many", 1, None)]
+
+
+def test_page_texts_need_few_files(spark, monkeypatch):
+    """Conversations share files but for every fiftieth; NULL and odd texts, and a NULL conversation, come back as they were."""
+    texts = ["a\tb", "", None, "two\r\nlines\u2028", '"q" \\']
+    turns = [(i if i < 299 else None, t, text) for i in range(300) for t, text in enumerate(texts)]
+    folder, path = scratch_path(spark, "few"), scratch_path(spark, "few_texts")
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, text string").write.parquet(f"{folder}/conversations.parquet")
+    monkeypatch.setattr(source_queries, "scratch_path", lambda *_: path)
+    found = source_queries.REGISTRY.queries["a02_read_page_texts"](spark, folder).collect()
+    assert all(r["named_by_file"] for r in found)
+    assert sorted(((r["conv_id"], r["text_index"], r["text"]) for r in found), key=str) == sorted(turns, key=str)
+    assert len([f for _, _, files in os.walk(path) for f in files if f.startswith("part-") and f.endswith(".txt")]) <= 6 + 8
+
+
 def test_batches_and_json(spark):
     folder = scratch_path(spark, "batches")
     write(folder, **{"batch_1__json": '{"id": "a", "v": 1}\n{"id": "b", "v": 1}\n', "batch_2__json": '{"id": "a", "v": 2}\n'})
