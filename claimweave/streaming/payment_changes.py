@@ -11,17 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from claimweave.streaming.payment_status import known, status_events
 
 _CHANGE = "payment_intent_id string, event_id bigint, ts timestamp, old_status string, new_status string"
-# Times are microseconds since 1970 inside the state, so that no time zone is involved.
-_EVENT = "at bigint, event_id bigint, status string"
+# Times are microseconds since 1970 inside the state and in what leaves it, so that no time zone is involved.
+_TOLD = "payment_intent_id string, event_id bigint, at bigint, old_status string, new_status string"
+# The settled event, the recent ones, and the timer that is set: one value, since each call for state is a message to the JVM.
+_STATE = "at bigint, event_id bigint, status string, ats array<bigint>, event_ids array<bigint>, statuses array<string>, timer bigint"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,56 +49,54 @@ class ChangeTracker(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", _EVENT)
-        self.recent = handle.getListState("recent", _EVENT)
+        self.payment = handle.getValueState("payment", _STATE)
 
-    def _settle(self, events: list[tuple], watermark_ms: int) -> None:
+    def _load(self) -> tuple[tuple | None, list[tuple], int | None]:
+        state = self.payment.get()
+        if state is None:
+            return None, [], None
+        at, number, status, ats, numbers, statuses, timer = state
+        return None if at is None else (at, number, status), list(zip(ats, numbers, statuses)), timer
+
+    def _settle(self, settled: tuple | None, events: list[tuple], timer: int | None, watermark_ms: int) -> None:
         """Keeps what may still be overtaken and asks for a timer for the rest. Spark drops rows at or before the watermark, so what is settled stays."""
         final = [e for e in events if e[0] <= watermark_ms * 1000]
         open_ = events[len(final) :]
         if final:
-            self.settled.update(final[-1])
-        if open_:
-            self.recent.put(open_)
-        else:
-            self.recent.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+            settled = final[-1]
+        wanted = None
         if open_:
-            self.handle.registerTimer(open_[-1][0] // 1000 + 1)
-        elif self.idle_ms is not None and self.settled.exists():
-            end_ms = self.settled.get()[0] // 1000 + self.idle_ms
+            wanted = open_[-1][0] // 1000 + 1
+        elif self.idle_ms is not None and settled is not None:
+            end_ms = settled[0] // 1000 + self.idle_ms
             if end_ms <= watermark_ms:
-                self.settled.clear()
+                settled = None
             else:
-                self.handle.registerTimer(end_ms + 1)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = sorted((int(at), int(number), status) for at, number, status in self.recent.get()) if self.recent.exists() else []
-        events = set(before)
-        for frame in rows:
-            events.update((int(at), int(number), status) for at, number, status in zip(frame["at"], frame["event_id"], frame["payment_status"]))
-        after = sorted(events)
-        changes = told(self.settled.get() if self.settled.exists() else None, before, after)
-        self._settle(after, timerValues.getCurrentWatermarkInMs())
-        yield self._frame(key, changes)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        recent = sorted((int(at), int(number), status) for at, number, status in self.recent.get()) if self.recent.exists() else []
-        self._settle(recent, timerValues.getCurrentWatermarkInMs())
-        yield self._frame(key, [])
-
-    @staticmethod
-    def _frame(key, changes: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "payment_intent_id": pd.Series([key[0]] * len(changes), dtype="object"),
-                "event_id": pd.Series([event[1] for event, _ in changes], dtype="int64"),
-                "ts": pd.to_datetime(pd.Series([event[0] for event, _ in changes], dtype="int64"), unit="us"),
-                "old_status": pd.Series([old for _, old in changes], dtype="object"),
-                "new_status": pd.Series([event[2] for event, _ in changes], dtype="object"),
-            }
-        )
+                wanted = end_ms + 1
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if settled is None and not open_:
+            self.payment.clear()
+        else:
+            ats, numbers, statuses = ([event[i] for event in open_] for i in range(3))
+            self.payment.update((*(settled or (None, None, None)), ats, numbers, statuses, wanted))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        settled, before, timer = self._load()
+        after = sorted({*before, *((row["at"], row["event_id"], row["payment_status"]) for row in rows)})
+        changes = told(settled, before, after)
+        self._settle(settled, after, timer, timerValues.getCurrentWatermarkInMs())
+        for (at, number, status), old in changes:
+            yield Row(payment_intent_id=key[0], event_id=number, at=at, old_status=old, new_status=status)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        settled, recent, _ = self._load()
+        # Spark drops the timer that fired.
+        self._settle(settled, recent, None, timerValues.getCurrentWatermarkInMs())
+        return iter(())
 
 
 def change_stream(events: DataFrame, delay: str = "1 day", idle_ms: int | None = None) -> DataFrame:
@@ -110,8 +109,10 @@ def change_stream(events: DataFrame, delay: str = "1 day", idle_ms: int | None =
     needed: the RocksDB state store.
     """
     changes = status_events(events).where("ts is not null and event_id is not null").withWatermark("ts", delay)
-    keyed = changes.withColumn("at", F.unix_micros("ts")).groupBy("payment_intent_id")
-    return keyed.transformWithStateInPandas(ChangeTracker(idle_ms), _CHANGE, "Append", "EventTime")
+    keyed = changes.select("payment_intent_id", "event_id", "ts", "payment_status", F.unix_micros("ts").alias("at")).groupBy("payment_intent_id")
+    # Plain rows: a pandas frame for each payment would cost more than its work.
+    found = keyed.transformWithState(ChangeTracker(idle_ms), _TOLD, "Append", "EventTime")
+    return found.select("payment_intent_id", "event_id", F.timestamp_micros("at").alias("ts"), "old_status", "new_status")
 
 
 def change_sink(events: DataFrame, path: str, checkpoint: str, delay: str = "1 day", idle_ms: int | None = None) -> DataStreamWriter:

@@ -174,3 +174,40 @@ def test_told_changes():
     assert changes.told(None, [a, c], [a, b, c]) == [(b, "x"), (c, "y")]
     assert changes.told(a, [c], [b, c]) == [(b, "x"), (c, "y")]
     assert changes.told(a, [c], [c]) == []
+
+
+def test_a_payment_costs_few_state_calls():
+    """Each call for state or timers is a message to the JVM: an event costs three, a timer two."""
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Times:
+        def __init__(self, watermark):
+            self.getCurrentWatermarkInMs = lambda: watermark
+
+    tracker = changes.ChangeTracker()
+    tracker.init(Handle())
+    events = [{"at": at, "event_id": at, "payment_status": status} for at, status in ((5000, "b"), (2000, "a"), (5000, "b"))]
+    found = [tuple(row) for row in tracker.handleInputRows(("p",), iter(events), Times(0))]
+    assert found == [("p", 2000, 2000, None, "a"), ("p", 5000, 5000, "a", "b")]
+    assert calls == ["get", "update", 6] or calls == ["get", 6, "update"]
+    calls.clear()
+    assert list(tracker.handleExpiredTimer(("p",), Times(6), None)) == [] and calls == ["get", "update"]
+    assert tracker.payment.value == (5000, 5000, "b", [], [], [], None)
