@@ -502,6 +502,12 @@ def _json_rows(section: str, name: str, df: DataFrame, part_rows: int | None = N
     )
 
 
+def _nearest(df: DataFrame, by: Column, k: int) -> DataFrame:
+    """The rows that can be among the first ``k`` by ``by``; NULLs stay, wherever they sort. A narrow pass finds the k-th value, so whole rows are built only up to it."""
+    head = df.select(by.alias("_by")).orderBy(F.col("_by").asc_nulls_last()).limit(k)
+    return df.where((by <= head.agg(F.max("_by").alias("cut")).scalar()) | by.isNull())
+
+
 def _json_object(section: str, name: str, df: DataFrame) -> DataFrame:
     body = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     return df.select(F.lit(section).alias("section"), F.lit(name).alias("name"), F.lit(0).cast("bigint").alias("part"), body.alias("body"))
@@ -570,8 +576,8 @@ def report(df: DataFrame, part_rows: int = 10_000) -> DataFrame:
     sections = [
         _json_rows("meta", "columns", df.sparkSession.range(1).select(F.inline(F.array(*columns)))),
         _json_object("meta", "exact_rows", cube.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("exact_rows"))),
-        _json_rows("samples", "first10", first_n(df, ["claim_number"])),
-        _json_rows("samples", "random20", random_n(df, ["claim_number"])),
+        _json_rows("samples", "first10", first_n(_nearest(df, F.col("claim_number"), 10), ["claim_number"])),
+        _json_rows("samples", "random20", random_n(_nearest(df, F.xxhash64(F.lit(0), "claim_number"), 20), ["claim_number"])),
         _json_object(
             "distincts", "counts",
             distinct_counts(cube, ["product_category", "product_name", "claim_status", "loss_type", "destination"]),

@@ -70,6 +70,18 @@ def test_empty_table(spark, claims):
     assert sections["rankings", "top_claims_net_paid"] is None
 
 
+def test_report_samples_need_few_whole_rows(spark):
+    """Rows that are not among the first are dropped before whole rows are sorted; ties and NULL keys stay."""
+    rows = spark.range(1000).select(F.when(F.col("id") % 100 != 7, F.format_string("c%03d", F.col("id").cast("int") % 500)).alias("claim_number"), "id")
+    number = F.col("claim_number")
+    near = ops._nearest(rows, number, 10)
+    assert near.where(number.isNotNull()).count() == 10 and near.count() == 20
+    assert [r["claim_number"] for r in ops.first_n(near, ["claim_number"]).collect()] == [r["claim_number"] for r in ops.first_n(rows, ["claim_number"]).collect()]
+    assert ops.first_n(ops._nearest(rows.where(number.isNull()), number, 3), ["claim_number", "id"], 3).count() == 3
+    by = F.xxhash64(F.lit(0), "claim_number")
+    assert [r["claim_number"] for r in ops.random_n(ops._nearest(rows, by, 20), ["claim_number"]).collect()] == [r["claim_number"] for r in ops.random_n(rows, ["claim_number"]).collect()]
+
+
 def test_profile_distinct(claims):
     exact = {r["column_name"]: r["distinct_values"] for r in ops.profile(claims, distinct="exact").collect()}
     assert exact["claim_number"] == 6 and exact["loss_type"] == 2 and exact["cause_of_loss"] == 0
