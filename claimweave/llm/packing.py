@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import sys
 import types
 import zlib
-from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,18 +26,26 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END_ID = 2
 BLOCK_WINDOWS = 192
-SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+SCHEMA = ", ".join(f"{name} bigint" for name in COLUMNS)
 
 
 class Encoder:
     """Ids of a text. Words are encoded once and remembered, since no token of these
-    vocabularies spans white space."""
+    vocabularies spans white space; texts come many at a time, so that a word of several is
+    looked up once for all."""
 
+    # Bytes of text at a time; a longer text comes alone.
+    SLICE = 4 << 20
     # Two generations of so many words: what was not met again while one filled is forgotten.
     REMEMBERED = 400_000
     LONGEST = 64
-    # Marks after plain letters are a token run of their own, and letters are lower-cased, so "The," is "the" and ",".
+    # Letters that are a token run of their own, also in normal form: those of ASCII and Latin-1.
+    LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+    # Marks after such letters are another run, and letters are lower-cased, so "The," is "the" and ",".
     MARKS = b".,;:!?*#$%&"
+    # Runs of letters that the tokenizer gets as one text.
+    JOINED = 64
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,6 +53,10 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
 
@@ -55,47 +68,89 @@ class Encoder:
             store[path] = cls(path)
         return store[path]
 
-    def _learn(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = [array("I", e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for ids in found:
-                ids.byteswap()
-        return [ids.tobytes() for ids in found]
-
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        core = word.rstrip(self.MARKS)
-        return (core.lower(), word[len(core) :]) if core.isalpha() else (word,)
-
-    def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        for text in texts:
-            words = text.encode("utf-8", "replace").split()
-            if len(self._known) > self.REMEMBERED:
-                self._older, self._known = self._known, {b"": b""}
-            known, older = self._known, self._older
-            known.setdefault(b"", b"")
-            once: dict[bytes, bytes] = {}
-            new = {}
-            for word in set(words).difference(known):
-                if (ids := older.get(word)) is None:
-                    new[word] = self._parts(word)
-                else:
-                    known[word] = ids
-            if new:
-                atoms = []
-                for atom in {a for parts in new.values() for a in parts}.difference(known):
-                    if (ids := older.get(atom)) is None:
-                        atoms.append(atom)
-                    else:
-                        known[atom] = ids
-                for atom, ids in zip(atoms, self._learn(atoms), strict=True):
-                    (known if len(atom) <= self.LONGEST else once)[atom] = ids
-                for word, parts in new.items():
-                    if len(parts) > 1:
-                        ids = b"".join([known[a] if a in known else once[a] for a in parts])
-                        (known if len(word) <= self.LONGEST else once)[word] = ids
-            yield b"".join([known[w] if w in known else once[w] for w in words] if once else map(known.__getitem__, words))
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_runs(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of runs of letters. They share texts: the last id of each run, and no other, ends a word."""
+        found: list[bytes] = []
+        groups = [runs[i : i + self.JOINED] for i in range(0, len(runs), self.JOINED)]
+        for group, ids in zip(groups, self._ids([b" ".join(g).decode("utf-8") for g in groups]), strict=True):
+            stops = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            if len(stops) == len(group):
+                data = ids.tobytes()
+                found += [data[i:j] for i, j in zip([0, *stops], stops)]
+            else:  # this vocabulary does not mark the ends
+                found += [x.tobytes() for x in self._ids([run.decode("utf-8") for run in group])]
+        return found
+
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these distinct words."""
+        if len(self._known) > self.REMEMBERED:
+            self._older, self._known = self._known, {}
+        known, older = self._known, self._older
+        known[b""] = b""
+        found = list(map(known.get, words))
+        # Words not met before, as a run of lower-case letters and marks, or as a whole.
+        places, cores, tails, wholes = [], [], [], []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            word = words[i]
+            if (ids := older.get(word)) is not None:
+                known[word] = found[i] = ids
+                continue
+            core = word if word.isalpha() else word.rstrip(self.MARKS)
+            if core.isalpha():
+                core = core.lower()
+            elif self.LETTERS.fullmatch(core):
+                core = core.decode("utf-8").lower().encode("utf-8")
+            else:
+                wholes.append(i)
+                continue
+            places.append(i)
+            cores.append(core)
+            tails.append(word[len(core) :])
+        once: dict[bytes, bytes] = {}
+
+        def learn(atoms: list[bytes], encode: Callable[[list[bytes]], list[bytes]]) -> None:
+            for atom in atoms:
+                if atom in older:
+                    known[atom] = older[atom]
+            atoms = [a for a in atoms if a not in known]
+            for atom, ids in zip(atoms, encode(atoms), strict=True):
+                (known if len(atom) <= self.LONGEST else once)[atom] = ids
+
+        learn(list(dict.fromkeys(cores)), self._of_runs)
+        learn(list({*tails, *[words[i] for i in wholes]}), lambda atoms: [ids.tobytes() for ids in self._ids([a.decode("utf-8", "replace") for a in atoms])])
+        for i in wholes:
+            found[i] = known[words[i]] if words[i] in known else once[words[i]]
+        for i, core, tail in zip(places, cores, tails, strict=True):
+            ids = known[core] if core in known else once[core]
+            found[i] = ids = ids + (known[tail] if tail in known else once[tail]) if tail else ids
+            if len(words[i]) <= self.LONGEST:
+                known[words[i]] = ids
+        return found
+
+    def encode(self, texts: pa.Array | Sequence[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers; a null is an empty text."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.binary()).view(pa.string())
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        begin = 0
+        while begin < len(texts):
+            stop = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + self.SLICE, "right"))
+            stop = max(stop, begin + 1)
+            split = pc.ascii_split_whitespace(texts.slice(begin, stop - begin))
+            words = split.flatten().dictionary_encode()
+            known = self._of_words(words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+            ids = pa.array(known, pa.large_binary()).take(words.indices)
+            _, offsets, data = ids.buffers()
+            places = np.frombuffer(offsets, np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+            cuts = places[np.cumsum([0, *pc.list_value_length(split).to_pylist()])].tolist()
+            view = memoryview(data or b"")
+            for i, j in zip(cuts, cuts[1:]):
+                yield bytes(view[i:j])
+            begin = stop
 
 
 def differencing(sizes: Sequence[int], k: int) -> np.ndarray:
@@ -172,13 +227,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_worker(tokenizer)
         next_id = TaskContext.get().partitionId() << 32
         rests: list[Piece] = []
         gathered = 0
 
-        def rows(windows: Sequence[Sequence[Piece]]) -> pd.DataFrame:
+        def rows(windows: Sequence[Sequence[Piece]]) -> pa.RecordBatch:
             nonlocal next_id
             out = []
             for pieces in windows:
@@ -187,13 +242,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                     out.append((p.doc_id, p.start, p.length, zlib.crc32(p.ids), p.doc_tokens, next_id, offset))
                     offset += p.length
                 next_id += 1
-            return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], COLUMNS)
 
         for batch in batches:
             full: list[list[Piece]] = []
-            ids_of = batch["doc_id"].astype("Int64").tolist()
-            for doc_id, ids in zip(ids_of, encoder.encode(batch["text"].fillna("").tolist()), strict=True):
-                doc_id = None if doc_id is pd.NA else doc_id
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 ids += end
                 total = len(ids) // 4
                 whole = total // window
@@ -212,4 +265,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         if rests:
             yield rows(pack_block(rests, window))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -4,6 +4,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,49 @@ def test_special_names_are_ordinary_text():
     assert 49407 not in np.frombuffer(next(encoder.encode(["a <|endoftext|> b"])), "<u4").tolist()
 
 
+class CountingTokenizer:
+    """Passes on to a tokenizer and counts the calls and the texts in them."""
+
+    def __init__(self, inner):
+        self.inner, self.calls, self.texts = inner, 0, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls += bool(texts)
+        self.texts += len(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_new_words_of_many_texts_reach_the_tokenizer_together():
+    rng = np.random.default_rng(7)
+    made = ["".join(rng.choice(list("abcdeéüñß"), 9)) for _ in range(6000)]
+    texts = [" ".join(w + ("", ",", "###")[j % 3] for j, w in enumerate(made[i : i + 20])) for i in range(0, 6000, 20)]
+    encoder = packing.Encoder(TOKENIZER)
+    plain = encoder._tokenizer
+    wanted = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    encoder._tokenizer = counting = CountingTokenizer(plain)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == wanted
+    assert counting.calls <= 4 and counting.texts <= 200
+
+
+def test_ids_are_those_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(8)
+    odd = [chr(c) for c in range(0x80, 0x180)] + list("aZbE9.,;:!?*#$%&'<|>-_ \t\n\r\x0b\x0c\x00\x1c\x1f\x7f\u0301\u0307\u0958\u03a3\u0130\u00a0\u3000\u2028ЖД中ﬁ😀")
+    texts = ["".join(rng.choice(odd, int(rng.integers(0, 40)))) for _ in range(1500)]
+    texts += [f"{c}{c}, x{c}y!! {c.upper()}. O{c}'s" for c in odd] + [None, "", " ", "\n\n", "Ab" * 4000 + ",", "é" * 100 + "## é"]
+    plain = packing.Encoder(TOKENIZER)._tokenizer
+    wanted = [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for size, remembered, joined in ((4 << 20, 400_000, 64), (300, 50, 3), (1, 5, 1)):
+        monkeypatch.setattr(packing.Encoder, "SLICE", size)
+        monkeypatch.setattr(packing.Encoder, "REMEMBERED", remembered)
+        monkeypatch.setattr(packing.Encoder, "JOINED", joined, raising=False)
+        encoder = packing.Encoder(TOKENIZER)
+        for given in (texts, pa.array(texts, pa.string()), pa.array(texts, pa.large_string())):
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(given)] == wanted
+        encoder._ends[:] = False  # a vocabulary without a mark of the ends
+        encoder._known, encoder._older = {}, {}
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == wanted
+
+
 # --- sharding ------------------------------------------------------------------
 
 
