@@ -140,9 +140,13 @@ def hybrid_search(
     text: str = "text",
     vector: str = "embedding",
     tie: Sequence[str] = ("id",),
+    digits: int = _DIGITS,
 ) -> DataFrame:
     """Weighted sum of two scores, each scaled to 0..1 over all rows: the share of
-    the query's distinct terms found in the text, and the cosine."""
+    the query's distinct terms found in the text, and the cosine.
+
+    Rows are ranked by the sum as it is told, with ``digits`` digits: what is equal then is a tie.
+    """
     wanted = sorted({w for w in terms.lower().split() if w})
     found = F.array_intersect(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), F.array(*[F.lit(w) for w in wanted]))
     scored = df.withColumns(
@@ -155,7 +159,7 @@ def hybrid_search(
         return F.coalesce(F.try_divide(F.col(column) - low, high - low), F.lit(0.0))
 
     score = F.round(scaled("_text") * text_weight + scaled("_vector") * vector_weight, _DIGITS)
-    return scored.withColumn("score", score).drop("_text", "_vector").orderBy(F.desc("score"), *tie).limit(k)
+    return scored.withColumn("score", F.round(score, digits)).drop("_text", "_vector").orderBy(F.desc("score"), *tie).limit(k)
 
 
 # --- many query vectors --------------------------------------------------------

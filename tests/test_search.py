@@ -141,3 +141,20 @@ def test_hybrid_scales_both_scores(spark):
     docs = spark.createDataFrame([(1, "cover trip", 0.0), (2, "trip", 1.0), (3, None, 0.5)], "id int, text string, s double")
     found = postings.text_and_vector(docs, postings.postings(docs), "cover", F.col("s"), k=3).collect()
     assert [(r.id, r.score) for r in found] == [(2, pytest.approx(0.7)), (3, pytest.approx(0.35)), (1, pytest.approx(0.3))]
+
+
+@pytest.mark.parametrize("name", ["e13_hybrid_search"])
+def test_scores_that_are_told_alike_are_ties(spark, tmp_path, name):
+    """The SQL ranks by scores of six digits: of eleven documents that these don't tell apart the nine with the smallest ids follow the best one."""
+    import duckdb
+
+    from claimweave.plans import catalog
+
+    text = lambda e, t: "x" * (10000 - e - t) + "e" * e + "t" * t
+    docs = [(i, text(1000, 1001)) for i in range(10)] + [(10, text(1000, 1000)), (11, "the"), (12, "e" * 20)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(duck.execute(catalog.oracles()[name]).fetchall())
+    got = sorted((r.id, round(r.score, 6)) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+    assert got == want and [i for i, _ in want] == [*range(9), 11]
