@@ -304,4 +304,5 @@ def ranked_hybrid(spark, sf_dir):
     count = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.array(F.length("text").cast("double"), count("e"), count("t")).alias("embedding"))
     similarity = vec.cosine("embedding", F.array(F.lit(100.0), F.lit(10.0), F.lit(10.0)))
-    return postings.text_and_vector(docs, text_index(spark, docs), " ".join(_TERMS), similarity).select("id", "score")
+    # The SQL ranks by the scores that it tells, of six digits.
+    return postings.text_and_vector(docs, text_index(spark, docs), " ".join(_TERMS), similarity, digits=6).select("id", "score")

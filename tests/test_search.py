@@ -143,7 +143,7 @@ def test_hybrid_scales_both_scores(spark):
     assert [(r.id, r.score) for r in found] == [(2, pytest.approx(0.7)), (3, pytest.approx(0.35)), (1, pytest.approx(0.3))]
 
 
-@pytest.mark.parametrize("name", ["e13_hybrid_search"])
+@pytest.mark.parametrize("name", ["e13_hybrid_search", "e13_ranked_hybrid"])
 def test_scores_that_are_told_alike_are_ties(spark, tmp_path, name):
     """The SQL ranks by scores of six digits: of eleven documents that these don't tell apart the nine with the smallest ids follow the best one."""
     import duckdb
