@@ -34,6 +34,8 @@ BLOCK_ROWS = 2048
 CELL_BLOCK_ROWS = 8192
 # Similarities that are held at once.
 _PRODUCT = 1 << 22
+# Rows of a batch of results.
+_BATCH = 1 << 18
 # Pairs are listed once there are at most this many per row.
 MAX_PAIRS_PER_ROW = 16
 # Similarities are ranked after rounding, so that equal vectors tie exactly.
@@ -433,42 +435,59 @@ def _blocked_join(
     blocks = lambda name: F.ceil(F.col(name) / F.lit(rows)).cast("int")
     sizes = placed.sizes().select("_cell", blocks("_homes").alias("_nl"), blocks("_guests").alias("_nr"))
 
-    def block(df: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+    def block(df: DataFrame, own: str, other: str, names: tuple[str, str], guest: bool) -> DataFrame:
         sized = df.join(sizes, "_cell").withColumn(names[0], F.pmod(F.xxhash64("_id"), F.col(own)).cast("int"))
-        return sized.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_nl", "_nr")
+        dealt = sized.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        # Both sides come as one frame; their ids may differ in type.
+        mine, none = F.col("_id"), F.lit(None)
+        ids = [none.cast(left.schema[id].dataType), mine] if guest else [mine, none.cast(right_field.dataType)]
+        return dealt.select(*keys, F.lit(guest).alias("_guest"), "_own", "_v", ids[0].alias("_x"), ids[1].alias("_y"))
 
     arrow = _arrow_schema(schema)
 
-    def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(batches)
+        x, y = both.filter(pc.invert(both["_guest"])), both.filter(both["_guest"])
         if x.num_rows == 0 or y.num_rows == 0:
-            return arrow.empty_table()
+            return
         mine, other = unit_rows(x["_v"]), unit_rows(y["_v"])
-        x_ids, y_ids = _plain(x["_id"]), _plain(y["_id"])
+        x_ids, y_ids = _plain(x["_x"]), _plain(y["_y"])
         own = _plain(y["_own"]).astype(bool)
-        found, step = [], max(1, _PRODUCT // len(y_ids))
+        del both, x, y
+        step = max(1, _PRODUCT // len(y_ids))
+        x_hits, y_hits = np.zeros(len(x_ids), np.int64), np.zeros(len(y_ids), np.int64)
         for start in range(0, len(x_ids), step):
             scores = mine[start : start + step] @ other.T
             i, j = np.nonzero(scores >= threshold if inclusive else scores > threshold)
+            similarity, i = scores[i, j], start + i
             if self_join:
                 # Two rows of one cell meet in both orders; a guest from a later cell meets once.
-                kept = (x_ids[start + i] < y_ids[j]) | ~own[j]
-                i, j = i[kept], j[kept]
-            found.append((start + i, j, scores[i, j]))
-        i, j, similarity = (np.concatenate(c) for c in zip(*found, strict=True))
-        left_ids, right_ids = x_ids[i], y_ids[j]
-        if self_join:
-            turned = left_ids > right_ids
-            left_ids, right_ids = np.where(turned, right_ids, left_ids), np.where(turned, left_ids, right_ids)
+                kept = (x_ids[i] < y_ids[j]) | ~own[j]
+                i, j, similarity = i[kept], j[kept], similarity[kept]
+            turned = x_ids[i] > y_ids[j] if self_join else np.zeros(len(i), bool)
+            if counted:
+                x_hits += np.bincount(i[turned], minlength=len(x_hits))
+                y_hits += np.bincount(j[~turned], minlength=len(y_hits))
+                continue
+            # What a slice has found leaves the task before the next one is looked at.
+            left_ids, right_ids = x_ids[i], y_ids[j]
+            if self_join:
+                left_ids, right_ids = np.where(turned, right_ids, left_ids), np.where(turned, left_ids, right_ids)
+            yield from _batches((left_ids, right_ids, similarity), arrow)
         if counted:
-            columns = np.unique(right_ids, return_counts=True)
-        else:
-            columns = (left_ids, right_ids, similarity)
-        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            for ids, hits in ((x_ids, x_hits), (y_ids, y_hits)):
+                yield from _batches((ids[hits > 0], hits[hits > 0]), arrow)
 
     keys = ["_cell", "_lb", "_rb"]
-    x = block(placed.homes, "_nl", "_nr", ("_lb", "_rb"))
-    y = block(placed.guests, "_nr", "_nl", ("_rb", "_lb"))
-    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(kernel, schema)
+    x = block(placed.homes, "_nl", "_nr", ("_lb", "_rb"), False)
+    y = block(placed.guests, "_nr", "_nl", ("_rb", "_lb"), True)
+    return x.unionByName(y).groupBy(*keys).applyInArrow(kernel, schema)
+
+
+def _batches(columns: Sequence[np.ndarray], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The columns as batches of bounded size."""
+    for start in range(0, len(columns[0]), _BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(c[start : start + _BATCH], type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
 
 def _copies(df: DataFrame, order: str, vector: str) -> DataFrame:
@@ -477,13 +496,18 @@ def _copies(df: DataFrame, order: str, vector: str) -> DataFrame:
     return df.join(firsts, vector)
 
 
-def near_duplicates(df: DataFrame, threshold: float, id: str = "id", vector: str = "embedding", block_rows: int | None = None, max_tree_bytes: int = MAX_TREE_BYTES) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, threshold: float, id: str = "id", vector: str = "embedding", block_rows: int | None = None, max_tree_bytes: int = MAX_TREE_BYTES, all_copies: bool = False
+) -> DataFrame:
     """Pairs above the threshold among distinct vectors, each standing under its first id.
 
     Further copies of a vector are linked to that first id only, so a vector
-    repeated n times gives n - 1 pairs instead of all of them.
+    repeated n times gives n - 1 pairs instead of all of them. With ``all_copies`` every
+    pair of rows is listed: copies with each other, and each copy with all that its vector is close to.
     """
     usable = _usable(df.select(id, vector), vector, "cosine")
+    if all_copies:
+        return similarity_join(usable, None, threshold, id, vector, block_rows=block_rows, max_tree_bytes=max_tree_bytes)
     # The join below reads its input several times, so the fold is pinned.
     firsts = cut_lineage(usable.groupBy(vector).agg(F.min(id).alias(id)))
     between = similarity_join(firsts, None, threshold, id, vector, block_rows=block_rows, max_tree_bytes=max_tree_bytes)

@@ -143,7 +143,7 @@ _PAIRS = f", pairs AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, {_COS}(
 @REGISTRY.add("e08_near_duplicates", _E + _PAIRS + " SELECT left_id, right_id, round(s, 6) AS similarity FROM pairs")
 def near_duplicates(spark, sf_dir):
     # Two levels of pivots, the second distributed.
-    return ops.near_duplicates(vectors(spark, sf_dir), 0.4, block_rows=50, max_tree_bytes=0)
+    return ops.near_duplicates(vectors(spark, sf_dir), 0.4, block_rows=50, max_tree_bytes=0, all_copies=True)
 
 
 @REGISTRY.add("e08_dedup", _E + _PAIRS + " SELECT vec_id AS id, label FROM e WHERE vec_id NOT IN (SELECT right_id FROM pairs)")

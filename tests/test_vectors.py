@@ -79,6 +79,37 @@ def test_copies_are_linked_to_the_first(spark):
     assert kept == set(range(len(vectors))) - {j for _, j in s}
 
 
+def test_near_duplicates_agree_with_their_sql_on_copies(spark, tmp_path):
+    """A vector that occurs five times gives all ten pairs, and each of the five is paired with what the vector is close to."""
+    import duckdb
+
+    from claimweave.plans import catalog
+
+    vectors = clustered(51, 120, dim=64, noise=1.5)
+    vectors[[7, 40, 41, 99]] = vectors[3]
+    vectors[60] = vectors[3] + np.float32(0.01)
+    vectors[61] = vectors[60]
+    frame(spark, vectors, id="vec_id").withColumn("label", F.lit(0)).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(duck.execute(catalog.oracles()["e08_near_duplicates"]).fetchall())
+    got = sorted((r.left_id, r.right_id, round(r.similarity, 6)) for r in catalog.queries()["e08_near_duplicates"](spark, str(tmp_path)).collect())
+    assert got == want and {(40, 99, 1.0), (60, 61, 1.0)} < set(got) and len({(i, j) for i, j, _ in got if {i, j} < {3, 7, 40, 41, 99, 60, 61}}) == 21
+
+
+def test_pairs_of_a_crowd_leave_in_slices(spark, monkeypatch):
+    """What a task has found leaves it by and by: pairs and counts are the same however small the slices are."""
+    vectors = np.concatenate([clustered(52, 60), np.repeat(clustered(53, 1), 40, axis=0)])
+    for right in (None, frame(spark, vectors[30:])):
+        found = lambda: sorted((r.left_id, r.right_id) for r in ops.similarity_join(frame(spark, vectors), right, 0.7).collect())
+        hits = lambda: {r.right_id: r.hits for r in ops.neighbour_counts(frame(spark, vectors), right, 0.7).collect()}
+        pairs, counts = found(), hits()
+        monkeypatch.setattr(ops, "_PRODUCT", 300)
+        monkeypatch.setattr(ops, "_BATCH", 7)
+        assert found() == pairs and hits() == counts and sum(counts.values()) == len(pairs) == len(set(pairs)) > 780
+        monkeypatch.undo()
+
+
 @pytest.mark.parametrize("metric", ["cosine", "dot"])
 @pytest.mark.parametrize("shipped", [4096, 30, 5])
 def test_top_k_strategies_agree(spark, metric, shipped):
