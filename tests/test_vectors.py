@@ -188,6 +188,23 @@ def test_canonicalize_replays_the_visit(spark, threshold, listed):
     assert alone == sequential(new, [], threshold)
 
 
+def test_canonicalize_beside_many_old_concepts(spark, monkeypatch):
+    """Vectors without clusters beside old ones that are not shipped: nobody is compared in small blocks, and lone vectors keep their copies."""
+    rng = np.random.default_rng(61)
+    fresh, known = rng.normal(size=(300, 32)).astype(np.float32), rng.normal(size=(200, 32)).astype(np.float32)
+    fresh[50:90] = known[:40]
+    fresh[90:110] = known[20:40] + np.float32(0.02)
+    fresh[120:140] = fresh[10:30]
+    fresh[140:150] = fresh[10:20] + np.float32(0.05)
+    old = [(f"o{i:03d}", [float(x) for x in v]) for i, v in enumerate([*known, known[7], known[3]])]
+    new = [(f"n{i:03d}", [float(x) for x in v]) for i, v in enumerate(fresh)]
+    schema = "name string, embedding array<float>"
+    df = spark.createDataFrame(new, schema).withColumn("pos", F.col("name")).repartition(5)
+    monkeypatch.setattr(ops, "_meet", None)
+    mine = {r["name"]: r["canonical"] for r in ops.canonicalize(df, spark.createDataFrame(old, schema), 0.9, block_rows=20, max_shipped=4).collect()}
+    assert mine == sequential(new, old, 0.9) and len(set(mine.values())) == 300 - 60 - 20 - 10 + 40
+
+
 def test_canonicalize_on_a_chain(spark):
     """Each concept reaches only its neighbours, so every other one is canonical."""
     angles = [i * 0.5 for i in range(9)]
@@ -313,6 +330,18 @@ def test_vectors_without_clusters_are_not_copied_to_every_cell(spark, shipped):
     assert found == brute_pairs(vectors, vectors, 0.4, True) and len(found) > 1000
 
 
+def test_vectors_without_clusters_meet_in_few_blocks(spark):
+    """Where every cell is in reach a row is copied once for each of a few blocks, and blocks of one table meet once."""
+    vectors = np.random.default_rng(42).normal(size=(1000, 32)).astype(np.float32)
+    for right in (None, frame(spark, vectors)):
+        placed = ops._placed(frame(spark, vectors), right, 0.4, "id", "embedding", 5, 1 << 20)
+        assert placed.guests.count() == 1000 and 1000 / placed.rows <= 4
+    found = ops.nearest(frame(spark, vectors), frame(spark, vectors[:300], first=5000), 0.4, block_rows=5)
+    assert {(r.right_id, r.left_id, round(r.similarity, 9)) for r in found.collect()} == {(5000 + i, i, 1.0) for i in range(300)}
+    want = {i for pair in brute_pairs(vectors, vectors, 0.5, True) for i in pair}
+    assert {r.id for r in ops.paired_ids(frame(spark, vectors), 0.5, block_rows=5).collect()} == want and 10 < len(want) < 990
+
+
 def test_quantized_search_in_a_crowd(spark):
     """Four hundred near copies of one vector: more than are refined, and each finds its nearest; other queries read few rows."""
     rng = np.random.default_rng(43)
